@@ -1,0 +1,7 @@
+"""Shortest paths, breadth-first trees and transit assignment on Spark."""
+
+from hopflux.api import BFS, BellmanFord, Dijkstra, HyperpathGenerating
+from hopflux.constants import INF, INF_FREQ, MIN_FREQ, MIN_TIME
+
+__version__ = "0.1.0"
+__all__ = ["BFS", "INF", "INF_FREQ", "MIN_FREQ", "MIN_TIME", "BellmanFord", "Dijkstra", "HyperpathGenerating"]
