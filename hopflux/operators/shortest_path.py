@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from hopflux.plans.work import cut
 
+#: Rounds in one plan, between two checkpoints.
+STRIDE = 2
 LABELS = "source long, v long, d double, hops long, pred long, round int"
 
 
@@ -45,12 +47,22 @@ def relax(state: DataFrame, edges: DataFrame, number: int, track: bool, bounds:
     return met.select("source", "v", pick("d"), pick("hops"), pick("pred"), F.when(F.col("wins"), number).otherwise(F.col("round")).alias("round"))
 
 
-def in_cycle(state: DataFrame, count: int) -> bool:
-    """Whether predecessors run in a cycle, by doubling pointers: then some vertex never gets to its root."""
+def in_cycle(state: DataFrame, count: int, rounds: int) -> bool:
+    """Whether predecessors run in a cycle, by doubling pointers: then some vertex never gets to its root.
+
+    After ``rounds`` rounds most chains are no longer than that, so a look at whether all have ended comes first there.
+    """
     jump = cut(state.select("source", "v", "pred"))
-    for _ in range(max(1, math.ceil(math.log2(count + 1)))):
-        jump = cut(jump.join(jump.select("source", F.col("v").alias("pred"), F.col("pred").alias("far")), ["source", "pred"]).select("source", "v", F.col("far").alias("pred")))
-    return not jump.where("pred <> source").isEmpty()
+
+    def twice(jump: DataFrame) -> DataFrame:
+        return jump.join(jump.select("source", F.col("v").alias("pred"), F.col("pred").alias("far")), ["source", "pred"]).select("source", "v", F.col("far").alias("pred"))
+
+    soon, most = math.ceil(math.log2(rounds + 1)), math.ceil(math.log2(count + 1))
+    for power in range(2, most + 3, 2):
+        jump = cut(twice(twice(jump)))
+        if power >= min(soon, most) and jump.where("pred <> source").isEmpty():
+            return False
+    return True
 
 
 def shortest_paths(edges: DataFrame, sources: Iterable[int] | DataFrame, count: int, track: bool = False, targets: Iterable[int] | None = None, negative: bool = False, detect: bool = True) -> DataFrame:
@@ -67,22 +79,22 @@ def shortest_paths(edges: DataFrame, sources: Iterable[int] | DataFrame, count:
     state = start.distinct().select("source", F.col("source").alias("v"), F.lit(0.0).alias("d"), F.lit(0).cast("long").alias("hops"), F.col("source").alias("pred"), F.lit(0).alias("round"))
     state = cut(state.repartition("source", "v"))
     wanted = sorted(set(targets)) if targets is not None and not negative else None
-    bounds, look = None, 4
-    for number in range(1, max(count, 1) + 1):
-        if negative and not detect and number >= max(count, 1):
-            break
-        state = cut(relax(state, edges, number, track, bounds))
-        found = [F.count_if(F.col("round") == number).alias("n")]
-        if wanted is not None and bounds is None:
-            got = state.where(F.col("v").isin(wanted)).groupBy("source").agg(F.count("*").alias("c"), F.max("d").alias("bound")).where(F.col("c") == len(wanted))
-            bounds = got.select("source", "bound") if not got.isEmpty() else None
-        elif bounds is not None:
-            bounds = state.where(F.col("v").isin(wanted)).groupBy("source").agg(F.count("*").alias("c"), F.max("d").alias("bound")).where(F.col("c") == len(wanted)).select("source", "bound")
-        if state.agg(*found).first()["n"] == 0:
+    # a graph of V vertices needs V - 1 rounds at most; one more shows that nothing changes
+    last = max(count, 1) if detect or not negative else max(count, 1) - 1
+    bounds, look, number = None, 8, 0
+    while number < last:
+        for _ in range(min(STRIDE, last - number)):
+            number += 1
+            state = relax(state, edges, number, track, bounds)
+        state = cut(state)
+        if state.where(F.col("round") == number).isEmpty():
             return state.drop("round")
-        if negative and detect and number == look:
+        if wanted is not None:
+            held = state.where(F.col("v").isin(wanted)).groupBy("source").agg(F.count("*").alias("c"), F.max("d").alias("bound"))
+            bounds = held.where(F.col("c") == len(wanted)).select("source", "bound")
+        if negative and detect and number >= look:
             look *= 2
-            if in_cycle(state, count):
+            if in_cycle(state, count, number):
                 raise NegativeCycle("Negative cycle detected in the graph")
     if detect:
         raise NegativeCycle("Negative cycle detected in the graph")
