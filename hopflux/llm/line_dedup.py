@@ -149,7 +149,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size = F.size(F.split(F.col(text_col), "\n", -1))
     plain = docs.drop("cut_lines", "cut_spans").withColumns({"_kid": kid, "_th": th})
     return (
-        plain.join(cut, ["_kid", "_th"], "left")
+        plain.join(cut.hint("merge"), ["_kid", "_th"], "left")  # the spans grow with the documents: one plan at every size
         .withColumns({"_kept": F.when(F.col("_spans").isNotNull(), kept)})
         .withColumns({
             "cut_lines": F.when(F.col("_kept").isNull(), 0).otherwise(size - F.size("_kept")),
