@@ -6,8 +6,8 @@ of a size subtract cell by cell, what both texts hold cancels, and peeling recov
 gives it away, which is then taken out of its other cells.  If that ends with full cells the difference was too large
 for the table, and both sides are built anew, larger, until it ends well.
 
-Tables of the first size are arrays inside a row, without a shuffle.  Retries are rows, one per cell, so their cost is linear in
-the paragraphs of however long a text.
+Tables of the first size and of four times that are arrays inside a row, without a shuffle.  Further retries are rows, one per
+cell, so their cost is linear in the paragraphs of however long a text.
 """
 
 from __future__ import annotations
@@ -159,28 +159,32 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     of one id are ordered by a hash, and rows alike in id and text are one document in the order and get a row each.  A single document
     is its own next one.  An empty table gives an empty result.  Only the two named columns are read.
     """
-    body = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("kid"), F.xxhash64(body).alias("th"), body.alias("text"))
-    order = save(neighbours(rows.select("kid", "th", F.length("text").alias("n")), ["kid", "th"]), "neighbours")
-    after = order.select(F.col("next.kid").alias("kid"), F.col("next.th").alias("th"), F.col("kid").alias("pk"), F.col("th").alias("pt"), F.floor(F.col("n") / 4).cast("int").alias("q"))
-    heads = rows.join(after, ["kid", "th"]).select(F.col("pk").alias("kid"), F.col("pt").alias("th"), F.col("text").substr(F.lit(1), F.col("q")).alias("head"), paragraph_digests(F.col("text")).alias("b_next")).dropDuplicates(["kid", "th"])
+    body, key = F.coalesce(F.col(text_col).cast("string"), F.lit("")), ["named", "kid", "th"]
+    rows = docs.select(F.col(id_col).isNotNull().alias("named"), F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")).alias("kid"), F.xxhash64(body).alias("th"), body.alias("text"))
+    order = save(neighbours(rows.select(*key, F.length("text").alias("n")), key), "neighbours")
+    after = order.select(*(F.col(f"next.{c}").alias(c) for c in key), F.struct(*key).alias("p"), F.floor(F.col("n") / 4).cast("int").alias("q"))
+    # both joins take the same columns of the texts, so that these are shuffled once
+    heads = rows.join(after.hint("merge"), key).select("p.*", F.col("text").substr(F.lit(1), F.col("q")).alias("head"), paragraph_digests(F.col("text")).alias("b_next")).dropDuplicates(key)
     n = F.length("text")
     edited = F.concat(F.col("text").substr(F.lit(1), n - F.floor(n / 4).cast("int")), F.col("head"))
-    read = rows.join(heads, ["kid", "th"]).withColumn("edited", edited)
-    read = read.select("doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), paragraph_digests(F.col("text")).alias("a"), paragraph_digests(F.col("edited")).alias("b_edited"), "b_next")
+    read = rows.join(heads.hint("merge"), key).withColumn("edited", edited)
+    read = read.select(F.when(F.col("named"), F.col("kid")).alias("doc_id"), n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), paragraph_digests(F.col("text")).alias("a"), paragraph_digests(F.col("edited")).alias("b_edited"), "b_next")
     read = save(read.withColumn("id", F.monotonically_increasing_id()), "digests")
 
-    def differing(b: str) -> Column:
+    def differing(b: str, slots: int = slots) -> Column:
         return _let(peel(subtract(table(F.col("a"), slots), table(F.col(b), slots)), slots), lambda s: F.when(s["ok"], F.size(s["added"]) + F.size(s["removed"])))
 
     first = save(read.select("id", differing("b_edited").alias("d_edited"), differing("b_next").alias("d_next")), "ibf-first")
     again = first.where("d_edited is null or d_next is null").join(read.select("id", "a", "b_edited", "b_next"), "id")
     again = again.select("a", F.explode(F.array(F.when(F.col("d_edited").isNull(), F.struct((F.col("id") * 2).alias("id"), F.col("b_edited").alias("b"))), F.when(F.col("d_next").isNull(), F.struct((F.col("id") * 2 + 1).alias("id"), F.col("b_next").alias("b"))))).alias("x")).where("x is not null")
-    large = peel_large(again.select("x.id", "a", "x.b")).groupBy("id").agg(F.count("*").cast("int").alias("d"))
-    large = large.groupBy(F.shiftright("id", 1).alias("id")).agg(F.max(F.expr("if(id % 2 = 0, d, null)")).alias("l_edited"), F.max(F.expr("if(id % 2 = 1, d, null)")).alias("l_next"))
+    again = save(again.select("x.id", "a", "x.b"), "ibf-again")
+    second = save(again.select("id", differing("b", 4 * slots).alias("d")), "ibf-second")
+    large = peel_large(again.join(second.where("d is null").select("id"), "id")).groupBy("id").agg(F.count("*").cast("int").alias("d"))
+    retried = second.where("d is not null").union(large)
+    retried = retried.groupBy(F.shiftright("id", 1).alias("id")).agg(F.max(F.expr("if(id % 2 = 0, d, null)")).alias("l_edited"), F.max(F.expr("if(id % 2 = 1, d, null)")).alias("l_next"))
     size = lambda c: F.size(c).cast("double")
     return (
-        read.join(first, "id").join(save(large, "ibf-large"), "id", "left")
+        read.join(first, "id").join(save(retried, "ibf-retried"), "id", "left")
         .select(
             "doc_id", "n_chars", "edited_sha256",
             to_text(table(F.col("a"), slots)).alias("fingerprint"), to_text(table(F.col("b_edited"), slots)).alias("edited_fingerprint"),
