@@ -86,8 +86,8 @@ def shortest_paths(edges: DataFrame, sources: Iterable[int] | DataFrame, count:
         for _ in range(min(STRIDE, last - number)):
             number += 1
             state = relax(state, edges, number, track, bounds)
-        state = cut(state)
-        if state.where(F.col("round") == number).isEmpty():
+        state = cut(state, eager=False)
+        if not state.agg(F.count_if(F.col("round") == number)).first()[0]:
             return state.drop("round")
         if wanted is not None:
             held = state.where(F.col("v").isin(wanted)).groupBy("source").agg(F.count("*").alias("c"), F.max("d").alias("bound"))

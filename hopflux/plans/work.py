@@ -40,9 +40,11 @@ def release(spark: SparkSession) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Checkpoint ``df`` in the shared folder, keeping how it is partitioned, so that joins on it need no exchange.
 
+    With ``eager`` false it is written by the first action on the result, which saves a pass.
+
     Adaptive execution decides partitions while it runs and so has none to keep; it is off while this one plan is made.
     """
     spark = df.sparkSession
@@ -52,6 +54,6 @@ def cut(df: DataFrame) -> DataFrame:
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return df.checkpoint(eager=True)
+        return df.checkpoint(eager)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
