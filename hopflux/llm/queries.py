@@ -72,4 +72,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_minhash_near_dedup, op2_packing, op3_license_scan, op4_line_dedup, op5_toxicity, op6_document_fingerprints, op7_sharding, op8_warc_derivatives, op9_benchmark_decontamination, op10_lm_scoring)
 }
 
-ORACLES: dict[str, str] = {}
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACE_WORDS = rf"list_filter(string_split_regex({_LOW}, '[\x20\x09-\x0D]+'), lambda x : x <> '')"
+_ALNUM_WORDS = rf"list_filter(string_split_regex({_LOW}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x : x <> '')"
+
+#: Queries that DuckDB can answer too.  The others rest on hashes, tokenizers or models that it lacks.
+ORACLES: dict[str, str] = {
+    "op1_minhash_near_dedup": f"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, {_SPACE_WORDS} AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(greatest(len(w) - 4, 1)), lambda i : array_to_string(w[i + 1:i + 5], ' '))) END AS s FROM w),
+x AS MATERIALIZED (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE 100 * n >= 85 * (len(sa.s) + len(sb.s) - n)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c(v, m) USING KEY (v) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, min(c.m) FROM c JOIN e ON e.a = c.v LEFT JOIN recurring.c k ON k.v = e.b WHERE c.m < k.m GROUP BY e.b)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, m AS component_id, doc_id = m AS kept FROM s JOIN c ON v = doc_id""",
+    "op7_sharding": """
+WITH RECURSIVE z(n, c, k) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT n, xor(c >> 1, 3988292384 * (c & 1)), k + 1 FROM z WHERE k < 8),
+t AS MATERIALIZED (SELECT list(c ORDER BY n) AS t FROM z WHERE k = 8),
+d AS MATERIALIZED (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h : ('0x' || h)::BIGINT)), lambda c, b : xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM documents, t),
+h AS (SELECT DISTINCT doc_id, s, ('0x' || substr(md5(doc_id::VARCHAR || ':' || s), 1, 12))::BIGINT AS draw FROM documents, range(9) r(s)),
+g AS (SELECT doc_id, arg_max(s, draw) FILTER (s < 8) AS shard, arg_max(s, draw) AS grown FROM h GROUP BY doc_id)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, text_crc32) - 1 AS slot, grown::INTEGER AS grown_shard FROM d JOIN g USING (doc_id)""",
+    "op9_benchmark_decontamination": f"""
+WITH w AS MATERIALIZED (SELECT doc_id, {_ALNUM_WORDS} AS w FROM documents),
+b AS MATERIALIZED (SELECT item_id::VARCHAR AS item_id, {_ALNUM_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+g AS MATERIALIZED (SELECT DISTINCT item_id, least(len(w), 13) AS n, w[i + 1:i + 13] AS g FROM b, unnest(range(greatest(len(w) - 12, 1))) r(i) WHERE len(w) > 0),
+f AS MATERIALIZED (SELECT doc_id, i, g.n, g.item_id FROM (SELECT doc_id, n, i, w[i + 1:i + n] AS g FROM w, (SELECT DISTINCT n FROM g) k, unnest(range(greatest(len(w) - n + 1, 0))) r(i)) x JOIN g ON g.n = x.n AND g.g = x.g),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM f, unnest(range(i, i + n)) r(p) GROUP BY doc_id),
+t AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS items FROM f GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items, sha256(array_to_string(coalesce(items, []), ',')) AS items_sha256,
+coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM w LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+}

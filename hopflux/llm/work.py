@@ -1,44 +1,5 @@
-"""Work tables: intermediate results written to the shared folder that the cluster names in ``spark.checkpoint.dir``.
+"""Work tables in the cluster's shared folder; see :mod:`hopflux.plans.work`."""
 
-A work table cuts lineage and survives lost executors, because the folder is shared.  Tables of a session are
-removed by :func:`release`, which a caller runs once the results built on them have been written.
-"""
+from hopflux.plans.work import release, save, shared_dir
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_written: dict[str, list[str]] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is set (tests, one machine) a folder of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local["):
-        own = "file://" + tempfile.mkdtemp(prefix="hopflux-work-")
-    else:
-        own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_hopflux_work"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a work table and return the table."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/hopflux-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the work tables that this session has written so far."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in _written.pop(spark.sparkContext.applicationId, []):
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+__all__ = ["release", "save", "shared_dir"]
