@@ -19,11 +19,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines go; a document of which nothing is left goes too, one that was empty before stays."""
+    """Later repeats of runs of words go; a document of which nothing is left goes too, one that was empty before stays."""
     release(spark)
     cut = line_dedup.dedup_lines(docs)
-    cut = cut.where((F.col("cut_lines") == 0) | (F.trim("text") != ""))
-    return cut.withColumn("n_chars", F.when(F.col("cut_lines") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    cut = cut.where((F.col("cut_words") == 0) | (F.trim("text") != ""))
+    return cut.withColumn("n_chars", F.when(F.col("cut_words") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     release(spark)
     found = neardup.near_duplicates(docs)
     kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    return docs.join(kept.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     release(spark)
     judged = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = save(judged.where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(bad.select(F.col("doc_id").alias("_bad")), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad.select(F.col("doc_id").alias("_bad")).hint("merge"), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

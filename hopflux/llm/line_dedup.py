@@ -1,160 +1,220 @@
 """Line dedup by winnowing over line hashes.
 
-A gram is the shortest run of whole lines, from a given line on, with at least ``noise`` words; a window is the shortest such
-run with at least ``guarantee`` words.  Of the grams inside each window, the one with the smallest hash is selected (the
-rightmost of equals).  Two runs of equal lines with ``guarantee`` words or more contain an equal window and so an equal
-selected gram: no such repeat can be missed.  Shorter repeats may be found, but never ones under ``noise`` words.
+Lines of prose hold whole paragraphs, and a repeated passage may begin inside one.  So a line here is a piece of a physical
+line: pieces end at line ends, after words that end a sentence, and after words that a hash picks (one in ``RATE``), which makes
+the cuts depend on the words alone; one that runs on without such a word is cut every ``LONGEST`` words.  A piece is known by
+the hash of its words.
+
+A gram is the shortest run of whole pieces, from a given one on, with at least ``noise`` words; a window is the shortest such run with
+at least ``window`` words.  Of the grams in each window the one with the smallest hash is selected (the rightmost of
+equals).  Two equal runs that hold a whole window hold the same selected gram: no such repeat can be missed, and no repeat under
+``noise`` words is looked at.
 
 Selected grams are joined with the first place (by doc_id, then position) where the same gram was selected.  Each match is
-extended line by line both ways, and the later run is deleted.  A deleted line always still stands in an earlier place.
+extended word by word both ways, and the later run is deleted if it has ``least`` words or more.  What is deleted still
+stands in an earlier place.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopflux.llm.text import column_bytes, mix
+from hopflux.llm.text import column_bytes, hashes, mix
 from hopflux.llm.work import save
 
-_MUL = np.uint64(0x9E3779B97F4A7C15)
-_LINES = "kid long, th long, lines array<long>, at array<int>, grams array<struct<h:long,pos:int>>"
-
-
-def _ends(total: np.ndarray, words: int) -> np.ndarray:
-    """For each line the last line of the shortest run from it with ``words`` words; the number of lines if there is none."""
-    return np.searchsorted(total, total[:-1] + words) - 1 if len(total) > 1 else np.empty(0, np.int64)
-
-
-def winnow(lines: np.ndarray, words: np.ndarray, noise: int, guarantee: int) -> list[tuple[int, int]]:
-    """Selected (gram hash, position) pairs of a text's line hashes and word counts."""
-    n = len(lines)
-    total = np.concatenate([[0], np.cumsum(words)])
-    gram_end, window_end = np.minimum(_ends(total, noise), n), np.minimum(_ends(total, guarantee), n)
-    grams = []
-    for i in range(int(np.searchsorted(gram_end, n))):
-        h = np.uint64(7)
-        for x in lines[i : gram_end[i] + 1].view(np.uint64):
-            h = mix(h * _MUL + x)
-        grams.append(int(h.view(np.int64)))
-    picked, best = {}, -1
-    for i in range(int(np.searchsorted(window_end, n))):
-        stop = int(np.searchsorted(gram_end, window_end[i], side="right"))  # grams that end inside the window
-        if best < i:
-            fresh, best = i, i
-        while fresh < stop:
-            if grams[fresh] <= grams[best]:
-                best = fresh
-            fresh += 1
-        picked[best] = grams[best]
-        if best == i:  # it leaves the window: look again at the rest
-            best, fresh = i + 1, i + 1
-            while fresh < stop:
-                if grams[fresh] <= grams[best]:
-                    best = fresh
-                fresh += 1
-    return [(h, p) for p, h in sorted(picked.items())]
-
-
-def _read(noise: int, guarantee: int):
-    schema = pa.schema([("kid", pa.int64()), ("th", pa.int64()), ("lines", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("grams", pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32())])))])
+#: A piece ends after one word in so many, by their hash, and has at most so many words.
+RATE = 16
+LONGEST = 24
+_BASE = 0x9E3779B97F4A7C15
+_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+_ENDS = (b".", b"!", b"?")
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64."""
+    inverse = pow(_BASE, -1, 1 << 64)
+    with np.errstate(over="ignore"):
+        return tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, b, np.uint64), dtype=np.uint64)]) for b in (_BASE, inverse))
+
+
+class Pieces:
+    """Word hashes of a text and where its pieces begin and end (word numbers, ends exclusive)."""
+
+    def __init__(self, text: bytes):
+        lines = [line.split() for line in text.split(b"\n")]
+        words = [w for line in lines for w in line]
+        self.hash = hashes(words)
+        n = len(words)
+        stop = np.zeros(n, bool)
+        stop[np.cumsum([len(x) for x in lines if x], dtype=np.int64) - 1] = True
+        stop |= np.fromiter((w.endswith(_ENDS) for w in words), bool, n)
+        stop |= mix(self.hash) % np.uint64(RATE) == 0
+        end = np.flatnonzero(stop) + 1
+        start = np.concatenate([[0], end[:-1]]).astype(np.int64)
+        for a, b in zip(start[end - start > LONGEST], end[end - start > LONGEST], strict=True):
+            stop[a + LONGEST - 1 : b : LONGEST] = True
+        self.end = np.flatnonzero(stop) + 1
+        self.start = np.concatenate([[0], self.end[:-1]]).astype(np.int64)
+
+
+def winnow(pieces: Pieces, noise: int, window: int) -> list[tuple[int, int]]:
+    """Selected (gram hash, number of its first word) pairs of a text."""
+    start, end, n = pieces.start, pieces.end, len(pieces.end)
+    # the last piece of the gram and of the window that begin at each piece; n where the text is too short
+    gram, wide = np.searchsorted(end, start + noise), np.searchsorted(end, start + window)
+    grams, windows = int(np.searchsorted(gram, n)), int(np.searchsorted(wide, n))
+    if not windows:
+        return []
+    up, down = _powers(len(pieces.hash) + 1)
+    with np.errstate(over="ignore"):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(pieces.hash * up[: len(pieces.hash)], dtype=np.uint64)])
+        s, e = start[:grams], end[gram[:grams]]
+        h = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)).view(np.int64)
+    stop = np.searchsorted(gram[:grams], wide[:windows], side="right")  # grams before it end inside the window
+    at = np.arange(windows)
+    best = at.copy()
+    for ahead in range(1, int((stop - at).max())):
+        other = np.minimum(at + ahead, grams - 1)
+        better = (at + ahead < stop) & (h[other] <= h[best])
+        best[better] = other[better]
+    return [(int(h[i]), int(start[i])) for i in np.unique(best)]
+
+
+def _fingerprints(noise: int, window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, kid, tp = [], [], []
+            for k, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), column_bytes(batch.column(2)), strict=True):
+                for gram, pos in winnow(Pieces(text), noise, window):
+                    h.append(gram)
+                    kid.append(k)
+                    tp.append(t << 32 | pos)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (h, kid, tp)], ["h", "kid", "tp"])
+
+    return run
+
+
+def later_runs(own: np.ndarray, first: np.ndarray, same: bool, matches: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """Word spans of ``own`` (ends exclusive) to which the matches (own position, first position) extend."""
+    spans, done = [], {}
+    for p, q in sorted(matches):
+        if done.get(p - q, -1) >= p:
+            continue  # inside a run that this diagonal has given already
+        n = min(len(own) - p, len(first) - q)
+        differ = np.flatnonzero(own[p : p + n] != first[q : q + n])
+        end = p + (int(differ[0]) if len(differ) else n)
+        n = min(p, q)
+        differ = np.flatnonzero(own[p - n : p] != first[q - n : q])
+        start = p - n + (int(differ[-1]) + 1 if len(differ) else 0)
+        done[p - q] = end - 1
+        if end - start >= least:
+            spans.append((start, end))
+    return spans
+
+
+def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
+
+
+def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without these words; a span that begins a line takes the white space after it, another one that before it."""
+    place = [m.span() for m in _WORD.finditer(text)]
+    out, at = [], 0
+    for s, e in spans:
+        low = place[s][0]
+        opens = text.rfind(b"\n", 0, low) >= (place[s - 1][1] if s else -1)
+        if opens:
+            out.append(text[at:low])
+            at = place[e][0] if e < len(place) else len(text)
+        else:
+            out.append(text[at : place[s - 1][1]])
+            at = place[e - 1][1]
+    out.append(text[at:])
+    return b"".join(out)
+
+
+def _rewrite(columns: list[str], text_col: str, least: int):
+    """Rows come grouped by document: those of first places (kind 0, with their text and matches), then its own (kind 1)."""
+    spans_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, firsts = None, []
         for batch in batches:
-            rows = []
-            for kid, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), column_bytes(batch.column(2)), strict=True):
-                split = [(i, x) for i, line in enumerate(text.split(b"\n")) if (x := line.split())]
-                words = np.array([len(x) for _, x in split], np.int64)
-                if words.sum() < guarantee:
+            name = {c: i for i, c in enumerate(batch.schema.names)}
+            get = lambda c: batch.column(name[c]).to_pylist()  # noqa: E731, B023
+            texts, keep, new, cuts = column_bytes(batch.column(name[text_col])), [], [], []
+            for i, (k, t, kind, same, matches) in enumerate(zip(get("_kid"), get("_t"), get("_kind"), get("_same"), get("_matches"), strict=True)):
+                if (k, t) != now:
+                    now, firsts = (k, t), []
+                if kind == 0:
+                    firsts.append((same, hashes((texts[i] or b"").split()), [(m["p"], m["q"]) for m in matches]))
                     continue
-                lines = np.array([xxhash.xxh3_64_intdigest(b" ".join(x)) for _, x in split], np.uint64).view(np.int64)
-                with np.errstate(over="ignore"):
-                    grams = winnow(lines, words, noise, guarantee)
-                rows.append((kid, th, lines, [i for i, _ in split], [{"h": h, "pos": p} for h, p in grams]))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+                own = hashes((texts[i] or b"").split())
+                spans = merge([s for same, first, m in firsts for s in later_runs(own, first, same, m, least)])
+                keep.append(i)
+                new.append(without(texts[i], spans) if spans else texts[i])
+                cuts.append(spans)
+            rows = batch.take(pa.array(keep, pa.int64()))
+            kind = batch.schema.field(text_col).type
+            out = [pa.array([x if x is None else x.decode() for x in new], kind) if c == text_col else rows.column(name[c]) for c in columns]
+            out += [pa.array([sum(e - s for s, e in x) for x in cuts], pa.int32()), pa.array([[{"s": s, "e": e} for s, e in x] for x in cuts], spans_type)]
+            yield pa.RecordBatch.from_arrays(out, [*columns, "cut_words", "cut_spans"])
 
     return run
 
 
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Later runs, as spans of line numbers of the text, of one row per pair of documents."""
-    for batch in batches:
-        out = []
-        same, lines, at, first, matches = (batch.column(batch.schema.get_field_index(c)) for c in ("same", "lines", "at", "first", "matches"))
-        for r in range(batch.num_rows):
-            x, place = lines[r].values.to_numpy(zero_copy_only=False), at[r].values.to_numpy(zero_copy_only=False)
-            y = x if same[r].as_py() else first[r].values.to_numpy(zero_copy_only=False)
-            spans, done = [], {}
-            for m in sorted(matches[r].as_py(), key=lambda m: m["p"]):
-                p, q = m["p"], m["q"]
-                if done.get(p - q, -1) >= p:
-                    continue  # inside a run that this diagonal has given already
-                n = min(len(x) - p, len(y) - q)
-                differ = np.flatnonzero(x[p : p + n] != y[q : q + n])
-                end = p + (int(differ[0]) if len(differ) else n) - 1
-                n = min(p, q)
-                differ = np.flatnonzero(x[p - n : p] != y[q - n : q])
-                start = p - n + (int(differ[-1]) + 1 if len(differ) else 0)
-                done[p - q] = end
-                if end >= p:
-                    spans.append({"s": int(place[start]), "e": int(place[end])})
-            out.append(spans)
-        span = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, span)], ["kid", "th", "spans"])
+def _keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """A document's place in the order: its id, nulls last, then 31 bits of a hash of its text."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), F.shiftrightunsigned(F.xxhash64(text), 33)
 
 
-def _keys(id_col: str, text_col: str) -> tuple[Column, Column]:
-    """A document's place in the order: its id, nulls last, then a hash of its text."""
-    return F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-
-
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", noise: int = 25, guarantee: int = 50) -> DataFrame:
-    """Runs to delete, one row per document that has any: kid, th (see ``_keys``), spans (inclusive line numbers from 0)."""
-    kid, th = _keys(id_col, text_col)
-    rows = docs.select(kid.alias("kid"), th.alias("th"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    read = save(rows.mapInArrow(_read(noise, guarantee), _LINES).dropDuplicates(["kid", "th"]), "lines")
-    places = read.select("kid", "th", F.inline("grams")).select("h", F.struct("kid", "th", "pos").alias("own"))
-    first = save(places.groupBy("h").agg(F.min("own").alias("f"), F.count("*").alias("c")).where("c > 1").drop("c"), "first")
-    pairs = (
-        places.join(first, "h").where("own > f")
-        .select("own.kid", "own.th", F.col("f.kid").alias("fk"), F.col("f.th").alias("ft"), F.struct(F.col("own.pos").alias("p"), F.col("f.pos").alias("q")).alias("m"))
-        .groupBy("kid", "th", "fk", "ft").agg(F.collect_set("m").alias("matches"))
-        .withColumn("same", F.expr("kid = fk and th = ft"))
-    )
-    earlier = read.select(F.col("kid").alias("fk"), F.col("th").alias("ft"), F.col("lines").alias("first"))
-    joined = save(pairs, "pairs").join(earlier, ["fk", "ft"]).join(read.select("kid", "th", "lines", "at"), ["kid", "th"])
-    spans = joined.select("kid", "th", "same", "lines", "at", "first", "matches").mapInArrow(_extend, "kid long, th long, spans array<struct<s:int,e:int>>")
-    return spans.groupBy("kid", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", noise: int = 25, guarantee: int = 50) -> DataFrame:
-    """``docs`` with later repeats deleted from the text column, plus ``cut_lines`` (how many) and ``cut_spans``.
-
-    Every run of lines with ``guarantee`` words or more that stands earlier (in a document with a smaller id, or further up
-    in the same one) is deleted; runs of fewer than ``noise`` words never are.  Lines are compared by their words.
+def repeated_places(docs: DataFrame, id_col: str, text_col: str, noise: int, window: int) -> DataFrame:
+    """Pairs of a document and an earlier one (or itself): _kid, _t, fk, ft, _matches of word numbers (p, q), _same."""
+    kid, t = _keys(id_col, text_col)
+    rows = docs.select(kid.alias("kid"), t.alias("t"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    places = save(rows.mapInArrow(_fingerprints(noise, window), "h long, kid long, tp long"), "fingerprints")
+    first = places.groupBy("h").agg(F.min(F.struct("kid", "tp")).alias("f"), F.count("*").alias("c")).where("c > 1").drop("c")
+    found = places.join(save(first, "first").hint("merge"), "h").where(F.struct("kid", "tp") > F.col("f"))
+    doc, pos = lambda c: F.shiftright(c, 32), lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int")
+    pairs = found.select(F.col("kid").alias("_kid"), doc(F.col("tp")).alias("_t"), F.col("f.kid").alias("fk"), doc(F.col("f.tp")).alias("ft"), F.struct(pos(F.col("tp")).alias("p"), pos(F.col("f.tp")).alias("q")).alias("m"))
+    return pairs.groupBy("_kid", "_t", "fk", "ft").agg(F.collect_set("m").alias("_matches")).withColumn("_same", F.expr("_kid = fk and _t = ft"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", noise: int = 12, window: int = 24, least: int = 40) -> DataFrame:
+    """``docs`` with later repeats deleted from the text column, plus ``cut_words`` (how many) and ``cut_spans`` (of words, ends exclusive).
+
+    Every run of equal words that stands earlier (in a document with a smaller id, or further up in the same one), holds a whole
+    window and has ``least`` words or more is deleted.
 
     Null text stays null and empty text empty.  A null id comes last in the order.  Rows alike in id and text are one document
-    to this operator: all of them keep or lose the same lines.  An empty table gives an empty result.  All columns of
-    ``docs`` stay; ``cut_lines`` and ``cut_spans`` replace columns of those names.
+    to this operator: all of them keep or lose the same words.  An empty table gives an empty result.  All columns of
+    ``docs`` stay; ``cut_words`` and ``cut_spans`` replace columns of those names.
     """
-    kid, th = _keys(id_col, text_col)
-    cut = save(repeated_runs(docs, id_col, text_col, noise, guarantee), "spans").select(F.col("kid").alias("_kid"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda line, i: ~F.exists("_spans", lambda c: i.between(c["s"], c["e"])))
-    size = F.size(F.split(F.col(text_col), "\n", -1))
-    plain = docs.drop("cut_lines", "cut_spans").withColumns({"_kid": kid, "_th": th})
-    return (
-        plain.join(cut.hint("merge"), ["_kid", "_th"], "left")  # the spans grow with the documents: one plan at every size
-        .withColumns({"_kept": F.when(F.col("_spans").isNotNull(), kept)})
-        .withColumns({
-            "cut_lines": F.when(F.col("_kept").isNull(), 0).otherwise(size - F.size("_kept")),
-            text_col: F.when(F.col("_kept").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n")),
-            "cut_spans": F.coalesce("_spans", F.array().cast("array<struct<s:int,e:int>>")),
-        })
-        .select(*(c for c in docs.columns if c not in ("cut_lines", "cut_spans")), "cut_lines", "cut_spans")
-    )
+    kid, t = _keys(id_col, text_col)
+    pairs = save(repeated_places(docs, id_col, text_col, noise, window), "pairs")
+    plain = docs.drop("cut_words", "cut_spans")
+    columns, key = plain.columns, ["_kid", "_t"]
+    rows = plain.withColumns({"_kid": kid, "_t": t})
+    # the three joins take the same columns of the documents, so that these are shuffled once
+    touched = save(pairs.select(*key).distinct(), "touched").hint("merge")
+    clean = rows.join(touched, key, "left_anti").select(*columns, F.lit(0).alias("cut_words"), F.array().cast("array<struct<s:int,e:int>>").alias("cut_spans"))
+    empty = F.array().cast("array<struct<p:int,q:int>>")
+    own = rows.join(touched, key).select(*key, F.lit(1).alias("_kind"), F.lit(False).alias("_same"), empty.alias("_matches"), *columns)
+    named = pairs.select(F.col("fk").alias("_kid"), F.col("ft").alias("_t"), F.struct("_kid", "_t").alias("_to"), "_same", "_matches").hint("merge")
+    first = rows.join(named, key).select("_to._kid", "_to._t", F.lit(0).alias("_kind"), "_same", "_matches", *columns)
+    gathered = own.union(first).repartition(*key).sortWithinPartitions(*key, "_kind")
+    done = gathered.mapInArrow(_rewrite(columns, text_col, least), clean.schema)
+    return clean.union(done)

@@ -35,7 +35,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.array_join(F.transform("cut_spans", lambda s: F.concat_ws("-", s["s"].cast("string"), s["e"].cast("string"))), ",")
-    return done.select("doc_id", F.col("cut_lines").cast("long").alias("cut_lines"), spans.alias("cut_spans"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_crc32"))
+    return done.select("doc_id", F.col("cut_words").cast("long").alias("cut_words"), spans.alias("cut_spans"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_crc32"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

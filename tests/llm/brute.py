@@ -127,21 +127,14 @@ def edits(docs):
     return out
 
 
-def repeated_left(texts, guarantee=50):
-    """Pairs of places in which the same lines with ``guarantee`` words or more stand, over (key, text) rows."""
-    seen, found = {}, []
+def repeated_left(texts, size=50, overlap=False):
+    """Keys of texts with ``size`` words in a row that stand earlier, in another text or (with or without overlap) in the same one."""
+    seen, found = {}, set()
     for key, text in texts:
-        lines = [" ".join(x.split()) for x in (text or "").split("\n") if x.strip()]
-        words = [len(x.split()) for x in lines]
-        for i in range(len(lines)):
-            n, j = 0, i
-            while j < len(lines) and n < guarantee:
-                n += words[j]
-                j += 1
-            if n >= guarantee:
-                run = tuple(lines[i:j])
-                if run in seen:
-                    found.append((key, i, seen[run]))
-                else:
-                    seen[run] = (key, i)
+        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        for i in range(len(w) - size + 1):
+            run = tuple(w[i : i + size])
+            k, at = seen.setdefault(run, (key, i))
+            if k != key or i >= at + (1 if overlap else size):
+                found.add(key)
     return found

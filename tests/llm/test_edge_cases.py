@@ -13,7 +13,7 @@ from hopflux.llm.queries import tokenizer_path
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, kept boolean, a long, b long, v long, component long, th long, kid long, id long, term long, pos int, word string, score double, shard int, chunk int"
-LONG = " ".join(f"w{i % 997}x{i % 13}" for i in range(60_000))
+LONG = " ".join(f"w{i % 997}x{i % 1009}" for i in range(30_000))
 NOTE = "The Apache License and the MIT-License, apache license.\n# SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0\n"
 TEXTS = [(1, None), (2, ""), (3, " \t\n "), (4, "one two"), (5, "One  TWO"), (6, "é É ÀÉ a"), (7, LONG), (8, LONG), (8, LONG), (None, "one two"), (None, None), (9, NOTE), (10, "line one\n\nline two\n")]
 EMPTY: list = []
@@ -57,7 +57,7 @@ def rows_of(df, *columns):
 
 def test_near_duplicates_of_odd_rows(spark):
     got = rows_of(neardup.near_duplicates(frame(spark, TEXTS)), "doc_id", "n_shingles", "component_id", "kept")
-    n = len({tuple(brute.space_words(LONG)[i : i + 5]) for i in range(60_000 - 4)})
+    n = len({tuple(brute.space_words(LONG)[i : i + 5]) for i in range(30_000 - 4)})
     want = [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (7, n, 7, True), (8, n, 7, False), (8, n, 7, False), (None, 1, 4, False), (None, 0, None, True)]
     assert [r for r in got if r[0] not in (6, 9, 10)] == sorted(want, key=str)
 
@@ -131,20 +131,35 @@ def test_license_labels_and_expressions(spark):
         assert licenses.scan_text(text.encode(), automaton)[:5] == brute.licenses(text)
 
 
-def test_winnowing_finds_every_long_repeat(spark):
+def test_passages_inside_lines_are_found(spark):
+    """Passages that begin and end inside lines of differing length, in chains and within one text."""
     rng = random.Random(4)
-    lines = [" ".join(f"v{rng.randrange(9)}" for _ in range(rng.choice([1, 3, 8, 20, 60]))) for _ in range(60)]
-    docs = [(i, "\n".join(rng.choice(lines + ["", " "]) for _ in range(rng.randint(1, 30)))) for i in range(80)]
-    docs += [(80, docs[3][1]), (81, "\n".join([lines[0]] * 40))]
-    after = [(r[0], r[1]) for r in line_dedup.dedup_lines(frame(spark, docs)).select("doc_id", "text").collect()]
-    assert brute.repeated_left(docs) and not brute.repeated_left(sorted(after))
-    left = {" ".join(x.split()) for _, t in after for x in t.split("\n")}
-    assert {" ".join(x.split()) for _, t in docs for x in t.split("\n")} - {""} <= left
+    word = lambda: f"v{rng.randrange(5000)}" + "." * (rng.random() < 0.1)
+    passages = [" ".join(word() for _ in range(rng.choice([55, 70, 200]))) for _ in range(8)]
+    docs = []
+    for i in range(90):
+        parts = [" ".join(word() for _ in range(rng.randint(1, 60))) for _ in range(rng.randint(1, 5))]
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            parts.insert(rng.randint(0, len(parts)), rng.choice(passages))
+        docs.append((i, "".join(x + rng.choice([" ", "\n", "\n\n"]) for x in parts)))
+    docs += [(90, docs[3][1]), (91, "\n".join([passages[0]] * 5)), (92, "so " * 300), (93, "and so " * 200)]
+    after = sorted((r[0], r[1]) for r in line_dedup.dedup_lines(frame(spark, docs)).select("doc_id", "text").collect())
+    assert brute.repeated_left(docs) and not brute.repeated_left(after)
+    assert {x for _, t in docs for x in t.split()} == {x for _, t in after for x in t.split()}
+    had = brute.repeated_left(docs, 40, overlap=True)
+    assert all(a == b for (i, a), (_, b) in zip(docs, after) if i not in had)
+
+
+def test_cutting_words_keeps_the_lines_around():
+    text = b"a b\nc d e\n\nf g\nh"
+    for spans, want in (([(2, 5)], b"a b\nf g\nh"), ([(3, 5)], b"a b\nc\n\nf g\nh"), ([(0, 2)], b"c d e\n\nf g\nh"), ([(7, 8)], b"a b\nc d e\n\nf g\n"), ([(0, 8)], b""), ([(1, 3)], b"a d e\n\nf g\nh"), ([(0, 1), (4, 6)], b"b\nc d g\nh")):
+        assert line_dedup.without(text, spans) == want
+    assert line_dedup.merge([(5, 9), (1, 2), (8, 10), (2, 3)]) == [(1, 3), (5, 10)]
 
 
 def test_line_dedup_keeps_columns_and_clean_texts(spark):
     got = line_dedup.dedup_lines(frame(spark, TEXTS))
-    assert got.columns == [*frame(spark, []).columns, "cut_lines", "cut_spans"]
+    assert got.columns == [*frame(spark, []).columns, "cut_words", "cut_spans"]
     texts = {r["doc_id"]: r["text"] for r in got.where("doc_id is not null and doc_id <> 8").collect()}
     assert texts == {i: t for i, t in TEXTS if i not in (None, 8)}
 
