@@ -2,7 +2,7 @@
 
     logit(x) = w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j
 
-Terms are lower-cased words hashed into 2**bits slots, x_i is 1 if a slot occurs in the text.  The factors let two terms count
+Terms are lower-cased words and their stems (first bytes), hashed into 2**bits slots; x_i is 1 if a slot occurs in the text.  The factors let two terms count
 together that mean little alone, such as an insult and the mention of a group.  Slots whose presence tells nothing about the
 label (likelihood ratio under ``least_g``) are left out, which keeps the pair terms of long texts quiet.
 
@@ -12,7 +12,7 @@ of a hash of their id.  Scoring reads every text whole, and the model is a few t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 
 from hopflux.llm.text import alnum_words, column_bytes, hashes
 
+#: Lengths in bytes of the stems that count as terms beside whole words, so that unseen forms of a known word are caught.
+STEMS = (4, 5)
+
 
 @dataclass
 class Model:
@@ -45,8 +48,15 @@ def is_held_out(id_col: Column, modulus: int = 4, remainder: int = 2) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
+def _slots(text: bytes | None, bits: int) -> np.ndarray:
+    """Slots of all terms of a text, repeats included: words, and what longer words begin with."""
+    words = set(alnum_words(text))
+    terms = [*words, *{w[:n] + b"*" for w in words for n in STEMS if len(w) > n}]
+    return (hashes(terms) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def _terms(text: bytes | None, bits: int) -> np.ndarray:
-    return np.unique((hashes(alnum_words(text)) >> np.uint64(64 - bits)).astype(np.int64))
+    return np.unique(_slots(text, bits))
 
 
 def _features(bits: int):
@@ -58,11 +68,19 @@ def _features(bits: int):
     return run
 
 
-def train(y: np.ndarray, owner: np.ndarray, terms: np.ndarray, bits: int, rank: int, least_g: float, rounds: int, seed: int = 7) -> Model:
-    """Adam on the logistic loss over all rows at once; owner and terms list the slots of each row."""
+def train(y: np.ndarray, docs: Sequence[np.ndarray], bits: int, rank: int, least_g: float, rounds: int, seed: int = 7) -> Model:
+    """Adam on the logistic loss over all documents at once; ``docs`` has the distinct slots of each.
+
+    Slots are counted and chosen document by document, so only the chosen ones are ever held as one array.
+    """
     rows, eps = len(y), 1e-9
-    slots, at = np.unique(terms, return_inverse=True) if len(terms) else (np.empty(0, np.int64), np.empty(0, np.int64))
-    pos, n = np.bincount(at, y[owner], len(slots)), np.bincount(at, minlength=len(slots)).astype(float)
+    n, pos = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
+    for label, terms in zip(y, docs, strict=True):
+        n[terms] += 1
+        if label > 0.5:
+            pos[terms] += 1
+    slots = np.flatnonzero(n >= 3)
+    n, pos = n[slots].astype(float), pos[slots].astype(float)
     rate = y.mean() if rows else 0.5
     rate = min(max(rate, 1e-3), 1 - 1e-3)
 
@@ -70,21 +88,21 @@ def train(y: np.ndarray, owner: np.ndarray, terms: np.ndarray, bits: int, rank:
         k0 = n - k
         return 2 * (k * np.log((k + eps) / (n * p + eps)) + k0 * np.log((k0 + eps) / (n * (1 - p) + eps)))
 
-    p1, rest = y.sum(), rows
     with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = g(pos, n, rate) + g(p1 - pos, rest - n, rate)
-    keep = np.flatnonzero((ratio >= least_g) & (n >= 3))
-    new = np.full(len(slots), -1)
-    new[keep] = np.arange(len(keep))
-    mask = new[at] >= 0 if len(at) else np.empty(0, bool)
-    owner, at = owner[mask], new[at][mask]
-    m = len(keep)
+        ratio = g(pos, n, rate) + g((y > 0.5).sum() - pos, rows - n, rate)
+    slots = slots[ratio >= least_g]
+    m = len(slots)
+    place = np.full(1 << bits, -1, np.int32)
+    place[slots] = np.arange(m)
+    found = [x[x >= 0] for x in (place[terms] for terms in docs)]
+    owner, at = np.repeat(np.arange(rows), [len(x) for x in found]), np.concatenate([np.empty(0, np.int32), *found])
+    del place, n, pos, ratio, found
     rng = np.random.default_rng(seed)
     theta = [np.array([np.log(rate / (1 - rate))]), np.zeros(m), rng.normal(0, 0.03, (m, rank))]
     first, second = ([np.zeros_like(x) for x in theta] for _ in range(2))
     shrink, step = (0.0, 3e-5, 3e-4), 0.05
     for t in range(1, rounds + 1 if rows and m else 1):
-        model = Model(bits, slots[keep], float(theta[0][0]), theta[1], theta[2])
+        model = Model(bits, slots, float(theta[0][0]), theta[1], theta[2])
         p = 1 / (1 + np.exp(-model.logits(owner, at, rows)))
         err = (p - y) / rows
         gw = np.bincount(at, err[owner], m)
@@ -98,10 +116,10 @@ def train(y: np.ndarray, owner: np.ndarray, terms: np.ndarray, bits: int, rank:
             first[i] = 0.9 * first[i] + 0.1 * grad
             second[i] = 0.999 * second[i] + 0.001 * grad**2
             theta[i] = theta[i] - step * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
-    return Model(bits, slots[keep].astype(np.int64), float(theta[0][0]), theta[1], theta[2])
+    return Model(bits, slots.astype(np.int64), float(theta[0][0]), theta[1], theta[2])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: Column | None = None, sample: int = 20_000, bits: int = 22, rank: int = 4, least_g: float = 12.0, rounds: int = 200) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: Column | None = None, sample: int = 20_000, bits: int = 22, rank: int = 4, least_g: float = 12.0, rounds: int = 300) -> Model:
     """Fit on at most ``sample`` labelled documents that are not held out (see :func:`is_held_out`).
 
     A document with several labels has the largest; null labels and ids are left out, as are labels without a document.
@@ -113,10 +131,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")  # at most ``sample`` pairs of numbers
     got = rows.mapInArrow(_features(bits), "doc_id long, label double, terms binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    terms = [np.frombuffer(x, "<i4").astype(np.int64) for x in got.column("terms").to_pylist()]
-    y = got.column("label").to_numpy().astype(float)
-    owner = np.repeat(np.arange(len(terms)), [len(x) for x in terms]) if terms else np.empty(0, np.int64)
-    return train(y, owner, np.concatenate(terms) if terms else np.empty(0, np.int64), bits, rank, least_g, rounds)
+    column = got.column("terms").combine_chunks()
+    terms = [np.frombuffer(column[i].as_buffer(), "<i4") for i in range(len(column))]
+    return train(got.column("label").to_numpy().astype(float), terms, bits, rank, least_g, rounds)
 
 
 def _scores(model: Model):
@@ -126,7 +143,7 @@ def _scores(model: Model):
         for batch in batches:
             owner, at = [], []
             for i, text in enumerate(column_bytes(batch.column(1))):
-                found = place[(hashes(alnum_words(text)) >> np.uint64(64 - model.bits)).astype(np.int64)]
+                found = place[_slots(text, model.bits)]
                 found = np.unique(found[found >= 0])
                 owner.append(np.full(len(found), i))
                 at.append(found)

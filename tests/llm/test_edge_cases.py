@@ -278,7 +278,7 @@ def test_pipeline_stages(spark, tmp_path):
     word = lambda: f"m{rng.randrange(3000)}"
     passage = " ".join(word() for _ in range(60))
     item = " ".join(word() for _ in range(30))
-    base = [word() for _ in range(200)]
+    base = [word() for _ in range(36)]  # too short for line dedup
     docs = [(i, "\n".join(" ".join(word() for _ in range(12)) for _ in range(6))) for i in range(200)]
     docs += [(i, t + "\nfoul foul vile") for i, t in ((i, " ".join(word() for _ in range(50))) for i in range(200, 260))]
     docs += [(300, f"start here\n{passage}\nend here"), (301, f"other text\n{passage}\nmore words")]
