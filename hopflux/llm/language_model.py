@@ -6,7 +6,7 @@ that followed it and one failure arc to the state of the context without its fir
     arc      P(x | h) = (c(h x) + kappa * P(x | h')) / (c(h) + kappa)
     failure  kappa / (c(h) + kappa)
 
-which is Dirichlet smoothing; over all words and one unknown word, the probabilities of a state sum to one.  The lowest
+which is Dirichlet smoothing with a ``kappa`` for each length of context; over all words and one unknown word, the probabilities of a state sum to one.  The lowest
 state discounts every count by ``discount`` and gives what that frees to the unknown word.  A text is read once from left to
 right; at each token the state is the longest known context, and log-probabilities are added up.
 
@@ -34,6 +34,8 @@ _MUL = np.uint64(0xD6E8FEB86659FD93)
 #: Bits of an n-gram's hash that are kept: 63 for single words, whose counts are part of the contract, 50 for longer ones.
 _BITS = {1: 63}
 _LONGER = 50
+#: Weights of the shorter context for contexts of one word and of two.
+KAPPAS = (500.0, 8.0)
 _COUNTS = "bucket int, n int, chunk int, size long, keys binary, counts binary"
 
 
@@ -75,28 +77,17 @@ class _Chunk:
         self.tokens = np.concatenate(words)
         self.train = ~np.repeat(self.held, self.sizes)
         self.keys = {1: self.tokens >> np.uint64(1)}
-        self.contexts: dict[int, np.ndarray] = {}
         before, context = self.tokens, None
         for n in range(2, order + 1):
             before = np.roll(before, 1)
             before[self.starts] = _START  # further back than the start, the start again
             context = before if context is None else mix(before * _MUL + context)
-            self.contexts[n] = context
             self.keys[n] = mix(context * _MUL + self.tokens + np.uint64(n)) >> np.uint64(64 - _LONGER)
 
-    def context_keys(self, n: int) -> np.ndarray:
-        """Keys under which contexts of n - 1 words are counted."""
-        return mix(self.contexts[n] + np.uint64(977 * n)) >> np.uint64(64 - _LONGER)
-
     def counted(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Number of the kind, distinct sorted keys of the chunk, how often they stand in its training texts.
-
-        Kind n is the n-grams, kind -n the contexts of n-grams.
-        """
+        """Length of the n-grams, distinct sorted keys of the chunk, how often they stand in its training texts."""
         for n in self.keys:
             yield n, *self._tally(self.keys[n])
-            if n > 1:
-                yield -n, *self._tally(self.context_keys(n))
 
     def _tally(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         distinct, at = np.unique(keys, return_inverse=True)
@@ -134,14 +125,14 @@ def _add_up(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(chunk, pa.int32()), pa.array([b] * many, pa.int32()), pa.array([n] * many, pa.int32()), pa.array(size, pa.int64()), *(pa.array([s] * many, pa.int64()) for s in sums), pa.array(answers, pa.binary())], names)
 
 
-def _walk(order: int, kappa: float, discount: float):
+def _walk(kappas: tuple[float, ...], discount: float):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return pa.Table.from_arrays([pa.array([], k) for k in kinds], names)
-        chunk = _Chunk(texts, order)
+        chunk = _Chunk(texts, len(kappas) + 1)
         got: dict[int, list] = {}
         total = distinct = once = 0
         for b, n, t, d, o, c in zip(*(answers.column(x).to_pylist() for x in ("bucket", "n", "total", "distinct", "once", "counts")), strict=True):
@@ -159,8 +150,14 @@ def _walk(order: int, kappa: float, discount: float):
         # the lowest state: what the discount frees goes to the unknown word
         unknown = (discount * distinct + 1) / (total + 1)
         p = np.where(c > 0, (c - discount) / (total + 1), unknown)
-        for n in range(2, order + 1):
-            p = (counts(n, chunk.keys[n]) + kappa * p) / (counts(-n, chunk.context_keys(n)) + kappa)
+        # a context was followed as often as it stood: every word is followed by a word or the end
+        ends = c[chunk.tokens == _END]
+        shorter, at_start = c, ends[0] if len(ends) else 0.0
+        for n, kappa in enumerate(kappas, 2):
+            context = np.roll(shorter, 1)
+            context[chunk.starts] = at_start
+            shorter = counts(n, chunk.keys[n])
+            p = (shorter + kappa * p) / (context + kappa)
         add = lambda x: np.add.reduceat(x, chunk.starts)
         out = [chunk.ids.combine_chunks(), chunk.held, chunk.sizes, add((c > 0).astype(np.int64)), np.full(len(chunk.sizes), total), add(base), add(np.log10(p))]
         return pa.Table.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
@@ -168,11 +165,11 @@ def _walk(order: int, kappa: float, discount: float):
     return run
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, order: int = 2, kappa: float = 8.0, discount: float = 0.5, chunk_bytes: int = 8 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, kappas: tuple[float, ...] = KAPPAS, discount: float = 0.5, chunk_bytes: int = 8 << 20) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
 
     Documents for which ``held_out`` (a column of ``docs``; by default :func:`is_held_out`) is false are learned from.
-    ``chunk_bytes`` is the text dealt to one chunk; a chunk's tokens must fit a Python worker.
+    The longest n-grams have one word more than ``kappas`` has numbers.  ``chunk_bytes`` is the text dealt to one chunk; a chunk's tokens must fit a Python worker.
 
     Null or empty text: the end token alone.  Repeated rows each count and each get a row.  A null id is dealt and judged
     as the empty text and its row has a null doc_id.  Without any training text all counts are 0 and scores stay finite.
@@ -183,7 +180,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chunks = max(8, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // chunk_bytes))
     deal = F.pmod(F.xxhash64("doc_id", F.lit("chunk"), F.md5(F.substring("text", 1, 256))), F.lit(chunks)).cast("int")
     dealt = rows.withColumn("chunk", deal).repartition(chunks, "chunk")
-    counts = dealt.groupBy("chunk").applyInArrow(_count(order, chunks), _COUNTS)
+    counts = dealt.groupBy("chunk").applyInArrow(_count(len(kappas) + 1, chunks), _COUNTS)
     answers = counts.groupBy("bucket", "n").applyInArrow(_add_up, "chunk int, bucket int, n int, size long, total long, distinct long, once long, counts binary")
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_walk(order, kappa, discount), out)
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_walk(tuple(kappas), discount), out)

@@ -84,20 +84,27 @@ def base_scores(docs):
     return {i: (held[i], len(w), sum(counts[x] > 0 for x in w), total, sum(p(counts[x]) for x in w)) for i, w in tokens.items()}
 
 
-def bigram_scores(docs, kappa=8.0, discount=0.5):
-    """The automaton of order two, walked token by token."""
+def automaton_scores(docs, kappas, discount=0.5):
+    """The automaton, walked token by token."""
     tokens = {i: [*space_words(t), "\0end"] for i, t in docs}
     train = [w for i, w in tokens.items() if crc(str(i)) % 5 != 1]
-    one = Counter(x for w in train for x in w)
-    two = Counter(p for w in train for p in zip(["\0start", *w], w))
-    context = Counter(x for w in train for x in ["\0start", *w[:-1]])
-    total, distinct = sum(one.values()), len(one)
-
-    def arc(h, x):
-        p = (one[x] - discount) / (total + 1) if one[x] else (discount * distinct + 1) / (total + 1)
-        return (two[h, x] + kappa * p) / (context[h] + kappa)
-
-    return {i: sum(math.log10(arc(h, x)) for h, x in zip(["\0start", *w], w)) for i, w in tokens.items()}
+    order = len(kappas) + 1
+    full = lambda w: ["\0start"] * (order - 1) + w
+    grams, contexts = Counter(), Counter()
+    for w in map(full, train):
+        for i in range(order - 1, len(w)):
+            for n in range(order):
+                grams[tuple(w[i - n : i + 1])] += 1
+                contexts[tuple(w[i - n : i])] += 1
+    total, distinct = contexts[()], sum(len(g) == 1 for g in grams)
+
+    def p(context, x):
+        if not context:
+            return (grams[x,] - discount) / (total + 1) if grams[x,] else (discount * distinct + 1) / (total + 1)
+        kappa = kappas[len(context) - 1]
+        return (grams[*context, x] + kappa * p(context[1:], x)) / (contexts[context] + kappa)
+
+    return {i: sum(math.log10(p(tuple(full(w)[j : j + order - 1]), x)) for j, x in enumerate(w)) for i, w in tokens.items()}
 
 
 def licenses(text):

@@ -7,7 +7,7 @@ import zlib
 
 import pytest
 
-from hopflux.llm import packing, sharding
+from hopflux.llm import language_model, packing, sharding
 from hopflux.llm.queries import QUERIES, tokenizer_path
 from tests.llm import brute
 
@@ -138,7 +138,7 @@ def test_decontamination(spark, tables):
 
 def test_language_model(spark, tables):
     got = {r["doc_id"]: r for r in run(spark, "op10_lm_scoring")}
-    base, score = brute.base_scores(tables["documents"]), brute.bigram_scores(tables["documents"])
+    base, score = brute.base_scores(tables["documents"]), brute.automaton_scores(tables["documents"], language_model.KAPPAS)
     assert len(got) == len(base)
     for i, want in base.items():
         r = got[i]

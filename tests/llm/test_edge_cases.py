@@ -241,13 +241,14 @@ def test_proximity_matches(spark):
 
 
 def test_language_model_orders(spark):
-    docs = [(i, f"a b c d{i % 3}") for i in range(30)]
-    short = {r["doc_id"]: r["score"] for r in language_model.score_texts(frame(spark, docs), order=1).collect()}
-    long = {r["doc_id"]: r["score"] for r in language_model.score_texts(frame(spark, docs), order=3).collect()}
-    want = brute.bigram_scores(docs)
-    two = {r["doc_id"]: r["score"] for r in language_model.score_texts(frame(spark, docs)).collect()}
-    assert all(math.isclose(two[i], want[i], rel_tol=1e-9) for i in want)
-    assert sum(short.values()) < sum(two.values()) < sum(long.values())
+    docs = [(i, f"a b c d{i % 3}" * (i % 4)) for i in range(30)]
+    sums = []
+    for kappas in ((), (2.0,), (2.0, 1.0), (2.0, 1.0, 1.0)):
+        got = {r["doc_id"]: r["score"] for r in language_model.score_texts(frame(spark, docs), kappas=kappas).collect()}
+        want = brute.automaton_scores(docs, kappas)
+        assert all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+        sums.append(sum(got.values()))
+    assert sums == sorted(sums)
 
 
 def test_packed_arrays_come_back():
