@@ -53,6 +53,12 @@ def edge_frame(edges, **names: str) -> DataFrame:
     return frame.select(*(F.col(f"`{name}`").cast(ROLES[role]).alias(role) for role, name in names.items()))
 
 
+def standardize_graph_dataframe(edges, tail: str = "tail", head: str = "head", weight: str | None = None, trav_time: str | None = None, freq: str | None = None) -> DataFrame:
+    """:func:`edge_frame` with the roles as arguments; those that are None are left out."""
+    names = {"tail": tail, "head": head, "weight": weight, "trav_time": trav_time, "freq": freq}
+    return edge_frame(edges, **{role: name for role, name in names.items() if name})
+
+
 def read_edges(path: str, spark: SparkSession | None = None, source: str = "parquet", **names: str) -> DataFrame:
     """Edges from files, e.g. ``read_edges(path, tail="source", head="target", weight="tt")``; only these columns are read."""
     spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()

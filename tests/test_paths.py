@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from hopflux import BFS, INF, BellmanFord, Dijkstra, HyperpathGenerating
-from hopflux.sources import edge_frame, generate_random_network, read_edges, sioux_falls, transit_example
+from hopflux.sources import edge_frame, generate_random_network, read_edges, sioux_falls, standardize_graph_dataframe, transit_example
 
 INFINITY = float("inf")
 
@@ -276,6 +276,10 @@ def test_inputs_of_every_kind(spark, tmp_path):
     assert loaded.columns == ["tail", "head", "weight"] and loaded.count() == 6
     with pytest.raises(KeyError):
         edge_frame(renamed, tail="nowhere")
+    assert standardize_graph_dataframe(renamed, "from", "to", trav_time="cost").dtypes == [("tail", "bigint"), ("head", "bigint"), ("trav_time", "double")]
+
+
+def test_polars_input(spark):
     pl = pytest.importorskip("polars")
     assert Dijkstra(pl.from_pandas(README)).n_edges == 6
 
