@@ -57,7 +57,8 @@ def rows_of(df, *columns):
 
 def test_near_duplicates_of_odd_rows(spark):
     got = rows_of(neardup.near_duplicates(frame(spark, TEXTS)), "doc_id", "n_shingles", "component_id", "kept")
-    n = len({tuple(brute.space_words(LONG)[i : i + 5]) for i in range(30_000 - 4)})
+    w = brute.space_words(LONG)
+    n = len({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
     want = [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (7, n, 7, True), (8, n, 7, False), (8, n, 7, False), (None, 1, 4, False), (None, 0, None, True)]
     assert [r for r in got if r[0] not in (6, 9, 10)] == sorted(want, key=str)
 
