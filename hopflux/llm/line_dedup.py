@@ -33,28 +33,32 @@ RATE = 16
 LONGEST = 24
 _BASE = 0x9E3779B97F4A7C15
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
-_ENDS = (b".", b"!", b"?")
+#: By byte: ends a sentence, is white space.
+_ENDS = np.isin(np.arange(256), list(b".!?"))
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_power_table = [np.empty(0, np.uint64)] * 2
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    inverse = pow(_BASE, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        return tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, b, np.uint64), dtype=np.uint64)]) for b in (_BASE, inverse))
+def _powers(n: int) -> list[np.ndarray]:
+    """At least ``n`` powers of an odd base and of its inverse modulo 2**64."""
+    if len(_power_table[0]) < n:
+        for i, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _power_table[i] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(2 * n, 4096), b, np.uint64)]), dtype=np.uint64)
+    return _power_table
 
 
 class Pieces:
     """Word hashes of a text and where its pieces begin and end (word numbers, ends exclusive)."""
 
     def __init__(self, text: bytes):
-        lines = [line.split() for line in text.split(b"\n")]
-        words = [w for line in lines for w in line]
-        self.hash = hashes(words)
-        n = len(words)
-        stop = np.zeros(n, bool)
-        stop[np.cumsum([len(x) for x in lines if x], dtype=np.int64) - 1] = True
-        stop |= np.fromiter((w.endswith(_ENDS) for w in words), bool, n)
-        stop |= mix(self.hash) % np.uint64(RATE) == 0
+        self.hash = hashes(text.split())
+        byte = np.frombuffer(text, np.uint8)
+        blank = _BLANK[byte]
+        last = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]])) if len(byte) else np.empty(0, np.int64)
+        line = np.cumsum(byte == 10)[last]
+        stop = _ENDS[byte[last]] | (mix(self.hash) % np.uint64(RATE) == 0)
+        if len(stop):
+            stop |= np.concatenate([line[1:] != line[:-1], [True]])
         end = np.flatnonzero(stop) + 1
         start = np.concatenate([[0], end[:-1]]).astype(np.int64)
         for a, b in zip(start[end - start > LONGEST], end[end - start > LONGEST], strict=True):
@@ -63,14 +67,14 @@ class Pieces:
         self.start = np.concatenate([[0], self.end[:-1]]).astype(np.int64)
 
 
-def winnow(pieces: Pieces, noise: int, window: int) -> list[tuple[int, int]]:
-    """Selected (gram hash, number of its first word) pairs of a text."""
+def winnow(pieces: Pieces, noise: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the selected grams of a text and the numbers of their first words."""
     start, end, n = pieces.start, pieces.end, len(pieces.end)
     # the last piece of the gram and of the window that begin at each piece; n where the text is too short
     gram, wide = np.searchsorted(end, start + noise), np.searchsorted(end, start + window)
     grams, windows = int(np.searchsorted(gram, n)), int(np.searchsorted(wide, n))
     if not windows:
-        return []
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     up, down = _powers(len(pieces.hash) + 1)
     with np.errstate(over="ignore"):
         total = np.concatenate([[np.uint64(0)], np.cumsum(pieces.hash * up[: len(pieces.hash)], dtype=np.uint64)])
@@ -83,24 +87,24 @@ def winnow(pieces: Pieces, noise: int, window: int) -> list[tuple[int, int]]:
         other = np.minimum(at + ahead, grams - 1)
         better = (at + ahead < stop) & (h[other] <= h[best])
         best[better] = other[better]
-    return [(int(h[i]), int(start[i])) for i in np.unique(best)]
+    picked = np.unique(best)
+    return h[picked], start[picked]
 
 
 def _fingerprints(noise: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, kid, tp = [], [], []
-            for k, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), column_bytes(batch.column(2)), strict=True):
-                for gram, pos in winnow(Pieces(text), noise, window):
-                    h.append(gram)
-                    kid.append(k)
-                    tp.append(t << 32 | pos)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (h, kid, tp)], ["h", "kid", "tp"])
+            kid, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            found = [winnow(Pieces(text), noise, window) for text in column_bytes(batch.column(2))]
+            many = [len(h) for h, _ in found]
+            grams, places = (np.concatenate([np.empty(0, np.int64), *(x[i] for x in found)]) for i in (0, 1))
+            columns = grams, np.repeat(kid, many), np.repeat(t << 32, many) | places
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["h", "kid", "tp"])
 
     return run
 
 
-def later_runs(own: np.ndarray, first: np.ndarray, same: bool, matches: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+def later_runs(own: np.ndarray, first: np.ndarray, matches: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
     """Word spans of ``own`` (ends exclusive) to which the matches (own position, first position) extend."""
     spans, done = [], {}
     for p, q in sorted(matches):
@@ -159,10 +163,14 @@ def _rewrite(columns: list[str], text_col: str, least: int):
                 if (k, t) != now:
                     now, firsts = (k, t), []
                 if kind == 0:
-                    firsts.append((same, hashes((texts[i] or b"").split()), [(m["p"], m["q"]) for m in matches]))
+                    firsts.append((same, texts[i] or b"", matches))
                     continue
-                own = hashes((texts[i] or b"").split())
-                spans = merge([s for same, first, m in firsts for s in later_runs(own, first, same, m, least)])
+                words = (texts[i] or b"").split()
+                if any(not same and first == texts[i] for same, first, _ in firsts) and len(words) >= least:
+                    spans = [(0, len(words))]  # a copy
+                else:
+                    own = hashes(words)
+                    spans = merge([s for same, first, m in firsts for s in later_runs(own, own if same else hashes(first.split()), [(x["p"], x["q"]) for x in m], least)])
                 keep.append(i)
                 new.append(without(texts[i], spans) if spans else texts[i])
                 cuts.append(spans)
@@ -193,7 +201,7 @@ def repeated_places(docs: DataFrame, id_col: str, text_col: str, noise: int, win
     return pairs.groupBy("_kid", "_t", "fk", "ft").agg(F.collect_set("m").alias("_matches")).withColumn("_same", F.expr("_kid = fk and _t = ft"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", noise: int = 12, window: int = 24, least: int = 40) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", noise: int = 16, window: int = 24, least: int = 40) -> DataFrame:
     """``docs`` with later repeats deleted from the text column, plus ``cut_words`` (how many) and ``cut_spans`` (of words, ends exclusive).
 
     Every run of equal words that stands earlier (in a document with a smaller id, or further up in the same one), holds a whole
