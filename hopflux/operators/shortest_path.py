@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from hopflux.plans.work import cut
 
-#: Rounds in one plan, between two checkpoints.
-STRIDE = 2
 LABELS = "source long, v long, d double, hops long, pred long, round int"
 
 
@@ -83,10 +81,8 @@ def shortest_paths(edges: DataFrame, sources: Iterable[int] | DataFrame, count:
     last = max(count, 1) if detect or not negative else max(count, 1) - 1
     bounds, look, number = None, 8, 0
     while number < last:
-        for _ in range(min(STRIDE, last - number)):
-            number += 1
-            state = relax(state, edges, number, track, bounds)
-        state = cut(state, eager=False)
+        number += 1
+        state = cut(relax(state, edges, number, track, bounds), eager=False)
         if not state.agg(F.count_if(F.col("round") == number)).first()[0]:
             return state.drop("round")
         if wanted is not None:
