@@ -1,18 +1,19 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by winnowing over hashes of word grams.
 
-Lines of prose hold whole paragraphs, and a repeated passage may begin inside one.  So a line here is a piece of a physical
-line: pieces end at line ends, after words that end a sentence, and after words that a hash picks (one in ``RATE``), which makes
-the cuts depend on the words alone; one that runs on without such a word is cut every ``LONGEST`` words.  A piece is known by
-the hash of its words.
+Lines of prose hold whole paragraphs, and a repeated passage may begin anywhere inside one.  So texts are compared by their
+words, whatever lines these stand in.
 
-A gram is the shortest run of whole pieces, from a given one on, with at least ``noise`` words; a window is the shortest such run with
-at least ``window`` words.  Of the grams in each window the one with the smallest hash is selected (the rightmost of
-equals).  Two equal runs that hold a whole window hold the same selected gram: no such repeat can be missed, and no repeat under
-``noise`` words is looked at.
+A gram is a run of words, from every word on; of the grams in each window of words the one with the smallest hash is selected
+(the rightmost of equals).  Two equal runs of a window's length hold the same selected gram, wherever they begin.  There are two kinds
+of grams:
+
+- those of ``noise`` words in windows of ``least`` words find equal runs of ``least`` words and more;
+- those of ``least`` words in windows of ``window`` words are long enough for a cut by themselves.
 
 Selected grams are joined with the first place (by doc_id, then position) where the same gram was selected.  Each match is
 extended word by word both ways, and the later run is deleted if it has ``least`` words or more.  What is deleted still
-stands in an earlier place.
+stands in an earlier place.  A first place that shares less than ``least`` words hides later places from each other for the short
+grams; for the long ones it can't, as every match of theirs is a run of ``least`` words.
 """
 
 from __future__ import annotations
@@ -28,14 +29,10 @@ from pyspark.sql import functions as F
 from hopflux.llm.text import column_bytes, hashes, mix
 from hopflux.llm.work import save
 
-#: A piece ends after one word in so many, by their hash, and has at most so many words.
-RATE = 16
-LONGEST = 24
+#: Texts are winnowed together up to so many words.
+TOGETHER = 1 << 16
 _BASE = 0x9E3779B97F4A7C15
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
-#: By byte: ends a sentence, is white space.
-_ENDS = np.isin(np.arange(256), list(b".!?"))
-_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 _power_table = [np.empty(0, np.uint64)] * 2
 
 
@@ -47,59 +44,52 @@ def _powers(n: int) -> list[np.ndarray]:
     return _power_table
 
 
-class Pieces:
-    """Word hashes of a text and where its pieces begin and end (word numbers, ends exclusive)."""
-
-    def __init__(self, text: bytes):
-        self.hash = hashes(text.split())
-        byte = np.frombuffer(text, np.uint8)
-        blank = _BLANK[byte]
-        last = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]])) if len(byte) else np.empty(0, np.int64)
-        line = np.cumsum(byte == 10)[last]
-        stop = _ENDS[byte[last]] | (mix(self.hash) % np.uint64(RATE) == 0)
-        if len(stop):
-            stop |= np.concatenate([line[1:] != line[:-1], [True]])
-        end = np.flatnonzero(stop) + 1
-        start = np.concatenate([[0], end[:-1]]).astype(np.int64)
-        for a, b in zip(start[end - start > LONGEST], end[end - start > LONGEST], strict=True):
-            stop[a + LONGEST - 1 : b : LONGEST] = True
-        self.end = np.flatnonzero(stop) + 1
-        self.start = np.concatenate([[0], self.end[:-1]]).astype(np.int64)
-
-
-def winnow(pieces: Pieces, noise: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the selected grams of a text and the numbers of their first words."""
-    start, end, n = pieces.start, pieces.end, len(pieces.end)
-    # the last piece of the gram and of the window that begin at each piece; n where the text is too short
-    gram, wide = np.searchsorted(end, start + noise), np.searchsorted(end, start + window)
-    grams, windows = int(np.searchsorted(gram, n)), int(np.searchsorted(wide, n))
-    if not windows:
+def winnow(words: np.ndarray, ends: np.ndarray, noise: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the selected grams of some texts and the numbers of their first words.
+
+    ``words`` are the word hashes of the texts, one after another, and ``ends`` says where each text ends.
+    """
+    many, wide = len(words) - noise + 1, window - noise + 1  # grams of the texts and of a window
+    whole = ends[np.searchsorted(ends, np.arange(len(words)), side="right")] - np.arange(len(words)) >= window
+    if not whole.any():
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    up, down = _powers(len(pieces.hash) + 1)
+    up, down = _powers(len(words) + 1)
     with np.errstate(over="ignore"):
-        total = np.concatenate([[np.uint64(0)], np.cumsum(pieces.hash * up[: len(pieces.hash)], dtype=np.uint64)])
-        s, e = start[:grams], end[gram[:grams]]
-        h = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)).view(np.int64)
-    stop = np.searchsorted(gram[:grams], wide[:windows], side="right")  # grams before it end inside the window
-    at = np.arange(windows)
-    best = at.copy()
-    for ahead in range(1, int((stop - at).max())):
-        other = np.minimum(at + ahead, grams - 1)
-        better = (at + ahead < stop) & (h[other] <= h[best])
-        best[better] = other[better]
-    picked = np.unique(best)
-    return h[picked], start[picked]
-
-
-def _fingerprints(noise: int, window: int):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(words * up[: len(words)], dtype=np.uint64)])
+        h = mix((total[noise:] - total[:many]) * down[:many] + np.uint64(noise)).view(np.int64)
+    # the smallest, the rightmost of equals, of ``span`` grams from each on; spans grow up to the window's
+    best, span = np.arange(many), 1
+    while span < wide:
+        step = min(span, wide - span)
+        best = np.where(h[best[step:]] <= h[best[:-step]], best[step:], best[:-step])
+        span += step
+    picked = best[whole[: len(best)]]
+    picked = picked[np.concatenate([[True], picked[1:] != picked[:-1]])]
+    return h[picked], picked
+
+
+def _fingerprints(grams: list[tuple[int, int]]):
+    def some(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Gram hashes, numbers of the texts and places in them."""
+        ends = np.cumsum([len(x) for x in texts])
+        words = hashes([w for x in texts for w in x])
+        found = [winnow(words, ends, *g) for g in grams]
+        h, at = (np.concatenate([x[i] for x in found]) for i in (0, 1))
+        text = np.searchsorted(ends, at, side="right")
+        return h, text, at - np.concatenate([[0], ends])[text]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kid, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            found = [winnow(Pieces(text), noise, window) for text in column_bytes(batch.column(2))]
-            many = [len(h) for h, _ in found]
-            grams, places = (np.concatenate([np.empty(0, np.int64), *(x[i] for x in found)]) for i in (0, 1))
-            columns = grams, np.repeat(kid, many), np.repeat(t << 32, many) | places
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["h", "kid", "tp"])
+            texts, now, first, size = column_bytes(batch.column(2)), [], 0, 0
+            for i, text in enumerate(texts):
+                now.append(text.split())
+                size += len(now[-1])
+                if size >= TOGETHER or i == len(texts) - 1:
+                    h, own, place = some(now)
+                    columns = h, kid[first + own], (t[first + own] << 32) | place
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["h", "kid", "tp"])
+                    now, first, size = [], i + 1, 0
 
     return run
 
@@ -110,6 +100,12 @@ def later_runs(own: np.ndarray, first: np.ndarray, matches: list[tuple[int, int]
     for p, q in sorted(matches):
         if done.get(p - q, -1) >= p:
             continue  # inside a run that this diagonal has given already
+        if spans and spans[-1][0] <= p < spans[-1][1]:
+            # inside a run of another diagonal; adds something only if a word next to that run is equal too
+            s, e = spans[-1]
+            before, after = s - 1 - (p - q), e - (p - q)
+            if not (s and 0 <= before < len(first) and own[s - 1] == first[before]) and not (e < len(own) and 0 <= after < len(first) and own[e] == first[after]):
+                continue
         n = min(len(own) - p, len(first) - q)
         differ = np.flatnonzero(own[p : p + n] != first[q : q + n])
         end = p + (int(differ[0]) if len(differ) else n)
@@ -189,11 +185,11 @@ def _keys(id_col: str, text_col: str) -> tuple[Column, Column]:
     return F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), F.shiftrightunsigned(F.xxhash64(text), 33)
 
 
-def repeated_places(docs: DataFrame, id_col: str, text_col: str, noise: int, window: int) -> DataFrame:
+def repeated_places(docs: DataFrame, id_col: str, text_col: str, grams: list[tuple[int, int]]) -> DataFrame:
     """Pairs of a document and an earlier one (or itself): _kid, _t, fk, ft, _matches of word numbers (p, q), _same."""
     kid, t = _keys(id_col, text_col)
     rows = docs.select(kid.alias("kid"), t.alias("t"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    places = save(rows.mapInArrow(_fingerprints(noise, window), "h long, kid long, tp long"), "fingerprints")
+    places = save(rows.mapInArrow(_fingerprints(grams), "h long, kid long, tp long"), "fingerprints")
     first = places.groupBy("h").agg(F.min(F.struct("kid", "tp")).alias("f"), F.count("*").alias("c")).where("c > 1").drop("c")
     found = places.join(save(first, "first").hint("merge"), "h").where(F.struct("kid", "tp") > F.col("f"))
     doc, pos = lambda c: F.shiftright(c, 32), lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int")
@@ -201,18 +197,19 @@ def repeated_places(docs: DataFrame, id_col: str, text_col: str, noise: int, win
     return pairs.groupBy("_kid", "_t", "fk", "ft").agg(F.collect_set("m").alias("_matches")).withColumn("_same", F.expr("_kid = fk and _t = ft"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", noise: int = 16, window: int = 24, least: int = 40) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", noise: int = 16, window: int = 50, least: int = 40) -> DataFrame:
     """``docs`` with later repeats deleted from the text column, plus ``cut_words`` (how many) and ``cut_spans`` (of words, ends exclusive).
 
-    Every run of equal words that stands earlier (in a document with a smaller id, or further up in the same one), holds a whole
-    window and has ``least`` words or more is deleted.
+    A run of ``least`` or more equal words that stands earlier (in a document with a smaller id, or further up in the same one) is
+    deleted.  No run of ``window`` words that stands earlier keeps all its words: at least ``least`` of them go.  The only runs
+    that can stay are shorter than ``window``, or what a longer one has left, where the first text with the gram shares less.
 
     Null text stays null and empty text empty.  A null id comes last in the order.  Rows alike in id and text are one document
     to this operator: all of them keep or lose the same words.  An empty table gives an empty result.  All columns of
     ``docs`` stay; ``cut_words`` and ``cut_spans`` replace columns of those names.
     """
     kid, t = _keys(id_col, text_col)
-    pairs = save(repeated_places(docs, id_col, text_col, noise, window), "pairs")
+    pairs = save(repeated_places(docs, id_col, text_col, [(min(noise, least), least), (least, max(window, least))]), "pairs")
     plain = docs.drop("cut_words", "cut_spans")
     columns, key = plain.columns, ["_kid", "_t"]
     rows = plain.withColumns({"_kid": kid, "_t": t})

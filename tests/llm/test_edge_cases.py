@@ -151,6 +151,37 @@ def test_passages_inside_lines_are_found(spark):
     assert all(a == b for (i, a), (_, b) in zip(docs, after) if i not in had)
 
 
+def test_line_dedup_finds_passages_from_any_word_on(spark):
+    """No sentence ends, no line ends: only the words tell where a passage begins."""
+    rng = random.Random(11)
+    some = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    docs = []
+    for n in [40, 45, *range(51, 61)] * 6:
+        passage, i = some(n), len(docs)
+        docs += [(i, " ".join(some(rng.randrange(60)) + passage + some(rng.randrange(60)))), (i + 1, " ".join(some(rng.randrange(60)) + passage + some(rng.randrange(60))))]
+    got = {r["doc_id"]: r["cut_words"] for r in line_dedup.dedup_lines(frame(spark, docs)).collect()}
+    assert got == {i: len(set(docs[i - 1][1].split()) & set(text.split())) if i % 2 else 0 for i, text in docs}
+
+
+def test_line_dedup_where_the_first_text_shares_less(spark):
+    rng = random.Random(12)
+    some = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    docs = []
+    for n in [*range(51, 61)] * 4:
+        passage, i = some(n), len(docs)
+        docs += [(i, " ".join(some(9) + passage[8:47] + some(9))), *((i + j, " ".join(some(30) + passage + some(30))) for j in (1, 2))]
+    got = {r["doc_id"]: r["cut_words"] for r in line_dedup.dedup_lines(frame(spark, docs)).collect()}
+    assert all(n >= 40 if i % 3 == 2 else n == 0 for i, n in got.items())
+    after = sorted((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(frame(spark, docs)).collect())
+    assert not brute.repeated_left(after)
+
+
+def test_line_dedup_of_one_word(spark):
+    """Matches on very many diagonals: each but the first lies inside the first one's run."""
+    docs = [(1, "a " * 20_000), (2, "b " + "a " * 70 + "c")]
+    assert {r["doc_id"]: r["cut_words"] for r in line_dedup.dedup_lines(frame(spark, docs)).collect()} == {1: 19_999, 2: 70}
+
+
 def test_cutting_words_keeps_the_lines_around():
     text = b"a b\nc d e\n\nf g\nh"
     for spans, want in (([(2, 5)], b"a b\nf g\nh"), ([(3, 5)], b"a b\nc\n\nf g\nh"), ([(0, 2)], b"c d e\n\nf g\nh"), ([(7, 8)], b"a b\nc d e\n\nf g\n"), ([(0, 8)], b""), ([(1, 3)], b"a d e\n\nf g\nh"), ([(0, 1), (4, 6)], b"b\nc d g\nh")):
