@@ -33,7 +33,7 @@ def words(text: Column) -> Column:
 def build_index(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Documents (kid, th, doc_id, n_words) and postings (term, kid, th, pos) of the terms; both are work tables.
 
-    Rows alike in id and text share their postings.
+    Rows alike in id and text share a key, under which each of them gives its postings.
     """
     body = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("kid"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("th"), words(body).alias("w"))
@@ -70,7 +70,8 @@ def phrase_matches(postings: DataFrame, places: DataFrame, window: int) -> DataF
     wanted = aligned.join(spots.select("item", "n", "off", "term"), "item").select("item", "n", "kid", "th", "delta", "off", "term", (F.col("delta") + F.col("off")).alias("pos"))
     agree = wanted.join(postings, ["kid", "th", "pos", "term"])
     run = Window.partitionBy("item", "kid", "th", "delta").orderBy("off")
-    runs = agree.select("item", "n", "kid", "th", "delta", "off", (F.col("off") - F.row_number().over(run)).alias("g")).groupBy("item", "n", "kid", "th", "delta", "g").agg(F.min("off").alias("from"), F.count("*").alias("len"))
+    # rows alike in id and text give every place more than once: equal places share a rank, and a run is counted by its ends
+    runs = agree.select("item", "n", "kid", "th", "delta", "off", (F.col("off") - F.dense_rank().over(run)).alias("g")).groupBy("item", "n", "kid", "th", "delta", "g").agg(F.min("off").alias("from"), (F.max("off") - F.min("off") + 1).alias("len"))
     return runs.withColumn("size", length).where("len >= size").select("kid", "th", "item", (F.col("delta") + F.col("from")).alias("start"), F.col("len").alias("length"))
 
 

@@ -266,6 +266,15 @@ def test_index_beyond_the_sent_terms(spark, monkeypatch):
     assert got == {1: 2, 2: 0}
 
 
+def test_decontamination_of_repeated_rows(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    docs = [(1, item), (1, item), (1, item), (2, f"a b {item} c"), (None, item), (None, item), (3, " ".join(f"q{i}" for i in range(12)))]
+    bench = [(5, item), (6, "q3 q4 q5")]
+    got = rows_of(decontamination.contamination(frame(spark, docs), spark.createDataFrame(bench, "item_id long, text string")), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    want = brute.contamination(docs, bench)
+    assert got == sorted(((i, *want[i]) for i, _ in docs), key=str) and sum(r[-1] for r in got) == 7
+
+
 def test_proximity_matches(spark):
     docs = [(1, "alpha x beta y gamma delta"), (2, "alpha " + "x " * 50 + "beta gamma delta"), (3, "none")]
     got = decontamination.proximity_matches(frame(spark, docs), spark.createDataFrame([(5, "gamma beta alpha delta")], "item_id long, text string"), within=10)
