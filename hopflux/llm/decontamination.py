@@ -4,7 +4,8 @@ The index has one row (term, document, position) per occurrence of a benchmark t
 benchmark item can take part in no match and are not stored.  A phrase is looked up from its two rarest terms: their
 lists, each position less the term's place in the item, are intersected to alignments of the item with the text.  Only at
 alignments that both terms agree on are the lists of the other terms read, and runs of agreeing places as long as
-the window are exact matches.  Proximity matches ask for the share of a window's terms that stand within a few words.
+the window are exact matches.  Proximity matches ask for the share of an item's terms that stand within reach of one of its rare
+terms; the reach grows with the item.
 """
 
 from __future__ import annotations
@@ -87,19 +88,26 @@ def item_places(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, within: int = 20, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Items of which at least ``share`` of the distinct terms stand within ``within`` words after the rarest one's place.
+    """Items of which at least ``share`` of the distinct terms stand close to a place of one of the item's rare terms.
 
-    Rows: doc_id, item_id, pos (of the rarest term) and terms (how many distinct ones stand there).  Nulls and empty
+    Close is up to ``within`` words before or after, or one less than the item's words if it has more, so that a verbatim copy
+    reaches from end to end.  With m terms of which k are asked for, any k of them hold one of the m - k + 1 rarest: these are the anchors,
+    and terms that occur nowhere are the rarest of all.
+
+    Rows, one for each such place: doc_id, item_id, pos (of the rare term) and terms (how many distinct ones stand there).  Nulls and empty
     texts match nothing.
     """
     terms, places = item_places(benchmark)
     papers, postings = build_index(docs, terms, id_col, text_col)
-    spots = places.join(postings.groupBy("term").agg(F.count("*").alias("df")), "term")
-    many = places.groupBy("item").agg(F.count_distinct("term").alias("many"))
-    rarest = spots.groupBy("item").agg(F.min(F.struct("df", "term")).alias("r")).select("item", F.col("r.term").alias("term"))
-    seeds = postings.join(F.broadcast(rarest) if rarest.count() <= SENT_TERMS else rarest, "term").select("item", "kid", "th", F.col("pos").alias("at"))
-    near = seeds.join(places.select("item", "item_id", "term").distinct(), "item").join(postings, ["kid", "th", "term"]).where(F.abs(F.col("pos") - F.col("at")) <= within)
-    hits = near.groupBy("kid", "th", "item", "item_id", "at").agg(F.count_distinct("term").alias("terms")).join(many, "item").where(F.col("terms") >= F.ceil(F.col("many") * share))
+    own = places.select("item", "item_id", "n", "term").distinct()
+    spots = own.join(postings.groupBy("term").agg(F.count("*").alias("df")), "term", "left")
+    item = Window.partitionBy("item", "item_id")
+    need = F.ceil(F.col("many") * share - 1e-9)
+    ranked = spots.withColumns({"many": F.count("*").over(item), "r": F.row_number().over(item.orderBy(F.coalesce("df", F.lit(0)), "term"))}).withColumn("need", need)
+    anchors = save(ranked.where("r <= many - need + 1 and df is not null").select("item", "item_id", "need", F.greatest(F.lit(within), F.col("n") - 1).alias("reach"), "term"), "anchors")
+    seeds = postings.join(F.broadcast(anchors) if anchors.count() <= SENT_TERMS else anchors, "term").select("item", "item_id", "need", "reach", "kid", "th", F.col("pos").alias("at")).distinct()
+    near = seeds.join(own.select("item", "item_id", "term"), ["item", "item_id"]).join(postings, ["kid", "th", "term"]).where(F.abs(F.col("pos") - F.col("at")) <= F.col("reach"))
+    hits = near.groupBy("kid", "th", "item", "item_id", "at", "need").agg(F.count_distinct("term").alias("terms")).where("terms >= need")
     return papers.join(hits, ["kid", "th"]).select("doc_id", "item_id", F.col("at").alias("pos"), "terms")
 
 

@@ -281,6 +281,15 @@ def test_proximity_matches(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(1, "5")}
 
 
+def test_proximity_matches_of_long_items(spark):
+    """Copied verbatim, with the rarest word (at an edge, or anywhere) changed, and with too many words changed."""
+    item = [f"q{i}" for i in range(60)]
+    common = [(100 + i, " ".join(item[1:30])) for i in range(3)] + [(200 + i, " ".join(item[30:])) for i in range(3)]
+    docs = [(1, "x y " + " ".join(item) + " z"), (2, "x " + " ".join(["other", *item[1:]])), (3, " ".join([*item[:13], *["o"] * 12, *item[25:]])), (4, " ".join([*item[:13], *["o"] * 13, *item[26:]])), *common]
+    got = decontamination.proximity_matches(frame(spark, docs), spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["terms"]) for r in got} == {(1, 60), (2, 59), (3, 48)}
+
+
 def test_language_model_orders(spark):
     docs = [(i, f"a b c d{i % 3}" * (i % 4)) for i in range(30)]
     sums = []
