@@ -27,9 +27,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id; of rows with one id, one stays."""
+    """One document of each near-duplicate group (similarity of 0.8 or more) stays, the one with the smallest id; of rows with one id, one stays."""
     release(spark)
-    found = neardup.near_duplicates(docs)
+    found = neardup.near_duplicates(docs, percent=80)
     kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
     return docs.join(kept.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
 

@@ -14,7 +14,7 @@ Steps, all of them over whole texts:
    intersections are products of 0/1 matrices; only a spanning forest of the confirmed links leaves a block.
 6. Components of the confirmed links.
 
-A pair at the threshold is lost only if it shares fewer than ``LEAST`` of 24 probes (about 1e-8) or no two neighbouring ones.
+A pair at the threshold is lost only if it shares too few of its probes (below ``RARE``) or no two neighbouring ones, or by step 4.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ from hopflux.llm.components import components
 from hopflux.llm.text import column_bytes, shingles, space_words
 from hopflux.llm.work import save
 
-#: Probes that a linked pair shares at least.
-LEAST = 9
+#: A linked pair shares fewer probes than asked for with at most this probability (9 of 24 are asked for at 0.85, 7 at 0.8).
+RARE = 2e-8
 _SIGNATURE = "doc_id long, h1 long, h2 long, n long, sketch array<long>"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
@@ -134,6 +134,14 @@ def _links(percent: int, size: int):
     return run
 
 
+def least_shared(fraction: float, probes: int) -> int:
+    """How many of its probes a pair at the threshold shares, but for a probability of ``RARE``."""
+    below, n = 0.0, 0
+    while n < probes and (below := below + math.comb(probes, n) * fraction**n * (1 - fraction) ** (probes - n)) <= RARE:
+        n += 1
+    return max(n, 1)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, size: int = 5, k: int = 64, probes: int = 24, cold: int = 32, block: int = 512) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -155,7 +163,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     long_ones = save(lists.where(F.col("c") > cold).groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_set("v")).alias("hot")), "long-lists")
 
     fraction = percent / 100
-    need = lambda n: F.least(F.lit(LEAST), F.ceil(n * fraction - 1e-9)).cast("int")
+    least = least_shared(fraction, probes)
+    need = lambda n: F.least(F.lit(least), F.ceil(n * fraction - 1e-9)).cast("int")
     short = lists.where(F.col("c") <= cold).join(long_ones.select("rep", F.size("hot").alias("nh")), "rep", "left").select("v", "rep", "n", F.coalesce("nh", F.lit(0)).alias("nh"))
     x, y = short.alias("x"), short.alias("y")
     fits = (F.col("x.rep") < F.col("y.rep")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)

@@ -358,6 +358,21 @@ def test_pipeline_stages(spark, tmp_path):
     assert [x for r in ids for x in r[0]][-1] == 1
 
 
+def test_pipeline_drops_near_copies_from_080(spark):
+    """Changed tails: pairs with a similarity of 0.80 to 0.85, and pairs under 0.80."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    rows, gone = [], set()
+    for k, tail in enumerate([20, 18, 22, 19, 30] * 4):
+        words, other = ([f"x{rng.randrange(10**9)}" for _ in range(204)] for _ in range(2))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:-tail] + other[:tail]))]
+        if 100 * (200 - tail) >= 80 * (200 + tail):
+            gone.add(2 * k + 1)
+    kept = {r[0] for r in corpus_pipeline.near_dedup(spark, frame(spark, rows), "").select("doc_id").collect()}
+    assert len(gone) == 16 and kept == {i for i, _ in rows} - gone
+
+
 def test_edited_digest_by_hand(spark):
     got = fingerprints.fingerprint_edits(frame(spark, [(1, "abcdefgh"), (2, "X")])).orderBy("doc_id").collect()
     assert got[0]["edited_sha256"] == hashlib.sha256(b"abcdefX").hexdigest() and got[1]["edited_sha256"] == hashlib.sha256(b"X").hexdigest()
