@@ -14,7 +14,8 @@ Steps, all of them over whole texts:
    intersections are products of 0/1 matrices; only a spanning forest of the confirmed links leaves a block.
 6. Components of the confirmed links.
 
-A pair at the threshold is lost only if it shares too few of its probes (below ``RARE``) or no two neighbouring ones, or by step 4.
+A pair at the threshold is lost only if it shares too few of its probes (below ``RARE``) or no two neighbouring ones, or by step 4:
+its estimate falls below four standard errors with a probability of about 1e-4 (43 of 64 values at 0.85), for sets of over 64 shingles.
 """
 
 from __future__ import annotations
