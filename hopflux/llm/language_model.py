@@ -13,7 +13,7 @@ right; at each token the state is the longest known context, and log-probabiliti
 How it is spread out: documents are dealt to chunks of a fixed size by a hash of their id.  Each chunk counts its own
 n-grams first, so a frequent word is one number per chunk.  Counts go to buckets by n-gram hash as compressed sorted
 arrays, are summed there, and each chunk gets back the sums of just the n-grams it holds: the part of the automaton that
-its texts can walk.  No model is held in one place, and all of it grows with the input.
+its texts can walk.  The walk is evaluated in closed form, as arrays over all tokens; states and arcs are not built.  No model is held in one place, and all of it grows with the input.
 """
 
 from __future__ import annotations
