@@ -3,17 +3,14 @@
 Lines of prose hold whole paragraphs, and a repeated passage may begin anywhere inside one.  So texts are compared by their
 words, whatever lines these stand in.
 
-A gram is a run of words, from every word on; of the grams in each window of words the one with the smallest hash is selected
-(the rightmost of equals).  Two equal runs of a window's length hold the same selected gram, wherever they begin.  There are two kinds
-of grams:
-
-- those of ``noise`` words in windows of ``least`` words find equal runs of ``least`` words and more;
-- those of ``least`` words in windows of ``window`` words are long enough for a cut by themselves.
+A gram is a run of ``least`` words, from every word on; of the grams in each window of ``window`` words the one with the smallest
+hash is selected (the rightmost of equals).  Two equal runs of a window's length hold the same selected gram, wherever they begin.
 
 Selected grams are joined with the first place (by doc_id, then position) where the same gram was selected.  Each match is
-extended word by word both ways, and the later run is deleted if it has ``least`` words or more.  What is deleted still
-stands in an earlier place.  A first place that shares less than ``least`` words hides later places from each other for the short
-grams; for the long ones it can't, as every match of theirs is a run of ``least`` words.
+extended word by word both ways, and the later run is deleted.  What is deleted still stands in an earlier place.  A gram is as long as
+the shortest run that is deleted, so a first place can't share less with a later one and hide an earlier place that shares more.
+
+Later copies of a whole text are found by its digest and need no text of the first one beside them.
 """
 
 from __future__ import annotations
@@ -44,19 +41,19 @@ def _powers(n: int) -> list[np.ndarray]:
     return _power_table
 
 
-def winnow(words: np.ndarray, ends: np.ndarray, noise: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the selected grams of some texts and the numbers of their first words.
+def winnow(words: np.ndarray, ends: np.ndarray, size: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the selected grams (of ``size`` words) of some texts and the numbers of their first words.
 
     ``words`` are the word hashes of the texts, one after another, and ``ends`` says where each text ends.
     """
-    many, wide = len(words) - noise + 1, window - noise + 1  # grams of the texts and of a window
+    many, wide = len(words) - size + 1, window - size + 1  # grams of the texts and of a window
     whole = ends[np.searchsorted(ends, np.arange(len(words)), side="right")] - np.arange(len(words)) >= window
     if not whole.any():
         return np.empty(0, np.int64), np.empty(0, np.int64)
     up, down = _powers(len(words) + 1)
     with np.errstate(over="ignore"):
         total = np.concatenate([[np.uint64(0)], np.cumsum(words * up[: len(words)], dtype=np.uint64)])
-        h = mix((total[noise:] - total[:many]) * down[:many] + np.uint64(noise)).view(np.int64)
+        h = mix((total[size:] - total[:many]) * down[:many] + np.uint64(size)).view(np.int64)
     # the smallest, the rightmost of equals, of ``span`` grams from each on; spans grow up to the window's
     best, span = np.arange(many), 1
     while span < wide:
@@ -68,13 +65,11 @@ def winnow(words: np.ndarray, ends: np.ndarray, noise: int, window: int) -> tupl
     return h[picked], picked
 
 
-def _fingerprints(grams: list[tuple[int, int]]):
+def _fingerprints(gram: int, window: int):
     def some(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Gram hashes, numbers of the texts and places in them."""
         ends = np.cumsum([len(x) for x in texts])
-        words = hashes([w for x in texts for w in x])
-        found = [winnow(words, ends, *g) for g in grams]
-        h, at = (np.concatenate([x[i] for x in found]) for i in (0, 1))
+        h, at = winnow(hashes([w for x in texts for w in x]), ends, gram, window)
         text = np.searchsorted(ends, at, side="right")
         return h, text, at - np.concatenate([[0], ends])[text]
 
@@ -155,15 +150,15 @@ def _rewrite(columns: list[str], text_col: str, least: int):
             name = {c: i for i, c in enumerate(batch.schema.names)}
             get = lambda c: batch.column(name[c]).to_pylist()  # noqa: E731, B023
             texts, keep, new, cuts = column_bytes(batch.column(name[text_col])), [], [], []
-            for i, (k, t, kind, same, matches) in enumerate(zip(get("_kid"), get("_t"), get("_kind"), get("_same"), get("_matches"), strict=True)):
+            for i, (k, t, kind, flag, matches) in enumerate(zip(get("_kid"), get("_t"), get("_kind"), get("_flag"), get("_matches"), strict=True)):
                 if (k, t) != now:
                     now, firsts = (k, t), []
                 if kind == 0:
-                    firsts.append((same, texts[i] or b"", matches))
+                    firsts.append((flag, texts[i] or b"", matches))
                     continue
                 words = (texts[i] or b"").split()
-                if any(not same and first == texts[i] for same, first, _ in firsts) and len(words) >= least:
-                    spans = [(0, len(words))]  # a copy
+                if flag:  # a copy of an earlier text
+                    spans = [(0, len(words))] if len(words) >= least else []
                 else:
                     own = hashes(words)
                     spans = merge([s for same, first, m in firsts for s in later_runs(own, own if same else hashes(first.split()), [(x["p"], x["q"]) for x in m], least)])
@@ -185,11 +180,9 @@ def _keys(id_col: str, text_col: str) -> tuple[Column, Column]:
     return F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), F.shiftrightunsigned(F.xxhash64(text), 33)
 
 
-def repeated_places(docs: DataFrame, id_col: str, text_col: str, grams: list[tuple[int, int]]) -> DataFrame:
+def repeated_places(rows: DataFrame, gram: int, window: int) -> DataFrame:
     """Pairs of a document and an earlier one (or itself): _kid, _t, fk, ft, _matches of word numbers (p, q), _same."""
-    kid, t = _keys(id_col, text_col)
-    rows = docs.select(kid.alias("kid"), t.alias("t"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    places = save(rows.mapInArrow(_fingerprints(grams), "h long, kid long, tp long"), "fingerprints")
+    places = save(rows.mapInArrow(_fingerprints(gram, window), "h long, kid long, tp long"), "fingerprints")
     first = places.groupBy("h").agg(F.min(F.struct("kid", "tp")).alias("f"), F.count("*").alias("c")).where("c > 1").drop("c")
     found = places.join(save(first, "first").hint("merge"), "h").where(F.struct("kid", "tp") > F.col("f"))
     doc, pos = lambda c: F.shiftright(c, 32), lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int")
@@ -197,29 +190,40 @@ def repeated_places(docs: DataFrame, id_col: str, text_col: str, grams: list[tup
     return pairs.groupBy("_kid", "_t", "fk", "ft").agg(F.collect_set("m").alias("_matches")).withColumn("_same", F.expr("_kid = fk and _t = ft"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", noise: int = 16, window: int = 50, least: int = 40) -> DataFrame:
+def later_copies(rows: DataFrame) -> DataFrame:
+    """_kid, _t of the documents whose whole text stands in an earlier one."""
+    named = rows.select("kid", "t", F.md5(F.col("text").cast("binary")).alias("d"), F.octet_length("text").alias("n"))
+    first = named.groupBy("d", "n").agg(F.min(F.struct("kid", "t")).alias("f"), F.max(F.struct("kid", "t")).alias("z")).where("f <> z").drop("z")
+    return named.join(first, ["d", "n"]).where(F.struct("kid", "t") > F.col("f")).select(F.col("kid").alias("_kid"), F.col("t").alias("_t")).distinct()
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 30, window: int = 40) -> DataFrame:
     """``docs`` with later repeats deleted from the text column, plus ``cut_words`` (how many) and ``cut_spans`` (of words, ends exclusive).
 
-    A run of ``least`` or more equal words that stands earlier (in a document with a smaller id, or further up in the same one) is
-    deleted.  No run of ``window`` words that stands earlier keeps all its words: at least ``least`` of them go.  The only runs
-    that can stay are shorter than ``window``, or what a longer one has left, where the first text with the gram shares less.
+    Every run of ``window`` or more equal words that stands earlier (in a document with a smaller id, or further up in the same one) is
+    found, wherever it begins: of any ``window`` words of it, at least ``least`` are deleted.  Runs of ``least`` to ``window`` - 1 words are deleted if
+    they hold a selected gram, shorter ones stay.
 
     Null text stays null and empty text empty.  A null id comes last in the order.  Rows alike in id and text are one document
     to this operator: all of them keep or lose the same words.  An empty table gives an empty result.  All columns of
     ``docs`` stay; ``cut_words`` and ``cut_spans`` replace columns of those names.
     """
+    if not 0 < least <= window:
+        raise ValueError("least must be positive and no more than window")
     kid, t = _keys(id_col, text_col)
-    pairs = save(repeated_places(docs, id_col, text_col, [(min(noise, least), least), (least, max(window, least))]), "pairs")
-    plain = docs.drop("cut_words", "cut_spans")
-    columns, key = plain.columns, ["_kid", "_t"]
+    texts = docs.select(kid.alias("kid"), t.alias("t"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    plain, key = docs.drop("cut_words", "cut_spans"), ["_kid", "_t"]
+    columns = plain.columns
+    copies = save(later_copies(texts), "copies")
+    pairs = save(repeated_places(texts, least, window).join(copies.hint("merge"), key, "left_anti"), "pairs")
     rows = plain.withColumns({"_kid": kid, "_t": t})
     # the three joins take the same columns of the documents, so that these are shuffled once
-    touched = save(pairs.select(*key).distinct(), "touched").hint("merge")
+    touched = save(pairs.select(*key, F.lit(False).alias("_flag")).distinct().union(copies.withColumn("_flag", F.lit(True))), "touched").hint("merge")
     clean = rows.join(touched, key, "left_anti").select(*columns, F.lit(0).alias("cut_words"), F.array().cast("array<struct<s:int,e:int>>").alias("cut_spans"))
     empty = F.array().cast("array<struct<p:int,q:int>>")
-    own = rows.join(touched, key).select(*key, F.lit(1).alias("_kind"), F.lit(False).alias("_same"), empty.alias("_matches"), *columns)
-    named = pairs.select(F.col("fk").alias("_kid"), F.col("ft").alias("_t"), F.struct("_kid", "_t").alias("_to"), "_same", "_matches").hint("merge")
-    first = rows.join(named, key).select("_to._kid", "_to._t", F.lit(0).alias("_kind"), "_same", "_matches", *columns)
+    own = rows.join(touched, key).select(*key, F.lit(1).alias("_kind"), "_flag", empty.alias("_matches"), *columns)
+    named = pairs.select(F.col("fk").alias("_kid"), F.col("ft").alias("_t"), F.struct("_kid", "_t").alias("_to"), F.col("_same").alias("_flag"), "_matches").hint("merge")
+    first = rows.join(named, key).select("_to._kid", "_to._t", F.lit(0).alias("_kind"), "_flag", "_matches", *columns)
     gathered = own.union(first).repartition(*key).sortWithinPartitions(*key, "_kind")
     done = gathered.mapInArrow(_rewrite(columns, text_col, least), clean.schema)
     return clean.union(done)
