@@ -84,27 +84,48 @@ def base_scores(docs):
     return {i: (held[i], len(w), sum(counts[x] > 0 for x in w), total, sum(p(counts[x]) for x in w)) for i, w in tokens.items()}
 
 
-def automaton_scores(docs, kappas, discount=0.5):
-    """The automaton, walked token by token."""
+def automaton_scores(docs, contexts, discount=0.5):
+    """The automaton of the whole corpus as dictionaries, walked word by word along arcs and failure arcs."""
     tokens = {i: [*space_words(t), "\0end"] for i, t in docs}
-    train = [w for i, w in tokens.items() if crc(str(i)) % 5 != 1]
-    order = len(kappas) + 1
-    full = lambda w: ["\0start"] * (order - 1) + w
-    grams, contexts = Counter(), Counter()
-    for w in map(full, train):
-        for i in range(order - 1, len(w)):
-            for n in range(order):
-                grams[tuple(w[i - n : i + 1])] += 1
-                contexts[tuple(w[i - n : i])] += 1
-    total, distinct = contexts[()], sum(len(g) == 1 for g in grams)
-
-    def p(context, x):
-        if not context:
-            return (grams[x,] - discount) / (total + 1) if grams[x,] else (discount * distinct + 1) / (total + 1)
-        kappa = kappas[len(context) - 1]
-        return (grams[*context, x] + kappa * p(context[1:], x)) / (contexts[context] + kappa)
-
-    return {i: sum(math.log10(p(tuple(full(w)[j : j + order - 1]), x)) for j, x in enumerate(w)) for i, w in tokens.items()}
+    depth = len(contexts)
+    seen, grams = Counter(), Counter()
+    for i, w in tokens.items():
+        if crc(str(i)) % 5 != 1:
+            w = ["\0start"] * depth + w
+            for j in range(depth, len(w)):
+                for n in range(depth + 1):
+                    seen[tuple(w[j - n : j])] += 1
+                    grams[tuple(w[j - n : j]), w[j]] += 1
+    total, distinct = seen[()], sum(h == () for h, _ in grams)
+    unknown = (discount * distinct + 1) / (total + 1)
+
+    def trust(h):
+        kappa, power = contexts[len(h) - 1]
+        return seen[h] ** power / (seen[h] ** power + kappa)
+
+    def p(h, x):
+        if not h:
+            return (grams[h, x] - discount) / (total + 1) if grams[h, x] else unknown
+        own = trust(h) * grams[h, x] / seen[h] if seen[h] else 0
+        return own + (1 - trust(h)) * p(h[1:], x)
+
+    arcs = {}
+    for h, x in grams:
+        to = (*h, x)[-depth:] if depth else ()
+        while to not in seen and to:
+            to = to[1:]
+        arcs.setdefault(h, {})[x] = (math.log10(p(h, x)), to)
+    scores = {}
+    for i, w in tokens.items():
+        state, score = ("\0start",) * depth, 0.0
+        for x in w:
+            while state and x not in arcs.get(state, ()):
+                score += math.log10(1 - trust(state))
+                state = state[1:]
+            log, state = arcs.get(state, {}).get(x, (math.log10(unknown), ()))
+            score += log
+        scores[i] = score
+    return scores
 
 
 def licenses(text):

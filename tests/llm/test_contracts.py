@@ -77,11 +77,11 @@ def test_line_dedup_leaves_no_long_repeat(spark, tables):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = sorted(tables["documents"])
     after = sorted((r.doc_id, r.text) for r in dedup_lines(docs).collect())
-    assert brute.repeated_left(before) and not brute.repeated_left(after)
+    assert brute.repeated_left(before, 40) and not brute.repeated_left(after, 40)
     words = lambda rows: {x for _, t in rows for x in t.split()}
     assert words(before) == words(after)  # what goes still stands elsewhere
     changed = {i for (i, a), (_, b) in zip(before, after) if a != b}
-    assert changed <= brute.repeated_left(before, 40, overlap=True)
+    assert changed <= brute.repeated_left(before, 30, overlap=True)
 
 
 def test_toxicity(spark, tables):
@@ -138,7 +138,7 @@ def test_decontamination(spark, tables):
 
 def test_language_model(spark, tables):
     got = {r["doc_id"]: r for r in run(spark, "op10_lm_scoring")}
-    base, score = brute.base_scores(tables["documents"]), brute.automaton_scores(tables["documents"], language_model.KAPPAS)
+    base, score = brute.base_scores(tables["documents"]), brute.automaton_scores(tables["documents"], language_model.CONTEXTS)
     assert len(got) == len(base)
     for i, want in base.items():
         r = got[i]

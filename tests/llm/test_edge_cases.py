@@ -145,35 +145,38 @@ def test_passages_inside_lines_are_found(spark):
         docs.append((i, "".join(x + rng.choice([" ", "\n", "\n\n"]) for x in parts)))
     docs += [(90, docs[3][1]), (91, "\n".join([passages[0]] * 5)), (92, "so " * 300), (93, "and so " * 200)]
     after = sorted((r[0], r[1]) for r in line_dedup.dedup_lines(frame(spark, docs)).select("doc_id", "text").collect())
-    assert brute.repeated_left(docs) and not brute.repeated_left(after)
+    assert brute.repeated_left(docs) and not brute.repeated_left(after, 40)
     assert {x for _, t in docs for x in t.split()} == {x for _, t in after for x in t.split()}
-    had = brute.repeated_left(docs, 40, overlap=True)
+    had = brute.repeated_left(docs, 30, overlap=True)
     assert all(a == b for (i, a), (_, b) in zip(docs, after) if i not in had)
 
 
-def test_line_dedup_finds_passages_from_any_word_on(spark):
-    """No sentence ends, no line ends: only the words tell where a passage begins."""
-    rng = random.Random(11)
+@pytest.mark.parametrize("words", [40, 45, 60, 80, 120])
+def test_line_dedup_finds_passages_from_any_word_on(spark, words):
+    """No sentence ends, no line ends: only the words tell where a passage begins.  Alone, and with earlier texts that share parts of it."""
+    rng = random.Random(words)
     some = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
-    docs = []
-    for n in [40, 45, *range(51, 61)] * 6:
-        passage, i = some(n), len(docs)
-        docs += [(i, " ".join(some(rng.randrange(60)) + passage + some(rng.randrange(60)))), (i + 1, " ".join(some(rng.randrange(60)) + passage + some(rng.randrange(60))))]
-    got = {r["doc_id"]: r["cut_words"] for r in line_dedup.dedup_lines(frame(spark, docs)).collect()}
-    assert got == {i: len(set(docs[i - 1][1].split()) & set(text.split())) if i % 2 else 0 for i, text in docs}
-
-
-def test_line_dedup_where_the_first_text_shares_less(spark):
+    docs, later = [], {}
+    for hidden in (False, True):
+        for _ in range(100):
+            passage, i = some(words), len(docs)
+            parts = [passage[k : k + 29] for k in range(0, words - 10, 10)] if hidden else []
+            texts = [*parts, passage, passage]
+            docs += [(i + j, " ".join(some(rng.randrange(1, 60)) + x + some(rng.randrange(1, 60)))) for j, x in enumerate(texts)]
+            later[docs[-1][0]] = set(passage)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, docs)).collect()}
+    assert all(got[i] == t for i, t in docs if i not in later)
+    assert all(not set(got[i].split()) & x for i, x in later.items())
+
+
+def test_line_dedup_of_copies(spark):
+    """Copies of whole texts, with ids in any order; repeated rows are one document."""
     rng = random.Random(12)
-    some = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
-    docs = []
-    for n in [*range(51, 61)] * 4:
-        passage, i = some(n), len(docs)
-        docs += [(i, " ".join(some(9) + passage[8:47] + some(9))), *((i + j, " ".join(some(30) + passage + some(30))) for j in (1, 2))]
-    got = {r["doc_id"]: r["cut_words"] for r in line_dedup.dedup_lines(frame(spark, docs)).collect()}
-    assert all(n >= 40 if i % 3 == 2 else n == 0 for i, n in got.items())
-    after = sorted((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(frame(spark, docs)).collect())
-    assert not brute.repeated_left(after)
+    some = lambda n: " ".join(f"x{rng.randrange(10**9)}" for _ in range(n))
+    long, short = some(50), some(20)
+    docs = [(5, long), (5, long), (3, long), (9, long), (None, long), (4, short), (6, short), (7, "new " + long)]
+    got = rows_of(line_dedup.dedup_lines(frame(spark, docs)), "doc_id", "text", "cut_words")
+    assert got == sorted([(3, long, 0), (5, "", 50), (5, "", 50), (9, "", 50), (None, "", 50), (4, short, 0), (6, short, 0), (7, "new", 50)], key=str)
 
 
 def test_line_dedup_of_one_word(spark):
@@ -293,14 +296,41 @@ def test_proximity_matches_of_long_items(spark):
 def test_language_model_orders(spark):
     docs = [(i, f"a b c d{i % 3}" * (i % 4)) for i in range(30)]
     sums = []
-    for kappas in ((), (2.0,), (2.0, 1.0), (2.0, 1.0, 1.0)):
-        got = {r["doc_id"]: r["score"] for r in language_model.score_texts(frame(spark, docs), kappas=kappas).collect()}
-        want = brute.automaton_scores(docs, kappas)
+    for contexts in ((), ((2.0, 1.0),), ((2.0, 1.0), (1.0, 1.0)), ((2.0, 1.0), (1.0, 1.0), (1.0, 2.0))):
+        got = {r["doc_id"]: r["score"] for r in language_model.score_texts(frame(spark, docs), contexts=contexts).collect()}
+        want = brute.automaton_scores(docs, contexts)
         assert all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
         sums.append(sum(got.values()))
     assert sums == sorted(sums)
 
 
+def test_language_model_in_teams(spark):
+    """Sums through several levels of teams are those of one level, and stretches do not change a walk."""
+    rng = random.Random(21)
+    docs = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 400}" for _ in range(rng.choice([0, 1, 5, 40, 700])))) for i in range(120)]
+    want = brute.automaton_scores(docs, language_model.CONTEXTS)
+    base = brute.base_scores(docs)
+    for fan, direct in ((64, 256), (3, 4), (2, 1)):
+        rows = language_model.score_texts(frame(spark, docs), chunk_bytes=4000, fan=fan, direct=direct).collect()
+        got = {r["doc_id"]: (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) for r in rows}
+        assert got == {i: x[:4] for i, x in base.items()}
+        assert all(math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-9) and math.isclose(r["base_score"], base[r["doc_id"]][4], rel_tol=1e-9) for r in rows)
+
+
+def test_language_model_sends_blobs_in_proportion():
+    import numpy as np
+    import pyarrow as pa
+
+    def blobs(chunks):
+        tables = [pa.table({"chunk": pa.array([c] * 2, pa.int64()), "doc_id": [1, 2], "held_out": [False, True], "text": ["a b c " * 50, "b c d"]}) for c in range(chunks)]
+        return sum(language_model._count(3, 64)(t).num_rows for t in tables)
+
+    assert blobs(8) == 4 * blobs(2) == 8 * 3 * 64
+    keys = np.sort(np.array([0, 1, 2**49, 2**50 - 1], np.uint64))
+    parts = language_model._blobs(0, 2, keys, np.ones(4, np.uint64), 0, 4, 4)
+    assert [len(language_model.unpack_array(p[3])) for p in parts] == [2, 0, 1, 1]
+
+
 def test_packed_arrays_come_back():
     import numpy as np
 
