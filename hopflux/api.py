@@ -16,10 +16,10 @@ from pyspark.sql import types as T
 
 from hopflux.constants import UNREACHABLE
 from hopflux.functions import or_infinity
-from hopflux.operators import bfs, hyperpath, shortest_path
+from hopflux.operators import bfs, blocks, hyperpath, shortest_path
 from hopflux.operators import edges as ops
 from hopflux.operators import paths as path_ops
-from hopflux.plans.work import cut
+from hopflux.plans.work import save
 from hopflux.sources.frames import ROLES, to_spark
 
 
@@ -53,7 +53,10 @@ def _as_array(values: DataFrame, key: str, column: str, dtype) -> np.ndarray:
 
 
 class _Graph:
-    """Common to the engines on merged edges."""
+    """Common to the engines on merged edges.  What they keep in memory goes with :meth:`close` or at the end of a ``with`` block."""
+
+    #: Edges of a block, see :mod:`hopflux.operators.blocks`.
+    block_edges = blocks.BLOCK_EDGES
 
     def __init__(self, edges, names: dict[str, str], orientation: str, permute: bool, verbose: bool):
         if orientation not in ("in", "out"):
@@ -67,15 +70,31 @@ class _Graph:
                 raise TypeError(f"edges[{names[role]}] column should be of integer type")
         self._orientation, self._permute, self._links = orientation, permute, None
         given = frame.select(*(F.col(f"`{n}`").cast(ROLES[r]).alias(r) for r, n in names.items()))
-        self._edges = cut(ops.min_weight_edges(given) if "weight" in names else ops.distinct_edges(given))
+        self._edges = save(ops.min_weight_edges(given) if "weight" in names else ops.distinct_edges(given), "edges")
         facts = self._edges.agg(F.count("*").alias("n"), F.max(F.greatest("tail", "head")).alias("top"), *([F.coalesce(F.min("weight") < 0, F.lit(False)).alias("neg")] if "weight" in names else [])).first()
         self._n_edges, self._has_negative = facts["n"], "weight" in names and facts["neg"]
         self._vertex_set = ops.vertices(self._edges).persist() if permute else None
         self._n_vertices = self._vertex_set.count() if permute else 0 if facts["top"] is None else facts["top"] + 1
         if verbose:
             print(f"{ops.removed_count(given).first()[0]} parallel edge(s) removed")
-        walked = self._edges if orientation == "out" else ops.flipped(self._edges)
-        self._walked = shortest_path.prepared(walked)
+        #: Edges in the direction of the walk, and what queries keep of them until :meth:`close`.
+        self._walked = self._edges if orientation == "out" else ops.flipped(self._edges)
+        self._kept: list = [self._vertex_set] if permute else []
+        self._layout: blocks.Layout | None = None
+
+    def close(self) -> None:
+        """Let go of what is kept in memory; a later query prepares it again."""
+        for kept in self._kept:
+            kept.unpersist()
+        if self._layout:
+            self._layout.close()
+        self._layout = None
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     edges = property(lambda self: self._edges)
     n_edges = property(lambda self: self._n_edges)
@@ -102,7 +121,7 @@ class _Graph:
         return self._vertex_set.join(values, "vertex_idx", "left") if self._permute else ops.dense(values, self._n_vertices)
 
     def _link(self, values: DataFrame, column: str) -> None:
-        self._links = cut(self._full(values).select("vertex_idx", F.coalesce(column, "vertex_idx").alias("associated_idx")))
+        self._links = save(self._full(values).select("vertex_idx", F.coalesce(column, "vertex_idx").alias("associated_idx")), "links")
 
     def get_path(self, vertex_idx: int) -> np.ndarray | None:
         """The path of a vertex, itself first and the root last; an unreached vertex's path is itself.  None without tracking."""
@@ -126,7 +145,9 @@ class _Graph:
     def _batch(self, sources: Sequence[int], **how) -> DataFrame:
         for s in sources:
             self._known(s)
-        return shortest_path.shortest_paths(self._walked, sources, self._n_vertices, **how)
+        if self._layout is None:
+            self._layout = blocks.lay_out(self._walked, self._n_edges, self.block_edges)
+        return shortest_path.shortest_paths(self._layout, sources, self._n_vertices, negative=self._has_negative, **how)
 
 
 class Dijkstra(_Graph):
@@ -151,10 +172,8 @@ class Dijkstra(_Graph):
         ``heap_length_ratio`` is checked and has no effect.
         """
         vertex = self._known(vertex_idx)
-        if not isinstance(heap_length_ratio, float):
-            raise TypeError(f"argument 'heap_length_ratio={heap_length_ratio}' must be of float type")
-        if heap_length_ratio <= 0.0:
-            raise ValueError(f"argument 'heap_length_ratio={heap_length_ratio}' must be strictly positive")
+        if type(heap_length_ratio) is not float or heap_length_ratio <= 0.0:
+            raise (ValueError if type(heap_length_ratio) is float else TypeError)(f"heap_length_ratio is a positive float, not {heap_length_ratio!r}")
         targets = None if termination_nodes is None else self._targets(termination_nodes)
         self._links = None
         labels = self._batch([vertex], track=path_tracking, targets=targets)
@@ -169,25 +188,24 @@ class Dijkstra(_Graph):
         return _as_array(got, "position", "path_length", np.float64) if return_array else got
 
     def _targets(self, nodes) -> list[int]:
+        """The asked vertices as numbers, each of them in the graph."""
         try:
-            listed = np.asarray(nodes)
-            if listed.size and not np.issubdtype(listed.dtype, np.integer) and not np.all(listed == listed.astype(np.int64)):
-                raise ValueError
-            listed = listed.astype(np.int64)
+            given = [x.item() if isinstance(x, np.generic) else x for x in nodes]
+            asked = [x if isinstance(x, (list, tuple, np.ndarray)) else int(x) for x in given]
         except (ValueError, TypeError, OverflowError) as problem:
-            raise TypeError("argument 'termination_nodes' must be array-like of integers") from problem
-        if listed.ndim != 1:
-            raise ValueError("argument 'termination_nodes' must be 1-dimensional")
-        if not len(listed):
-            raise ValueError("argument 'termination_nodes' must not be empty")
+            raise TypeError("termination_nodes is a list of vertex numbers") from problem
+        if not asked or any(not isinstance(x, int) for x in asked):
+            raise ValueError("termination_nodes is one list with at least one vertex")
+        if any(x != y for x, y in zip(asked, given, strict=True)):
+            raise TypeError("termination_nodes is a list of vertex numbers")
         if self._permute:
-            there = {r[0] for r in self._vertex_set.where(F.col("vertex_idx").isin(sorted(set(listed.tolist())))).collect()}
-            for node in listed.tolist():
-                if node not in there:
-                    raise ValueError(f"termination node {node} not found in graph")
-        elif listed.min() < 0 or listed.max() >= self._n_vertices:
-            raise ValueError("termination_nodes contains invalid vertex indices")
-        return listed.tolist()
+            wanted = self._vertex_set.sparkSession.createDataFrame([(x,) for x in sorted(set(asked))], "vertex_idx long")
+            absent = wanted.join(self._vertex_set, "vertex_idx", "left_anti").first()
+        else:
+            absent = next(((x,) for x in asked if not 0 <= x < self._n_vertices), None)
+        if absent:
+            raise ValueError(f"termination node {absent[0]} not found in graph")
+        return asked
 
     def run_many(self, sources: Sequence[int], path_tracking: bool = False) -> DataFrame:
         """``(source, vertex_idx, path_length[, associated_idx])`` of all reached vertices, for all sources in one fixpoint."""
@@ -210,7 +228,7 @@ class BellmanFord(_Graph):
         vertex = self._known(vertex_idx)
         self._links, self._cycle = None, False
         try:
-            labels = self._batch([vertex], track=path_tracking, negative=self._has_negative, detect=detect_negative_cycles or not self._has_negative)
+            labels = self._batch([vertex], track=path_tracking, detect=detect_negative_cycles or not self._has_negative)
         except shortest_path.NegativeCycle:
             self._cycle = True
             raise
@@ -277,7 +295,7 @@ class HyperpathGenerating:
             if name not in frame.columns:
                 raise KeyError(f"edge column '{name}' not found in graph edges dataframe")
         given = frame.select(*(["edge_idx"] if "edge_idx" in frame.columns else []), *(F.col(f"`{n}`").cast(ROLES[r]).alias(r) for r, n in names.items()))
-        self._edges = cut(ops.clamped_edges(ops.with_edge_idx(given)))
+        self._edges = save(ops.clamped_edges(ops.with_edge_idx(given)), "edges")
         self._orientation = orientation
         self.edge_count = self._edges.count()
         self.vertex_count = ops.vertex_count(self._edges)

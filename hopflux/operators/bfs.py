@@ -6,15 +6,19 @@ level, those whose parent ranks lower come first, and under one parent those wit
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hopflux.operators.edges import numbered
-from hopflux.plans.work import cut, save
+from hopflux.plans.work import save
 
 #: A level with more vertices than this is ranked by ranges instead of in one sorted pass.
 ONE_PASS = 1_000_000
+#: Levels after which their tables are put together.
+TOGETHER = 16
 
 
 def _ranked(level: DataFrame, size: int) -> DataFrame:
@@ -26,22 +30,22 @@ def _ranked(level: DataFrame, size: int) -> DataFrame:
 def bfs_tree(edges: DataFrame, start: int) -> DataFrame:
     """v, level, rank (within the level), pred for every vertex that ``start`` reaches; the start's pred is null.
 
-    ``edges`` are distinct (tail, head), ideally partitioned by tail.
+    ``edges`` are distinct (tail, head).  Each level is a table of its own, which later ones only read.
     """
-    spark = edges.sparkSession
-    front = spark.createDataFrame([(start, 0, 0, None)], "v long, level int, rank long, pred long")
-    seen = cut(front.repartition("v"))
-    level = 0
+    front = edges.sparkSession.createDataFrame([(start, 0, 0, None)], "v long, level int, rank long, pred long")
+    levels, level = [front], 0
     while True:
         level += 1
-        last = seen.where(F.col("level") == level - 1)
-        offers = last.join(edges.hint("merge"), last["v"] == edges["tail"]).groupBy(F.col("head").alias("v")).agg(F.min(F.struct("rank", F.col("tail").alias("pred"))).alias("p"))
-        fresh = save(offers.join(seen.select("v"), "v", "left_anti").select("v", F.col("p.rank").alias("prank"), F.col("p.pred").alias("pred")), "level")
+        offers = front.join(edges, front["v"] == edges["tail"]).groupBy(F.col("head").alias("v")).agg(F.min(F.struct("rank", F.col("tail").alias("pred"))).alias("p"))
+        seen = reduce(DataFrame.union, levels).select("v")
+        fresh = save(offers.join(seen, "v", "left_anti").select("v", F.col("p.rank").alias("prank"), F.col("p.pred").alias("pred")), "level")
         size = fresh.count()
         if not size:
-            return seen
-        found = _ranked(fresh, size).select("v", F.lit(level).alias("level"), "rank", "pred")
-        seen = cut(seen.union(found).repartition("v"))
+            return reduce(DataFrame.union, levels)
+        front = save(_ranked(fresh, size).select("v", F.lit(level).alias("level"), "rank", "pred"), "level")
+        levels.append(front)
+        if len(levels) > TOGETHER:
+            levels = [save(reduce(DataFrame.union, levels), "levels")]
 
 
 def bfs_reorder(edges: DataFrame, start: int, count: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopflux.constants import INF, MIN_FREQ
-from hopflux.plans.work import cut
+from hopflux.plans.work import save
 
 #: Relative improvement below which a time counts as unchanged, so that rounding cannot keep the loop going.
 SETTLED = 1e-15
@@ -39,21 +39,23 @@ def _options(edges: DataFrame, times: DataFrame) -> DataFrame:
 def strategy(edges: DataFrame, destination: int, count: int) -> tuple[DataFrame, DataFrame]:
     """Times (v, u) and chosen edges (edge_idx, tail, head, share) towards ``destination``; ``edges`` are clamped and numbered."""
     spark = edges.sparkSession
-    leaving = edges.where(F.col("tail") != destination).select("edge_idx", "tail", "head", "trav_time", "freq").persist()
-    times = cut(spark.createDataFrame([(destination, 0.0, 0)], "v long, u double, round int").repartition("v"))
+    leaving = edges.where(F.col("tail") != destination).select("edge_idx", "tail", "head", "trav_time", "freq")
+    times = save(spark.createDataFrame([(destination, 0.0, 0)], "v long, u double, round int"), "times")
     for number in range(1, 2 * count + 2):
         moved = times.where(F.col("round") == number - 1).select(F.col("v").alias("head"))
         touched = leaving.join(moved, "head", "left_semi").select("tail").distinct()
         fresh = _options(leaving.join(touched, "tail", "left_semi"), times).select(F.col("tail").alias("v"), _fold(F.col("options"))["u"].alias("new"))
         better = F.col("new").isNotNull() & (F.col("u").isNull() | (F.col("new") < F.col("u") * (1 - SETTLED)))
         met = times.join(fresh, "v", "full_outer").withColumn("better", F.coalesce(better, F.lit(False)))
-        times = cut(met.select("v", F.when(F.col("better"), F.col("new")).otherwise(F.coalesce("u", "new")).alias("u"), F.when(F.col("better"), number).otherwise(F.coalesce("round", F.lit(0))).alias("round")))
+        times = save(met.select("v", F.when(F.col("better"), F.col("new")).otherwise(F.coalesce("u", "new")).alias("u"), F.when(F.col("better"), number).otherwise(F.coalesce("round", F.lit(0))).alias("round")), "times")
         if times.where(F.col("round") == number).isEmpty():
             break
+    else:
+        raise RuntimeError(f"times still change after {2 * count + 1} rounds")
     folded = _options(leaving, times).select("tail", "options", _fold(F.col("options")).alias("s"))
     used = folded.select("tail", F.greatest(F.col("s.f"), F.lit(MIN_FREQ)).alias("f_tail"), F.explode(F.slice("options", 1, F.col("s.n"))).alias("o")).select("tail", "f_tail", "o.edge_idx", "o.freq")
     heads = leaving.select("edge_idx", "head")
-    chosen = cut(used.join(heads, "edge_idx").select("edge_idx", "tail", "head", "freq", "f_tail"))
+    chosen = save(used.join(heads, "edge_idx").select("edge_idx", "tail", "head", "freq", "f_tail"), "chosen")
     return times.select("v", "u"), chosen
 
 
@@ -64,14 +66,14 @@ def load(chosen: DataFrame, times: DataFrame, demand: DataFrame, count: int) ->
     nothing.
     """
     last = demand.groupBy("origin").agg(F.max_by("volume", "position").alias("amount"))
-    front = cut(last.join(times, last["origin"] == times["v"], "left_semi").select(F.col("origin").alias("v"), "amount").where("amount > 0"))
+    front = save(last.join(times, last["origin"] == times["v"], "left_semi").select(F.col("origin").alias("v"), "amount").where("amount > 0"), "front")
     flows: list[DataFrame] = []
     for _ in range(count + 1):
         if front.isEmpty():
             break
-        moved = cut(front.join(chosen, front["v"] == chosen["tail"]).select("edge_idx", "head", (F.col("amount") * F.col("freq") / F.col("f_tail")).alias("volume")))
+        moved = save(front.join(chosen, front["v"] == chosen["tail"]).select("edge_idx", "head", (F.col("amount") * F.col("freq") / F.col("f_tail")).alias("volume")), "flow")
         flows.append(moved)
-        front = cut(moved.groupBy(F.col("head").alias("v")).agg(F.sum("volume").alias("amount")).where("amount > 0"))
+        front = moved.groupBy(F.col("head").alias("v")).agg(F.sum("volume").alias("amount")).where("amount > 0")
     if not flows:
         return chosen.select("edge_idx", F.lit(0.0).alias("volume")).limit(0)
     every = flows[0]

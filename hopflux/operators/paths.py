@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopflux.plans.work import cut
+from hopflux.plans.work import save
 
-#: Links followed between two checkpoints.
-STRIDE = 4
+#: Links followed between two work tables.
+STRIDE = 8
 
 
 def paths(links: DataFrame, targets: DataFrame | None = None, limit: int | None = None) -> DataFrame:
@@ -16,28 +18,22 @@ def paths(links: DataFrame, targets: DataFrame | None = None, limit: int | None
 
     ``limit`` bounds the steps, for link tables that may hold cycles.
     """
-    link = links.select("vertex_idx", "associated_idx").where("vertex_idx <> associated_idx").repartition("vertex_idx").persist()
-    start = (links if targets is None else targets).select(F.col("vertex_idx").alias("target"), F.lit(0).alias("step"), "vertex_idx")
-    front, done = cut(start), []
-    done.append(front)
-    step = 0
+    link = links.select("vertex_idx", F.col("associated_idx").alias("to")).where("vertex_idx <> to")
+    front = (links if targets is None else targets).select(F.col("vertex_idx").alias("target"), F.lit(0).alias("step"), "vertex_idx")
+    done, step = [front], 0
     while limit is None or step < limit:
-        hops = []
-        for _ in range(STRIDE):
-            step += 1
-            front = front.join(link, "vertex_idx").select("target", F.lit(step).alias("step"), F.col("associated_idx").alias("vertex_idx"))
-            hops.append(front)
-        stride = hops[0]
-        for more in hops[1:]:
-            stride = stride.union(more)
-        stride = cut(stride)
-        if stride.isEmpty():
+        # a row gathers the next links of its path in columns, so that each is followed once
+        ahead = front.select("target", F.col("vertex_idx").alias("h0"))
+        for i in range(STRIDE):
+            ahead = ahead.join(link.select(F.col("vertex_idx").alias(f"h{i}"), F.col("to").alias(f"h{i + 1}")), f"h{i}", "left")
+        ahead = save(ahead, "paths")
+        hops = F.explode(F.array(*(F.struct((F.lit(step) + i).alias("step"), F.col(f"h{i}").alias("vertex_idx")) for i in range(1, STRIDE + 1))))
+        done.append(ahead.select("target", hops.alias("x")).select("target", "x.*").where("vertex_idx is not null"))
+        step += STRIDE
+        front = ahead.where(F.col(f"h{STRIDE}").isNotNull()).select("target", F.lit(step).alias("step"), F.col(f"h{STRIDE}").alias("vertex_idx"))
+        if front.isEmpty():
             break
-        done.append(stride)
-        front = stride.where(F.col("step") == step)
-    every = done[0]
-    for more in done[1:]:
-        every = every.union(more)
+    every = reduce(DataFrame.union, done)
     return every if limit is None else every.where(F.col("step") <= limit)
 
 

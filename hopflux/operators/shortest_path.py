@@ -1,9 +1,12 @@
-"""Shortest paths as a fixpoint: join the frontier to the edges, keep the best label per vertex, repeat.
+"""Shortest paths as a fixpoint over blocks of vertices.
+
+In a round the blocks that have got candidates relax their own edges until nothing inside them changes, and send candidates on to other
+blocks (see :mod:`hopflux.operators.blocks`).  So a round takes every path as far as it stays in its block, only candidates for other
+blocks are shuffled, and blocks without any are not read.  Each round is written as a work table of what changed, which cuts
+the lineage; every few rounds the tables are put together.
 
 A label is (distance, hops, predecessor) and smaller labels win in that order, so equal distances are decided alike
-however the rounds run, and predecessors never form a cycle, even through edges of weight 0.  Many sources go in one
-fixpoint; the state is keyed by source and vertex and stays partitioned by both, so that a round shuffles no more than
-the candidates its frontier makes.
+however the rounds run, and predecessors never form a cycle, even through edges of weight 0.  Many sources go in one fixpoint.
 """
 
 from __future__ import annotations
@@ -11,87 +14,112 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopflux.plans.work import cut
+from hopflux.operators import blocks
+from hopflux.operators.blocks import CANDIDATE, COPY, CYCLE, LABEL, ROWS, Layout
+from hopflux.plans.work import save, scope
 
-LABELS = "source long, v long, d double, hops long, pred long, round int"
+#: Rounds between two writings of all labels.
+TOGETHER = 8
 
 
 class NegativeCycle(ValueError):
     """A cycle of negative total weight can be reached."""
 
 
-def prepared(edges: DataFrame) -> DataFrame:
-    """Edges laid out for the relaxation join: partitioned and sorted by tail, and kept."""
-    return edges.repartition("tail").sortWithinPartitions("tail").persist()
-
-
-def relax(state: DataFrame, edges: DataFrame, number: int, track: bool, bounds: DataFrame | None = None) -> DataFrame:
-    """One round: labels of round ``number`` - 1 offer their neighbours better ones."""
-    front = state.where(F.col("round") == number - 1)
-    if bounds is not None:
-        front = front.join(bounds, "source", "left").where("bound is null or d <= bound")
-    offer = front.join(edges.hint("merge"), front["v"] == edges["tail"]).select("source", F.col("head").alias("v"), (F.col("d") + F.col("weight")).alias("d"), (F.col("hops") + 1).alias("hops"), F.col("v").alias("pred"))
-    if track:
-        best = offer.groupBy("source", "v").agg(F.min(F.struct("d", "hops", "pred")).alias("c"))
-        wins = F.col("c").isNotNull() & (F.col("d").isNull() | (F.col("c") < F.struct("d", "hops", "pred")))
-    else:
-        best = offer.groupBy("source", "v").agg(F.min("d").alias("best")).select("source", "v", F.struct(F.col("best").alias("d"), F.lit(number).cast("long").alias("hops"), F.col("v").alias("pred")).alias("c"))
-        wins = F.col("c").isNotNull() & (F.col("d").isNull() | (F.col("c.d") < F.col("d")))
-    met = state.join(best, ["source", "v"], "full_outer").withColumn("wins", F.coalesce(wins, F.lit(False)))
-    pick = lambda name: F.when(F.col("wins"), F.col(f"c.{name}")).otherwise(F.col(name)).alias(name)
-    return met.select("source", "v", pick("d"), pick("hops"), pick("pred"), F.when(F.col("wins"), number).otherwise(F.col("round")).alias("round"))
+def _labels(rows: DataFrame) -> DataFrame:
+    """The best label per source and vertex of rows from many rounds."""
+    best = rows.where(F.col("kind") == LABEL).groupBy("source", "v").agg(F.min(F.struct("d", "hops", "pred")).alias("c"))
+    return best.select("source", "v", "c.d", "c.hops", "c.pred")
 
 
-def in_cycle(state: DataFrame, count: int, rounds: int) -> bool:
+def in_cycle(labels: DataFrame, count: int, rounds: int) -> bool:
     """Whether predecessors run in a cycle, by doubling pointers: then some vertex never gets to its root.
 
     After ``rounds`` rounds most chains are no longer than that, so a look at whether all have ended comes first there.
     """
-    jump = cut(state.select("source", "v", "pred"))
+    jump = save(labels.select("source", "v", "pred"), "jump")
 
     def twice(jump: DataFrame) -> DataFrame:
         return jump.join(jump.select("source", F.col("v").alias("pred"), F.col("pred").alias("far")), ["source", "pred"]).select("source", "v", F.col("far").alias("pred"))
 
     soon, most = math.ceil(math.log2(rounds + 1)), math.ceil(math.log2(count + 1))
     for power in range(2, most + 3, 2):
-        jump = cut(twice(twice(jump)))
+        jump = save(twice(twice(jump)), "jump")
         if power >= min(soon, most) and jump.where("pred <> source").isEmpty():
             return False
     return True
 
 
-def shortest_paths(edges: DataFrame, sources: Iterable[int] | DataFrame, count: int, track: bool = False, targets: Iterable[int] | None = None, negative: bool = False, detect: bool = True) -> DataFrame:
+class _Rounds:
+    """What the rounds have found, a table of rows for each."""
+
+    def __init__(self, layout: Layout, start: DataFrame):
+        self.layout, self.past, self.now = layout, [], start
+
+    def every(self) -> DataFrame:
+        rows = self.now
+        for more in self.past:
+            rows = rows.union(more)
+        return rows
+
+    def step(self, active: list[int], run) -> None:
+        """The next round: active blocks with their labels and candidates."""
+        inbox, edges = self.now.where(F.col("kind") != CYCLE), self.layout.edges
+        for more in self.past:
+            inbox = inbox.union(more.where(F.col("kind") != CANDIDATE))
+        if len(active) < self.layout.blocks:
+            asked = F.broadcast(inbox.sparkSession.createDataFrame([(b,) for b in active], "block int"))
+            inbox, edges = inbox.join(asked, "block", "left_semi"), edges.join(asked, "block", "left_semi")
+        made = edges.groupBy("block").cogroup(inbox.groupBy("block")).applyInArrow(run, ROWS)
+        self.past.append(self.now)
+        self.now = save(made, "round")
+
+    def together(self) -> None:
+        """The best labels and the candidates at hand, in place of all rounds so far."""
+        held = self.every().where(F.col("kind").isin(LABEL, COPY)).groupBy("kind", "block", "source", "v").agg(F.min(F.struct("d", "hops", "pred")).alias("c"))
+        whole = held.select("kind", "block", "source", "v", "c.d", "c.hops", "c.pred").union(self.now.where(F.col("kind") == CANDIDATE))
+        self.past, self.now = [], save(whole, "rounds")
+
+
+def shortest_paths(layout: Layout, sources: Iterable[int], count: int, track: bool = False, targets: Iterable[int] | None = None, negative: bool = False, detect: bool = True) -> DataFrame:
     """Labels (source, v, d, hops, pred) of all vertices that the sources reach.
 
-    ``edges`` are merged (tail, head, weight), ideally :func:`prepared`.  ``count`` is the number of vertices.  With
+    ``layout`` is that of merged edges (:func:`hopflux.operators.blocks.lay_out`) and ``count`` the number of vertices.  With
     ``targets`` and weights that are not negative, labels beyond the furthest target are not followed.  ``negative`` says
     that weights may be negative: with ``detect`` a reachable negative cycle raises :class:`NegativeCycle`, without it
-    the loop ends after ``count`` - 1 rounds with whatever stands then.
+    no path of ``count`` edges or more is followed.
     """
-    spark = edges.sparkSession
-    start = sources if isinstance(sources, DataFrame) else spark.createDataFrame([(int(s),) for s in sources], "source long")
-    track = track or (negative and detect)
-    state = start.distinct().select("source", F.col("source").alias("v"), F.lit(0.0).alias("d"), F.lit(0).cast("long").alias("hops"), F.col("source").alias("pred"), F.lit(0).alias("round"))
-    state = cut(state.repartition("source", "v"))
-    wanted = sorted(set(targets)) if targets is not None and not negative else None
-    # a graph of V vertices needs V - 1 rounds at most; one more shows that nothing changes
-    last = max(count, 1) if detect or not negative else max(count, 1) - 1
-    bounds, look, number = None, 8, 0
-    while number < last:
-        number += 1
-        state = cut(relax(state, edges, number, track, bounds), eager=False)
-        if not state.agg(F.count_if(F.col("round") == number)).first()[0]:
-            return state.drop("round")
-        if wanted is not None:
-            held = state.where(F.col("v").isin(wanted)).groupBy("source").agg(F.count("*").alias("c"), F.max("d").alias("bound"))
-            bounds = held.where(F.col("c") == len(wanted)).select("source", "bound")
-        if negative and detect and number >= look:
-            look *= 2
-            if in_cycle(state, count, number):
-                raise NegativeCycle("Negative cycle detected in the graph")
-    if detect:
-        raise NegativeCycle("Negative cycle detected in the graph")
-    return state.drop("round")
+    spark, track = layout.edges.sparkSession, track or negative
+    wanted = sorted(set(targets)) if targets is not None and not negative else []
+    distinct = np.array(sorted(set(sources)), np.int64)
+    homes = layout.ranges.of(distinct)
+    rounds = _Rounds(layout, spark.createDataFrame([(CANDIDATE, int(b), int(s), int(s), 0.0, 0, int(s)) for s, b in zip(distinct.tolist(), homes.tolist())], ROWS))
+    active, found, number, look = sorted(set(homes.tolist())), {}, 0, 8
+    # one row comes back from a round: block numbers, whether there was a cycle, and the targets' labels
+    there = F.when((F.col("kind") == LABEL) & F.col("v").isin(wanted), F.struct("source", "v", "d")) if wanted else F.lit(None)
+    facts = (F.collect_set(F.when(F.col("kind") == CANDIDATE, F.col("block"))).alias("active"), F.count_if(F.col("kind") == CYCLE).alias("cycles"), F.collect_list(there).alias("targets"))
+    try:
+        with scope() as own:
+            while active:
+                number += 1
+                bound = max(found.values()) if wanted and len(found) == len(wanted) * len(distinct) else math.inf
+                rounds.step(active, blocks.relax(layout.ranges, count, track, negative, detect, bound, wanted))
+                row = rounds.now.agg(*facts).first()
+                if row["cycles"]:
+                    raise NegativeCycle("Negative cycle detected in the graph")
+                active = sorted(row["active"])
+                for s, v, d in row["targets"]:
+                    found[s, v] = min(d, found.get((s, v), math.inf))
+                if negative and detect and number >= look and active:
+                    look *= 2
+                    if in_cycle(_labels(rounds.every()), count, number):
+                        raise NegativeCycle("Negative cycle detected in the graph")
+                if number % TOGETHER == 0 and active:
+                    rounds.together()
+        return save(_labels(rounds.every()), "labels")
+    finally:
+        own.free()

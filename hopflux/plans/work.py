@@ -1,14 +1,20 @@
-"""Work tables and checkpoints in the shared folder that the cluster names in ``spark.checkpoint.dir``."""
+"""Work tables in the shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+A work table belongs to the innermost :func:`scope` that is open when it is written, and goes when that scope is freed; tables
+without one stay until the application ends, since results that read them may be lazy.
+"""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: dict[str, list[str]] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; only where none is set (tests, one machine) a folder of our own."""
@@ -23,37 +29,49 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a work table and return the table: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/hopflux-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+class Scope:
+    """Work tables of one owner, who frees them once nothing lazy reads them any more."""
 
+    def __init__(self) -> None:
+        self.paths: list[str] = []
 
-def release(spark: SparkSession) -> None:
-    """Delete the work tables that this session has written so far."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in _written.pop(spark.sparkContext.applicationId, []):
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+    def free(self) -> None:
+        from pyspark import SparkContext
 
+        paths, self.paths = self.paths, []
+        jvm = SparkContext._jvm
+        if jvm is not None and paths:
+            conf = jvm.org.apache.hadoop.conf.Configuration() if SparkContext._active_spark_context is None else SparkContext._active_spark_context._jsc.hadoopConfiguration()
+            for path in paths:
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(conf).delete(at, True)
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder, keeping how it is partitioned, so that joins on it need no exchange.
 
-    With ``eager`` false it is written by the first action on the result, which saves a pass.
+_rest = Scope()
+_open: contextvars.ContextVar[Scope] = contextvars.ContextVar("scope", default=_rest)
 
-    Adaptive execution decides partitions while it runs and so has none to keep; it is off while this one plan is made.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_dir(spark))
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+
+@atexit.register
+def _free_rest() -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        _rest.free()
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[Scope]:
+    """Work tables written in this block belong to the scope that it gives; leaving the block does not free them."""
+    own = Scope()
+    token = _open.set(own)
     try:
-        return df.checkpoint(eager)
+        yield own
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        _open.reset(token)
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a work table and return the table: cuts lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/hopflux-{name}-{uuid.uuid4().hex}"
+    _open.get().paths.append(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

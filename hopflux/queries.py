@@ -11,7 +11,7 @@ from hopflux import views
 from hopflux.api import BFS, BellmanFord, Dijkstra, HyperpathGenerating
 from hopflux.operators import edges as ops
 from hopflux.operators import paths
-from hopflux.sources import sioux_falls, transit_example
+from hopflux.sources import generate_random_network, read_edges, sioux_falls, transit_example
 from hopflux.sources.networks import SIOUX_FALLS, transit_edges
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -240,26 +240,33 @@ def bf_stsp_links(spark, sf_dir):
     return _with_links(engine, engine.run(150, path_tracking=True))
 
 
-_CYCLE = f"WITH {DAG}, o AS (SELECT head, weight FROM e WHERE tail = 1 ORDER BY head LIMIT 1) SELECT (weight + (-weight - 1)) < 0 AS has_negative_cycle FROM o"
+#: Without the edge back there is no cycle, so the lightest one is that edge and the shortest path to where it leaves.
+_BACK = "o AS (SELECT head AS tail, {} - weight AS weight FROM e WHERE tail = 1 ORDER BY head LIMIT 1)"
+_CYCLE = f"WITH RECURSIVE {DAG}, {_distances('e')}, {_BACK} SELECT d + weight < 0 AS has_negative_cycle FROM o JOIN sp ON sp.v = o.tail"
 
 
-def _has_cycle(spark, sf_dir, orientation: str) -> DataFrame:
-    engine = BellmanFord(views.g_neg_cycle(spark, sf_dir), orientation=orientation)
-    try:
-        engine.run(ROOT)
-    except ValueError:
-        pass
-    return spark.createDataFrame([(engine.has_negative_cycle(),)], "has_negative_cycle boolean")
+def _has_cycle(spark, sf_dir, orientation: str, extra: float) -> DataFrame:
+    with BellmanFord(views.g_back(spark, sf_dir, extra), orientation=orientation) as engine:
+        try:
+            engine.run(ROOT)
+        except ValueError:
+            pass
+        return spark.createDataFrame([(engine.has_negative_cycle(),)], "has_negative_cycle boolean")
 
 
-@query(_CYCLE)
+@query(_CYCLE.format(-1.0))
 def bf_negative_cycle(spark, sf_dir):
-    return _has_cycle(spark, sf_dir, "out")
+    return _has_cycle(spark, sf_dir, "out", -1.0)
 
 
-@query(_CYCLE)
+@query(_CYCLE.format(-1.0))
 def bf_negative_cycle_in(spark, sf_dir):
-    return _has_cycle(spark, sf_dir, "in")
+    return _has_cycle(spark, sf_dir, "in", -1.0)
+
+
+@query(_CYCLE.format(1e6))
+def bf_cycle_of_positive_weight(spark, sf_dir):
+    return _has_cycle(spark, sf_dir, "out", 1e6)
 
 
 # ---- breadth-first trees -------------------------------------------------------------------------------------------
@@ -305,6 +312,24 @@ def paths_all(spark, sf_dir):
     return paths.paths(engine.path_links, reached).select("target", F.col("step").cast("long").alias("step"), "vertex_idx")
 
 
+# ---- sources --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT n_nationkey::BIGINT AS tail, n_regionkey::BIGINT AS head, count(*)::DOUBLE AS weight FROM nation GROUP BY ALL")
+def read_edges_by_role(spark, sf_dir):
+    """Edges from a file by the names of its columns; the weight is that of merged rows."""
+    found = read_edges(f"{sf_dir}/nation.parquet", spark, tail="n_nationkey", head="n_regionkey")
+    return found.groupBy("tail", "head").agg(F.count("*").cast("double").alias("weight"))
+
+
+@query("SELECT 3000::BIGINT AS n_edges, 900::BIGINT AS n_negative, 0::BIGINT AS n_outside")
+def generated_edges(spark, sf_dir):
+    """The generator's promises: edges in number, the share of negative weights, and ends and weights within their bounds."""
+    rows = generate_random_network(3000, 70, allow_negative_weights=True, negative_weight_ratio=0.3, weight_range=(0.5, 2.0), spark=spark)
+    inside = F.col("tail").between(0, 69) & F.col("head").between(0, 69) & F.abs("weight").between(0.5, 2.0)
+    return rows.agg(F.count("*").alias("n_edges"), F.count_if(F.col("weight") < 0).alias("n_negative"), F.count_if(~inside).alias("n_outside"))
+
+
 # ---- transit -------------------------------------------------------------------------------------------------------
 
 ORIGIN = 5

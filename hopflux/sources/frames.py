@@ -66,3 +66,18 @@ def read_edges(path: str, spark: SparkSession | None = None, source: str = "parq
     if source == "csv":
         reader = reader.option("header", True)
     return edge_frame(reader.load(path), **names)
+
+
+class GraphImporter:
+    """Edges of any kind of table, as a Spark table with canonical columns or as a pandas one."""
+
+    def __init__(self, edges: DataFrame):
+        self.edges = edges
+
+    @staticmethod
+    def from_dataframe(edges, tail: str = "tail", head: str = "head", weight: str | None = None, trav_time: str | None = None, freq: str | None = None) -> GraphImporter:
+        return GraphImporter(standardize_graph_dataframe(edges, tail, head, weight, trav_time, freq))
+
+    def to_numpy_edges(self, columns: list[str] | None = None):
+        """A pandas table of these canonical columns; the whole edge table comes to the driver."""
+        return self.edges.select(*(columns or self.edges.columns)).toPandas()

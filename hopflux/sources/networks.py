@@ -93,6 +93,17 @@ def sioux_falls(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "tail long, head long, trav_time double")
 
 
+class SiouxFalls:
+    """The road network of Sioux Falls; ``edges`` has its table."""
+
+    def __init__(self, spark: SparkSession | None = None):
+        self._spark = spark
+
+    @property
+    def edges(self) -> DataFrame:
+        return sioux_falls(self._spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate())
+
+
 def transit_edges(dwell_time: float, board_alight_ratio: float) -> list[tuple[int, int, float, float, float]]:
     """Edges (tail, head, trav_time, freq, volume_ref) of the example of Spiess and Florian (1989), in their order.
 
@@ -136,3 +147,8 @@ def transit_example(spark: SparkSession, dwell_time: float = 0.0, board_alight_r
     rows = [(i, *e) for i, e in enumerate(transit_edges(dwell_time, board_alight_ratio))]
     edges = spark.createDataFrame(rows, "edge_idx long, tail long, head long, trav_time double, freq double, volume_ref double")
     return edges, spark.createDataFrame([(0, 12, 1.0)], "origin_vertex_id long, destination_vertex_id long, demand double")
+
+
+def create_sf_network(dwell_time: float = 1e-6, board_alight_ratio: float = 0.5, spark: SparkSession | None = None) -> DataFrame:
+    """The transit example's edges: tail, head, trav_time, freq, volume_ref, and edge_idx for their order."""
+    return transit_example(spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate(), dwell_time, board_alight_ratio)[0]

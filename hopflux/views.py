@@ -32,11 +32,11 @@ def g_dag_neg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return min_weight_edges(pairs.select("tail", "head", ((F.col("l_discount") - 0.05) * F.col("l_extendedprice") / 1000).alias("weight")))
 
 
-def g_neg_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """g_dag_neg and an edge back to vertex 1 that closes a cycle of weight -1."""
+def g_back(spark: SparkSession, sf_dir: str, extra: float) -> DataFrame:
+    """g_dag_neg and an edge back to vertex 1 from the smallest vertex after it, ``extra`` above the negative weight of the edge there."""
     dag = g_dag_neg(spark, sf_dir)
     out = dag.where("tail = 1").agg(F.min(F.struct("head", "weight")).alias("e"))
-    return dag.union(out.select(F.col("e.head").alias("tail"), F.lit(1).cast("long").alias("head"), (-F.col("e.weight") - 1).alias("weight")))
+    return dag.union(out.select(F.col("e.head").alias("tail"), F.lit(1).cast("long").alias("head"), (F.lit(extra) - F.col("e.weight")).alias("weight")))
 
 
 def g_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:

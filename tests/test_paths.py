@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from hopflux import BFS, INF, BellmanFord, Dijkstra, HyperpathGenerating
-from hopflux.sources import edge_frame, generate_random_network, read_edges, sioux_falls, standardize_graph_dataframe, transit_example
+from hopflux.sources import GraphImporter, SiouxFalls, create_sf_network, edge_frame, generate_random_network, read_edges, sioux_falls, standardize_graph_dataframe, transit_example
 
 INFINITY = float("inf")
 
@@ -118,6 +118,41 @@ def test_random_graph_against_a_heap(spark):
     assert all(np.isclose(many.get((s, v), INFINITY), w[v]) or w[v] == many.get((s, v), INFINITY) for s, w in ((3, want), (5, both)) for v in range(n))
 
 
+@pytest.mark.parametrize("block_edges", [20])
+def test_many_small_blocks(spark, monkeypatch, block_edges):
+    """A hub with more edges than a block holds, vertices without edges out, zero weights; several sources; either direction."""
+    monkeypatch.setattr(Dijkstra, "block_edges", block_edges)
+    rng = random.Random(block_edges)
+    best = {(7, h): float(rng.randrange(5)) for h in range(30)}
+    best |= {(rng.randrange(30), rng.randrange(40)): float(rng.randrange(4)) for _ in range(60)}
+    rows = [(t, h, w) for (t, h), w in best.items()]
+    n = max(max(t, h) for t, h, _ in rows) + 1
+    engine = Dijkstra(graph(*rows))
+    got = engine.run(3, return_array=True, path_tracking=True)
+    assert got.tolist() == plain_dijkstra(rows, 3, n)
+    for r in engine.get_paths().collect():
+        hops = r["path"][::-1]
+        assert hops == [r["target"]] or sum(best[x] for x in zip(hops, hops[1:])) == got[r["target"]]
+    many = {(r["source"], r["vertex_idx"]): r["path_length"] for r in engine.run_many([7, 3, 39]).collect()}
+    assert all(many.get((s, v), INFINITY) == d for s in (7, 3, 39) for v, d in enumerate(plain_dijkstra(rows, s, n)))
+    assert Dijkstra(graph(*((h, t, w) for t, h, w in rows)), orientation="in").run(3, return_array=True).tolist() == got.tolist()
+    reached = [v for v in range(n) if got[v] < INFINITY]
+    assert engine.run(3, termination_nodes=reached[-3:], return_array=True).tolist() == got[reached[-3:]].tolist()
+    engine.close()
+    assert engine.run(3, return_array=True).tolist() == got.tolist()
+
+
+def test_chain_through_blocks(spark, monkeypatch):
+    monkeypatch.setattr(BellmanFord, "block_edges", 100)
+    chain = [(i, i + 1, -1.0) for i in range(999)]
+    with BellmanFord(graph(*chain)) as engine:
+        assert engine.run(0, return_array=True).tolist() == [-float(i) for i in range(1000)]
+    with BellmanFord(graph(*chain, (999, 0, 998.0))) as engine, pytest.raises(ValueError, match="Negative cycle"):
+        engine.run(500)
+    with BellmanFord(graph(*chain, (999, 0, 999.0))) as engine:
+        assert engine.run(0, return_array=True)[999] == -999.0
+
+
 def test_negative_weights(spark):
     engine = BellmanFord(graph((0, 1, 1.0), (0, 2, 4.0), (1, 2, -2.0), (1, 3, 5.0), (2, 3, 1.0), (3, 4, 3.0)))
     assert engine.run(0, path_tracking=True, return_array=True).tolist() == [0, 1, -1, 0, 3]
@@ -127,8 +162,10 @@ def test_negative_weights(spark):
 CYCLE = [(0, 1, 1.0), (1, 2, -2.0), (2, 0, -1.0), (2, 3, 1.0)]
 
 
+@pytest.mark.parametrize("block_edges", [2, 1 << 20])
 @pytest.mark.parametrize("edges, orientation, vertex", [(CYCLE, "out", 0), (CYCLE, "in", 3), ([(0, 0, -1.0)], "out", 0), ([(0, 1, 1.0), (1, 2, -3.0), (2, 3, 1.0), (3, 1, -1.0), (4, 5, 2.0), (4, 0, -5.0), (5, 4, -3.0)], "in", 5)])
-def test_negative_cycle_raises(spark, edges, orientation, vertex):
+def test_negative_cycle_raises(spark, monkeypatch, edges, orientation, vertex, block_edges):
+    monkeypatch.setattr(BellmanFord, "block_edges", block_edges)
     engine = BellmanFord(graph(*edges), orientation=orientation)
     with pytest.raises(ValueError, match="Negative cycle"):
         engine.run(vertex)
@@ -262,6 +299,19 @@ def test_hyperpath_arguments_and_unreached(spark):
             engine.run(*bad)
 
 
+def test_work_tables_belong_to_their_scope(spark):
+    from hopflux.plans.work import save, scope
+
+    outer = save(spark.range(3).toDF("x"), "outer")
+    with scope() as own:
+        inner = save(spark.range(4).toDF("x"), "inner")
+    assert inner.count() == 4
+    own.free()
+    with pytest.raises(Exception, match="(?i)not_exist|not exist"):
+        inner.collect()
+    assert outer.count() == 3
+
+
 def test_inputs_of_every_kind(spark, tmp_path):
     small = README.astype({"tail": "uint32", "head": "uint32", "weight": "float32"})
     kinds = [small, README.convert_dtypes(dtype_backend="pyarrow"), pa.Table.from_pandas(README), spark.createDataFrame(README), README.assign(extra="x", head=README["head"].astype("int64[pyarrow]"))]
@@ -292,6 +342,10 @@ def test_generator_and_road_network(spark):
     for bad in (dict(negative_weight_ratio=2.0), dict(weight_range=(1.0, 0.5))):
         with pytest.raises(ValueError):
             generate_random_network(**bad)
+    assert np.isclose(create_sf_network().agg({"volume_ref": "sum"}).first()[0], 5.0, atol=1)
+    assert SiouxFalls().edges.count() == 76
+    importer = GraphImporter.from_dataframe(README, weight="weight")
+    assert importer.to_numpy_edges(["tail", "weight"]).shape == (6, 2)
     roads = sioux_falls(spark)
     assert roads.count() == 76 and Dijkstra(roads, weight="trav_time").n_vertices == 24
 
