@@ -36,7 +36,6 @@ def test_packing(spark, tables):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     rows = run(spark, "op2_packing")
     by = {}
     for r in rows:
@@ -54,13 +53,14 @@ def test_packing(spark, tables):
         assert start == len(ids)
 
 
-@pytest.mark.parametrize("text", ["", " ", "a b　c", "it's WE'LL 12345\r\n\t x", "<|endoftext|>", "\U0001f600é‍中文 9²", "\x00\x7f" * 3])
+@pytest.mark.parametrize("text", ["", " ", "a b　c", "it's WE'LL 12345\r\n\t x", "<|endoftext|>", "a <|endoftext|>  b<|endoftext|><|endoftext|>c <|endoftext", "\U0001f600é‍中文 9²", "\x00\x7f" * 3])
 def test_fast_tokenizer_gives_the_same_ids(text):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     assert list(packing.encoder(tokenizer_path())(text)) == tok.encode(text, add_special_tokens=False).ids
+    tok.encode_special_tokens = True
+    assert list(packing.encoder(tokenizer_path(), plain_text=True)(text)) == tok.encode(text, add_special_tokens=False).ids
 
 
 def test_licenses(spark, tables):
