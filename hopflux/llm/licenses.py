@@ -2,7 +2,8 @@
 
 The automaton runs over the words of a text (A-Z lower-cased, other characters cut), so line breaks and punctuation inside a
 notice do not matter.  Where it finds an identifier tag, the rest of that line of the original text is read as a licence
-expression by a shunting-yard parser with the operators ``with`` (binds tightest), ``and`` and ``or``.
+expression by a shunting-yard parser with the operators ``with`` (binds tightest), ``and`` and ``or``, and evaluated: whether
+permissive licences alone suffice to comply.  A comma ends an expression and begins another.  All steps are linear in the text.
 """
 
 from __future__ import annotations
@@ -42,6 +43,10 @@ MORE = {
 TAG = "spdx license identifier"
 _TOKEN = re.compile(r"[()]|[^\s()]+")
 _STRENGTH = {"or": 1, "and": 2, "with": 3}
+#: What the names of known licences begin with, before a version.
+FAMILIES = ("agpl", "lgpl", "gpl", "apache", "cc-by", "cc0", "mit", "mpl", "epl", "bsd", "bsl", "isc", "unlicense", "zlib", "0bsd", "artistic", "cddl", "eupl", "ofl", "wtfpl", "python", "psf", "postgresql", "openssl", "ms-pl")
+#: Families whose licences ask for no more than a notice.
+PERMISSIVE = frozenset({"apache", "cc-by", "cc0", "mit", "bsd", "bsl", "isc", "unlicense", "zlib", "0bsd", "wtfpl", "python", "psf", "postgresql", "openssl"})
 
 
 def parse_expression(text: str) -> list[str] | None:
@@ -52,7 +57,7 @@ def parse_expression(text: str) -> list[str] | None:
     """
     out, waiting, want_name = [], [], True
     for token in _TOKEN.findall(text.lower()):
-        if token == "(" and want_name:
+        if token == "(" and want_name and not (waiting and waiting[-1] == "with"):
             waiting.append(token)
         elif token == ")" and not want_name:
             while waiting and waiting[-1] != "(":
@@ -75,29 +80,42 @@ def parse_expression(text: str) -> list[str] | None:
     return out + waiting[::-1]
 
 
-def evaluate(postfix: list[str]) -> tuple[str, list[frozenset[str]]]:
-    """Normal form of a parsed expression, and the sets of licences of which any one suffices to comply."""
-    stack: list[tuple[str, list[frozenset[str]]]] = []
+def evaluate(postfix: list[str]) -> tuple[str, list[str], bool]:
+    """Normal form of a parsed expression, the licences that it names, and whether permissive ones alone suffice to comply.
+
+    Work is linear in the expression: nothing is multiplied out.
+    """
+    names, truth, trees = [], [], []
     for token in postfix:
         if token not in _STRENGTH:
-            stack.append((token, [frozenset([token])]))
+            trees.append(token)
+            truth.append(family(token) in PERMISSIVE)
+            names.append(token)
             continue
-        (b, y), (a, x) = stack.pop(), stack.pop()
-        if token == "with":
-            stack.append((f"{a} with {b}", x))  # an exception belongs to its licence and is none itself
-        elif token == "and":
-            stack.append((f"({a} and {b})", list(dict.fromkeys(i | j for i in x for j in y))))
+        b, a = trees.pop(), trees.pop()
+        y, x = truth.pop(), truth.pop()
+        trees.append((token, a, b))
+        if token == "with":  # an exception belongs to its licence and is none itself
+            names.pop()
+        truth.append(x if token == "with" else x and y if token == "and" else x or y)
+    out, todo = [], [trees[0]]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str):
+            out.append(node)
+        elif node[0] == "with":
+            todo += [node[2], " with ", node[1]]
         else:
-            stack.append((f"({a} or {b})", list(dict.fromkeys(x + y))))
-    return stack[0]
+            todo += [")", node[2], f" {node[0]} ", node[1], "("]
+    return "".join(out), names, truth[0]
 
 
-def family(name: str) -> str:
-    """Label of a licence identifier, e.g. gpl for GPL-2.0-only."""
-    for start in ("agpl", "lgpl", "gpl", "apache", "cc-by", "cc0", "mit", "mpl", "epl", "bsd", "bsl", "isc", "unlicense"):
+def family(name: str) -> str | None:
+    """Label of a licence identifier, e.g. gpl for GPL-2.0-only; None for a name of no known family."""
+    for start in FAMILIES:
         if name == start or name.startswith(start + "-"):
             return re.match(r"cc-by(-nc|-sa|-nd)*", name)[0] if start == "cc-by" else start
-    return name
+    return None
 
 
 def _tagged(raw: str) -> str:
@@ -105,11 +123,11 @@ def _tagged(raw: str) -> str:
     return re.sub(r"(\*/|-->|#}|\"|;)\s*$", "", raw.strip()).strip()
 
 
-_TAG_LINE = re.compile(r"spdx[^0-9a-z\n\x80-\U0010ffff]+license[^0-9a-z\n\x80-\U0010ffff]+identifier[^\S\n]*:?([^\n]*)", re.I)
+_TAG_LINE = re.compile(r"spdx[^0-9a-z\n\x80-\U0010ffff]+license[^0-9a-z\n\x80-\U0010ffff]+identifier[^\S\n]*:?([^\n]*)", re.I | re.A)
 
 
 def scan_text(text: bytes | None, automaton) -> tuple:
-    """n_words, n_base, first_word, last_word, base_labels, labels, expressions, score of a UTF-8 text."""
+    """n_words, n_base, first_word, last_word, base_labels, labels, expressions, permissive, score of a UTF-8 text."""
     words = (text or b"").translate(_ALNUM).split()
     line = f" {b' '.join(words).decode('latin-1')} "
     n_base, first, last, base, labels, tags = 0, None, None, set(), set(), 0
@@ -127,16 +145,17 @@ def scan_text(text: bytes | None, automaton) -> tuple:
             n_base += 1
             first, last = word if first is None else min(first, word), word if last is None else max(last, word)
             base.add(label)
-    expressions = []
+    expressions, verdicts = [], []
     if tags:
-        for raw in _TAG_LINE.findall(text.decode()):
-            parsed = parse_expression(_tagged(raw))
+        for part in (x for raw in _TAG_LINE.findall(text.decode()) for x in _tagged(raw).split(",")):
+            parsed = parse_expression(part)
             if parsed:
-                normal, options = evaluate(parsed)
+                normal, names, permissive = evaluate(parsed)
                 expressions.append(normal)
-                labels |= {family(name) for option in options for name in option}
+                verdicts.append(permissive)
+                labels |= {family(name) or "other" for name in names}
     score = 1 - 0.1 ** len(expressions) * 0.5 ** (n_base > 0) * 0.6 ** (len(labels - base))
-    return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), sorted(set(expressions)), float(score)
+    return len(words), n_base, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), sorted(set(expressions)), all(verdicts) if verdicts else None, float(score)
 
 
 def build_automaton():
@@ -148,7 +167,7 @@ def build_automaton():
     return automaton
 
 
-_FIELDS: Mapping[str, pa.DataType] = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "expressions": pa.list_(pa.string()), "score": pa.float64()}
+_FIELDS: Mapping[str, pa.DataType] = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "expressions": pa.list_(pa.string()), "permissive": pa.bool_(), "score": pa.float64()}
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,15 +179,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, expressions, score.
+    """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, expressions, permissive, score.
 
     Base columns count every place of a :data:`BASE` phrase, overlapping ones too; word positions start at 0.  ``labels`` adds
-    those of :data:`MORE` and of tagged expressions; ``expressions`` has their normal forms.  ``score`` grows from 0 (nothing
-    found) towards 1 with well-formed tags, notices and further labels.
+    those of :data:`MORE` and of tagged expressions (a licence of no family in :data:`FAMILIES`: other); ``expressions`` has their normal
+    forms and ``permissive`` says whether permissive licences suffice for all of them (null without any).  What is no expression
+    after a tag gives nothing.  ``score`` grows from 0 (nothing found) towards 1 with well-formed tags, notices and further labels.
 
     Null or empty text: no words, empty labels, null positions, score 0.  Repeated rows and null ids are scanned like any
     other row; an empty table gives an empty result.  Only the two named columns are read, so further columns may have any
     name.  No shuffle.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_scan, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, expressions array<string>, score double")
+    return rows.mapInArrow(_scan, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, expressions array<string>, permissive boolean, score double")
