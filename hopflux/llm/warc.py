@@ -1,8 +1,9 @@
 """WARC derivatives: every response record gets a linked metadata record and a plain-text conversion record.
 
 Both new records refer to the response by its record id (WARC-Refers-To), keep its target, date and HTTP headers, and carry
-the digest of the payload they were made from next to the digest of their own block.  Ids are name-based UUIDs of the source
-record's id and the record type, so a rebuilt task writes the same records.
+the digest of the payload they were made from next to the digest of their own block.  A response's id is a name-based UUID of its
+page id, url and payload digest, those of the others are made from it and the record type; so a rebuilt task writes the same records.
+Pages are read once from left to right, in time linear in their length.
 """
 
 from __future__ import annotations
@@ -22,13 +23,16 @@ from pyspark.sql import functions as F
 from hopflux.llm.text import column_bytes
 
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:hopflux:warc")
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|blockquote|pre|title|head|body|html|main|aside|td|th)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[/!?]?[a-zA-Z][^>]*>|<!doctype[^>]*>", re.I)
-_LINK = re.compile(r"<a\s[^>]*?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
-_BLANK = re.compile(r"[^\S\n]+")
-_LINES = re.compile(r"\s*\n\s*")
+#: Elements whose content is not text, and elements that end a line.
+_DROPPED = frozenset({"script", "style", "template", "noscript"})
+_BREAKS = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 tr table section article header footer nav blockquote pre title head body html main aside td th".split())
+_TAG = re.compile(r"(/?)([a-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.I | re.A)
+_PLAIN_TAG = re.compile(r"(/?)([a-z][^\s/>]*+)([^>]*+)>", re.I | re.A)
+_LETTER = re.compile(r"/?[a-z]", re.I | re.A)
+_CLOSERS = {x: re.compile(rf"</{x}(?![^\s/>])[^>]*+(?:>|\Z)", re.I | re.A) for x in [*_DROPPED, "title"]}
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+_BLANK = re.compile(r"[^\S\n]++")
+_LINES = re.compile(r" ?\n\s*+")  # after blanks have become single spaces
 
 
 def digest(block: bytes) -> str:
@@ -39,16 +43,63 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, '|'.join(map(str, parts)))}>"
 
 
-def plain_text(page: str) -> str:
-    """Visible text: no scripts, styles, comments or tags; entities decoded; one line per block, no blank lines."""
-    text = _TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", page)))
-    return _LINES.sub("\n", _BLANK.sub(" ", html.unescape(text))).strip()
+def scan(page: str) -> tuple[str, str | None, list[str]]:
+    """Visible text, title and link targets of a page, entities decoded; one line per block, no blank lines.
+
+    Comments, scripts, styles and templates are no text; one that never ends reaches to the end of the page.  A ``<`` that begins no tag is
+    text.  A tag may have ``>`` inside quotes, unless quotes on the page do not pair up.
+    """
+    out: list[str] = []
+    title, links, at, tag = None, [], 0, _TAG
+    while (start := page.find("<", at)) >= 0:
+        out.append(page[at:start])
+        at = start + 1
+        if page.startswith("!--", at):
+            end = page.find("-->", at + 3)
+            out.append(" ")
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        if page.startswith(("!", "?"), at):
+            end = page.find(">", at)
+            at = end + 1 if end >= 0 else len(page)
+            continue
+        if not _LETTER.match(page, at):
+            out.append("<")
+            continue
+        found = tag.match(page, at)
+        if not found and tag is _TAG:
+            tag = _PLAIN_TAG  # looked at once to the end of the page
+            found = tag.match(page, at)
+        if not found:  # no further tag ends
+            at = start
+            break
+        slash, name, rest = found[1], found[2].lower(), found[3]
+        at = found.end()
+        if name in _BREAKS:
+            out.append("\n")
+        if slash:
+            continue
+        if name in _CLOSERS:
+            close = _CLOSERS[name].search(page, at)
+            inside = page[at : close.start() if close else len(page)]
+            if name == "title":
+                title = inside if title is None else title
+                out += [inside, "\n"]
+            else:
+                out.append(" ")
+            at = close.end() if close else len(page)
+        elif name == "a":
+            hrefs = [a or b or c for key, a, b, c in _ATTRIBUTE.findall(rest) if key.lower() == "href"]
+            links += [html.unescape(hrefs[0])] if hrefs else []
+    out.append(page[at:])
+    text = _LINES.sub("\n", _BLANK.sub(" ", html.unescape("".join(out)))).strip()
+    return text, None if title is None else _LINES.sub(" ", html.unescape(title).strip()), links
 
 
 def serialize(headers: list[tuple[str, str]], block: bytes) -> bytes:
     """A WARC/1.1 record; Content-Length is added."""
     clean = [(k, re.sub(r"[\r\n]+", " ", v)) for k, v in [*headers, ("Content-Length", str(len(block)))]]
-    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in clean).encode() + b"\r\n" + block + b"\r\n\r\n"
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in clean).encode("utf-8", "replace") + b"\r\n" + block + b"\r\n\r\n"
 
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:
@@ -67,7 +118,7 @@ def response(key: object, url: str, page: bytes, date: str) -> tuple[list[tuple[
     """Headers and block of the response record of a page."""
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(page)}\r\n\r\n".encode() + page
     return [
-        ("WARC-Type", "response"), ("WARC-Record-ID", record_id(key, url, "response")), ("WARC-Target-URI", url), ("WARC-Date", date),
+        ("WARC-Type", "response"), ("WARC-Record-ID", record_id(key, url, digest(page), "response")), ("WARC-Target-URI", url), ("WARC-Date", date),
         ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", digest(page)), ("WARC-Block-Digest", digest(block)),
     ], block
 
@@ -76,13 +127,13 @@ def derive(headers: dict[str, str], block: bytes) -> list[tuple[list[tuple[str,
     """The metadata and the conversion record of a response record."""
     head, _, payload = block.partition(b"\r\n\r\n")
     page, source = payload.decode("utf-8", "replace"), headers["WARC-Record-ID"]
-    text = plain_text(page).encode()
-    title = _TITLE.search(page)
+    text, title, links = scan(page)
+    text = text.encode("utf-8", "replace")
     fields = [("source-" + k, v) for k, _, v in (line.partition(": ") for line in head.decode("latin-1").split("\r\n")[1:])]
     fields += [("source-payload-digest", headers["WARC-Payload-Digest"]), ("source-block-digest", headers["WARC-Block-Digest"]), ("text-block-digest", digest(text)), ("text-record", record_id(source, "conversion"))]
-    fields += [("title", _LINES.sub(" ", html.unescape(title[1]).strip()))] if title else []
-    fields += [("outlink", html.unescape(a or b or c)) for a, b, c in _LINK.findall(_DROP.sub(" ", page))]
-    meta = "".join(f"{k}: {re.sub(r'[\r\n]+', ' ', v)}\r\n" for k, v in fields).encode()
+    fields += [("title", title)] if title is not None else []
+    fields += [("outlink", x) for x in links]
+    meta = "".join(f"{k}: {re.sub(r'[\r\n]+', ' ', v)}\r\n" for k, v in fields).encode("utf-8", "replace")
 
     def made(kind: str, content: str, body: bytes) -> tuple[list[tuple[str, str]], bytes]:
         return [
@@ -117,8 +168,8 @@ def derivatives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     ``compress`` makes every record a gzip member of its own, so concatenated rows are a valid .warc.gz.  ``date`` stands
     for the fetch time, which the table does not have.
 
-    Null url or html: the empty one.  Repeated rows give repeated records; a null id is written as None in the name that ids
-    are made from.  An empty table gives an empty result.  Only the three named columns are read.  No shuffle.
+    Null url or html: the empty one.  Rows alike in id, url and html are one response and repeat its records, ids included; rows that differ in
+    any of them have ids of their own.  A null id is written as None in the name that ids are made from.  An empty table gives an empty result.  Only the three named columns are read.  No shuffle.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     kinds = "page_id long, record_type string, record_id string, refers_to string, target_uri string, content_type string, source_payload_digest string, block_digest string, content_length long, record binary"
