@@ -123,14 +123,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit on at most ``sample`` labelled documents that are not held out (see :func:`is_held_out`).
 
     A document with several labels has the largest; null labels and ids are left out, as are labels without a document.
-    Of repeated rows one is used.  Without usable labels the score is 0.5 everywhere.
+    Of several texts of an id the one with the least terms, in the order of their bytes, is used.  Without usable labels the score is 0.5 everywhere.
     """
     held = is_held_out(F.col("doc_id")) if held_out is None else held_out
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label")).where("doc_id is not null and label is not null").where(~held)
     chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")  # at most ``sample`` pairs of numbers
-    got = rows.mapInArrow(_features(bits), "doc_id long, label double, terms binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    terms = rows.mapInArrow(_features(bits), "doc_id long, label double, terms binary")
+    got = terms.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("terms").alias("terms")).toArrow().sort_by("doc_id")
     column = got.column("terms").combine_chunks()
     terms = [np.frombuffer(column[i].as_buffer(), "<i4") for i in range(len(column))]
     return train(got.column("label").to_numpy().astype(float), terms, bits, rank, least_g, rounds)
