@@ -2,49 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import threading
+import uuid
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopflux.llm import decontamination, line_dedup, neardup, packing, toxicity
 from hopflux.llm.queries import tokenizer_path
-from hopflux.llm.work import release, save
+from hopflux.llm.text import text_hash
+from hopflux.llm.work import Scope, save, scope, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_thread = threading.local()
+
+
+def stage(step: Stage) -> Stage:
+    """A stage that owns its work tables.  They go when the next stage begins in the same thread: its documents are written by then."""
+
+    @wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        getattr(_thread, "tables", Scope()).free()
+        with scope() as own:
+            result = step(spark, docs, sf_dir)
+        _thread.tables = own
+        return result
+
+    return run
 
 
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score reaches the threshold go; the model is fitted on labelled rows of ``docs``."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.drop_toxic(docs, model)
 
 
+@stage
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of words go; a document of which nothing is left goes too, one that was empty before stays."""
-    release(spark)
     cut = line_dedup.dedup_lines(docs)
     cut = cut.where((F.col("cut_words") == 0) | (F.trim("text") != ""))
     return cut.withColumn("n_chars", F.when(F.col("cut_words") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
+def _row_key(text: Column) -> tuple[Column, Column]:
+    """What tells rows apart: the id (null as the least one) and a hash of the text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_kid"), text.alias("_th")
+
+
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (similarity of 0.8 or more) stays, the one with the smallest id; of rows with one id, one stays."""
-    release(spark)
+    """One document of each near-duplicate group (similarity of 0.8 or more) stays, the one with the smallest id.
+
+    Rows stay or go by the operator's ``kept``.  Of kept rows alike in id and words one stays (the least text by hash); differing texts under
+    one id both stay if the id is kept.  A row without an id stays only if no row with an id has its words.
+    """
     found = neardup.near_duplicates(docs, percent=80)
-    kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    kept = found.where("kept").groupBy("doc_id", "h1", "h2").agg(F.min("text_hash").alias("th"))
+    kept = kept.select(*_row_key(F.col("th"))).distinct()
+    return docs.select("*", *_row_key(text_hash(F.col("text")))).join(kept.hint("merge"), ["_kid", "_th"]).dropDuplicates(["_kid", "_th"]).select(*docs.columns)
 
 
+@stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark's windows contaminate go."""
-    release(spark)
+    """Documents that the benchmark's windows contaminate go; rows with one id or none are judged each by its own text."""
     judged = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = save(judged.where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(bad.select(F.col("doc_id").alias("_bad")).hint("merge"), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = save(judged.where("contaminated").select(*_row_key(F.col("text_hash"))).distinct(), "contaminated")
+    return docs.select("*", *_row_key(text_hash(F.col("text")))).join(bad.hint("merge"), ["_kid", "_th"], "left_anti").select(*docs.columns)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of power-of-two lengths, with their ids."""
-    release(spark)
     return packing.pack(docs, tokenizer_path())
 
 
@@ -57,17 +90,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the ``documents`` of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = save_stage(spark, stage(spark, docs, sf_dir), name)
+    for name, step in STAGES[:-1]:
+        docs = save_stage(spark, step(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
 def save_stage(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
-    """Write a stage's documents to the shared folder, apart from the work tables that stages release."""
-    import uuid
-
-    from hopflux.llm.work import shared_dir
-
+    """Write a stage's documents to the shared folder, apart from the work tables of stages."""
     path = f"{shared_dir(spark)}/hopflux-stage-{name}-{uuid.uuid4().hex}"
     docs.write.parquet(path)
     return spark.read.schema(docs.schema).parquet(path)

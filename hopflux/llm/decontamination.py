@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from hopflux.llm.text import text_hash
 from hopflux.llm.work import save
 
 #: Words are runs of these characters: letters, digits and all that is not ASCII.
@@ -21,6 +22,8 @@ _CUT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Benchmark terms are sent to all executors up to this many; beyond it the index is built by a shuffled join.
 SENT_TERMS = 1_000_000
+#: Texts with an alignment are known to the scan of the postings by a number below this, so at most so many numbers are sent.
+BUCKETS = 1 << 20
 
 
 def words(text: Column) -> Column:
@@ -37,7 +40,7 @@ def build_index(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -
     Rows alike in id and text share a key, under which each of them gives its postings.
     """
     body = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("kid"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("th"), words(body).alias("w"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("kid"), text_hash(body).alias("th"), words(body).alias("w"))
     sent = F.broadcast(terms) if terms.count() <= SENT_TERMS else terms
     # position -1 stands for the document itself, so one pass over the texts gives both tables
     spread = rows.select("doc_id", "kid", "th", F.size("w").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), "w")).alias("pos", "word")).withColumn("pos", F.col("pos") - 1)
@@ -69,9 +72,12 @@ def phrase_matches(postings: DataFrame, places: DataFrame, window: int) -> DataF
     aligned = save(aligned, "alignments")
     # read the other lists at the alignments only
     wanted = aligned.join(spots.select("item", "n", "off", "term"), "item").select("item", "n", "kid", "th", "delta", "off", "term", (F.col("delta") + F.col("off")).alias("pos"))
-    agree = wanted.join(postings, ["kid", "th", "pos", "term"])
+    # postings of texts without an alignment stay where they are: what is sent to sift them is bounded however many texts have one
+    bucket = F.pmod("th", F.lit(BUCKETS)).cast("int").alias("bucket")
+    sifted = postings.withColumn("bucket", bucket).join(F.broadcast(aligned.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
+    agree = wanted.join(sifted, ["kid", "th", "pos", "term"])
     run = Window.partitionBy("item", "kid", "th", "delta").orderBy("off")
-    # rows alike in id and text give every place more than once: equal places share a rank, and a run is counted by its ends
+    # rows alike in id and text give every place once each: equal places share a rank, and a run is counted by its ends
     runs = agree.select("item", "n", "kid", "th", "delta", "off", (F.col("off") - F.dense_rank().over(run)).alias("g")).groupBy("item", "n", "kid", "th", "delta", "g").agg(F.min("off").alias("from"), (F.max("off") - F.min("off") + 1).alias("len"))
     return runs.withColumn("size", length).where("len >= size").select("kid", "th", "item", (F.col("delta") + F.col("from")).alias("start"), F.col("len").alias("length"))
 
@@ -112,7 +118,7 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, within: int = 20, s
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, percent: int = 5) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash (which tells texts of one id apart).
 
     A word is hit if it lies inside any occurrence of a window (``window`` consecutive words of an item, or all of a shorter
     one).  Contaminated: something is hit, and at least ``percent`` of 100 words are.
@@ -132,4 +138,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     got = papers.join(save(per, "hits"), ["kid", "th"], "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return got.select("doc_id", F.col("n_words").cast("long"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * 100 >= F.col("n_words") * percent)).alias("contaminated"))
+    return got.select("doc_id", F.col("n_words").cast("long"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * 100 >= F.col("n_words") * percent)).alias("contaminated"), F.col("th").alias("text_hash"))

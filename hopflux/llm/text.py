@@ -9,6 +9,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _digest = xxhash.xxh3_64_intdigest
@@ -17,6 +19,11 @@ _digest = xxhash.xxh3_64_intdigest
 _ALNUM = bytes((c + 32) if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+def text_hash(text: Column) -> Column:
+    """64 bits that tell the texts of one id apart; null is the empty text."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def column_bytes(column) -> list[bytes | None]:
     """An Arrow string column as UTF-8 bytes (None stays None)."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

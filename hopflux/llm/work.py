@@ -1,5 +1,5 @@
 """Work tables in the cluster's shared folder; see :mod:`hopflux.plans.work`."""
 
-from hopflux.plans.work import release, save, shared_dir
+from hopflux.plans.work import Scope, save, scope, shared_dir
 
-__all__ = ["release", "save", "shared_dir"]
+__all__ = ["Scope", "save", "scope", "shared_dir"]

@@ -87,6 +87,18 @@ def test_long_lists_lose_no_link(spark):
     assert got == brute.near_duplicates(docs)
 
 
+@pytest.mark.parametrize("edits, block", [(6, 16), (14, 16), (14, 40)])
+def test_large_groups_lose_no_link(spark, edits, block):
+    """Groups of many blocks: tight ones, and loose ones that fall into many parts."""
+    rng = random.Random(edits)
+    word = lambda: f"t{rng.randrange(4000)}"
+    texts = near_copies(rng, [word() for _ in range(100)], 220, edits) + near_copies(rng, [word() for _ in range(70)], 60, edits)
+    rng.shuffle(texts)
+    docs = list(enumerate(texts))
+    got = {r[0]: (r[1], r[2]) for r in rows_of(neardup.near_duplicates(frame(spark, docs), cold=4, block=block), "doc_id", "n_shingles", "component_id")}
+    assert got == brute.near_duplicates(docs)
+
+
 def test_intersections_match_sets():
     import numpy as np
 
@@ -125,13 +137,38 @@ def test_license_labels_and_expressions(spark):
     assert licenses.parse_expression("a or b and c with d") == ["a", "b", "c", "d", "with", "and", "or"]
     for bad in ("", "and a", "a b", "(a", "a)", "a or", "()"):
         assert licenses.parse_expression(bad) is None
-    _, options = licenses.evaluate(licenses.parse_expression("(a or b) and c"))
-    assert options == [frozenset("ac"), frozenset("bc")]
+    assert licenses.evaluate(licenses.parse_expression("(mit or gpl-3.0) and isc with x")) == ("((mit or gpl-3.0) and isc with x)", ["mit", "gpl-3.0", "isc"], True)
+    assert not licenses.evaluate(licenses.parse_expression("mit and gpl-3.0"))[2] and licenses.parse_expression("a with (b)") is None
     automaton = licenses.build_automaton()
     for text in ("mit license mit license", "gnu general public license apache license cc by", "MIT\nLICENSE", "smit license", "Cc-By-NC and cc by"):
         assert licenses.scan_text(text.encode(), automaton)[:5] == brute.licenses(text)
 
 
+@pytest.mark.parametrize("rest, labels, expressions", [("MIT,Apache-2.0", "apache,mit", ["apache-2.0", "mit"]), ("see the file", "", []), ("MIT or Nobody-1.0", "mit,other", ["(mit or nobody-1.0)"]), ("isc */", "isc", ["isc"])])
+def test_what_follows_a_license_tag(rest, labels, expressions):
+    got = licenses.scan_text(f"// SPDX-License-Identifier: {rest}\nMIT".encode(), licenses.build_automaton())
+    assert got[5:7] == (labels, expressions)
+
+
+def seconds(run, *args):
+    import time
+
+    start = time.process_time()
+    run(*args)
+    return time.process_time() - start
+
+
+@pytest.mark.parametrize("text", [" and ".join(["(mit or b)"] * 80_000), "(" * 500_000 + "mit" + ")" * 500_000, "SPDX-License-" * 80_000, '" ' * 500_000, "spdx" + " " * 1_000_000 + "license", "," * 1_000_000], ids=range(6))
+def test_license_scan_is_linear(text):
+    automaton = licenses.build_automaton()
+    assert seconds(licenses.scan_text, b"SPDX-License-Identifier: " + text.encode(), automaton) < 10
+
+
+@pytest.mark.parametrize("unit", ["<p ", "<a x ", "<title>", "<!--", "<script>", "</script", '<a href="x', "<a '>\" ", '<a ">" ', '<a b="', "<", " \n", "&#x;", "<a b=c", "<![CDATA["])
+def test_page_scan_is_linear(unit):
+    assert seconds(warc.scan, unit * (1_000_000 // len(unit))) < 10 and seconds(warc.scan, "<a " + unit * (1_000_000 // len(unit)) + ">") < 10
+
+
 def test_passages_inside_lines_are_found(spark):
     """Passages that begin and end inside lines of differing length, in chains and within one text."""
     rng = random.Random(4)
@@ -246,6 +283,49 @@ def test_warc_records(spark):
     assert rows == warc.derivatives(docs, compress=True).collect()
 
 
+def test_warc_ids_tell_rows_apart(spark):
+    """Rows alike in all columns repeat their records, others have ids of their own."""
+    rows = [(1, "http://h/", "<p>a"), (1, "http://h/", "<p>b"), (1, "http://h/", "<p>b"), (1, "http://i/", "<p>a"), (2, "http://h/", "<p>a"), (None, None, None)]
+    got = warc.derivatives(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 18 and len({r["record_id"] for r in got}) == 15
+
+
+def test_warc_text_against_another_parser(spark):
+    """Title, links and text of whole pages as the standard library's parser finds them."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.text, self.links, self.title, self.skip, self.inside = [], [], None, 0, False
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("script", "style", "template", "noscript")
+            self.inside = tag == "title"
+            self.title = "" if tag == "title" else self.title
+            if tag == "a" and dict(attrs).get("href") is not None and not self.skip:
+                self.links.append(dict(attrs)["href"])
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("script", "style", "template", "noscript")
+            self.inside = False
+
+        def handle_data(self, data):
+            if self.inside:
+                self.title += data
+            if not self.skip:
+                self.text.append(data)
+
+    pages = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+    for page in pages:
+        reader = Reader()
+        reader.feed(page or "")
+        reader.close()
+        text, title, links = warc.scan(page or "")
+        assert text.split() == " ".join(reader.text).split() or "".join(text.split()) == "".join("".join(reader.text).split())
+        assert links == reader.links and (title or "").split() == (reader.title or "").split()
+
+
 def test_contamination_of_odd_rows(spark):
     rng = random.Random(9)
     vocab = [f"q{i}" for i in range(12)] + ["É", "é"]
@@ -388,6 +468,35 @@ def test_pipeline_stages(spark, tmp_path):
     assert [x for r in ids for x in r[0]][-1] == 1
 
 
+def test_pipeline_with_null_and_clashing_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    a, b, c, d = (" ".join(f"x{rng.randrange(10**9)}" for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (None, a), (None, b), (None, b), (2, c), (2, d), (2, c), (3, c), (4, None), (5, ""), (None, None), (None, ""), (6, a.upper())]
+    got = corpus_pipeline.near_dedup(spark, frame(spark, rows), "")
+    assert rows_of(got, "doc_id", "text") == sorted([(1, a), (None, b), (2, c), (2, d), (4, None), (5, ""), (None, None)], key=str) or rows_of(got, "doc_id", "text") == sorted([(1, a), (None, b), (2, c), (2, d), (4, None), (5, ""), (None, "")], key=str)
+    docs = [(1, a), (1, b), (None, a), (None, b), (None, None), (2, b)]
+    frame(spark, docs)
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as place:
+        spark.createDataFrame([(7, a)], "item_id long, text string").write.parquet(f"{place}/benchmark.parquet")
+        kept = rows_of(corpus_pipeline.decontaminate(spark, frame(spark, docs), place), "doc_id", "text")
+    assert kept == sorted([(1, b), (None, b), (None, None), (2, b)], key=str)
+
+
+def test_pipeline_leaves_results_of_others(spark):
+    """A result that is still unread when the pipeline's stages run reads its own work tables afterwards."""
+    import corpus_pipeline
+
+    docs = frame(spark, [(i, f"a b c d e f {i} x{i}") for i in range(20)])
+    unread = neardup.near_duplicates(docs)
+    for step in (corpus_pipeline.dedup_lines, corpus_pipeline.near_dedup):
+        assert step(spark, docs, "").count() == 20
+    assert unread.count() == 20
+
+
 def test_pipeline_drops_near_copies_from_080(spark):
     """Changed tails: pairs with a similarity of 0.80 to 0.85, and pairs under 0.80."""
     import corpus_pipeline
