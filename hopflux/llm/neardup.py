@@ -13,9 +13,9 @@ Steps, all of them over whole texts:
 5. Pairs and ties make candidate groups, which are dealt to blocks of about ``block`` documents.  In a block all whole sets meet,
    with those of a few pivots of the group; exact intersections are products of 0/1 matrices, and only a spanning forest of the
    confirmed links leaves a block.
-6. Documents of a large group that are not yet linked with most of it (the largest part found so far) meet the whole sets of all its other
-   blocks too.  So pairs inside a part that hangs together need no look, and no pair across parts is left out: with r such
-   documents of n, about 2 * r * n / ``block`` texts are sent on, beside the n of step 5.
+6. Documents of a large group that are not yet linked with most of it (the largest part found so far) meet the whole sets of all others
+   of a size that allows a link.  So pairs inside a part that hangs together need no look, and no pair across parts is left out: with r
+   such documents of n in reach of each other's size, about 2 * r * n / ``block`` texts are sent on, beside the n of step 5.
 7. Components of the confirmed links.
 
 A pair at the threshold is lost only if it shares too few of its probes (below ``RARE``) or no two neighbouring ones, or by step 4:
@@ -149,7 +149,7 @@ def least_shared(fraction: float, probes: int) -> int:
     return max(n, 1)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, size: int = 5, k: int = 64, probes: int = 24, cold: int = 32, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, size: int = 5, k: int = 64, probes: int = 24, cold: int = 32, block: int = 512) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, text_hash, h1, h2.
 
     Two documents are linked if 100 * |intersection| >= ``percent`` * |union| of their sets of ``size``-word shingles.
@@ -203,28 +203,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = save(components(pairs.union(stars)), "groups")
     blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
     mine = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
-    members = save(groups.join(blocks, "component").select("node", "component", "nb", mine.alias("p")), "members")
-    large = members.where("nb > 1")
+    members = groups.join(blocks, "component").select("node", "component", "nb", mine.alias("p"))
+    texts = save(rows.join(members.withColumnRenamed("node", "doc_id"), "doc_id").withColumnRenamed("doc_id", "node"), "candidates")
 
     def links(dealt: DataFrame) -> DataFrame:
-        """Confirmed links of documents dealt to (component, p, q); equal p and q: of all, else of those marked ``first`` with the others."""
-        texts = rows.join(dealt.withColumnRenamed("node", "doc_id"), "doc_id").select("component", "p", "q", F.col("doc_id").alias("rep"), "first", "text")
-        met = texts.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q")
+        """Confirmed links of texts dealt to (component, p, q); equal p and q: of all, else of those marked ``first`` with the others."""
+        met = dealt.select("component", "p", "q", "node", "first", "text").repartition("component", "p", "q").sortWithinPartitions("component", "p", "q")
         return save(met.mapInArrow(_links(percent, size), "a long, b long"), "links")
 
+    large = texts.where("nb > 1")
     draws = F.array(*(F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("draw"), "node"))["node"] for i in range(PIVOTS)))
-    pivots = large.groupBy("component", "nb").agg(F.array_distinct(draws).alias("pivots")).select("component", "nb", F.explode("pivots").alias("node"))
-    visits = pivots.select("node", "component", mine.alias("own"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("p")).where("p <> own")
-    found = links(members.select("node", "component", "p").union(visits.select("node", "component", "p")).select("*", F.col("p").alias("q"), F.lit(True).alias("first")))
+    pivots = large.groupBy("component").agg(F.array_distinct(draws).alias("pivots")).select(F.explode("pivots").alias("node"))
+    visits = large.join(pivots, "node").select("node", "component", "text", F.col("p").alias("own"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("p")).where("p <> own")
+    alike = lambda df: df.select("node", "component", "text", "p", F.col("p").alias("q"), F.lit(True).alias("first"))
+    found = links(alike(texts).union(alike(visits)))
     if not large.isEmpty():
-        parts = large.join(components(found).withColumnRenamed("component", "part"), "node", "left").select("node", "component", "p", "nb", F.coalesce("part", "node").alias("part"))
+        # sizes that allow a link are in the same or in neighbouring ranges
+        range_of = F.floor(F.log("n") / (-math.log(fraction) * (1 + 1e-9))).cast("int").alias("range")
+        known = large.select("node", "component").distinct().join(sketches.select(F.col("rep").alias("node"), range_of), "node")
+        parts = known.join(components(found).withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
         most = parts.groupBy("component", "part").agg(F.count("*").alias("c")).groupBy("component").agg(F.max(F.struct("c", "part"))["part"].alias("main"))
-        parts = save(parts.join(most, "component").withColumn("apart", F.col("part") != F.col("main")), "parts")
-        slices = parts.where("apart").groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("ns"))
-        parts = parts.join(slices, "component")
-        home = parts.select("node", "component", "p", F.explode(F.sequence(F.lit(1), F.col("ns"))).alias("q"), F.lit(False).alias("first"))
-        away = parts.where("apart").select("node", "component", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("p"), (F.pmod(F.xxhash64("node", F.lit(-1)), F.col("ns")) + 1).cast("int").alias("q"), F.lit(True).alias("first"))
-        found = found.union(links(home.union(away).withColumn("q", -F.col("q"))))
+        parts = save(parts.join(most, "component").select("node", "component", "range", (F.col("part") != F.col("main")).alias("apart")), "parts")
+        away = parts.where("apart").select("node", "component", F.explode(F.array(F.col("range") - 1, F.col("range"), F.col("range") + 1)).alias("range"))
+        count = lambda df, name: df.groupBy("component", "range").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+        cells = count(parts, "homes").join(count(away, "guests"), ["component", "range"])
+        number = lambda seed, many: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(many)).cast("int")
+        every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+        home = parts.join(cells, ["component", "range"]).select("node", "component", "range", number(1, "homes").alias("home"), every("guests").alias("guest"), F.lit(False).alias("first"))
+        away = away.join(cells, ["component", "range"]).select("node", "component", "range", every("homes").alias("home"), number(2, "guests").alias("guest"), F.lit(True).alias("first"))
+        # p and q differ in sign, so that they are never equal
+        met = home.union(away).select("node", (F.col("range") * F.lit(1 << 20).cast("long") + F.col("home")).alias("p"), (-1 - F.col("guest")).alias("q"), "first")
+        found = found.union(links(large.select("node", "component", "text").join(met, "node")))
     found = save(components(found), "components")
 
     named = classes.join(found, classes.rep == found.node, "left").select("h1", "h2", F.coalesce("component", "rep").alias("c"))
