@@ -10,7 +10,8 @@ Selected grams are joined with the first place (by doc_id, then position) where
 extended word by word both ways, and the later run is deleted.  What is deleted still stands in an earlier place.  A gram is as long as
 the shortest run that is deleted, so a first place can't share less with a later one and hide an earlier place that shares more.
 
-Later copies of a whole text are found by its digest and need no text of the first one beside them.
+Later copies of a whole text are found by its digest and need no text of the first one beside them.  Of an earlier text only the words
+that an extension can reach are sent to a later one, which is no more than that has itself for each place where they meet.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hopflux.llm.text import column_bytes, hashes, mix
 from hopflux.llm.work import save
@@ -140,8 +142,33 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
+def _slices(columns: list[str], text_col: str):
+    """Rows of an earlier text and its matches with a later one of at most ``_most`` words: the stretches of words that these can reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, words = None, []
+        for batch in batches:
+            name = {c: i for i, c in enumerate(batch.schema.names)}
+            rows = []
+            for i, (text, most, matches) in enumerate(zip(column_bytes(batch.column(name[text_col])), batch.column(name["_most"]).to_pylist(), batch.column(name["_matches"]).to_pylist(), strict=True)):
+                if text != last:  # rows of one text stand together
+                    last, words = text, text.split()
+                found, at = sorted((x["q"] - x["p"], x["p"], x["q"]) for x in matches), 0
+                for s, e in merge([(max(0, d), min(len(words), d + most)) for d, _, _ in found]):
+                    inside = []
+                    while at < len(found) and max(0, found[at][0]) < e:
+                        inside.append({"p": found[at][1], "q": found[at][2] - s})
+                        at += 1
+                    rows.append((i, inside, b" ".join(words[s:e]).decode()))
+            kept = batch.take(pa.array([x[0] for x in rows], pa.int64()))
+            new = {"_matches": pa.array([x[1] for x in rows], batch.schema.field("_matches").type), text_col: pa.array([x[2] for x in rows], batch.schema.field(text_col).type)}
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else kept.column(name[c]) for c in columns], columns)
+
+    return run
+
+
 def _rewrite(columns: list[str], text_col: str, least: int):
-    """Rows come grouped by document: those of first places (kind 0, with their text and matches), then its own (kind 1)."""
+    """Rows come grouped by document: stretches of earlier texts and matches with them (kind 0; flag: with the document itself), then its own (kind 1)."""
     spans_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,14 +181,14 @@ def _rewrite(columns: list[str], text_col: str, least: int):
                 if (k, t) != now:
                     now, firsts = (k, t), []
                 if kind == 0:
-                    firsts.append((flag, texts[i] or b"", matches))
+                    firsts.append((flag, None if flag else hashes(texts[i].split()), [(x["p"], x["q"]) for x in matches]))
                     continue
                 words = (texts[i] or b"").split()
                 if flag:  # a copy of an earlier text
                     spans = [(0, len(words))] if len(words) >= least else []
                 else:
                     own = hashes(words)
-                    spans = merge([s for same, first, m in firsts for s in later_runs(own, own if same else hashes(first.split()), [(x["p"], x["q"]) for x in m], least)])
+                    spans = merge([s for same, first, m in firsts for s in later_runs(own, own if same else first, m, least)])
                 keep.append(i)
                 new.append(without(texts[i], spans) if spans else texts[i])
                 cuts.append(spans)
@@ -222,8 +249,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     clean = rows.join(touched, key, "left_anti").select(*columns, F.lit(0).alias("cut_words"), F.array().cast("array<struct<s:int,e:int>>").alias("cut_spans"))
     empty = F.array().cast("array<struct<p:int,q:int>>")
     own = rows.join(touched, key).select(*key, F.lit(1).alias("_kind"), "_flag", empty.alias("_matches"), *columns)
-    named = pairs.select(F.col("fk").alias("_kid"), F.col("ft").alias("_t"), F.struct("_kid", "_t").alias("_to"), F.col("_same").alias("_flag"), "_matches").hint("merge")
-    first = rows.join(named, key).select("_to._kid", "_to._t", F.lit(0).alias("_kind"), "_flag", "_matches", *columns)
+    # a text of n bytes has at most (n + 1) / 2 words
+    most = texts.select(F.col("kid").alias("_kid"), F.col("t").alias("_t"), ((F.octet_length("text") + 1) / 2).cast("int").alias("_most")).distinct()
+    others = pairs.where(~F.col("_same")).join(most, key).select(F.col("fk").alias("_kid"), F.col("ft").alias("_t"), F.struct(*key).alias("_to"), "_matches", "_most").hint("merge")
+    reached = rows.join(others, key).select("_to._kid", "_to._t", "_matches", "_most", *columns)
+    cut = [f for f in reached.schema.fields if f.name != "_most"]
+    reached = reached.mapInArrow(_slices([f.name for f in cut], text_col), T.StructType(cut))
+    kind = lambda same: (F.lit(0).alias("_kind"), F.lit(same).alias("_flag"), "_matches")
+    itself = pairs.where("_same").select(*key, *kind(True), *(F.lit(None).cast(t).alias(c) for c, t in plain.dtypes))
+    first = reached.select(*key, *kind(False), *columns).union(itself)
     gathered = own.union(first).repartition(*key).sortWithinPartitions(*key, "_kind")
     done = gathered.mapInArrow(_rewrite(columns, text_col, least), clean.schema)
     return clean.union(done)
