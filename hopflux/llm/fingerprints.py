@@ -21,6 +21,8 @@ from pyspark.sql.window import Window
 from hopflux.llm.work import save
 
 PARTS = 3
+#: Peeling rounds before a table counts as stalled, retries at twice the size before arrays are compared instead, and rows of a task of array peeling.
+ROUNDS, RETRIES, ROWS = 48, 12, 5000
 _CELLS = "array<struct<c:int,d:bigint,k:bigint>>"
 
 
@@ -97,27 +99,39 @@ def to_text(cells: Column) -> Column:
 def peel_large(pairs: DataFrame) -> DataFrame:
     """Differences by tables of one row per cell: (id, a, b) with digest arrays to (id, d, c), c being 1 or -1.
 
-    The first try has room for twice the digests of both sides; pairs that still stall are tried again at twice the size.
+    The first try has room for twice the digests of both sides; pairs that still stall are tried again at twice the size, up to
+    ``RETRIES`` times.
     """
     pairs = pairs.withColumn("slots", F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(16), F.size("a") + F.size("b"))))).cast("int"))
     pairs = save(pairs, "ibf-pairs")
-    results: DataFrame | None = None
-    while not pairs.isEmpty():
+    results = pairs.select("id", F.lit(0).cast("long").alias("d"), F.lit(0).alias("c")).limit(0)
+    for _ in range(RETRIES):
+        if pairs.isEmpty():
+            return results
         entries = pairs.select("id", "slots", F.explode(F.concat(F.transform("a", lambda d: F.struct(d.alias("d"), F.lit(1).alias("c"))), F.transform("b", lambda d: F.struct(d.alias("d"), F.lit(-1).alias("c"))))).alias("e")).select("id", "slots", "e.*")
-        cells, got = _summed(_placed(entries)), None
-        cells = save(cells, "ibf-cells")
-        while True:
+        cells, got = save(_summed(_placed(entries)), "ibf-cells"), []
+        for _ in range(ROUNDS):
             pure = save(cells.where(_is_pure(F.struct("c", "d", "k"))).select("id", "slots", "d", "c").distinct(), "ibf-pure")
             if pure.isEmpty():
                 break
-            got = pure if got is None else got.union(pure)
+            got.append(pure.select("id", "d", "c"))
             cells = save(_summed(cells.union(_placed(pure.withColumn("c", -F.col("c"))))), "ibf-cells")
-        stalled = cells.select("id").distinct()
-        if got is not None:
-            done = got.select("id", "d", "c").join(stalled, "id", "left_anti")
-            results = done if results is None else results.union(done)
+        stalled = save(cells.select("id").distinct(), "ibf-stalled")
+        for found in got:
+            results = results.union(found.join(stalled, "id", "left_anti"))
         pairs = save(pairs.join(stalled, "id").withColumn("slots", F.col("slots") * 2), "ibf-pairs")
-    return results if results is not None else pairs.select("id", F.lit(0).cast("long").alias("d"), F.lit(0).alias("c"))
+    # digests that no table of any size tells apart: compared as they are
+
+    def only(x: str, y: str, sign: int) -> Column:
+        return F.transform(F.array_except(x, y), lambda d: F.struct(d.alias("d"), F.lit(sign).alias("c")))
+
+    rest = F.concat(only("a", "b", 1), only("b", "a", -1))
+    return results.union(pairs.select("id", F.explode(rest).alias("e")).select("id", "e.*"))
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A work table dealt to tasks by rows: peeling costs by the row, whatever its bytes."""
+    return df.repartition(max(1, -(-df.count() // ROWS)), "id")
 
 
 def _placed(entries: DataFrame) -> DataFrame:
@@ -171,14 +185,15 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     read = read.select(F.when(F.col("named"), F.col("kid")).alias("doc_id"), n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), paragraph_digests(F.col("text")).alias("a"), paragraph_digests(F.col("edited")).alias("b_edited"), "b_next")
     read = save(read.withColumn("id", F.monotonically_increasing_id()), "digests")
 
-    def differing(b: str, slots: int = slots) -> Column:
-        return _let(peel(subtract(table(F.col("a"), slots), table(F.col(b), slots)), slots), lambda s: F.when(s["ok"], F.size(s["added"]) + F.size(s["removed"])))
+    def differing(a: Column, b: str, slots: int) -> Column:
+        return _let(peel(subtract(a, table(F.col(b), slots)), slots), lambda s: F.when(s["ok"], F.size(s["added"]) + F.size(s["removed"])))
 
-    first = save(read.select("id", differing("b_edited").alias("d_edited"), differing("b_next").alias("d_next")), "ibf-first")
+    both = _let(table(F.col("a"), slots), lambda a: F.struct(differing(a, "b_edited", slots).alias("d_edited"), differing(a, "b_next", slots).alias("d_next")))
+    first = save(dealt(read.select("id", "a", "b_edited", "b_next")).select("id", both.alias("d")).select("id", "d.*"), "ibf-first")
     again = first.where("d_edited is null or d_next is null").join(read.select("id", "a", "b_edited", "b_next"), "id")
     again = again.select("a", F.explode(F.array(F.when(F.col("d_edited").isNull(), F.struct((F.col("id") * 2).alias("id"), F.col("b_edited").alias("b"))), F.when(F.col("d_next").isNull(), F.struct((F.col("id") * 2 + 1).alias("id"), F.col("b_next").alias("b"))))).alias("x")).where("x is not null")
     again = save(again.select("x.id", "a", "x.b"), "ibf-again")
-    second = save(again.select("id", differing("b", 4 * slots).alias("d")), "ibf-second")
+    second = save(dealt(again).select("id", differing(table(F.col("a"), 4 * slots), "b", 4 * slots).alias("d")), "ibf-second")
     large = peel_large(again.join(second.where("d is null").select("id"), "id")).groupBy("id").agg(F.count("*").cast("int").alias("d"))
     retried = second.where("d is not null").union(large)
     retried = retried.groupBy(F.shiftright("id", 1).alias("id")).agg(F.max(F.expr("if(id % 2 = 0, d, null)")).alias("l_edited"), F.max(F.expr("if(id % 2 = 1, d, null)")).alias("l_next"))
