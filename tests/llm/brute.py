@@ -21,6 +21,10 @@ def space_words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", low(text))
 
 
+def plain_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
 def alnum_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text))
 

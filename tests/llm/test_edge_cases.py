@@ -206,6 +206,29 @@ def test_line_dedup_finds_passages_from_any_word_on(spark, words):
     assert all(not set(got[i].split()) & x for i, x in later.items())
 
 
+def test_line_dedup_sends_what_a_match_can_reach():
+    """A long first text and short later ones: only stretches as long as these, and with them the same words are cut."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    first = [f"x{rng.randrange(40)}" for _ in range(3000)]
+    kinds = pa.schema([("_kid", pa.int64()), ("_matches", pa.list_(pa.struct([("p", pa.int32()), ("q", pa.int32())]))), ("_most", pa.int32()), ("text", pa.string())])
+    for _ in range(40):
+        n = rng.randrange(5, 60)
+        own = [f"y{i}" for i in range(n)]
+        matches = []
+        for _ in range(rng.randrange(1, 5)):
+            p, q, size = rng.randrange(n), rng.randrange(2900), rng.randrange(1, 30)
+            own[p : p + size] = first[q : q + size][: n - p]
+            matches.append({"p": p, "q": q})
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([matches], kinds.field(1).type), pa.array([n + 3], pa.int32()), pa.array([" ".join(first)])], schema=kinds)
+        rows = [r for b in line_dedup._slices(["_kid", "_matches", "text"], "text")(iter([batch])) for r in b.to_pylist()]
+        h = lambda w: line_dedup.hashes([x.encode() for x in w])
+        runs = lambda f, m: line_dedup.later_runs(h(own), h(f), [(x["p"], x["q"]) for x in m], 3)
+        got = line_dedup.merge([s for r in rows for s in runs(r["text"].split(), r["_matches"])])
+        assert got == line_dedup.merge(runs(first, matches)) and sum(len(r["text"].split()) for r in rows) <= len(matches) * (n + 3)
+
+
 def test_line_dedup_of_copies(spark):
     """Copies of whole texts, with ids in any order; repeated rows are one document."""
     rng = random.Random(12)
@@ -512,6 +535,17 @@ def test_pipeline_drops_near_copies_from_080(spark):
     assert len(gone) == 16 and kept == {i for i, _ in rows} - gone
 
 
+@pytest.mark.parametrize("retries", [0, 1, 12])
+def test_large_differences_end(spark, monkeypatch, retries):
+    """Tables that stall to the end are replaced by the digests themselves."""
+    monkeypatch.setattr(fingerprints, "RETRIES", retries)
+    rng = random.Random(retries)
+    sets = [([rng.randrange(50) for _ in range(rng.randrange(40))], [rng.randrange(50) for _ in range(rng.randrange(40))]) for _ in range(12)]
+    pairs = [(i, sorted(set(a)), sorted(set(b))) for i, (a, b) in enumerate(sets)] + [(99, [7], [7])]
+    got = {tuple(r) for r in fingerprints.peel_large(spark.createDataFrame(pairs, "id long, a array<long>, b array<long>")).collect()}
+    assert got == {(i, d, c) for i, a, b in pairs for c, x in ((1, set(a) - set(b)), (-1, set(b) - set(a))) for d in x}
+
+
 def test_edited_digest_by_hand(spark):
     got = fingerprints.fingerprint_edits(frame(spark, [(1, "abcdefgh"), (2, "X")])).orderBy("doc_id").collect()
     assert got[0]["edited_sha256"] == hashlib.sha256(b"abcdefX").hexdigest() and got[1]["edited_sha256"] == hashlib.sha256(b"X").hexdigest()
