@@ -203,8 +203,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = save(components(pairs.union(stars)), "groups")
     blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
     mine = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
-    members = groups.join(blocks, "component").select("node", "component", "nb", mine.alias("p"))
-    texts = save(rows.join(members.withColumnRenamed("node", "doc_id"), "doc_id").withColumnRenamed("doc_id", "node"), "candidates")
+    # a table of its own, whose size is known: a small one is sent to the texts, for a large one both are shuffled
+    members = save(groups.join(blocks, "component").select(F.col("node").alias("doc_id"), "component", "nb", mine.alias("p")), "members")
+    texts = save(rows.join(members, "doc_id").withColumnRenamed("doc_id", "node"), "candidates")
 
     def links(dealt: DataFrame) -> DataFrame:
         """Confirmed links of texts dealt to (component, p, q); equal p and q: of all, else of those marked ``first`` with the others."""
