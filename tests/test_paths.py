@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from hopflux import BFS, INF, BellmanFord, Dijkstra, HyperpathGenerating
-from hopflux.sources import GraphImporter, SiouxFalls, create_sf_network, edge_frame, generate_random_network, read_edges, sioux_falls, standardize_graph_dataframe, transit_example
+from hopflux.sources import GraphImporter, SiouxFalls, create_sf_network, edge_frame, generate_random_network, grid_network, read_edges, sioux_falls, standardize_graph_dataframe, transit_example
 
 INFINITY = float("inf")
 
@@ -350,6 +350,14 @@ def test_generator_and_road_network(spark):
     assert roads.count() == 76 and Dijkstra(roads, weight="trav_time").n_vertices == 24
 
 
+def test_grid(spark, monkeypatch):
+    monkeypatch.setattr(Dijkstra, "block_edges", 60)
+    rows = [tuple(r) for r in grid_network(7, 9, spark=spark).collect()]
+    assert len(rows) == 2 * (6 * 9 + 7 * 8) and all(1 <= w < 2 for _, _, w in rows)
+    with Dijkstra(grid_network(7, 9)) as engine:
+        assert np.allclose(engine.run(31, return_array=True), plain_dijkstra(rows, 31, 63))
+
+
 def test_stream_of_edges(spark, tmp_path):
     from hopflux.streaming import lightest_edges, snapshot
 
