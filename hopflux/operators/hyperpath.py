@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from hopflux.constants import INF, MIN_FREQ
 from hopflux.plans.work import save
 
+#: Options of a vertex that are folded at once; a vertex with more has them dealt out and sifted in parts first.
+TOGETHER = 10_000
 #: Relative improvement below which a time counts as unchanged, so that rounding cannot keep the loop going.
 SETTLED = 1e-15
 
@@ -30,16 +32,33 @@ def _fold(options: Column) -> Column:
 
 
 def _options(edges: DataFrame, times: DataFrame) -> DataFrame:
-    """Per tail the sorted options that its edges to vertices with a time give."""
+    """Per tail the sorted options that its edges to vertices with a time give.
+
+    Where edges have a ``part``, the options of each part are folded first and those that the part does not use are left out: with more
+    options a vertex only gets faster, so it uses none of them either.
+    """
     at = times.select(F.col("v").alias("head"), F.col("u").alias("u_head"))
-    priced = edges.join(at, "head").select("tail", F.struct((F.col("u_head") + F.col("trav_time")).alias("t"), "edge_idx", "freq").alias("o"))
+    priced = edges.join(at, "head").withColumn("o", F.struct((F.col("u_head") + F.col("trav_time")).alias("t"), "edge_idx", "freq"))
+    if "part" in edges.columns:
+        parts = priced.groupBy("tail", "part").agg(F.array_sort(F.collect_list("o")).alias("options"))
+        priced = parts.select("tail", F.explode(F.slice("options", 1, _fold(F.col("options"))["n"])).alias("o"))
     return priced.groupBy("tail").agg(F.array_sort(F.collect_list("o")).alias("options"))
 
 
+def _parted(edges: DataFrame) -> DataFrame:
+    """Edges with a ``part`` of at most about ``TOGETHER`` of their tail's, if any tail has more."""
+    many = edges.groupBy("tail").agg(F.count("*").alias("many")).where(F.col("many") > TOGETHER)
+    if many.isEmpty():
+        return edges
+    part = F.pmod(F.xxhash64("edge_idx"), F.ceil(F.coalesce("many", F.lit(1)) / TOGETHER))
+    return save(edges.join(many, "tail", "left").withColumn("part", part).drop("many"), "parted")
+
+
 def strategy(edges: DataFrame, destination: int, count: int) -> tuple[DataFrame, DataFrame]:
     """Times (v, u) and chosen edges (edge_idx, tail, head, share) towards ``destination``; ``edges`` are clamped and numbered."""
     spark = edges.sparkSession
     leaving = edges.where(F.col("tail") != destination).select("edge_idx", "tail", "head", "trav_time", "freq")
+    leaving = _parted(leaving)
     times = save(spark.createDataFrame([(destination, 0.0, 0)], "v long, u double, round int"), "times")
     for number in range(1, 2 * count + 2):
         moved = times.where(F.col("round") == number - 1).select(F.col("v").alias("head"))

@@ -284,6 +284,21 @@ def test_dwelling_and_changing(spark, first, times):
     assert np.allclose(engine.u_i_vec.orderBy("vertex_idx").toPandas()["u_i"], times)
 
 
+def test_options_in_parts(spark, monkeypatch):
+    """A stop with many lines: folding them in parts first changes nothing."""
+    from hopflux.operators import hyperpath
+
+    rng = random.Random(9)
+    rows = [(0, rng.choice([1, 2]), rng.uniform(1, 30), rng.uniform(0.01, 0.3)) for _ in range(40)] + [(1, 2, 5.0, 0.1), (1, 3, 9.0, INFINITY), (2, 3, 4.0, 0.2), (3, 0, 1.0, 1.0)]
+    got = []
+    for together in (10_000, 3):
+        monkeypatch.setattr(hyperpath, "TOGETHER", together)
+        engine = HyperpathGenerating(pd.DataFrame(rows, columns=["tail", "head", "trav_time", "freq"]))
+        engine.run(0, 3, 1.0)
+        got.append((engine.edges.orderBy("edge_idx").toPandas()["volume"], engine.u_i_vec.orderBy("vertex_idx").toPandas()["u_i"]))
+    assert np.allclose(got[0][0], got[1][0]) and np.allclose(got[0][1], got[1][1]) and (got[0][0] > 0).sum() > 4
+
+
 def test_hyperpath_arguments_and_unreached(spark):
     edges = pd.DataFrame({"tail": [0, 2], "head": [1, 3], "trav_time": [1.0, 1.0], "freq": [1.0, 1.0]})
     engine = HyperpathGenerating(edges)
