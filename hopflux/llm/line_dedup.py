@@ -21,17 +21,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hopflux.llm.text import column_bytes, hashes, mix
+from hopflux.llm.text import column_bytes, mix
 from hopflux.llm.work import save
 
 #: Texts are winnowed together up to so many words.
 TOGETHER = 1 << 16
 _BASE = 0x9E3779B97F4A7C15
-_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+#: Bytes, of one text or of several, whose words are found and hashed as one array; a longer word is hashed by itself.
+PIECE = 1 << 18
+_SPACES = b" \t\n\v\f\r"
+_IS_WORD = np.array([c not in _SPACES for c in range(256)])
+_CUTS = [bytes([c]) for c in _SPACES]
+_NEXT_SPACE = re.compile(rb"[ \t\n\v\f\r]")
 _power_table = [np.empty(0, np.uint64)] * 2
 
 
@@ -43,6 +49,51 @@ def _powers(n: int) -> list[np.ndarray]:
     return _power_table
 
 
+def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of a text and where they start and end, a piece of the text at a time.
+
+    A word's hash is a polynomial in its bytes, the difference of two running sums.
+    """
+    found, at = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))], 0
+    while at < len(text):
+        end = len(text)
+        if end - at >= PIECE:
+            end = 1 + max(text.rfind(c, at, at + PIECE) for c in _CUTS)
+            if end <= at:  # one long word, or the rest of the text
+                space = _NEXT_SPACE.search(text, at + PIECE - 1)
+                end = space.start() if space else len(text)
+                found.append((np.array([xxhash.xxh3_64_intdigest(text[at:end])], np.uint64), np.array([at]), np.array([end])))
+                at = end
+                continue
+        data = np.frombuffer(text, np.uint8, end - at, at)
+        change = np.diff(_IS_WORD[data].view(np.int8), prepend=np.int8(0), append=np.int8(0))
+        start, stop = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+        up, down = _powers(len(data) + 1)
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum((data + np.uint64(1)) * up[: len(data)], dtype=np.uint64, out=total[1:])
+            h = mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
+        found.append((h, start + at, stop + at))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def words_of_all(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """:func:`words_of` for each text, short ones being looked at together; null is the empty text."""
+    now, size = [], 0
+    for i, text in enumerate(texts):
+        now.append(text or b"")
+        size += len(now[-1]) + 1
+        if i == len(texts) - 1 or size + len(texts[i + 1] or b"") >= PIECE:
+            h, start, stop = words_of(b"\n".join(now))
+            begin = np.cumsum([0, *(len(x) + 1 for x in now)])
+            cut = np.searchsorted(start, begin).tolist()
+            for j, low in enumerate(begin[:-1].tolist()):
+                x, y = cut[j], cut[j + 1]
+                yield h[x:y], start[x:y] - low, stop[x:y] - low
+            now, size = [], 0
+
+
 def winnow(words: np.ndarray, ends: np.ndarray, size: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the selected grams (of ``size`` words) of some texts and the numbers of their first words.
 
@@ -68,10 +119,10 @@ def winnow(words: np.ndarray, ends: np.ndarray, size: int, window: int) -> tuple
 
 
 def _fingerprints(gram: int, window: int):
-    def some(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def some(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Gram hashes, numbers of the texts and places in them."""
         ends = np.cumsum([len(x) for x in texts])
-        h, at = winnow(hashes([w for x in texts for w in x]), ends, gram, window)
+        h, at = winnow(np.concatenate(texts), ends, gram, window)
         text = np.searchsorted(ends, at, side="right")
         return h, text, at - np.concatenate([[0], ends])[text]
 
@@ -79,8 +130,8 @@ def _fingerprints(gram: int, window: int):
         for batch in batches:
             kid, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts, now, first, size = column_bytes(batch.column(2)), [], 0, 0
-            for i, text in enumerate(texts):
-                now.append(text.split())
+            for i, (h, _, _) in enumerate(words_of_all(texts)):
+                now.append(h)
                 size += len(now[-1])
                 if size >= TOGETHER or i == len(texts) - 1:
                     h, own, place = some(now)
@@ -125,19 +176,19 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+def without(text: bytes, spans: list[tuple[int, int]], starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> bytes:
     """The text without these words; a span that begins a line takes the white space after it, another one that before it."""
-    place = [m.span() for m in _WORD.finditer(text)]
+    if starts is None or ends is None:
+        _, starts, ends = words_of(text)
     out, at = [], 0
     for s, e in spans:
-        low = place[s][0]
-        opens = text.rfind(b"\n", 0, low) >= (place[s - 1][1] if s else -1)
-        if opens:
+        low, before = int(starts[s]), int(ends[s - 1]) if s else -1
+        if text.rfind(b"\n", 0, low) >= before:
             out.append(text[at:low])
-            at = place[e][0] if e < len(place) else len(text)
+            at = int(starts[e]) if e < len(starts) else len(text)
         else:
-            out.append(text[at : place[s - 1][1]])
-            at = place[e - 1][1]
+            out.append(text[at:before])
+            at = int(ends[e - 1])
     out.append(text[at:])
     return b"".join(out)
 
@@ -146,20 +197,20 @@ def _slices(columns: list[str], text_col: str):
     """Rows of an earlier text and its matches with a later one of at most ``_most`` words: the stretches of words that these can reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, words = None, []
+        last, starts, ends = None, None, None
         for batch in batches:
             name = {c: i for i, c in enumerate(batch.schema.names)}
             rows = []
             for i, (text, most, matches) in enumerate(zip(column_bytes(batch.column(name[text_col])), batch.column(name["_most"]).to_pylist(), batch.column(name["_matches"]).to_pylist(), strict=True)):
                 if text != last:  # rows of one text stand together
-                    last, words = text, text.split()
+                    last, (_, starts, ends) = text, words_of(text)
                 found, at = sorted((x["q"] - x["p"], x["p"], x["q"]) for x in matches), 0
-                for s, e in merge([(max(0, d), min(len(words), d + most)) for d, _, _ in found]):
+                for s, e in merge([(max(0, d), min(len(starts), d + most)) for d, _, _ in found]):
                     inside = []
                     while at < len(found) and max(0, found[at][0]) < e:
                         inside.append({"p": found[at][1], "q": found[at][2] - s})
                         at += 1
-                    rows.append((i, inside, b" ".join(words[s:e]).decode()))
+                    rows.append((i, inside, text[starts[s] : ends[e - 1]].decode()))
             kept = batch.take(pa.array([x[0] for x in rows], pa.int64()))
             new = {"_matches": pa.array([x[1] for x in rows], batch.schema.field("_matches").type), text_col: pa.array([x[2] for x in rows], batch.schema.field(text_col).type)}
             yield pa.RecordBatch.from_arrays([new[c] if c in new else kept.column(name[c]) for c in columns], columns)
@@ -177,20 +228,18 @@ def _rewrite(columns: list[str], text_col: str, least: int):
             name = {c: i for i, c in enumerate(batch.schema.names)}
             get = lambda c: batch.column(name[c]).to_pylist()  # noqa: E731, B023
             texts, keep, new, cuts = column_bytes(batch.column(name[text_col])), [], [], []
-            for i, (k, t, kind, flag, matches) in enumerate(zip(get("_kid"), get("_t"), get("_kind"), get("_flag"), get("_matches"), strict=True)):
+            for i, (k, t, kind, flag, matches, (own, starts, ends)) in enumerate(zip(get("_kid"), get("_t"), get("_kind"), get("_flag"), get("_matches"), words_of_all(texts), strict=True)):
                 if (k, t) != now:
                     now, firsts = (k, t), []
                 if kind == 0:
-                    firsts.append((flag, None if flag else hashes(texts[i].split()), [(x["p"], x["q"]) for x in matches]))
+                    firsts.append((flag, own, [(x["p"], x["q"]) for x in matches]))
                     continue
-                words = (texts[i] or b"").split()
                 if flag:  # a copy of an earlier text
-                    spans = [(0, len(words))] if len(words) >= least else []
+                    spans = [(0, len(own))] if len(own) >= least else []
                 else:
-                    own = hashes(words)
                     spans = merge([s for same, first, m in firsts for s in later_runs(own, own if same else first, m, least)])
                 keep.append(i)
-                new.append(without(texts[i], spans) if spans else texts[i])
+                new.append(without(texts[i], spans, starts, ends) if spans else texts[i])
                 cuts.append(spans)
             rows = batch.take(pa.array(keep, pa.int64()))
             kind = batch.schema.field(text_col).type

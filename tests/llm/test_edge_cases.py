@@ -206,6 +206,24 @@ def test_line_dedup_finds_passages_from_any_word_on(spark, words):
     assert all(not set(got[i].split()) & x for i, x in later.items())
 
 
+@pytest.mark.parametrize("piece", [4, 16, 1 << 20])
+def test_words_in_pieces(monkeypatch, piece):
+    """Words, places and equal hashes of equal words, however the text is cut; words longer than a piece too."""
+    monkeypatch.setattr(line_dedup, "PIECE", piece)
+    rng = random.Random(piece)
+    known, texts = {}, [None, b""]
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "b", "é", " ", "\n", "\t ", "longword", "x" * 20]) for _ in range(rng.randrange(40))).encode()
+        texts.append(text)
+        h, starts, ends = line_dedup.words_of(text)
+        assert [text[a:b] for a, b in zip(starts, ends)] == text.split()
+        for w, x in zip(text.split(), h.tolist()):
+            assert known.setdefault(w, x) == x
+    assert len(set(known.values())) == len(known)
+    for text, (h, starts, ends) in zip(texts, line_dedup.words_of_all(texts), strict=True):
+        assert [text[a:b] for a, b in zip(starts, ends)] == (text or b"").split() and h.tolist() == [known[w] for w in (text or b"").split()]
+
+
 def test_line_dedup_sends_what_a_match_can_reach():
     """A long first text and short later ones: only stretches as long as these, and with them the same words are cut."""
     import pyarrow as pa
@@ -223,7 +241,7 @@ def test_line_dedup_sends_what_a_match_can_reach():
             matches.append({"p": p, "q": q})
         batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([matches], kinds.field(1).type), pa.array([n + 3], pa.int32()), pa.array([" ".join(first)])], schema=kinds)
         rows = [r for b in line_dedup._slices(["_kid", "_matches", "text"], "text")(iter([batch])) for r in b.to_pylist()]
-        h = lambda w: line_dedup.hashes([x.encode() for x in w])
+        h = lambda w: line_dedup.words_of(" ".join(w).encode())[0]
         runs = lambda f, m: line_dedup.later_runs(h(own), h(f), [(x["p"], x["q"]) for x in m], 3)
         got = line_dedup.merge([s for r in rows for s in runs(r["text"].split(), r["_matches"])])
         assert got == line_dedup.merge(runs(first, matches)) and sum(len(r["text"].split()) for r in rows) <= len(matches) * (n + 3)
