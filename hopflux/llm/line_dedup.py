@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hopflux.llm.text import column_bytes, mix
+from hopflux.llm.text import column_bytes, in_parts, mix
 from hopflux.llm.work import save
 
 #: Texts are winnowed together up to so many words.
@@ -127,7 +127,7 @@ def _fingerprints(gram: int, window: int):
         return h, text, at - np.concatenate([[0], ends])[text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             kid, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts, now, first, size = column_bytes(batch.column(2)), [], 0, 0
             for i, (h, _, _) in enumerate(words_of_all(texts)):
@@ -198,7 +198,7 @@ def _slices(columns: list[str], text_col: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, starts, ends = None, None, None
-        for batch in batches:
+        for batch in in_parts(batches):
             name = {c: i for i, c in enumerate(batch.schema.names)}
             rows = []
             for i, (text, most, matches) in enumerate(zip(column_bytes(batch.column(name[text_col])), batch.column(name["_most"]).to_pylist(), batch.column(name["_matches"]).to_pylist(), strict=True)):
@@ -224,7 +224,7 @@ def _rewrite(columns: list[str], text_col: str, least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, firsts = None, []
-        for batch in batches:
+        for batch in in_parts(batches):
             name = {c: i for i, c in enumerate(batch.schema.names)}
             get = lambda c: batch.column(name[c]).to_pylist()  # noqa: E731, B023
             texts, keep, new, cuts = column_bytes(batch.column(name[text_col])), [], [], []

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopflux.llm.components import components
-from hopflux.llm.text import column_bytes, shingles, space_words, text_hash
+from hopflux.llm.text import column_bytes, in_parts, shingles, space_words, text_hash
 from hopflux.llm.work import save
 
 #: A linked pair shares fewer probes than asked for with at most this probability (9 of 24 are asked for at 0.85, 7 at 0.8).
@@ -47,7 +47,7 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("h1", pa
 
 def _signatures(k: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             h1, h2, n, sketch = [], [], [], []
             for text in column_bytes(batch.column(2)):
                 words = space_words(text)
@@ -125,7 +125,7 @@ def _links(percent: int, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows, links = None, [], []
-        for batch in batches:
+        for batch in in_parts(batches):
             keys = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
             for key, rep, first, text in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), column_bytes(batch.column(5)), strict=True):
                 if key != now:

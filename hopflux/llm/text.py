@@ -6,6 +6,8 @@ the contracts, and UTF-8 bytes of other characters are never touched.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,6 +31,13 @@ def column_bytes(column) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches cut to at most so many rows, so that lists of their texts stay small."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def space_words(text: bytes | None) -> list[bytes]:
     """Words between ASCII white space, A-Z lower-cased."""
     return text.lower().split() if text else []
