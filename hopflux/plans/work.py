@@ -34,11 +34,16 @@ class Scope:
 
     def __init__(self) -> None:
         self.paths: list[str] = []
+        #: Names of those that stand in the catalog, see :func:`bucketed`.
+        self.names: list[tuple[SparkSession, str]] = []
 
     def free(self) -> None:
         from pyspark import SparkContext
 
         paths, self.paths = self.paths, []
+        names, self.names = self.names, []
+        for spark, name in names if SparkContext._active_spark_context is not None else []:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         jvm = SparkContext._jvm
         if jvm is not None and paths:
             conf = jvm.org.apache.hadoop.conf.Configuration() if SparkContext._active_spark_context is None else SparkContext._active_spark_context._jsc.hadoopConfiguration()
@@ -75,3 +80,19 @@ def save(df: DataFrame, name: str) -> DataFrame:
     _open.get().paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, key: str, deal: bool = True) -> DataFrame:
+    """A work table in as many buckets of ``key`` as the session has shuffle partitions.
+
+    Two such tables are joined on the key without a shuffle.  Without ``deal`` the rows are taken to lie by bucket already, as after
+    such a join, and only sorted.
+    """
+    spark = df.sparkSession
+    count, own = int(spark.conf.get("spark.sql.shuffle.partitions")), uuid.uuid4().hex
+    path, table = f"{shared_dir(spark)}/hopflux-{name}-{own}", f"`{spark.catalog.currentDatabase()}`.`hopflux_{name}_{own}`"
+    _open.get().paths.append(path)
+    _open.get().names.append((spark, table))
+    dealt = df.repartition(count, key) if deal else df
+    dealt.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(count, key).sortBy(key).saveAsTable(table)
+    return spark.table(table)
