@@ -170,3 +170,72 @@ def repeated_left(texts, size=50, overlap=False):
             if k != key or i >= at + (1 if overlap else size):
                 found.add(key)
     return found
+
+
+def _damaged(rows):
+    one = lambda x: " " if x is None else str(x)
+    for conv, turn, role, text in rows:
+        kind = crc(f"{one(conv)}:{one(turn)}") % 20
+        role, text = one(role), one(text)
+        if kind == 1:
+            text = ""
+        if kind == 2:
+            text = re.sub("[.!?]", "", text)
+        if kind == 4:
+            role = "user"
+        for _ in range(0 if kind == 0 else 2 if kind == 3 else 1):
+            yield conv, turn, role, text
+
+
+def _cheapest(rows):
+    """rows: (role, text, fault) -> (cost, audit, repaired rows), by search through all prefixes of edits, cheapest and then least first."""
+    import heapq
+
+    queue, done = [(0, "", 0, "", ())], set()
+    while queue:
+        cost, edits, at, roles, kept = heapq.heappop(queue)
+        if at == len(rows) and re.fullmatch("(s?(ua)+)?", roles):
+            return cost, edits, kept
+        state = (at, "" if not roles else "s" if roles == "s" else roles[-1])
+        if state in done:
+            continue
+        done.add(state)
+        could = lambda r: re.fullmatch("(s(ua)*u?)?|(ua)*u?", roles + r)
+        for role in ("user", "assistant"):
+            if could(role[0]):
+                heapq.heappush(queue, (cost + 2, edits + "I", at, roles + role[0], (*kept, (role, ""))))
+        if at == len(rows):
+            continue
+        role, text, fault = rows[at]
+        heapq.heappush(queue, (cost + 3, edits + "D", at + 1, roles, kept))
+        if fault in ("blank", "duplicate"):
+            continue
+        more = fault == "truncated"
+        if role[:1] in ("s", "u", "a") and could(role[:1]):
+            heapq.heappush(queue, (cost + more, edits + "K", at + 1, roles + role[:1], (*kept, (role, text))))
+        for new in ("user", "assistant"):
+            if could(new[0]):
+                heapq.heappush(queue, (cost + 2 + more, edits + "R", at + 1, roles + new[0], (*kept, (new, text))))
+
+
+def conversation_repairs(rows, damaged=True):
+    """(conv_id, turn, role, text) rows -> {conv_id: (gaps, blank, duplicate, truncated, illegal, cost, audit, sha256)}"""
+    by = {r[0]: [] for r in rows}
+    for r in _damaged(rows) if damaged else rows:
+        by[r[0]].append(r[1:])
+    out = {}
+    for conv, turns in by.items():
+        turns.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.md5(r[2].encode()).hexdigest()))
+        seen, judged = set(), []
+        for _, role, text in turns:
+            end = text.rstrip(" \t\n\x0b\x0c\r")
+            fault = "blank" if not end else "duplicate" if (role, text) in seen else "truncated" if end[-1] not in ".!?" else ""
+            seen.add((role, text))
+            judged.append((role, text, fault))
+        numbers = [t for t, _, _ in turns if t is not None]
+        gaps = max(numbers) - min(numbers) + 1 - len(set(numbers)) if numbers else 0
+        illegal = sum(a[0][:1] + b[0][:1] not in ("su", "ua", "au") for a, b in zip(judged, judged[1:]))
+        cost, edits, kept = _cheapest(judged)
+        digest = hashlib.sha256("\n".join(f"{r}:{t}" for r, t in kept).encode()).hexdigest()
+        out[conv] = (gaps, *(sum(f == k for _, _, f in judged) for k in ("blank", "duplicate", "truncated")), illegal, cost, edits, digest)
+    return out

@@ -8,7 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from hopflux.llm import decontamination, fingerprints, language_model, licenses, line_dedup, neardup, packing, sharding, toxicity, warc
+from hopflux.llm import decontamination, fingerprints, language_model, licenses, line_dedup, mixing, neardup, packing, sharding, toxicity, warc
 from hopflux.llm.queries import tokenizer_path
 from tests.llm import brute
 
@@ -36,6 +36,7 @@ OPERATORS = {
     "warc": lambda d, s: warc.derivatives(d, "doc_id", "source", "text"),
     "decontamination": lambda d, s: decontamination.contamination(d, s.createDataFrame(BENCH, "item_id long, text string")),
     "language_model": lambda d, s: language_model.score_texts(d),
+    "mixing": lambda d, s: mixing.mix(d),
 }
 
 

@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 def test_oracle(spark, name):
     duckdb = pytest.importorskip("duckdb")
     session = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "embeddings"):
         session.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     got, want = QUERIES[name](spark, SF).toPandas(), session.sql(ORACLES[name]).df()
     columns = sorted(got.columns)
