@@ -142,12 +142,15 @@ class _Graph:
             return one.orderBy("vertex_idx").toPandas().set_index("vertex_idx")["path_length"]
         return _as_array(one, "vertex_idx", "path_length", np.float64) if return_array else one
 
+    def _laid_out(self, *values: str) -> blocks.Layout:
+        if self._layout is None:
+            self._layout = blocks.lay_out(self._walked, self._n_edges, self.block_edges, values, split=bool(values))
+        return self._layout
+
     def _batch(self, sources: Sequence[int], **how) -> DataFrame:
         for s in sources:
             self._known(s)
-        if self._layout is None:
-            self._layout = blocks.lay_out(self._walked, self._n_edges, self.block_edges)
-        return shortest_path.shortest_paths(self._layout, sources, self._n_vertices, negative=self._has_negative, **how)
+        return shortest_path.shortest_paths(self._laid_out("weight"), sources, self._n_vertices, negative=self._has_negative, **how)
 
 
 class Dijkstra(_Graph):
@@ -263,7 +266,7 @@ class BFS(_Graph):
     def run(self, vertex_idx: int, path_tracking: bool = False, return_series: bool = False, return_array: bool = False):
         """``(vertex_idx, predecessor)``; the sentinel marks the start and what it does not reach."""
         vertex = self._known(vertex_idx, "non-negative")
-        tree = bfs.bfs_tree(self._walked, vertex).select(F.col("v").alias("vertex_idx"), "pred")
+        tree = bfs.bfs_tree(self._laid_out(), vertex).select(F.col("v").alias("vertex_idx"), "pred")
         self._links = None
         if path_tracking:
             self._link(tree, "pred")
@@ -274,7 +277,7 @@ class BFS(_Graph):
 
     def reorder(self, vertex_idx: int) -> DataFrame:
         """``(vertex_idx, new_idx)``: the order in which a queue visits the vertices, unreached ones last."""
-        return bfs.bfs_reorder(self._walked, self._known(vertex_idx, "non-negative"), self._n_vertices)
+        return bfs.bfs_reorder(self._laid_out(), self._known(vertex_idx, "non-negative"), self._n_vertices)
 
 
 class HyperpathGenerating:

@@ -1,13 +1,16 @@
-"""Edges laid out in blocks of vertices, and the relaxation of one block.
+"""Graphs laid out in blocks: a block is one row that holds the edges leaving a range of vertices, as arrays.
 
-Vertices are cut into ranges of ids with about ``BLOCK_EDGES`` edge ends each.  A block holds the edges that leave its range; what it
-finds out about vertices of other ranges it sends to their blocks as candidates, the best one per vertex.  A vertex with more edges
-than a block may hold has them dealt to further blocks by a hash of their heads, and its own block sends its labels on to these.
+Vertices have places.  A place is the vertex's own id, or its number in an order that keeps neighbours together
+(:mod:`hopflux.operators.locality`).  Blocks are ranges of places with about ``block_edges`` edge ends each; where a range ends comes
+from running totals of the vertices' degrees, added up by ranges, so no task sees all of them.  A vertex with more edges than a block
+holds has them dealt to further blocks by a hash of their heads, and its own block passes on to them what it finds out about it.
+
+In a block vertices are numbered: its own first, by place, then those of other blocks that its edges lead to.  Edges are sorted by tail.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,187 +18,209 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Edges of a block, about: 24 MB of them, a small partition.
+from hopflux.operators.edges import running_total
+from hopflux.plans.work import save
+
+#: Edges of a block, about: 12 MB of them, a small task.
 BLOCK_EDGES = 1 << 20
-#: A row is a label of a vertex in its block, a candidate for a block, a label of a vertex whose edges were dealt out, or a negative cycle.
-LABEL, CANDIDATE, COPY, CYCLE = range(4)
-ROWS = "kind int, block int, source long, v long, d double, hops long, pred long"
-_SCHEMA = pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("source", pa.int64()), ("v", pa.int64()), ("d", pa.float64()), ("hops", pa.int64()), ("pred", pa.int64())])
+#: Partitions of a layout at most; beyond it they hold several blocks each.
+_PARTS = 10_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Arrays that every block has, and the types of values that edges may have.
+ARRAYS = {"ids": np.int64, "names": np.int64, "home": np.int32, "first": np.int64, "head": np.int32, "back_v": np.int64, "back_block": np.int32}
+VALUES = {"weight": np.float64, "trav_time": np.float64, "freq": np.float64, "edge_idx": np.int64}
 
 
 @dataclass
 class Ranges:
-    """First vertices of the blocks after the first, and the further blocks (first, how many) of vertices with very many edges."""
+    """First places of the blocks after the first, the blocks' keys, and the further blocks of vertices with very many edges."""
 
     starts: np.ndarray
-    spread: dict[int, tuple[int, int]] = field(default_factory=dict)
+    keys: np.ndarray
+    spread: dict[int, list[int]] = field(default_factory=dict)
 
-    def of(self, vertices: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, vertices, side="right").astype(np.int32)
+    def of(self, places: np.ndarray) -> np.ndarray:
+        return self.keys[np.searchsorted(self.starts, places, side="right")]
 
     def of_edges(self, tails: np.ndarray, heads: np.ndarray) -> np.ndarray:
         block = self.of(tails)
-        for v, (first, many) in self.spread.items():
+        for v, more in self.spread.items():
             at = np.flatnonzero(tails == v)
-            block[at] = first + (heads[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % many
+            deal = (heads[at].astype(np.uint64) * _MIX >> np.uint64(40)).astype(np.int64) % len(more)
+            block[at] = np.array(more, np.int32)[deal]
         return block
 
 
 @dataclass
 class Layout:
-    """``edges`` (block, tail, head, weight), kept and partitioned by block."""
+    """``table`` (block, arrays), kept with one block to a task, and ``vertices`` (v, place)."""
 
-    edges: DataFrame
+    table: DataFrame
+    vertices: DataFrame
     ranges: Ranges
     blocks: int
 
+    def places(self, names: Sequence[int]) -> dict[int, int]:
+        """Places of some vertices; those without edges have none."""
+        asked = self.vertices.where(F.col("v").isin([int(x) for x in set(names)])).collect()
+        return {r["v"]: r["place"] for r in asked}
+
     def close(self) -> None:
-        self.edges.unpersist()
-
-
-def lay_out(edges: DataFrame, n_edges: int, block_edges: int = BLOCK_EDGES) -> Layout:
-    """Deal merged edges (tail, head, weight) to blocks."""
-    count = max(1, -(-n_edges // block_edges))
-    ranges = Ranges(np.empty(0, np.int64))
-    if count > 1:
-        # as many numbers as blocks come to the driver, here and below
-        marks = F.percentile_approx("v", [i / count for i in range(1, count)], max(10_000, 20 * count))
-        cuts = edges.select(F.explode(F.array("tail", "head")).alias("v")).agg(marks.alias("m")).first()["m"]
-        ranges.starts = np.unique(np.array(cuts, np.int64))
-        after = len(ranges.starts) + 1
-        for v, many in edges.groupBy("tail").agg(F.count("*").alias("c")).where(F.col("c") > block_edges).collect():
-            ranges.spread[v] = after, -(-many // block_edges)
-            after += ranges.spread[v][1]
-        count = after
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            block = ranges.of_edges(b.column(0).to_numpy(), b.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), *b.columns], ["block", "tail", "head", "weight"])
-
-    named = edges.select("tail", "head", "weight")
-    placed = named.mapInArrow(place, "block int, tail long, head long, weight double") if count > 1 else named.select(F.lit(0).alias("block"), "*")
-    return Layout(placed.repartition(min(count, 10_000), "block").sortWithinPartitions("block", "tail").persist(), ranges, count)
-
-
-def _numpy(table: pa.Table, name: str) -> np.ndarray:
-    return table.column(name).to_numpy()
-
-
-def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Numbers of the places in some spans, one after another."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
-
-
-class _Block:
-    """A block's edges by local numbers of vertices, and the labels of one source."""
-
-    def __init__(self, edges: pa.Table, inbox: pa.Table, ranges: Ranges, count: int):
-        tail, head, self.weight = (_numpy(edges, c) for c in ("tail", "head", "weight"))
-        self.block, self.ranges, self.count = int(inbox.column("block")[0].as_py()), ranges, count
-        to = ranges.of(head)
-        near = to == self.block
-        tails, first, sizes = np.unique(tail, return_index=True, return_counts=True)
-        self.ids = np.unique(np.concatenate([tails, head[near], _numpy(inbox, "v")]))
-        n = len(self.ids)
-        at = np.searchsorted(self.ids, tails)
-        self.first, self.size = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.first[at], self.size[at] = first, sizes
-        self.head, self.to, self.near = head, to, near
-        self.local = np.where(near, np.searchsorted(self.ids, head), -1)
-        self.d, self.hops, self.pred = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.known = np.zeros(n, bool)
-
-    def offers(self, some: np.ndarray, near: bool) -> tuple[np.ndarray, ...]:
-        """Edges from these vertices to own ones (or to those of other blocks), and the labels that they give."""
-        edge = _spans(self.first[some], self.size[some])
-        tail = np.repeat(some, self.size[some])
-        keep = self.near[edge] == near
-        edge, tail = edge[keep], tail[keep]
-        return edge, self.d[tail] + self.weight[edge], self.hops[tail] + 1, self.ids[tail]
-
-    def take(self, v: np.ndarray, d: np.ndarray, hops: np.ndarray, pred: np.ndarray, track: bool) -> np.ndarray:
-        """Keep what is better than the labels so far, (d, hops, pred) in this order or d alone; which vertices changed."""
-        better = d < self.d[v]
-        if track:
-            same = d == self.d[v]
-            better |= same & ((hops < self.hops[v]) | (hops == self.hops[v]) & (pred < self.pred[v]))
-        v, d, hops, pred = v[better], d[better], hops[better], pred[better]
-        order = np.lexsort((pred, hops, d, v)) if track else np.lexsort((d, v))
-        order = order[np.concatenate([[True], v[order][1:] != v[order][:-1]])] if len(v) else order
-        v = v[order]
-        self.d[v], self.hops[v], self.pred[v], self.known[v] = d[order], hops[order], pred[order], True
-        return v
-
-    def turns(self, source: int) -> bool:
-        """Whether predecessors run in a circle inside the block."""
-        n = len(self.ids)
-        at = np.minimum(np.searchsorted(self.ids, self.pred), n - 1)
-        inside = self.known & (self.ids[at] == self.pred) & ~((self.pred == self.ids) & (self.ids == source) & (self.d == 0))
-        jump = np.append(np.where(inside, at, n), n)
-        for _ in range(n.bit_length() + 1):
-            jump = jump[jump]
-        return bool((jump != n).any())
-
-
-def relax(ranges: Ranges, count: int, track: bool, negative: bool, detect: bool, bound: float, wanted: list[int]) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Relaxation of one block with the candidates sent to it, until nothing inside it changes.
-
-    Gives the labels that changed and the candidates for other blocks.  Labels beyond ``bound`` are not followed, nor those beyond the
-    furthest of the vertices ``wanted`` once the block has labels of them all.
+        self.table.unpersist()
+
+
+class Block:
+    """The arrays of one block."""
+
+    def __init__(self, row: pa.Table, key: int):
+        self.key, self.found = key, row.num_rows > 0
+        for name in row.column_names[1:]:
+            body = row.column(name)[0].as_py() if self.found else b""
+            setattr(self, name, np.frombuffer(body, ARRAYS.get(name) or VALUES[name]))
+        self.size = len(self.ids)
+        self.own = int(np.count_nonzero(self.home == key))
+        if not self.found:
+            self.first = np.zeros(1, np.int64)
+
+    def local(self, places: np.ndarray) -> np.ndarray:
+        """Numbers of places in the block, -1 for those that it does not know."""
+        at = np.full(len(places), -1)
+        for low, part in ((0, self.ids[: self.own]), (self.own, self.ids[self.own :])):
+            if len(part):
+                spot = np.minimum(np.searchsorted(part, places), len(part) - 1)
+                at = np.where(part[spot] == places, spot + low, at)
+        return at
+
+    def leaving(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edges that leave some vertices, and which of these each leaves."""
+        first = self.first[some]
+        sizes = self.first[some + 1] - first
+        ends = np.cumsum(sizes)
+        edge = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + sizes, sizes)
+        return edge, np.repeat(some, sizes)
+
+
+def _builder(ranges: Ranges, values: Sequence[str]):
+    """Rows of one block (its vertices, without a head, and its edges) to its arrays."""
+    names = ["ids", "names", "home", "first", "head", "back_v", "back_block", *values]
+    schema = pa.schema([("block", pa.int32()), *((n, pa.binary()) for n in names)])
+
+    def build(rows: pa.Table) -> pa.Table:
+        block = int(rows.column("block")[0].as_py())
+        column = {c: rows.column(c) for c in rows.column_names}
+        is_edge = column["head"].is_valid().to_numpy()
+        edges, listed = rows.filter(pa.array(is_edge)), rows.filter(pa.array(~is_edge))
+        back = listed.filter(listed.column("reader").is_valid())
+        listed = listed.filter(listed.column("reader").is_null())
+        tail, head = edges.column("tail").to_numpy(), edges.column("head").to_numpy()
+        v, name = listed.column("tail").to_numpy(), listed.column("name").to_numpy()
+        order = np.argsort(v, kind="stable")
+        v, name = v[order], name[order]
+        mine = ranges.of(v) == block
+        own, copies = v[mine], v[~mine]
+        far = np.union1d(copies, np.setdiff1d(head, own))
+        ids = np.concatenate([own, far])
+        home = ranges.of(ids)
+        names_of = np.zeros(len(ids), np.int64)
+        names_of[: len(own)] = name[mine]
+        names_of[len(own) + np.searchsorted(far, copies)] = name[~mine]
+
+        def number(x: np.ndarray) -> np.ndarray:
+            at = np.searchsorted(own, x)
+            if not len(own):
+                return np.searchsorted(far, x)
+            inside = own[np.minimum(at, len(own) - 1)] == x
+            return np.where(inside, at, len(own) + np.searchsorted(far, x))
+
+        t, h = number(tail), number(head)
+        order = np.lexsort((h, t))
+        first = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=len(ids)))])
+        made = {"ids": ids, "names": names_of, "home": home, "first": first, "head": h[order], "back_v": back.column("tail").to_numpy(), "back_block": back.column("reader").to_numpy()}
+        made |= {n: edges.column(n).to_numpy()[order] for n in values}
+        body = [np.ascontiguousarray(made[n], ARRAYS.get(n) or VALUES[n]).tobytes() for n in names]
+        return pa.Table.from_arrays([pa.array([block], pa.int32()), *(pa.array([b], pa.binary()) for b in body)], schema=schema)
+
+    return build, "block int, " + ", ".join(f"{n} binary" for n in names)
+
+
+def _keys(spark, count: int, parts: int) -> np.ndarray:
+    """Keys of blocks that Spark's hash deals evenly to the partitions."""
+    if parts == 1:
+        return np.arange(count, dtype=np.int32)
+    each = -(-count // parts)
+    tries = spark.range(parts * (each + 3 * int(parts**0.5) + 60)).select(F.col("id").cast("int").alias("key"))
+    dealt = tries.select("key", F.pmod(F.hash("key"), F.lit(parts)).alias("part")).groupBy("part").agg(F.slice(F.array_sort(F.collect_list("key")), 1, each).alias("keys")).orderBy("part")
+    rows = [r["keys"] for r in dealt.collect()]
+    keys = [keys[i] for i in range(each) for keys in rows if i < len(keys)]
+    return np.array(keys[:count], np.int32)
+
+
+def lay_out(edges: DataFrame, n_edges: int, block_edges: int = BLOCK_EDGES, values: Sequence[str] = ("weight",), order: DataFrame | None = None, readers: bool = False, split: bool = True) -> Layout:
+    """Deal merged edges (tail, head and ``values``) to blocks.
+
+    ``order`` (v, place) gives the vertices' places, by default their ids.  With ``readers`` a block also knows which other blocks have edges
+    to its vertices.  Without ``split`` all edges of a vertex stay in its block.
     """
-
-    def run(edges: pa.Table, inbox: pa.Table) -> pa.Table:
-        kind, source = _numpy(inbox, "kind"), _numpy(inbox, "source")
-        if not (kind == CANDIDATE).any():
-            return pa.Table.from_arrays([pa.array([], t) for t in _SCHEMA.types], schema=_SCHEMA)
-        b, out = _Block(edges, inbox, ranges, count), []
-        v, rest = np.searchsorted(b.ids, _numpy(inbox, "v")), [_numpy(inbox, c) for c in ("d", "hops", "pred")]
-        goal = np.searchsorted(b.ids, wanted)
-        goal = goal if len(goal) and goal[-1] < len(b.ids) and (b.ids[goal] == wanted).all() else None
-        for s in np.unique(source[kind == CANDIDATE]).tolist():
-            b.d.fill(np.inf)
-            b.known.fill(False)
-            old = np.flatnonzero((source == s) & (kind != CANDIDATE))
-            b.take(v[old], *(x[old] for x in rest), track)
-            new, most = np.flatnonzero((source == s) & (kind == CANDIDATE) & (rest[0] <= bound)), bound
-            # a walk of ``count`` edges passes a vertex twice, and is better only if the circle is negative
-            new = new if detect or not negative else new[rest[1][new] < count]
-            front = b.take(v[new], *(x[new] for x in rest), track)
-            changed, steps, look = np.zeros(len(b.ids), bool), 0, 32
-            circle = negative and bool((b.hops[front] >= count).any())
-            while len(front):
-                changed[front] = True
-                if goal is not None:
-                    most = min(most, b.d[goal].max())
-                edge, d, hops, pred = b.offers(front[b.d[front] <= most], True)
-                keep = hops < count if negative and not detect else slice(None)
-                front = b.take(b.local[edge[keep]], d[keep], hops[keep], pred[keep], track)
-                steps += 1
-                circle = circle or negative and bool((b.hops[front] >= count).any())
-                if negative and detect and steps == look:
-                    look, circle = 2 * look, circle or b.turns(s)
-                if circle:
-                    break
-            some = np.flatnonzero(changed)
-            ids = b.ids[some]
-            mine = ranges.of(ids) == b.block
-            out.append((np.where(mine, LABEL, COPY), np.full(len(some), b.block), s, ids, b.d[some], b.hops[some], b.pred[some]))
-            if circle:
-                out.append((np.array([CYCLE]), np.array([b.block]), s, ids[:1], b.d[some[:1]], b.hops[some[:1]], b.pred[some[:1]]))
-                continue
-            edge, d, hops, pred = b.offers(some[b.d[some] <= most], False)
-            order = np.lexsort((pred, hops, d, b.head[edge])) if track else np.lexsort((d, b.head[edge]))
-            far = b.head[edge][order]
-            order = order[np.concatenate([[True], far[1:] != far[:-1]])] if len(far) else order
-            out.append((np.full(len(order), CANDIDATE), b.to[edge][order], s, b.head[edge][order], d[order], hops[order], pred[order]))
-            for hub, (first, many) in ranges.spread.items():
-                at = np.searchsorted(ids, hub)
-                if at < len(ids) and ids[at] == hub and mine[at]:
-                    one = [np.full(many, x[some[at]]) for x in (b.d, b.hops, b.pred)]
-                    out.append((np.full(many, CANDIDATE), first + np.arange(many), s, np.full(many, hub), *one))
-        columns = [np.concatenate([np.full(len(x[0]), x[i]) if i == 2 else x[i] for x in out]) for i in range(7)]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _SCHEMA.types, strict=True)], schema=_SCHEMA)
-
-    return run
+    spark = edges.sparkSession
+    wanted = max(1, -(-n_edges // block_edges))
+    if wanted > 1:  # whole waves of tasks
+        cores = spark.sparkContext.defaultParallelism
+        wanted = -(-wanted // cores) * cores if block_edges == BLOCK_EDGES else wanted
+    named = edges.select("tail", "head", *values)
+    if order is not None:
+        for end in ("tail", "head"):
+            named = named.join(order.select(F.col("v").alias(end), F.col("place").alias(f"{end}_place")), end)
+        named = named.select(F.col("tail_place").alias("tail"), F.col("head_place").alias("head"), *values, F.col("tail").alias("tail_name"), F.col("head").alias("head_name"))
+        ends = named.select(F.explode(F.array(F.struct(F.col("tail").alias("place"), F.col("tail_name").alias("v")), F.struct(F.col("head").alias("place"), F.col("head_name").alias("v")))).alias("x"))
+    else:
+        ends = named.select(F.explode(F.array(F.struct(F.col("tail").alias("place"), F.col("tail").alias("v")), F.struct(F.col("head").alias("place"), F.col("head").alias("v")))).alias("x"))
+    vertices = ends.groupBy("x.place", "x.v").agg(F.count("*").alias("ends"))
+    starts, spread = np.empty(0, np.int64), []
+    if wanted > 1:
+        per = max(1, -(-2 * n_edges // wanted))
+        vertices = save(running_total(vertices, ["place"], "ends", "before"), "vertices")
+        borders = vertices.groupBy(F.floor(F.col("before") / per).alias("range")).agg(F.min("place").alias("start")).select("start").toPandas()["start"]
+        starts = np.sort(borders.to_numpy(np.int64))[1:]  # as many numbers as blocks, here and below
+        many = named.where(F.lit(split)).groupBy("tail").agg(F.count("*").alias("c")).where(F.col("c") > block_edges)
+        spread = [(r["tail"], -(-r["c"] // block_edges)) for r in many.collect()]
+    else:
+        vertices = save(vertices, "vertices")
+    count = len(starts) + 1 + sum(c for _, c in spread)
+    parts = min(count, _PARTS)
+    keys = _keys(spark, count, parts)
+    ranges, at = Ranges(starts, keys[: len(starts) + 1]), len(starts) + 1
+    for v, more in spread:
+        ranges.spread[v] = keys[at : at + more].tolist()
+        at += more
+    columns = ["block", "tail", "head", "name", "reader", *values]
+    kinds = {"block": "int", "reader": "int", "edge_idx": "long"} | {c: "long" for c in ("tail", "head", "name")}
+    text = ", ".join(f"{c} {kinds.get(c, 'double')}" for c in columns)
+    schema = pa.schema([(c, {"int": pa.int32(), "long": pa.int64()}.get(kinds.get(c, ""), pa.float64())) for c in columns])
+
+    def place_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tail, head = b.column("tail").to_numpy(), b.column("head").to_numpy()
+            block = ranges.of_edges(tail, head)
+            n, given = b.num_rows, {c: b.column(c) for c in ("tail", "head", *values)}
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()) if c == "block" else given.get(c, pa.nulls(n, schema.field(c).type)) for c in columns], schema=schema)
+            if readers:
+                home = ranges.of(head)
+                pairs = np.unique(np.stack([head, home, block])[:, home != block], axis=1)
+                m = pairs.shape[1]
+                made = {"block": pa.array(pairs[1], pa.int32()), "tail": pa.array(pairs[0]), "reader": pa.array(pairs[2], pa.int32())}
+                yield pa.RecordBatch.from_arrays([made.get(c, pa.nulls(m, schema.field(c).type)) for c in columns], schema=schema)
+
+    def place_vertices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v, name = b.column("place").to_numpy(), b.column("v").to_numpy()
+            more = [(k, p, n) for p, n in zip(v.tolist(), name.tolist()) if p in ranges.spread for k in ranges.spread[p]] if ranges.spread else []
+            block, v, name = (np.concatenate([x, np.array([m[i] for m in more], np.int64)]) for i, x in enumerate((ranges.of(v), v, name)))
+            made = {"block": pa.array(block, pa.int32()), "tail": pa.array(v), "name": pa.array(name)}
+            yield pa.RecordBatch.from_arrays([made.get(c, pa.nulls(len(v), schema.field(c).type)) for c in columns], schema=schema)
+
+    rows = named.select("tail", "head", *values).mapInArrow(place_edges, text).union(vertices.select("place", "v").mapInArrow(place_vertices, text))
+    if readers:
+        rows = rows.dropDuplicates(["block", "tail", "head", "reader", *[v for v in values if v == "edge_idx"]])
+    build, kind = _builder(ranges, values)
+    table = rows.repartition(parts, "block").groupBy("block").applyInArrow(build, kind)
+    return Layout(table.repartition(parts, "block").persist(), vertices.select("v", "place"), ranges, count)

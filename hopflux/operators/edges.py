@@ -51,6 +51,16 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return within.join(starts, "_piece").withColumn(name, (F.col("_start") + F.col("_rank") - 1).cast("long")).drop("_piece", "_rank", "_start")
 
 
+def running_total(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """The sum of ``value`` over all rows before each one in ``order``, added up by ranges like :func:`numbered`."""
+    dealt = save(df.repartitionByRange(*order).withColumn("_piece", F.spark_partition_id()), "ranges")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c, w: F.coalesce(F.sum(c).over(before(w)), F.lit(0))
+    starts = dealt.groupBy("_piece").agg(F.sum(value).alias("_n")).select("_piece", total("_n", Window.orderBy("_piece")).alias("_start"))  # one row per range
+    within = dealt.withColumn("_in", total(value, Window.partitionBy("_piece").orderBy(*order)))
+    return within.join(starts, "_piece").withColumn(name, (F.col("_start") + F.col("_in")).cast("long")).drop("_piece", "_in", "_start")
+
+
 def permutation(edges: DataFrame) -> DataFrame:
     """vert_idx_old, vert_idx_new: the vertices numbered from 0 in their order."""
     return numbered(vertices(edges).withColumnRenamed("vertex_idx", "vert_idx_old"), ["vert_idx_old"], "vert_idx_new")
@@ -93,11 +103,7 @@ def offsets(edges: DataFrame) -> DataFrame:
     count = vertex_count(edges)
     degrees = edges.groupBy(F.col("tail").alias("vertex_idx")).agg(F.count("*").alias("degree"))
     rows = edges.sparkSession.range(count).withColumnRenamed("id", "vertex_idx").join(degrees, "vertex_idx", "left").select("vertex_idx", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
-    dealt = save(rows.repartitionByRange("vertex_idx").withColumn("_piece", F.spark_partition_id()), "ranges")
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("_piece").agg(F.sum("degree").alias("_n")).select("_piece", F.coalesce(F.sum("_n").over(before(Window.orderBy("_piece"))), F.lit(0)).alias("_start"))
-    inside = F.coalesce(F.sum("degree").over(before(Window.partitionBy("_piece").orderBy("vertex_idx"))), F.lit(0))
-    return dealt.withColumn("_in", inside).join(starts, "_piece").select("vertex_idx", "degree", (F.col("_start") + F.col("_in")).cast("long").alias("offset"))
+    return running_total(rows, ["vertex_idx"], "degree", "offset")
 
 
 @dataclass

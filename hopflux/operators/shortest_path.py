@@ -1,39 +1,210 @@
-"""Shortest paths as a fixpoint over blocks of vertices.
+"""Shortest paths as a fixpoint over blocks of vertices (:mod:`hopflux.operators.rounds`).
 
-In a round the blocks that have got candidates relax their own edges until nothing inside them changes, and send candidates on to other
-blocks (see :mod:`hopflux.operators.blocks`).  So a round takes every path as far as it stays in its block, only candidates for other
-blocks are shuffled, and blocks without any are not read.  Each round is written as a work table of what changed, which cuts
-the lineage; every few rounds the tables are put together.
+In a round a block relaxes its own edges from the candidates that it has got until nothing inside it changes, nearest vertices first, and
+sends to each other block the candidates for its vertices that are better than those it sent before.  So a round takes every path as
+far as it stays in its block, and only candidates for other blocks are shuffled.
 
 A label is (distance, hops, predecessor) and smaller labels win in that order, so equal distances are decided alike
 however the rounds run, and predecessors never form a cycle, even through edges of weight 0.  Many sources go in one fixpoint.
+
+With a window, blocks do not follow labels beyond a bound that rises by the window whenever no block has anything left below it.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopflux.operators import blocks
-from hopflux.operators.blocks import CANDIDATE, COPY, CYCLE, LABEL, ROWS, Layout
+from hopflux.operators.blocks import Block, Layout
+from hopflux.operators.rounds import ALARM, FACT, MEMORY, MESSAGE, Rounds, table
 from hopflux.plans.work import save, scope
 
-#: Rounds between two writings of all labels.
-TOGETHER = 8
+#: What a block remembers of a vertex that it has a label of; ``open``: changed and not followed yet.
+_LABEL = np.dtype([("i", "<i4"), ("own", "?"), ("open", "?"), ("name", "<i8"), ("d", "<f8"), ("hops", "<i8"), ("pred", "<i8")])
+_CANDIDATE = np.dtype([("v", "<i8"), ("d", "<f8"), ("hops", "<i8"), ("pred", "<i8")])
 
 
 class NegativeCycle(ValueError):
     """A cycle of negative total weight can be reached."""
 
 
-def _labels(rows: DataFrame) -> DataFrame:
-    """The best label per source and vertex of rows from many rounds."""
-    best = rows.where(F.col("kind") == LABEL).groupBy("source", "v").agg(F.min(F.struct("d", "hops", "pred")).alias("c"))
-    return best.select("source", "v", "c.d", "c.hops", "c.pred")
+class _Labels:
+    """Labels of one source in one block."""
+
+    def __init__(self, block: Block, track: bool):
+        n = block.size
+        self.block, self.track = block, track
+        self.d, self.hops, self.pred = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.known, self.open = np.zeros(n, bool), np.zeros(n, bool)
+
+    def recall(self, body: bytes) -> None:
+        old = np.frombuffer(body, _LABEL)
+        i = old["i"]
+        self.d[i], self.hops[i], self.pred[i], self.open[i], self.known[i] = old["d"], old["hops"], old["pred"], old["open"], True
+
+    def remember(self) -> bytes:
+        i = np.flatnonzero(self.known)
+        made = np.empty(len(i), _LABEL)
+        made["i"], made["own"], made["open"], made["name"] = i, i < self.block.own, self.open[i], self.block.names[i]
+        made["d"], made["hops"], made["pred"] = self.d[i], self.hops[i], self.pred[i]
+        return made.tobytes()
+
+    def take(self, v: np.ndarray, d: np.ndarray, hops: np.ndarray, pred: np.ndarray) -> np.ndarray:
+        """Keep what is better than the labels so far, (d, hops, pred) in this order or d alone; which vertices changed."""
+        better = d < self.d[v]
+        if self.track:
+            same = d == self.d[v]
+            better |= same & ((hops < self.hops[v]) | (hops == self.hops[v]) & (pred < self.pred[v]))
+        v, d, hops, pred = v[better], d[better], hops[better], pred[better]
+        if len(v) > 1:
+            order = np.lexsort((pred, hops, d, v)) if self.track else np.lexsort((d, v))
+            v = v[order]
+            first = np.empty(len(v), bool)
+            first[0], first[1:] = True, v[1:] != v[:-1]
+            order, v = order[first], v[first]
+            d, hops, pred = d[order], hops[order], pred[order]
+        self.d[v], self.hops[v], self.pred[v], self.known[v], self.open[v] = d, hops, pred, True, True
+        return v
+
+    def offers(self, some: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What some vertices' edges give: heads, distances, hops, predecessors."""
+        edge, tail = self.block.leaving(some)
+        return self.block.head[edge], self.d[tail] + self.block.weight[edge], self.hops[tail] + 1, self.block.names[tail]
+
+    def turns(self, source: int) -> bool:
+        """Whether predecessors run in a circle inside the block."""
+        n = self.block.size
+        order = np.argsort(self.block.names[: self.block.own], kind="stable")
+        names = self.block.names[order]
+        if not len(names):
+            return False
+        at = np.minimum(np.searchsorted(names, self.pred), len(names) - 1)
+        root = (self.pred == self.block.names) & (self.block.names == source) & (self.d == 0)
+        inside = self.known & (names[at] == self.pred) & ~root & (np.arange(n) < self.block.own)
+        jump = np.append(np.where(inside, order[at], n), n)
+        for _ in range(n.bit_length() + 1):
+            jump = jump[jump]
+        return bool((jump != n).any())
+
+
+def relax(ranges, count: int, track: bool, negative: bool, detect: bool, bound: float, wanted: list[int]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A block's part of a round.
+
+    Labels beyond ``bound`` are kept but not followed, nor those beyond the furthest of the places ``wanted`` once the block has labels of them all.
+    """
+
+    def circle_or_done(labels: _Labels, b: Block, front: np.ndarray, changed: np.ndarray, goal, source: int) -> bool:
+        """Relax until nothing changes; True if a negative cycle turns up."""
+        most, steps, look = bound, 0, 32
+        # the nearest first, in steps of a mean weight: what is near is final before what is far is looked at
+        step = math.inf if negative or not len(b.weight) else max(float(np.nanmean(b.weight)), 0.0) or math.inf
+        limit, later = -math.inf if step < math.inf else math.inf, [front]
+        if negative and (labels.hops[front[front < b.own]] >= count).any():
+            return True
+        front = front[:0]
+        while True:
+            if not len(front):
+                rest = np.unique(np.concatenate(later))
+                rest = rest[labels.open[rest]]
+                if goal is not None:
+                    most = min(most, labels.d[goal].max())
+                rest = rest[labels.d[rest] <= most]
+                if not len(rest):
+                    return False
+                limit, later = max(limit, float(labels.d[rest].min()) + step), []
+                near = labels.d[rest] <= limit
+                front, later = rest[near], [rest[~near]]
+            labels.open[front] = False
+            v, d, hops, pred = labels.offers(front)
+            if negative and not detect:
+                keep = hops < count
+                v, d, hops, pred = v[keep], d[keep], hops[keep], pred[keep]
+            front = labels.take(v, d, hops, pred)
+            changed[front] = True
+            steps += 1
+            if negative and (labels.hops[front[front < b.own]] >= count).any():
+                return True
+            if negative and detect and steps == look:
+                look *= 2
+                if labels.turns(source):
+                    return True
+            if limit < math.inf:
+                near = labels.d[front] <= limit
+                later.append(front[~near])
+                front = front[near]
+
+    def run(row: pa.Table, inbox: pa.Table) -> pa.Table:
+        kinds, sources = inbox.column("kind").to_numpy(), inbox.column("source").to_numpy()
+        if not len(kinds):
+            return table([])
+        key = int(inbox.column("block")[0].as_py())
+        b, bodies, out = Block(row, key), inbox.column("body"), []
+        copies = np.flatnonzero(np.isin(b.ids[b.own :], list(ranges.spread))) + b.own if ranges.spread else np.empty(0, np.int64)
+        copies = copies[np.diff(b.first)[copies] > 0] if len(copies) else copies
+        goal = b.local(np.array(wanted, np.int64)) if wanted else None
+        goals = goal[(goal >= 0) & (goal < b.own)] if wanted else np.empty(0, np.int64)
+        goal = goal if wanted and len(goals) == len(goal) else None
+        for s in np.unique(sources).tolist():
+            labels = _Labels(b, track)
+            for i in np.flatnonzero((sources == s) & (kinds == MEMORY)):
+                labels.recall(bodies[int(i)].as_py())
+            new = [np.frombuffer(bodies[int(i)].as_py(), _CANDIDATE) for i in np.flatnonzero((sources == s) & (kinds == MESSAGE))]
+            new = np.concatenate(new) if new else np.empty(0, _CANDIDATE)
+            at = b.local(new["v"])
+            keep = (at >= 0) & ((new["hops"] < count) if negative and not detect else True)
+            got = labels.take(at[keep], new["d"][keep], new["hops"][keep], new["pred"][keep])
+            changed = np.zeros(b.size, bool)
+            changed[got] = True
+            waiting = np.flatnonzero(labels.open)
+            if circle_or_done(labels, b, waiting, changed, goal, s):
+                out.append((ALARM, key, s, 0, 0.0, b""))
+                continue
+            some = np.flatnonzero(changed)
+            left = labels.d[: b.own][labels.open[: b.own]]
+            if len(left):  # what waits for a higher bound
+                out.append((FACT, key, s, -1, float(left.min()), b""))
+            out += [(FACT, key, s, int(b.ids[g]), float(labels.d[g]), b"") for g in goals if labels.known[g]]
+            # far vertices have no edges here, so their labels are all done with
+            labels.open[b.own :] = False
+            far = some[some >= b.own]
+            far = far[~np.isin(far, copies)]
+            far = far[labels.d[far] <= bound]
+            out += [(MESSAGE, int(to), s, 0, 0.0, _candidates(labels, b.ids, far[b.home[far] == to])) for to in np.unique(b.home[far])]
+            for hub in some[some < b.own][np.isin(b.ids[some[some < b.own]], list(ranges.spread))] if ranges.spread else ():
+                body = _candidates(labels, b.ids, np.array([hub]))
+                out += [(MESSAGE, to, s, 0, 0.0, body) for to in ranges.spread[int(b.ids[hub])]]
+            out.append((MEMORY, key, s, int((some < b.own).sum()), 0.0, labels.remember()))
+        return table(out)
+
+    return run
+
+
+def _candidates(labels: _Labels, ids: np.ndarray, some: np.ndarray) -> bytes:
+    made = np.empty(len(some), _CANDIDATE)
+    made["v"], made["d"], made["hops"], made["pred"] = ids[some], labels.d[some], labels.hops[some], labels.pred[some]
+    return made.tobytes()
+
+
+_RESULT = "source long, v long, d double, hops long, pred long"
+
+
+def _labels(memory: DataFrame) -> DataFrame:
+    """Labels of vertices in their own blocks."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for source, body in zip(b.column("source").to_pylist(), b.column("body")):
+                got = np.frombuffer(body.as_py(), _LABEL)
+                got = got[got["own"]]
+                columns = [np.full(len(got), source), got["name"], got["d"], got["hops"], got["pred"]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["source", "v", "d", "hops", "pred"])
+
+    return memory.select("source", "body").mapInArrow(explode, _RESULT)
 
 
 def in_cycle(labels: DataFrame, count: int, rounds: int) -> bool:
@@ -54,72 +225,59 @@ def in_cycle(labels: DataFrame, count: int, rounds: int) -> bool:
     return True
 
 
-class _Rounds:
-    """What the rounds have found, a table of rows for each."""
-
-    def __init__(self, layout: Layout, start: DataFrame):
-        self.layout, self.past, self.now = layout, [], start
-
-    def every(self) -> DataFrame:
-        rows = self.now
-        for more in self.past:
-            rows = rows.union(more)
-        return rows
-
-    def step(self, active: list[int], run) -> None:
-        """The next round: active blocks with their labels and candidates."""
-        inbox, edges = self.now.where(F.col("kind") != CYCLE), self.layout.edges
-        for more in self.past:
-            inbox = inbox.union(more.where(F.col("kind") != CANDIDATE))
-        if len(active) < self.layout.blocks:
-            asked = F.broadcast(inbox.sparkSession.createDataFrame([(b,) for b in active], "block int"))
-            inbox, edges = inbox.join(asked, "block", "left_semi"), edges.join(asked, "block", "left_semi")
-        made = edges.groupBy("block").cogroup(inbox.groupBy("block")).applyInArrow(run, ROWS)
-        self.past.append(self.now)
-        self.now = save(made, "round")
-
-    def together(self) -> None:
-        """The best labels and the candidates at hand, in place of all rounds so far."""
-        held = self.every().where(F.col("kind").isin(LABEL, COPY)).groupBy("kind", "block", "source", "v").agg(F.min(F.struct("d", "hops", "pred")).alias("c"))
-        whole = held.select("kind", "block", "source", "v", "c.d", "c.hops", "c.pred").union(self.now.where(F.col("kind") == CANDIDATE))
-        self.past, self.now = [], save(whole, "rounds")
-
-
-def shortest_paths(layout: Layout, sources: Iterable[int], count: int, track: bool = False, targets: Iterable[int] | None = None, negative: bool = False, detect: bool = True) -> DataFrame:
+def shortest_paths(layout: Layout, sources: Iterable[int], count: int, track: bool = False, targets: Iterable[int] | None = None, negative: bool = False, detect: bool = True, window: float | None = None, report: dict | None = None) -> DataFrame:
     """Labels (source, v, d, hops, pred) of all vertices that the sources reach.
 
     ``layout`` is that of merged edges (:func:`hopflux.operators.blocks.lay_out`) and ``count`` the number of vertices.  With
     ``targets`` and weights that are not negative, labels beyond the furthest target are not followed.  ``negative`` says
     that weights may be negative: with ``detect`` a reachable negative cycle raises :class:`NegativeCycle`, without it
-    no path of ``count`` edges or more is followed.
+    no path of ``count`` edges or more is followed.  ``report`` gets the number of rounds and of labels that they wrote.
     """
-    spark, track = layout.edges.sparkSession, track or negative
-    wanted = sorted(set(targets)) if targets is not None and not negative else []
-    distinct = np.array(sorted(set(sources)), np.int64)
-    homes = layout.ranges.of(distinct)
-    rounds = _Rounds(layout, spark.createDataFrame([(CANDIDATE, int(b), int(s), int(s), 0.0, 0, int(s)) for s, b in zip(distinct.tolist(), homes.tolist())], ROWS))
-    active, found, number, look = sorted(set(homes.tolist())), {}, 0, 8
-    # one row comes back from a round: block numbers, whether there was a cycle, and the targets' labels
-    there = F.when((F.col("kind") == LABEL) & F.col("v").isin(wanted), F.struct("source", "v", "d")) if wanted else F.lit(None)
-    facts = (F.collect_set(F.when(F.col("kind") == CANDIDATE, F.col("block"))).alias("active"), F.count_if(F.col("kind") == CYCLE).alias("cycles"), F.collect_list(there).alias("targets"))
+    spark, track = layout.table.sparkSession, track or negative
+    distinct = sorted(set(sources))
+    asked = sorted(set(targets)) if targets is not None and not negative else []
+    places = layout.places([*distinct, *asked])
+    starts = [(s, places[s]) for s in distinct if s in places]
+    # a target without edges is reached by none but itself
+    wanted = sorted(places[v] for v in asked) if asked and all(v in places for v in asked) else []
+    alone = [(s, s, 0.0, 0, s) for s in distinct if s not in places]
+    apart = spark.createDataFrame(alone, _RESULT)
+    if not starts:
+        return apart
+    homes = layout.ranges.of(np.array([p for _, p in starts], np.int64)).tolist()
+    first = [(MESSAGE, int(h), int(s), 0, 0.0, np.array([(p, 0.0, 0, s)], _CANDIDATE).tobytes()) for (s, p), h in zip(starts, homes)]
+    window = None if negative else window
+    found: dict[tuple[int, int], float] = {}
+    waiting: dict[tuple[int, int], float] = {}
+    edge, look = window if window else math.inf, 8
     try:
         with scope() as own:
-            while active:
-                number += 1
-                bound = max(found.values()) if wanted and len(found) == len(wanted) * len(distinct) else math.inf
-                rounds.step(active, blocks.relax(layout.ranges, count, track, negative, detect, bound, wanted))
-                row = rounds.now.agg(*facts).first()
-                if row["cycles"]:
+            rounds = Rounds(layout, first)
+            while rounds.active:
+                bound = max(found.values()) if wanted and len(found) == len(wanted) * len(starts) else math.inf
+                worked = set(rounds.active)
+                rounds.step(relax(layout.ranges, count, track, negative, detect, min(bound, edge), wanted))
+                if rounds.alarms:
                     raise NegativeCycle("Negative cycle detected in the graph")
-                active = sorted(row["active"])
-                for s, v, d in row["targets"]:
-                    found[s, v] = min(d, found.get((s, v), math.inf))
-                if negative and detect and number >= look and active:
+                waiting = {k: d for k, d in waiting.items() if k[0] not in worked}
+                for f in rounds.facts:
+                    if f["v"] < 0:
+                        waiting[f["block"], f["source"]] = f["d"]
+                    else:
+                        found[f["source"], f["v"]] = f["d"]
+                if window and not rounds.active:
+                    bound = max(found.values()) if wanted and len(found) == len(wanted) * len(starts) else math.inf
+                    left = {k: d for k, d in waiting.items() if d <= bound}
+                    if left:
+                        edge = max(edge, min(left.values())) + window
+                        rounds.active = sorted({k[0] for k, d in left.items() if d <= edge})
+                if negative and detect and rounds.number >= look and rounds.active:
                     look *= 2
-                    if in_cycle(_labels(rounds.every()), count, number):
+                    if in_cycle(_labels(rounds.memory()), count, rounds.number):
                         raise NegativeCycle("Negative cycle detected in the graph")
-                if number % TOGETHER == 0 and active:
-                    rounds.together()
-        return save(_labels(rounds.every()), "labels")
+                rounds.put_together()
+        if report is not None:
+            report |= {"rounds": rounds.number, "written": rounds.written}
+        return save(_labels(rounds.memory()).union(apart), "labels")
     finally:
         own.free()

@@ -75,11 +75,16 @@ def scope() -> Iterator[Scope]:
 
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a work table and return the table: cuts lineage and survives lost executors."""
+    return save_at(df, name)[0]
+
+
+def save_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """:func:`save`, and the path of the table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/hopflux-{name}-{uuid.uuid4().hex}"
     _open.get().paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def bucketed(df: DataFrame, name: str, key: str, deal: bool = True) -> DataFrame:

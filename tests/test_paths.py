@@ -2,6 +2,7 @@
 
 import heapq
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -207,13 +208,30 @@ def test_bfs_follows_queue_order(spark):
     assert BFS(graph(*edges, columns=("tail", "head")), orientation="in").run(4, return_array=True).tolist() == back
 
 
-def test_bfs_ranks_by_ranges_alike(spark, monkeypatch):
+@pytest.mark.parametrize("one_pass", [1, 1_000_000])
+def test_bfs_in_small_blocks(spark, monkeypatch, one_pass):
+    """Deep trees over many blocks: keys are replaced by ranks on the way, of many or of few."""
     from hopflux.operators import bfs
 
-    edges = graph((0, 1), (0, 2), (1, 3), (2, 3), (2, 4), (1, 5), columns=("tail", "head"))
-    one = BFS(edges).run(0, return_array=True).tolist()
-    monkeypatch.setattr(bfs, "ONE_PASS", 1)
-    assert BFS(edges).run(0, return_array=True).tolist() == one == [-9999, 0, 0, 1, 2, 1]
+    monkeypatch.setattr(BFS, "block_edges", 25)
+    monkeypatch.setattr(bfs, "ONE_PASS", one_pass)
+    monkeypatch.setattr(bfs, "STEPS", 3)
+    rng = random.Random(6)
+    edges = list({(i, min(70, max(0, i + rng.choice([-2, -1, 1, 2, 3])))) for i in range(70) for _ in range(3)} | {(5, h) for h in range(40, 45)})
+    n = max(map(max, edges)) + 1
+    want, order = plain_bfs(edges, 4, n)
+    engine = BFS(graph(*edges, columns=("tail", "head")))
+    assert engine.run(4, return_array=True).tolist() == want
+    assert [r[0] for r in engine.reorder(4).orderBy("new_idx").collect()] == order
+
+
+def test_bfs_of_a_chain(spark, monkeypatch):
+    """A thousand levels, in as many rounds as the chain has blocks, or about."""
+    monkeypatch.setattr(BFS, "block_edges", 300)
+    chain = [(i, i + 1) for i in range(1000)]
+    start = time.time()
+    assert BFS(graph(*chain, columns=("tail", "head"))).run(0, return_array=True).tolist() == [-9999, *range(1000)]
+    assert time.time() - start < 60
 
 
 def test_bfs_details(spark):
