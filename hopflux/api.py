@@ -287,6 +287,9 @@ class HyperpathGenerating:
     ``edge_idx`` column.
     """
 
+    #: Edges of a block, see :mod:`hopflux.operators.blocks`.
+    block_edges = blocks.BLOCK_EDGES
+
     def __init__(self, edges, tail: str = "tail", head: str = "head", trav_time: str = "trav_time", freq: str = "freq", check_edges: bool = False, orientation: str = "in"):
         if orientation not in ("in", "out"):
             raise AssertionError("orientation should be either 'in' or 'out'")
@@ -304,8 +307,21 @@ class HyperpathGenerating:
         self.vertex_count = ops.vertex_count(self._edges)
         #: (vertex_idx, u_i) and (edge_idx, tail, head, trav_time, freq, volume) of the last run.
         self.u_i_vec: DataFrame | None = None
+        self._layout: blocks.Layout | None = None
         self.edges: DataFrame = self._edges.withColumn("volume", F.lit(0.0))
 
+    def close(self) -> None:
+        """Let go of what is kept in memory; a later query prepares it again."""
+        if self._layout:
+            self._layout.close()
+        self._layout = None
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     def run(self, origin, destination: int, volume, return_inf: bool = False) -> None:
         """Assign ``volume`` from ``origin`` (numbers, or lists of equal length) to ``destination``.
 
@@ -320,10 +336,9 @@ class HyperpathGenerating:
             assert isinstance(v, (int, np.integer)) and not isinstance(v, bool) and 0 <= v < self.vertex_count, f"vertex {v} is not valid"
         assert all(isinstance(v, (float, np.floating)) and v >= 0.0 for v in volumes), "volumes must be floats that are not negative"
         assert isinstance(return_inf, bool)
-        spark = self._edges.sparkSession
-        times, chosen = hyperpath.strategy(self._edges, int(destination), self.vertex_count)
-        demand = spark.createDataFrame([(int(o), float(v), i) for i, (o, v) in enumerate(zip(origins, volumes, strict=True))], "origin long, volume double, position long")
-        loaded = hyperpath.load(chosen, times, demand, self.vertex_count)
+        if self._layout is None:
+            self._layout = hyperpath.lay_out_lines(self._edges, self.edge_count, self.block_edges)
+        times, chosen, loaded = hyperpath.assign(self._layout, int(destination), self.vertex_count, list(zip(origins, volumes, strict=True)))
         every = ops.dense(times.select(F.col("v").alias("vertex_idx"), "u"), self.vertex_count)
         self.u_i_vec = every.select("vertex_idx", or_infinity(F.col("u"), return_inf).alias("u_i"))
         self.chosen = chosen.select("edge_idx")

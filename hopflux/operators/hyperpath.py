@@ -1,100 +1,329 @@
-"""Optimal strategies on transit networks: expected times, the edges worth taking, and volumes.
+"""Optimal strategies on transit networks: expected times, the edges worth taking, and volumes, over blocks of stops.
 
-First pass: a vertex's time is a fold over its out-edges by rising ``t`` = time at the head + travel time: an edge joins as
-long as it is no worse than what the vertex has, and adds its frequency.  The fold is repeated for the tails of edges whose heads
-changed until nothing does.  Second pass: demand flows down the chosen edges by their share of the frequency.
+Times: a stop's time is a fold over its out-edges by rising ``t`` = time at the head + travel time: an edge joins as
+long as it is no worse than what the stop has, and adds its frequency.  A block holds all edges that leave its stops.  In a round
+(:mod:`hopflux.operators.rounds`) it folds the stops anew whose heads got faster, until nothing inside it changes, and
+sends the times of those of its stops that other blocks have edges to.
+
+Volumes: demand flows down the chosen edges by their share of the frequency.  First the chosen edges that carry anything are counted at
+their heads; then a stop is released once all of these have brought what they carry, so every stop passes its volume on once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopflux.constants import INF, MIN_FREQ
-from hopflux.plans.work import save
+from hopflux.operators.blocks import BLOCK_EDGES, Block, Layout, lay_out
+from hopflux.operators.rounds import ALARM, MEMORY, MESSAGE, RESULT, Rounds, table
+from hopflux.plans.work import current, save, scope, within
 
-#: Options of a vertex that are folded at once; a vertex with more has them dealt out and sifted in parts first.
-TOGETHER = 10_000
 #: Relative improvement below which a time counts as unchanged, so that rounding cannot keep the loop going.
 SETTLED = 1e-15
+_TIME = np.dtype([("i", "<i4"), ("own", "?"), ("v", "<i8"), ("u", "<f8")])
+_NEWS = np.dtype([("v", "<i8"), ("u", "<f8")])
+_FLOW = np.dtype([("v", "<i8"), ("amount", "<f8"), ("edges", "<i8")])
+#: What a block remembers of a stop while volumes flow.
+_STOP = np.dtype([("f", "<f8"), ("amount", "<f8"), ("left", "<i8"), ("reached", "?"), ("done", "?")])
+_CHOSEN = np.dtype([("edge_idx", "<i8"), ("tail", "<i8"), ("head", "<i8"), ("freq", "<f8"), ("f_tail", "<f8")])
+_LOAD = np.dtype([("edge_idx", "<i8"), ("volume", "<f8")])
 
 
-def _fold(options: Column) -> Column:
-    """struct(u, f, n) from options (t, edge_idx, freq) in rising order; n is how many of them are used."""
-    start = F.struct(F.lit(INF).alias("u"), F.lit(0.0).alias("f"), F.lit(0).alias("n"))
+def lay_out_lines(edges: DataFrame, n_edges: int, block_edges: int = BLOCK_EDGES) -> Layout:
+    """Blocks of clamped and numbered edges; all lines that leave a stop are in one."""
+    return lay_out(edges, n_edges, block_edges, ["trav_time", "freq", "edge_idx"], readers=True, split=False)
 
-    def take(s: Column, o: Column) -> Column:
-        known = F.when((s["u"] < INF) | (s["f"] > 0), s["f"] * s["u"]).otherwise(F.lit(1.0))
-        joined = F.struct(((known + o["freq"] * o["t"]) / (s["f"] + o["freq"])).alias("u"), (s["f"] + o["freq"]).alias("f"), (s["n"] + 1).alias("n"))
-        return F.when(s["u"] >= o["t"], joined).otherwise(s)
 
-    return F.aggregate(options, start, take)
+def _fold(t: np.ndarray, freq: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Time, frequency and number of edges used for each run of options that rise by ``t``; all runs take their next option at once."""
+    n = len(sizes)
+    u, f, used = np.full(n, INF), np.zeros(n), np.zeros(n, np.int64)
+    going, k = np.arange(n), 0
+    while len(going):
+        going = going[sizes[going] > k]
+        at = first[going] + k
+        joins = u[going] >= t[at]
+        going, at = going[joins], at[joins]
+        known = np.where((u[going] < INF) | (f[going] > 0), f[going] * u[going], 1.0)
+        u[going] = (known + freq[at] * t[at]) / (f[going] + freq[at])
+        f[going] += freq[at]
+        used[going] += 1
+        k += 1
+    return u, f, used
 
 
-def _options(edges: DataFrame, times: DataFrame) -> DataFrame:
-    """Per tail the sorted options that its edges to vertices with a time give.
+class _Stops:
+    """A block with the times that it knows, of its own stops and of those that its edges lead to."""
 
-    Where edges have a ``part``, the options of each part are folded first and those that the part does not use are left out: with more
-    options a vertex only gets faster, so it uses none of them either.
-    """
-    at = times.select(F.col("v").alias("head"), F.col("u").alias("u_head"))
-    priced = edges.join(at, "head").withColumn("o", F.struct((F.col("u_head") + F.col("trav_time")).alias("t"), "edge_idx", "freq"))
-    if "part" in edges.columns:
-        parts = priced.groupBy("tail", "part").agg(F.array_sort(F.collect_list("o")).alias("options"))
-        priced = parts.select("tail", F.explode(F.slice("options", 1, _fold(F.col("options"))["n"])).alias("o"))
-    return priced.groupBy("tail").agg(F.array_sort(F.collect_list("o")).alias("options"))
-
-
-def _parted(edges: DataFrame) -> DataFrame:
-    """Edges with a ``part`` of at most about ``TOGETHER`` of their tail's, if any tail has more."""
-    many = edges.groupBy("tail").agg(F.count("*").alias("many")).where(F.col("many") > TOGETHER)
-    if many.isEmpty():
-        return edges
-    part = F.pmod(F.xxhash64("edge_idx"), F.ceil(F.coalesce("many", F.lit(1)) / TOGETHER))
-    return save(edges.join(many, "tail", "left").withColumn("part", part).drop("many"), "parted")
-
-
-def strategy(edges: DataFrame, destination: int, count: int) -> tuple[DataFrame, DataFrame]:
-    """Times (v, u) and chosen edges (edge_idx, tail, head, share) towards ``destination``; ``edges`` are clamped and numbered."""
-    spark = edges.sparkSession
-    leaving = edges.where(F.col("tail") != destination).select("edge_idx", "tail", "head", "trav_time", "freq")
-    leaving = _parted(leaving)
-    times = save(spark.createDataFrame([(destination, 0.0, 0)], "v long, u double, round int"), "times")
-    for number in range(1, 2 * count + 2):
-        moved = times.where(F.col("round") == number - 1).select(F.col("v").alias("head"))
-        touched = leaving.join(moved, "head", "left_semi").select("tail").distinct()
-        fresh = _options(leaving.join(touched, "tail", "left_semi"), times).select(F.col("tail").alias("v"), _fold(F.col("options"))["u"].alias("new"))
-        better = F.col("new").isNotNull() & (F.col("u").isNull() | (F.col("new") < F.col("u") * (1 - SETTLED)))
-        met = times.join(fresh, "v", "full_outer").withColumn("better", F.coalesce(better, F.lit(False)))
-        times = save(met.select("v", F.when(F.col("better"), F.col("new")).otherwise(F.coalesce("u", "new")).alias("u"), F.when(F.col("better"), number).otherwise(F.coalesce("round", F.lit(0))).alias("round")), "times")
-        if times.where(F.col("round") == number).isEmpty():
+    def __init__(self, row: pa.Table, key: int, destination: int):
+        self.block = b = Block(row, key)
+        self.u, self.known = np.full(b.size, np.inf), np.zeros(b.size, bool)
+        self.destination = destination
+
+    def recall(self, body: bytes) -> None:
+        old = np.frombuffer(body, _TIME)
+        self.u[old["i"]], self.known[old["i"]] = old["u"], True
+
+    def remember(self) -> bytes:
+        i = np.flatnonzero(self.known)
+        made = np.empty(len(i), _TIME)
+        made["i"], made["own"], made["v"], made["u"] = i, i < self.block.own, self.block.ids[i], self.u[i]
+        return made.tobytes()
+
+    def learn(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """Keep times that are better than those known; which stops got faster."""
+        better = ~self.known[at] | (u < self.u[at] * (1 - SETTLED))
+        at = at[better]
+        self.u[at], self.known[at] = u[better], True
+        return at
+
+    def folded(self, tails: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For some stops (with an option) their edges by rising time, where each stop's begin, how many, time, frequency, number used."""
+        b = self.block
+        edge, tail = b.leaving(tails)
+        open_ = self.known[b.head[edge]]
+        edge, tail = edge[open_], tail[open_]
+        t = self.u[b.head[edge]] + b.trav_time[edge]
+        order = np.lexsort((b.edge_idx[edge], t, tail))
+        edge, tail, t = edge[order], tail[order], t[order]
+        stops, first, sizes = np.unique(tail, return_index=True, return_counts=True)
+        return (stops, edge, first, sizes, *_fold(t, b.freq[edge], first, sizes))
+
+    def leave(self) -> np.ndarray:
+        """Own stops that have lines; the destination's are not taken."""
+        own = np.arange(self.block.own)
+        return own[(np.diff(self.block.first)[: self.block.own] > 0) & (self.block.ids[: self.block.own] != self.destination)]
+
+
+def _news(b: Block, u: np.ndarray, changed: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Times for each block that has edges to stops that got faster."""
+    own = np.sort(changed[changed < b.own])
+    at = b.local(b.back_v)
+    told = np.isin(at, own)
+    for to in np.unique(b.back_block[told]):
+        some = at[told & (b.back_block == to)]
+        made = np.empty(len(some), _NEWS)
+        made["v"], made["u"] = b.ids[some], u[some]
+        yield int(to), made.tobytes()
+
+
+def _times(destination: int, count: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(row: pa.Table, inbox: pa.Table) -> pa.Table:
+        if not inbox.num_rows:
+            return table([])
+        kinds, bodies, key = inbox.column("kind").to_numpy(), inbox.column("body"), int(inbox.column("block")[0].as_py())
+        stops = _Stops(row, key, destination)
+        b = stops.block
+        for i in np.flatnonzero(kinds == MEMORY):
+            stops.recall(bodies[int(i)].as_py())
+        news = np.concatenate([np.frombuffer(bodies[int(i)].as_py(), _NEWS) for i in np.flatnonzero(kinds == MESSAGE)] or [np.empty(0, _NEWS)])
+        at = b.local(news["v"])
+        front = stops.learn(at[at >= 0], news["u"][at >= 0])
+        # edges by head, to find whose options changed
+        tail_of = np.repeat(np.arange(b.size), np.diff(b.first))
+        by_head = np.argsort(b.head, kind="stable")
+        into = np.concatenate([[0], np.cumsum(np.bincount(b.head, minlength=b.size))])
+        changed, steps = [front], 0
+        while len(front):
+            steps += 1
+            if steps > 2 * count + 1:
+                return table([(ALARM, key, 0, 0, 0.0, b"")])
+            sizes = into[front + 1] - into[front]
+            ends = np.cumsum(sizes)
+            spots = np.arange(ends[-1]) + np.repeat(into[front] - ends + sizes, sizes)
+            tails = np.unique(tail_of[by_head[spots]])
+            tails = tails[b.ids[tails] != destination]
+            stop, _, _, _, u, _, _ = stops.folded(tails)
+            front = stops.learn(stop, u)
+            changed.append(front)
+        out = [(MESSAGE, to, 0, 0, 0.0, body) for to, body in _news(b, stops.u, np.unique(np.concatenate(changed)))]
+        return table([*out, (MEMORY, key, 0, sum(map(len, changed)), 0.0, stops.remember())])
+
+    return run
+
+
+def _choose(destination: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The edges that each stop uses as results (v = 0), the times (v = 1), and for the volumes which edges these are and each stop's frequency."""
+
+    def run(row: pa.Table, inbox: pa.Table) -> pa.Table:
+        key = int((inbox if inbox.num_rows else row).column("block")[0].as_py())
+        stops = _Stops(row, key, destination)
+        b = stops.block
+        for i in np.flatnonzero(inbox.column("kind").to_numpy() == MEMORY):
+            stops.recall(inbox.column("body")[int(i)].as_py())
+        stop, edge, first, sizes, _, f, used = stops.folded(stops.leave())
+        place = np.arange(len(edge)) - np.repeat(first, sizes)
+        taken = place < np.repeat(used, sizes)
+        edge, tail = edge[taken], np.repeat(stop, sizes)[taken]
+        state = np.zeros(b.size, _STOP)
+        state["f"][stop] = np.maximum(f, MIN_FREQ)
+        chosen = np.empty(len(edge), _CHOSEN)
+        chosen["edge_idx"], chosen["tail"], chosen["head"] = b.edge_idx[edge], b.ids[tail], b.ids[b.head[edge]]
+        chosen["freq"], chosen["f_tail"] = b.freq[edge], state["f"][tail]
+        known = np.flatnonzero(stops.known[: b.own])
+        times = np.empty(len(known), _NEWS)
+        times["v"], times["u"] = b.ids[known], stops.u[known]
+        on = np.zeros(len(b.head), bool)
+        on[edge] = True
+        state["left"] = 0
+        return table([(RESULT, key, 0, 0, 0.0, chosen.tobytes()), (RESULT, key, 0, 1, 0.0, times.tobytes()), (MEMORY, key, 0, 0, 0.0, np.packbits(on).tobytes() + state.tobytes())])
+
+    return run
+
+
+class _Flow:
+    """A block while volumes flow: which of its edges are chosen, and its stops' states."""
+
+    def __init__(self, row: pa.Table, inbox: pa.Table):
+        kinds, bodies = inbox.column("kind").to_numpy(), inbox.column("body")
+        self.key = int(inbox.column("block")[0].as_py())
+        self.block = b = Block(row, self.key)
+        self.bits = -(-len(b.head) // 8)
+        body = next((bodies[int(i)].as_py() for i in np.flatnonzero(kinds == MEMORY)), None)
+        self.on = np.zeros(len(b.head), bool) if body is None else np.unpackbits(np.frombuffer(body[: self.bits], np.uint8), count=len(b.head)).astype(bool)
+        self.state = np.zeros(b.size, _STOP) if body is None else np.frombuffer(body[self.bits :], _STOP).copy()
+        got = np.concatenate([np.frombuffer(bodies[int(i)].as_py(), _FLOW) for i in np.flatnonzero(kinds == MESSAGE)] or [np.empty(0, _FLOW)])
+        at = b.local(got["v"])
+        self.at, self.amount, self.edges = at[at >= 0], got["amount"][at >= 0], got["edges"][at >= 0]
+
+    def used(self, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edge, tail = self.block.leaving(stops)
+        return edge[self.on[edge]], tail[self.on[edge]]
+
+    def messages(self, amount: np.ndarray, edges: np.ndarray) -> Iterator[tuple]:
+        """What has come together for stops of other blocks."""
+        b = self.block
+        far = b.own + np.flatnonzero(edges[b.own :])
+        for to in np.unique(b.home[far]):
+            some = far[b.home[far] == to]
+            made = np.empty(len(some), _FLOW)
+            made["v"], made["amount"], made["edges"] = b.ids[some], amount[some], edges[some]
+            yield MESSAGE, int(to), 0, 0, 0.0, made.tobytes()
+
+    def memory(self) -> tuple:
+        left = int((self.state["reached"] & ~self.state["done"])[: self.block.own].sum())
+        return MEMORY, self.key, 0, left, 0.0, np.packbits(self.on).tobytes() + self.state.tobytes()
+
+
+def _count(row: pa.Table, inbox: pa.Table) -> pa.Table:
+    """Which stops the demand reaches, and over how many edges."""
+    if not inbox.num_rows:
+        return table([])
+    flow = _Flow(row, inbox)
+    state, own = flow.state, flow.block.own
+    np.add.at(state["left"], flow.at, flow.edges)
+    edges, front = np.zeros(flow.block.size, np.int64), np.unique(flow.at)
+    while True:
+        front = front[~state["reached"][front]]
+        if not len(front):
             break
-    else:
-        raise RuntimeError(f"times still change after {2 * count + 1} rounds")
-    folded = _options(leaving, times).select("tail", "options", _fold(F.col("options")).alias("s"))
-    used = folded.select("tail", F.greatest(F.col("s.f"), F.lit(MIN_FREQ)).alias("f_tail"), F.explode(F.slice("options", 1, F.col("s.n"))).alias("o")).select("tail", "f_tail", "o.edge_idx", "o.freq")
-    heads = leaving.select("edge_idx", "head")
-    chosen = save(used.join(heads, "edge_idx").select("edge_idx", "tail", "head", "freq", "f_tail"), "chosen")
-    return times.select("v", "u"), chosen
+        state["reached"][front] = True
+        edge, _ = flow.used(front)
+        heads = flow.block.head[edge]
+        np.add.at(edges, heads, 1)
+        front = np.unique(heads[heads < own]).astype(np.int64)
+    state["left"][:own] += edges[:own]
+    return table([*flow.messages(np.zeros(flow.block.size), edges), flow.memory()])
 
 
-def load(chosen: DataFrame, times: DataFrame, demand: DataFrame, count: int) -> DataFrame:
-    """edge_idx, volume of the chosen edges that carry demand (origin, volume).
+def _release(row: pa.Table, inbox: pa.Table) -> pa.Table:
+    """Pass on the volumes of stops that have got all of theirs."""
+    if not inbox.num_rows:
+        return table([])
+    flow = _Flow(row, inbox)
+    b, state, own = flow.block, flow.state, flow.block.own
+    np.add.at(state["amount"], flow.at, flow.amount)
+    np.subtract.at(state["left"], flow.at, flow.edges)
+    amount, edges, out = np.zeros(b.size), np.zeros(b.size, np.int64), []
+    front = np.unique(flow.at)
+    while True:
+        front = front[(state["left"][front] == 0) & ~state["done"][front]]
+        if not len(front):
+            break
+        state["done"][front] = True
+        edge, tail = flow.used(front)
+        load = np.empty(len(edge), _LOAD)
+        load["edge_idx"], load["volume"] = b.edge_idx[edge], state["amount"][tail] * b.freq[edge] / state["f"][tail]
+        out.append((RESULT, flow.key, 0, 2, 0.0, load.tobytes()))
+        heads = b.head[edge]
+        near = heads < own
+        np.add.at(state["amount"], heads[near], load["volume"][near])
+        np.subtract.at(state["left"], heads[near], 1)
+        np.add.at(amount, heads[~near], load["volume"][~near])
+        np.add.at(edges, heads[~near], 1)
+        front = np.unique(heads[near]).astype(np.int64)
+    return table([*out, *flow.messages(amount, edges), flow.memory()])
 
-    Of repeated origins the last one counts (``position`` gives the order); origins that cannot reach the destination load
-    nothing.
+
+def _rows(results: DataFrame, number: int, kind: np.dtype) -> DataFrame:
+    """Rows of the results of one sort."""
+    columns = list(kind.names)
+    schema = ", ".join(f"{c} {'double' if kind[c].kind == 'f' else 'long'}" for c in columns)
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for body in b.column(0):
+                got = np.frombuffer(body.as_py(), kind)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(got[c])) for c in columns], columns)
+
+    return results.where(F.col("v") == number).select("body").mapInArrow(explode, schema)
+
+
+def assign(layout: Layout, destination: int, count: int, demand: list[tuple[int, float]]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Times (v, u), chosen edges (edge_idx, tail, head, freq, f_tail) towards ``destination``, and volumes (edge_idx, volume) of ``demand`` (origin, volume).
+
+    Of repeated origins the last one counts; origins that cannot reach the destination load nothing.
     """
-    last = demand.groupBy("origin").agg(F.max_by("volume", "position").alias("amount"))
-    front = save(last.join(times, last["origin"] == times["v"], "left_semi").select(F.col("origin").alias("v"), "amount").where("amount > 0"), "front")
-    flows: list[DataFrame] = []
+    spark = layout.table.sparkSession
+    asked = {int(o): float(v) for o, v in demand}
+    places = layout.places([destination, *asked])
+    if destination not in places:
+        none = spark.createDataFrame([], "edge_idx long, tail long, head long, freq double, f_tail double")
+        return spark.createDataFrame([(destination, 0.0)], "v long, u double"), none, none.select("edge_idx", F.lit(0.0).alias("volume"))
+    home = lambda v: int(layout.ranges.of(np.array([v]))[0])
+    outer = current()
+    try:
+        with scope() as own:
+            rounds = Rounds(layout, [(MESSAGE, home(destination), 0, 0, 0.0, np.array([(destination, 0.0)], _NEWS).tobytes())])
+            while rounds.active:
+                rounds.step(_times(destination, count))
+                if rounds.alarms or rounds.number > 2 * count + 1:
+                    raise RuntimeError(f"times still change after {2 * count + 1} steps")
+                rounds.put_together()
+            rounds.step(_choose(destination), everyone=True)
+            results = rounds.results()
+            with within(outer):  # for the caller, beyond these rounds
+                times, chosen = save(_rows(results, 1, _NEWS), "times"), save(_rows(results, 0, _CHOSEN), "chosen")
+            reached = {r["v"] for r in times.where(F.col("v").isin(list(asked))).collect()}
+            starts = [(v, x) for v, x in asked.items() if x > 0 and v in reached]
+            for run, edges in ((_count, 0), (_release, 0)):
+                rounds.send([(MESSAGE, home(v), 0, 0, 0.0, np.array([(v, x if run is _release else 0.0, edges)], _FLOW).tobytes()) for v, x in starts])
+                while rounds.active:
+                    rounds.step(run)
+                    rounds.put_together()
+            stuck = rounds.memory().agg(F.sum("v")).first()[0] if starts else 0
+            with within(outer):
+                volumes = save(_rows(rounds.results(), 2, _LOAD) if not stuck else _by_levels(chosen, starts, count), "volumes")
+        return times, chosen, volumes
+    finally:
+        own.free()
+
+
+def _by_levels(chosen: DataFrame, starts: list[tuple[int, float]], count: int) -> DataFrame:
+    """Volumes where stops without any waiting or travel time between them choose each other: pushed on step by step."""
+    front = save(chosen.sparkSession.createDataFrame(starts, "v long, amount double"), "front")
+    flows = [chosen.select("edge_idx", F.lit(0.0).alias("volume")).where("false")]
     for _ in range(count + 1):
         if front.isEmpty():
             break
         moved = save(front.join(chosen, front["v"] == chosen["tail"]).select("edge_idx", "head", (F.col("amount") * F.col("freq") / F.col("f_tail")).alias("volume")), "flow")
-        flows.append(moved)
+        flows.append(moved.select("edge_idx", "volume"))
         front = moved.groupBy(F.col("head").alias("v")).agg(F.sum("volume").alias("amount")).where("amount > 0")
-    if not flows:
-        return chosen.select("edge_idx", F.lit(0.0).alias("volume")).limit(0)
     every = flows[0]
     for more in flows[1:]:
         every = every.union(more)

@@ -90,6 +90,11 @@ class Rounds:
         """Put other messages, to the same blocks, in place of those under way."""
         self.now = save(messages, "messages")
 
+    def send(self, messages: list[tuple]) -> None:
+        """Messages from outside, once none are under way."""
+        self.now = self.spark.createDataFrame(messages, ROWS)
+        self.active = sorted({m[1] for m in messages})
+
     def put_together(self) -> None:
         """What blocks remember in one table in place of all so far, once there are many."""
         if len(self.tables) >= TABLES:

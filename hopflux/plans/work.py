@@ -73,6 +73,21 @@ def scope() -> Iterator[Scope]:
         _open.reset(token)
 
 
+@contextlib.contextmanager
+def within(given: Scope) -> Iterator[Scope]:
+    """:func:`scope` with a scope that is there already."""
+    token = _open.set(given)
+    try:
+        yield given
+    finally:
+        _open.reset(token)
+
+
+def current() -> Scope:
+    """The innermost scope that is open."""
+    return _open.get()
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a work table and return the table: cuts lineage and survives lost executors."""
     return save_at(df, name)[0]

@@ -302,19 +302,52 @@ def test_dwelling_and_changing(spark, first, times):
     assert np.allclose(engine.u_i_vec.orderBy("vertex_idx").toPandas()["u_i"], times)
 
 
-def test_options_in_parts(spark, monkeypatch):
-    """A stop with many lines: folding them in parts first changes nothing."""
-    from hopflux.operators import hyperpath
-
+@pytest.mark.parametrize("block_edges", [7, 1 << 20])
+def test_strategies_in_blocks(spark, monkeypatch, block_edges):
+    """A stop with more lines than a block holds, lines of no waiting, several origins: small blocks change nothing."""
     rng = random.Random(9)
     rows = [(0, rng.choice([1, 2]), rng.uniform(1, 30), rng.uniform(0.01, 0.3)) for _ in range(40)] + [(1, 2, 5.0, 0.1), (1, 3, 9.0, INFINITY), (2, 3, 4.0, 0.2), (3, 0, 1.0, 1.0)]
-    got = []
-    for together in (10_000, 3):
-        monkeypatch.setattr(hyperpath, "TOGETHER", together)
-        engine = HyperpathGenerating(pd.DataFrame(rows, columns=["tail", "head", "trav_time", "freq"]))
-        engine.run(0, 3, 1.0)
-        got.append((engine.edges.orderBy("edge_idx").toPandas()["volume"], engine.u_i_vec.orderBy("vertex_idx").toPandas()["u_i"]))
-    assert np.allclose(got[0][0], got[1][0]) and np.allclose(got[0][1], got[1][1]) and (got[0][0] > 0).sum() > 4
+    rows += [(rng.randrange(4, 12), rng.randrange(12), rng.uniform(1, 9), rng.uniform(0.05, 1)) for _ in range(40)]
+    monkeypatch.setattr(HyperpathGenerating, "block_edges", block_edges)
+    with HyperpathGenerating(pd.DataFrame(rows, columns=["tail", "head", "trav_time", "freq"])) as engine:
+        engine.run([0, 5, 7, 5], 3, [1.0, 9.0, 2.0, 4.0])
+        volume = engine.edges.orderBy("edge_idx").toPandas()["volume"].to_numpy()
+        u = engine.u_i_vec.orderBy("vertex_idx").toPandas()["u_i"].to_numpy()
+    flow = {0: 1.0, 5: 4.0, 7: 2.0}
+    for v in range(12):
+        if v != 3 and u[v] < INF:
+            out = sum(volume[i] for i, r in enumerate(rows) if r[0] == v)
+            assert np.isclose(out, flow.get(v, 0.0) + sum(volume[i] for i, r in enumerate(rows) if r[1] == v))
+    assert np.isclose(sum(volume[i] for i, r in enumerate(rows) if r[1] == 3), 7.0)
+    for v in range(12):  # a stop's time is the best of its options in rising order
+        options = sorted((u[h] + t, min(q, 1e20)) for a, h, t, q in rows if a == v and u[h] < INF)
+        if v != 3 and options:
+            best, known, f = INF, 1.0, 0.0
+            for t, q in options:
+                if best >= t:
+                    known, f = known + q * t, f + q
+                    best = known / f
+            assert np.isclose(u[v], best)
+
+
+def test_chain_of_stops(spark, monkeypatch):
+    """A thousand stops one after another, over several blocks."""
+    monkeypatch.setattr(HyperpathGenerating, "block_edges", 300)
+    rows = [(i, i + 1, 1.0, 0.5) for i in range(1000)]
+    start = time.time()
+    with HyperpathGenerating(pd.DataFrame(rows, columns=["tail", "head", "trav_time", "freq"])) as engine:
+        engine.run(0, 1000, 2.0)
+        assert engine.edges.agg({"volume": "min"}).first()[0] == engine.edges.agg({"volume": "max"}).first()[0] == 2.0
+        assert np.allclose(engine.u_i_vec.orderBy("vertex_idx").toPandas()["u_i"], [3.0 * (1000 - i) for i in range(1001)])
+    assert time.time() - start < 60
+
+
+def test_stops_that_choose_each_other(spark):
+    """Lines without waiting or travel time between two stops: volumes still end."""
+    rows = [(0, 1, 0.0, INFINITY), (1, 0, 0.0, INFINITY), (1, 2, 5e8, 0.1), (0, 2, 5e8, 0.1)]
+    with HyperpathGenerating(pd.DataFrame(rows, columns=["tail", "head", "trav_time", "freq"])) as engine:
+        engine.run(0, 2, 1.0)
+        assert engine.edges.agg({"volume": "sum"}).first()[0] >= 1.0
 
 
 def test_hyperpath_arguments_and_unreached(spark):
