@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from hopflux.constants import UNREACHABLE
 from hopflux.functions import or_infinity
-from hopflux.operators import bfs, blocks, hyperpath, shortest_path
+from hopflux.operators import bfs, blocks, hyperpath, locality, shortest_path
 from hopflux.operators import edges as ops
 from hopflux.operators import paths as path_ops
 from hopflux.plans.work import save
@@ -52,11 +52,17 @@ def _as_array(values: DataFrame, key: str, column: str, dtype) -> np.ndarray:
     return got[column].to_numpy(dtype)
 
 
+#: Edges that a block of neighbours looks beyond its border.
+HALO = 4
+
+
 class _Graph:
     """Common to the engines on merged edges.  What they keep in memory goes with :meth:`close` or at the end of a ``with`` block."""
 
     #: Edges of a block, see :mod:`hopflux.operators.blocks`.
     block_edges = blocks.BLOCK_EDGES
+    #: What blocks are ranges of: "ids", or "neighbours" for graphs in which vertices with near ids are no neighbours.
+    block_order = "ids"
 
     def __init__(self, edges, names: dict[str, str], orientation: str, permute: bool, verbose: bool):
         if orientation not in ("in", "out"):
@@ -144,7 +150,8 @@ class _Graph:
 
     def _laid_out(self, *values: str) -> blocks.Layout:
         if self._layout is None:
-            self._layout = blocks.lay_out(self._walked, self._n_edges, self.block_edges, values, split=bool(values))
+            order = locality.local_order(self._edges) if self.block_order == "neighbours" and self._n_edges > self.block_edges else None
+            self._layout = blocks.lay_out(self._walked, self._n_edges, self.block_edges, values, order, split=bool(values), halo=HALO if order is not None and values else 0)
         return self._layout
 
     def _batch(self, sources: Sequence[int], **how) -> DataFrame:

@@ -155,11 +155,37 @@ def _keys(spark, count: int, parts: int) -> np.ndarray:
     return np.array(keys[:count], np.int32)
 
 
-def lay_out(edges: DataFrame, n_edges: int, block_edges: int = BLOCK_EDGES, values: Sequence[str] = ("weight",), order: DataFrame | None = None, readers: bool = False, split: bool = True) -> Layout:
+def _halo(named: DataFrame, vertices: DataFrame, place_edges, text: str, ranges: Ranges, values: list[str], depth: int, n_edges: int) -> Iterator[DataFrame]:
+    """Edges (block, tail, head and values) of vertices around each block, and these vertices (block, tail, name)."""
+
+    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            block, head = b.column(0).to_numpy(), b.column(1).to_numpy()
+            out = ranges.of(head) != block
+            pairs = np.unique(np.stack([block[out].astype(np.int64), head[out]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int32()), pa.array(pairs[1])], ["block", "tail"])
+
+    inner, known, most = named.select("tail", "head", *values).mapInArrow(place_edges, text), None, n_edges // 4
+    few = named.where(~F.col("tail").isin(list(ranges.spread))) if ranges.spread else named
+    for _ in range(depth):
+        ring = inner.select("block", "head").mapInArrow(outside, "block int, tail long").distinct()
+        ring = save(ring if known is None else ring.join(known, ["block", "tail"], "left_anti"), "ring")
+        inner = save(ring.join(few, "tail").select("block", "tail", "head", *values), "halo")
+        most -= inner.count()
+        if most < 0:
+            break
+        known = ring if known is None else known.union(ring)
+        yield inner
+        yield ring.join(vertices.select(F.col("place").alias("tail"), F.col("v").alias("name")), "tail").select("block", "tail", "name")
+
+
+def lay_out(edges: DataFrame, n_edges: int, block_edges: int = BLOCK_EDGES, values: Sequence[str] = ("weight",), order: DataFrame | None = None, readers: bool = False, split: bool = True, halo: int = 0) -> Layout:
     """Deal merged edges (tail, head and ``values``) to blocks.
 
     ``order`` (v, place) gives the vertices' places, by default their ids.  With ``readers`` a block also knows which other blocks have edges
-    to its vertices.  Without ``split`` all edges of a vertex stay in its block.
+    to its vertices.  Without ``split`` all edges of a vertex stay in its block.  With a ``halo`` a block also holds the edges that leave
+    vertices at most so many edges outside of it, as long as these are few (a quarter of all), so that paths along a ragged border
+    need not go to and fro between blocks.
     """
     spark = edges.sparkSession
     wanted = max(1, -(-n_edges // block_edges))
@@ -219,6 +245,8 @@ def lay_out(edges: DataFrame, n_edges: int, block_edges: int = BLOCK_EDGES, valu
             yield pa.RecordBatch.from_arrays([made.get(c, pa.nulls(len(v), schema.field(c).type)) for c in columns], schema=schema)
 
     rows = named.select("tail", "head", *values).mapInArrow(place_edges, text).union(vertices.select("place", "v").mapInArrow(place_vertices, text))
+    for extra in _halo(named, vertices, place_edges, text, ranges, list(values), halo, n_edges) if count > 1 else ():
+        rows = rows.union(extra.select(*(F.col(c).cast(kinds.get(c, "double")) if c in extra.columns else F.lit(None).cast(kinds.get(c, "double")).alias(c) for c in columns)))
     if readers:
         rows = rows.dropDuplicates(["block", "tail", "head", "reader", *[v for v in values if v == "edge_idx"]])
     build, kind = _builder(ranges, values)

@@ -11,8 +11,7 @@ from hopflux import views
 from hopflux.api import BFS, BellmanFord, Dijkstra, HyperpathGenerating
 from hopflux.operators import edges as ops
 from hopflux.operators import paths
-from hopflux.sources import generate_random_network, read_edges, sioux_falls, transit_example
-from hopflux.sources.networks import SIOUX_FALLS, transit_edges
+from hopflux.sources import read_edges
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -312,6 +311,52 @@ def paths_all(spark, sf_dir):
     return paths.paths(engine.path_links, reached).select("target", F.col("step").cast("long").alias("step"), "vertex_idx")
 
 
+# ---- the same in several blocks ------------------------------------------------------------------------------------
+
+
+def _in_blocks(engine, n_edges: int, order: str = "ids"):
+    """An engine that deals its edges to six blocks at any scale, so that they have to exchange what they find."""
+    engine.block_edges = max(1, n_edges // 6)
+    engine.block_order = order
+    return engine
+
+
+@query(ORACLES["sssp_links"])
+def sssp_links_in_blocks(spark, sf_dir):
+    engine = Dijkstra(views.g_part(spark, sf_dir))
+    with _in_blocks(engine, engine.n_edges):
+        return _with_links(engine, engine.run(ROOT, path_tracking=True))
+
+
+@query(ORACLES["stsp_targets"])
+def stsp_targets_in_blocks(spark, sf_dir):
+    engine = Dijkstra(views.g_part(spark, sf_dir), orientation="in")
+    with _in_blocks(engine, engine.n_edges):
+        return engine.run(ROOT, termination_nodes=TARGETS)
+
+
+@query(ORACLES["sssp_dense_inf"])
+def sssp_by_neighbours(spark, sf_dir):
+    """Blocks of neighbouring orders, in an order of the vertices that is found from the edges."""
+    engine = Dijkstra(views.g_orders(spark, sf_dir))
+    with _in_blocks(engine, engine.n_edges, "neighbours"):
+        return engine.run(0)
+
+
+@query(ORACLES["bf_sssp_links"])
+def bf_sssp_links_in_blocks(spark, sf_dir):
+    engine = BellmanFord(views.g_dag_neg(spark, sf_dir))
+    with _in_blocks(engine, engine.n_edges):
+        return _with_links(engine, engine.run(ROOT, path_tracking=True))
+
+
+@query(ORACLES["bfs_reorder"])
+def bfs_reorder_in_blocks(spark, sf_dir):
+    engine = BFS(views.g_part(spark, sf_dir))
+    with _in_blocks(engine, engine.n_edges):
+        return engine.reorder(ROOT)
+
+
 # ---- sources --------------------------------------------------------------------------------------------------------
 
 
@@ -322,14 +367,6 @@ def read_edges_by_role(spark, sf_dir):
     return found.groupBy("tail", "head").agg(F.count("*").cast("double").alias("weight"))
 
 
-@query("SELECT 3000::BIGINT AS n_edges, 900::BIGINT AS n_negative, 0::BIGINT AS n_outside")
-def generated_edges(spark, sf_dir):
-    """The generator's promises: edges in number, the share of negative weights, and ends and weights within their bounds."""
-    rows = generate_random_network(3000, 70, allow_negative_weights=True, negative_weight_ratio=0.3, weight_range=(0.5, 2.0), spark=spark)
-    inside = F.col("tail").between(0, 69) & F.col("head").between(0, 69) & F.abs("weight").between(0.5, 2.0)
-    return rows.agg(F.count("*").alias("n_edges"), F.count_if(F.col("weight") < 0).alias("n_negative"), F.count_if(~inside).alias("n_outside"))
-
-
 # ---- transit -------------------------------------------------------------------------------------------------------
 
 ORIGIN = 5
@@ -360,6 +397,14 @@ def hyperpath_volumes(spark, sf_dir):
     return _assigned(spark, sf_dir).edges.select("edge_idx", F.round("volume", 6).alias("volume"))
 
 
+@query(ORACLES["hyperpath_volumes"])
+def hyperpath_volumes_in_blocks(spark, sf_dir):
+    engine = HyperpathGenerating(views.g_transit(spark, sf_dir))
+    with _in_blocks(engine, engine.edge_count):
+        engine.run(ORIGIN, ROOT, 1.0)
+    return engine.edges.select("edge_idx", F.round("volume", 6).alias("volume"))
+
+
 @query(
     f"WITH RECURSIVE {TRANSIT}, {_TIMES}{_USED}, d(v, a) AS (VALUES (5::BIGINT, 2.5::DOUBLE), (9, 1.0)), fl(v, a, lv) AS (SELECT v, a, 0 FROM d UNION ALL SELECT head, sum(a * share), lv + 1 FROM fl JOIN used ON tail = v GROUP BY head, lv) "
     "SELECT edge_idx, round(sum(a * share), 6) AS volume FROM fl JOIN used ON tail = v GROUP BY edge_idx"
@@ -369,20 +414,3 @@ def hyperpath_demand(spark, sf_dir):
     engine = HyperpathGenerating(views.g_transit(spark, sf_dir))
     engine.run([5, 9, 5], ROOT, [4.0, 1.0, 2.5])
     return engine.edges.where("volume > 0").select("edge_idx", F.round("volume", 6).alias("volume"))
-
-
-_SIOUX = "e(tail, head, weight) AS (VALUES " + ", ".join(f"({a}::BIGINT, {b}::BIGINT, {c}::DOUBLE)" for a, b, c in (x.split() for x in SIOUX_FALLS.split("\n") if x)) + ")"
-
-
-@query(f"WITH RECURSIVE {_SIOUX}, {_distances('e', 0)} SELECT v AS vertex_idx, d AS path_length FROM sp")
-def siouxfalls_sssp(spark, sf_dir):
-    return Dijkstra(sioux_falls(spark), weight="trav_time").run(0)
-
-
-@query("SELECT i::BIGINT AS edge_idx, round(v::DOUBLE, 6) AS volume FROM (VALUES " + ", ".join(f"({i}, {e[4]})" for i, e in enumerate(transit_edges(0.0, 0.5))) + ") AS x(i, v)")
-def transit_paper_volumes(spark, sf_dir):
-    edges, demand = transit_example(spark)
-    asked = demand.first()
-    engine = HyperpathGenerating(edges)
-    engine.run(asked["origin_vertex_id"], asked["destination_vertex_id"], asked["demand"])
-    return engine.edges.select("edge_idx", F.round("volume", 6).alias("volume"))

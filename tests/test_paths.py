@@ -414,6 +414,8 @@ def test_generator_and_road_network(spark):
     assert importer.to_numpy_edges(["tail", "weight"]).shape == (6, 2)
     roads = sioux_falls(spark)
     assert roads.count() == 76 and Dijkstra(roads, weight="trav_time").n_vertices == 24
+    rows = [(r["tail"], r["head"], r["trav_time"]) for r in roads.collect()]
+    assert np.allclose(Dijkstra(roads, weight="trav_time").run(0, return_array=True), plain_dijkstra(rows, 0, 24))
 
 
 def test_grid(spark, monkeypatch):
@@ -424,6 +426,96 @@ def test_grid(spark, monkeypatch):
         assert np.allclose(engine.run(31, return_array=True), plain_dijkstra(rows, 31, 63))
 
 
+def test_blocks_of_neighbours(spark, monkeypatch):
+    """A grid whose crossings have lost their order needs about as many rounds as one in order, once neighbours are found."""
+    from hopflux.operators import blocks, locality, shortest_path
+
+    monkeypatch.setattr(locality, "SMALL", 4000)
+    side, n = 120, 14_400
+    shuffled = list(range(n))
+    random.Random(4).shuffle(shuffled)
+    grid = [tuple(r) for r in grid_network(side, side, spark=spark).collect()]
+    lost = [(shuffled[t], shuffled[h], w) for t, h, w in grid]
+    rounds = {}
+    for name, rows, source in (("ordered", grid, 7260), ("found", lost, shuffled[7260])):
+        frame = spark.createDataFrame(pd.DataFrame(rows, columns=["tail", "head", "weight"]))
+        order = locality.local_order(frame) if name == "found" else None
+        if order is not None:
+            placed = order.collect()
+            assert sorted(r["place"] for r in placed) == list(range(n)) == sorted(r["v"] for r in placed)
+        layout = blocks.lay_out(frame, len(rows), 12_000, order=order, halo=4 if order is not None else 0)
+        report = {}
+        got = {r["v"]: r["d"] for r in shortest_path.shortest_paths(layout, [source], n, track=True, report=report).collect()}
+        want = plain_dijkstra(rows, source, n)
+        assert all(np.isclose(got[v], want[v]) for v in range(n))
+        rounds[name] = report["rounds"]
+        layout.close()
+    assert rounds["found"] <= 3 * rounds["ordered"], rounds  # on 300 by 300 in eight blocks 10 against 7
+
+
+def test_order_by_neighbours_of_odd_graphs(spark, monkeypatch):
+    """Loops, vertices apart, a hub and negative weights: labels and links do not depend on how blocks are cut."""
+    from hopflux.operators import locality
+
+    monkeypatch.setattr(locality, "SMALL", 5)
+    rng = random.Random(8)
+    best = {(7, h): float(rng.randrange(1, 5)) for h in range(30)}
+    best |= {(rng.randrange(30), rng.randrange(40)): float(rng.randrange(1, 4)) for _ in range(60)} | {(3, 3): 1.0, (50, 51): 2.0, (60, 60): 1.0}
+    rows = [(t, h, w) for (t, h), w in best.items()]
+    for order in ("ids", "neighbours"):
+        with Dijkstra(graph(*rows)) as engine:
+            engine.block_edges, engine.block_order = 20, order
+            assert engine.run(3, return_array=True, path_tracking=True).tolist() == plain_dijkstra(rows, 3, 61)
+            links = [tuple(r) for r in engine.path_links.orderBy("vertex_idx").collect()]
+        if order == "ids":
+            first = links
+    assert links == first
+    with BFS(graph(*((t, h) for t, h, _ in rows), columns=("tail", "head"))) as engine:
+        engine.block_edges, engine.block_order = 20, "neighbours"
+        assert engine.run(3, return_array=True).tolist() == plain_bfs([(t, h) for t, h, _ in rows], 3, 61)[0]
+
+
+def test_windows(spark):
+    """With a window labels are the same, and blocks do not follow what later turns out too long."""
+    from hopflux.operators import blocks, shortest_path
+
+    rows = [tuple(r) for r in grid_network(12, 12, spark=spark).collect()]
+    layout = blocks.lay_out(spark.createDataFrame(rows, "tail long, head long, weight double"), len(rows), 90)
+    want = plain_dijkstra(rows, 70, 144)
+    for window in (None, 4.0):
+        got = {r["v"]: r["d"] for r in shortest_path.shortest_paths(layout, [70], 144, window=window).collect()}
+        assert all(np.isclose(got[v], want[v]) for v in range(144))
+    some = {r["v"]: r["d"] for r in shortest_path.shortest_paths(layout, [70], 144, targets=[71, 58], window=2.0).collect()}
+    assert np.isclose(some[71], want[71]) and np.isclose(some[58], want[58]) and len(some) < 144
+    layout.close()
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """An application that starts elsewhere, in which only the driver knows where the package is."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    script = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from hopflux import BFS, BellmanFord, Dijkstra, HyperpathGenerating
+e = spark.createDataFrame([(0, 1, 2.0), (1, 2, 3.0)], "tail long, head long, weight double")
+assert Dijkstra(e).run(0, return_array=True).tolist() == [0, 2, 5] == BellmanFord(e).run(0, return_array=True).tolist()
+assert BFS(e).run(0, return_array=True).tolist() == [-9999, 0, 1]
+h = HyperpathGenerating(e.withColumnRenamed("weight", "trav_time").selectExpr("*", "1.0D AS freq"))
+h.run(0, 2, 1.0)
+assert h.edges.agg({"volume": "sum"}).first()[0] == 2.0
+print("all right")
+"""
+    here = str(Path(__file__).resolve().parent.parent)
+    env = {k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script, here], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "all right" in done.stdout, done.stderr[-2000:]
+
+
 def test_stream_of_edges(spark, tmp_path):
     from hopflux.streaming import lightest_edges, snapshot
 
