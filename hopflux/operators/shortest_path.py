@@ -161,19 +161,20 @@ def relax(ranges, count: int, track: bool, negative: bool, detect: bool, bound:
             changed = np.zeros(b.size, bool)
             changed[got] = True
             waiting = np.flatnonzero(labels.open)
+            changed[waiting[waiting >= b.own]] = True  # candidates that were beyond the bound
             if circle_or_done(labels, b, waiting, changed, goal, s):
                 out.append((ALARM, key, s, 0, 0.0, b""))
                 continue
             some = np.flatnonzero(changed)
-            left = labels.d[: b.own][labels.open[: b.own]]
-            if len(left):  # what waits for a higher bound
-                out.append((FACT, key, s, -1, float(left.min()), b""))
             out += [(FACT, key, s, int(b.ids[g]), float(labels.d[g]), b"") for g in goals if labels.known[g]]
-            # far vertices have no edges here, so their labels are all done with
-            labels.open[b.own :] = False
             far = some[some >= b.own]
             far = far[~np.isin(far, copies)]
+            labels.open[b.own :] = False
+            labels.open[far[labels.d[far] > bound]] = True
             far = far[labels.d[far] <= bound]
+            left = labels.d[labels.open]
+            if len(left):  # what waits for a higher bound
+                out.append((FACT, key, s, -1, float(left.min()), b""))
             out += [(MESSAGE, int(to), s, 0, 0.0, _candidates(labels, b.ids, far[b.home[far] == to])) for to in np.unique(b.home[far])]
             for hub in some[some < b.own][np.isin(b.ids[some[some < b.own]], list(ranges.spread))] if ranges.spread else ():
                 body = _candidates(labels, b.ids, np.array([hub]))
