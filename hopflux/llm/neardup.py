@@ -13,12 +13,13 @@ Steps, all of them over whole texts:
 5. Pairs and ties make candidate groups, which are dealt to blocks of about ``block`` documents.  In a block all whole sets meet,
    with those of a few pivots of the group; exact intersections are products of 0/1 matrices, and only a spanning forest of the
    confirmed links leaves a block.
-6. Documents of a large group that are not yet linked with most of it (the largest part found so far) meet the whole sets of all others
-   of a size that allows a link.  So pairs inside a part that hangs together need no look, and no pair across parts is left out: with r
-   such documents of n in reach of each other's size, about 2 * r * n / ``block`` texts are sent on, beside the n of step 5.
+6. Documents of a large group that are not yet linked with most of it (the largest part found so far) meet all others
+   of a size that allows a link, as sketches.  Only those whose sketch allows a link with one of another part go on with their texts, and
+   their whole sets meet.  So pairs inside a part that hangs together need no look, and no pair across parts is left out: with r
+   such documents of n in reach of each other's size, about 2 * r * n / ``block`` sketches are sent, and texts only where parts are alike.
 7. Components of the confirmed links.
 
-A pair at the threshold is lost only if it shares too few of its probes (below ``RARE``) or no two neighbouring ones, or by step 4:
+A pair at the threshold is lost only if it shares too few of its probes (below ``RARE``) or no two neighbouring ones, or by step 4 or 6:
 its estimate falls below six standard errors with a probability under 1e-6 (fewer than 38 of 64 values at 0.85), for sets of over 64 shingles.
 """
 
@@ -41,6 +42,8 @@ from hopflux.llm.work import save
 RARE = 2e-8
 #: Members of a large group that all others of it meet.
 PIVOTS = 8
+#: Values of the sketches that documents of large groups meet by; most sets are no larger.
+WIDE = 256
 _SIGNATURE = "doc_id long, text_hash long, h1 long, h2 long, n long, sketch array<long>"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
@@ -141,6 +144,48 @@ def _links(percent: int, size: int):
     return run
 
 
+def _sift(percent: int):
+    """Of sketches that meet in (component, p, q), those of documents that may be linked with one of another part.
+
+    Values up to the least upper end of the sketches that are not whole sets are a sample of every union; a pair passes if its share of
+    common values there is within six standard errors of the threshold.  If all are whole sets that is exact.
+    """
+    fraction = percent / 100
+
+    def survivors(rows: list[tuple]) -> list[tuple[int, bool]]:
+        sides = [[r for r in rows if r[1]], [r for r in rows if not r[1]]]
+        if not all(sides):
+            return []
+        end = min((r[4][-1] for r in rows if r[3] > len(r[4])), default=None)
+        sets = [[np.array(r[4], np.int64) for r in side] for side in sides]
+        if end is not None:
+            sets = [[x[x <= end] for x in side] for side in sets]
+        shared = intersections(*sets)
+        union = np.array([len(x) for x in sets[0]])[:, None] + np.array([len(x) for x in sets[1]])[None, :] - shared
+        error = 0.0 if end is None else 6 * np.sqrt(fraction * (1 - fraction) / np.maximum(union, 1))
+        part = [np.array([r[2] for r in side], np.int64) for side in sides]
+        may = (shared >= (fraction - error) * union - 1e-6) & (part[0][:, None] != part[1][None, :])
+        return [(side[i][0], side[i][1]) for side, axis in zip(sides, (1, 0)) for i in np.flatnonzero(may.any(axis=axis))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, out = None, [], []
+        for batch in in_parts(batches):
+            for *key, node, first, part, n, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    out += [(*now, *r) for r in survivors(rows)] if now else []
+                    now, rows = key, []
+                rows.append((node, first, part, n, sketch))
+            yield flush(out)
+            out = []
+        yield flush([(*now, *r) for r in survivors(rows)] if now else [])
+
+    def flush(out: list[tuple]) -> pa.RecordBatch:
+        kinds = [*[pa.int64()] * 4, pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["component", "p", "q", "node", "first"])
+
+    return run
+
+
 def least_shared(fraction: float, probes: int) -> int:
     """How many of its probes a pair at the threshold shares, but for a probability of ``RARE``."""
     below, n = 0.0, 0
@@ -224,7 +269,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         known = large.select("node", "component").distinct().join(sketches.select(F.col("rep").alias("node"), range_of), "node")
         parts = known.join(components(found).withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
         most = parts.groupBy("component", "part").agg(F.count("*").alias("c")).groupBy("component").agg(F.max(F.struct("c", "part"))["part"].alias("main"))
-        parts = save(parts.join(most, "component").select("node", "component", "range", (F.col("part") != F.col("main")).alias("apart")), "parts")
+        parts = save(parts.join(most, "component").select("node", "component", "range", "part", (F.col("part") != F.col("main")).alias("apart")), "parts")
         away = parts.where("apart").select("node", "component", F.explode(F.array(F.col("range") - 1, F.col("range"), F.col("range") + 1)).alias("range"))
         count = lambda df, name: df.groupBy("component", "range").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
         cells = count(parts, "homes").join(count(away, "guests"), ["component", "range"])
@@ -233,8 +278,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         home = parts.join(cells, ["component", "range"]).select("node", "component", "range", number(1, "homes").alias("home"), every("guests").alias("guest"), F.lit(False).alias("first"))
         away = away.join(cells, ["component", "range"]).select("node", "component", "range", every("homes").alias("home"), number(2, "guests").alias("guest"), F.lit(True).alias("first"))
         # p and q differ in sign, so that they are never equal
-        met = home.union(away).select("node", (F.col("range") * F.lit(1 << 20).cast("long") + F.col("home")).alias("p"), (-1 - F.col("guest")).alias("q"), "first")
-        found = found.union(links(large.select("node", "component", "text").join(met, "node")))
+        met = home.union(away).select("node", "component", (F.col("range") * F.lit(1 << 20).cast("long") + F.col("home")).alias("p"), (-1 - F.col("guest")).cast("long").alias("q"), "first")
+        wide = large.select("node", text_hash(F.col("text")), "text").mapInArrow(_signatures(WIDE, size), _SIGNATURE)
+        wide = save(wide.select(F.col("doc_id").alias("node"), "n", "sketch").where("n > 0").distinct(), "wide")
+        shown = met.join(parts.select("node", "part"), "node").join(wide, "node")
+        shown = shown.select("component", "p", "q", "node", "first", "part", "n", "sketch").repartition("component", "p", "q").sortWithinPartitions("component", "p", "q")
+        alive = save(shown.mapInArrow(_sift(percent), "component long, p long, q long, node long, first boolean"), "sifted").distinct()
+        found = found.union(links(alive.join(large.select("node", "text"), "node")))
     found = save(components(found), "components")
 
     named = classes.join(found, classes.rep == found.node, "left").select("h1", "h2", F.coalesce("component", "rep").alias("c"))
