@@ -58,9 +58,9 @@ def phrase_matches(postings: DataFrame, places: DataFrame, window: int) -> DataF
     length = F.least(F.col("n"), F.lit(window))
     counts = postings.groupBy("term").agg(F.count("*").alias("df"))
     spots = save(places.join(counts, "term"), "places")  # terms without a posting occur nowhere
-    # the two rarest places of every window; a window with a missing term can't match
-    starts = places.select("item", "n", F.explode(F.sequence(F.lit(0), F.col("n") - length)).alias("s")).distinct().withColumn("size", length)
-    inside = starts.join(spots.select("item", F.col("off"), "term", "df"), "item").where("off >= s and off < s + size")
+    # the two rarest places of every window; a window with a missing term can't match.  A place lies in at most ``window`` of them
+    in_windows = F.explode(F.sequence(F.greatest(F.lit(0), F.col("off") - length + 1), F.least(F.col("off"), F.col("n") - length)))
+    inside = spots.select("item", "off", "term", "df", length.alias("size"), in_windows.alias("s"))
     full = Window.partitionBy("item", "s")
     ranked = inside.withColumns({"r": F.row_number().over(full.orderBy("df", "off")), "have": F.count("*").over(full)}).where("have = size and r <= 2")
     rare = save(ranked.groupBy("item", "s", "size").agg(F.array_sort(F.collect_list(F.struct("df", "off", "term"))).alias("two")), "rarest")

@@ -1,5 +1,5 @@
 """Work tables in the cluster's shared folder; see :mod:`hopflux.plans.work`."""
 
-from hopflux.plans.work import Scope, bucketed, save, scope, shared_dir
+from hopflux.plans.work import Scope, bucketed, current, save, scope, shared_dir, within
 
-__all__ = ["Scope", "bucketed", "save", "scope", "shared_dir"]
+__all__ = ["Scope", "bucketed", "current", "save", "scope", "shared_dir", "within"]

@@ -539,6 +539,24 @@ def test_pipeline_leaves_results_of_others(spark):
     assert unread.count() == 20
 
 
+def test_pipeline_stages_do_not_end_each_other(spark):
+    import corpus_pipeline
+
+    docs = frame(spark, [(i, f"a b c d e f {i} x{i}") for i in range(20)])
+    results = [step(spark, docs, "") for step in (corpus_pipeline.near_dedup, corpus_pipeline.dedup_lines, corpus_pipeline.near_dedup)]
+    assert [r.count() for r in results] == [20, 20, 20]
+
+
+def test_long_items_and_windows(spark):
+    """Of an item of thousands of words each place is met only with the windows that hold it."""
+    rng = random.Random(17)
+    item = [f"w{rng.randrange(400)}" for _ in range(3000)]
+    docs = [(1, " ".join(item[100:160])), (2, " ".join(item)), (3, " ".join(item[5:17])), (4, " ".join(rng.sample(item, 200)))]
+    bench = [(1, " ".join(item)), (2, " ".join(item[:5]))]
+    got = decontamination.contamination(frame(spark, docs), spark.createDataFrame(bench, "item_id long, text string"))
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in got.collect()} == {i: brute.contamination(docs, bench)[i][:3] + brute.contamination(docs, bench)[i][-1:] for i, _ in docs}
+
+
 def test_pipeline_drops_near_copies_from_080(spark):
     """Changed tails: pairs with a similarity of 0.80 to 0.85, and pairs under 0.80."""
     import corpus_pipeline
