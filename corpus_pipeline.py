@@ -1,11 +1,13 @@
-"""The corpus pipeline: documents in, packed training sequences out, each stage written as Parquet and read again."""
+"""The corpus pipeline: documents in, packed training sequences out, each stage written as Parquet and read again.
+
+What a stage returns may be read at any time: tables that it reads stay until the application ends, or, in :func:`run`, until
+the stage's documents are written.
+"""
 
 from __future__ import annotations
 
-import threading
 import uuid
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,35 +15,18 @@ from pyspark.sql import functions as F
 from hopflux.llm import decontamination, line_dedup, neardup, packing, toxicity
 from hopflux.llm.queries import tokenizer_path
 from hopflux.llm.text import text_hash
-from hopflux.llm.work import Scope, save, scope, shared_dir
+from hopflux.llm.work import current, save, scope, shared_dir, within
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_thread = threading.local()
-
 
-def stage(step: Stage) -> Stage:
-    """A stage that owns its work tables.  They go when the next stage begins in the same thread: its documents are written by then."""
-
-    @wraps(step)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        getattr(_thread, "tables", Scope()).free()
-        with scope() as own:
-            result = step(spark, docs, sf_dir)
-        _thread.tables = own
-        return result
 
-    return run
-
-
-@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score reaches the threshold go; the model is fitted on labelled rows of ``docs``."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.drop_toxic(docs, model)
 
 
-@stage
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of words go; a document of which nothing is left goes too, one that was empty before stays."""
     cut = line_dedup.dedup_lines(docs)
@@ -54,28 +39,33 @@ def _row_key(text: Column) -> tuple[Column, Column]:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_kid"), text.alias("_th")
 
 
-@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (similarity of 0.8 or more) stays, the one with the smallest id.
 
     Rows stay or go by the operator's ``kept``.  Of kept rows alike in id and words one stays (the least text by hash); differing texts under
     one id both stay if the id is kept.  A row without an id stays only if no row with an id has its words.
     """
-    found = neardup.near_duplicates(docs, percent=80)
-    kept = found.where("kept").groupBy("doc_id", "h1", "h2").agg(F.min("text_hash").alias("th"))
-    kept = kept.select(*_row_key(F.col("th"))).distinct()
+    outer = current()
+    with scope() as own:
+        found = neardup.near_duplicates(docs, percent=80)
+        kept = found.where("kept").groupBy("doc_id", "h1", "h2").agg(F.min("text_hash").alias("th"))
+        with within(outer):  # the decisions stay, a few numbers a row; what led to them goes
+            kept = save(kept.select(*_row_key(F.col("th"))).distinct(), "kept")
+    own.free()
     return docs.select("*", *_row_key(text_hash(F.col("text")))).join(kept.hint("merge"), ["_kid", "_th"]).dropDuplicates(["_kid", "_th"]).select(*docs.columns)
 
 
-@stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark's windows contaminate go; rows with one id or none are judged each by its own text."""
-    judged = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = save(judged.where("contaminated").select(*_row_key(F.col("text_hash"))).distinct(), "contaminated")
+    outer = current()
+    with scope() as own:
+        judged = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+        with within(outer):
+            bad = save(judged.where("contaminated").select(*_row_key(F.col("text_hash"))).distinct(), "contaminated")
+    own.free()
     return docs.select("*", *_row_key(text_hash(F.col("text")))).join(bad.hint("merge"), ["_kid", "_th"], "left_anti").select(*docs.columns)
 
 
-@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of power-of-two lengths, with their ids."""
     return packing.pack(docs, tokenizer_path())
@@ -89,9 +79,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the ``documents`` of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, outer = spark.read.parquet(f"{sf_dir}/documents.parquet"), current()
     for name, step in STAGES[:-1]:
-        docs = save_stage(spark, step(spark, docs, sf_dir), name)
+        with scope() as own:
+            made = step(spark, docs, sf_dir)
+            with within(outer):
+                docs = save_stage(spark, made, name)
+        own.free()
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
