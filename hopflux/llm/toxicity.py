@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from hopflux.llm.text import alnum_words, column_bytes, hashes
 
 #: Lengths in bytes of the stems that count as terms beside whole words, so that unseen forms of a known word are caught.
-STEMS = (4, 5)
+STEMS = (3, 4, 5)
 
 
 @dataclass
@@ -68,10 +68,11 @@ def _features(bits: int):
     return run
 
 
-def train(y: np.ndarray, docs: Sequence[np.ndarray], bits: int, rank: int, least_g: float, rounds: int, seed: int = 7) -> Model:
+def train(y: np.ndarray, docs: Sequence[np.ndarray], bits: int, rank: int, least_g: float, rounds: int, seed: int = 7, miss: float = 3.0) -> Model:
     """Adam on the logistic loss over all documents at once; ``docs`` has the distinct slots of each.
 
-    Slots are counted and chosen document by document, so only the chosen ones are ever held as one array.
+    Slots are counted and chosen document by document, so only the chosen ones are ever held as one array.  A document labelled 1 weighs
+    ``miss`` times as much as another: to miss it is that much worse than a false alarm.
     """
     rows, eps = len(y), 1e-9
     n, pos = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
@@ -98,13 +99,14 @@ def train(y: np.ndarray, docs: Sequence[np.ndarray], bits: int, rank: int, least
     owner, at = np.repeat(np.arange(rows), [len(x) for x in found]), np.concatenate([np.empty(0, np.int32), *found])
     del place, n, pos, ratio, found
     rng = np.random.default_rng(seed)
-    theta = [np.array([np.log(rate / (1 - rate))]), np.zeros(m), rng.normal(0, 0.03, (m, rank))]
+    theta = [np.array([np.log(miss * rate / (1 - rate))]), np.zeros(m), rng.normal(0, 0.03, (m, rank))]
     first, second = ([np.zeros_like(x) for x in theta] for _ in range(2))
     shrink, step = (0.0, 3e-5, 3e-4), 0.05
+    weight = np.where(y > 0.5, miss, 1.0)
     for t in range(1, rounds + 1 if rows and m else 1):
         model = Model(bits, slots, float(theta[0][0]), theta[1], theta[2])
         p = 1 / (1 + np.exp(-model.logits(owner, at, rows)))
-        err = (p - y) / rows
+        err = (p - y) * weight / rows
         gw = np.bincount(at, err[owner], m)
         gv = np.empty_like(theta[2])
         for f in range(rank):
@@ -119,7 +121,7 @@ def train(y: np.ndarray, docs: Sequence[np.ndarray], bits: int, rank: int, least
     return Model(bits, slots.astype(np.int64), float(theta[0][0]), theta[1], theta[2])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: Column | None = None, sample: int = 20_000, bits: int = 22, rank: int = 4, least_g: float = 12.0, rounds: int = 300) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: Column | None = None, sample: int = 20_000, bits: int = 22, rank: int = 4, least_g: float = 12.0, rounds: int = 300, miss: float = 3.0) -> Model:
     """Fit on at most ``sample`` labelled documents that are not held out (see :func:`is_held_out`).
 
     A document with several labels has the largest; null labels and ids are left out, as are labels without a document.
@@ -134,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got = terms.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("terms").alias("terms")).toArrow().sort_by("doc_id")
     column = got.column("terms").combine_chunks()
     terms = [np.frombuffer(column[i].as_buffer(), "<i4") for i in range(len(column))]
-    return train(got.column("label").to_numpy().astype(float), terms, bits, rank, least_g, rounds)
+    return train(got.column("label").to_numpy().astype(float), terms, bits, rank, least_g, rounds, miss=miss)
 
 
 def _scores(model: Model):

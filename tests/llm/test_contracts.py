@@ -127,7 +127,7 @@ def test_toxicity_ranks_held_out_rows(spark):
     rows = QUERIES["op5_toxicity"](spark, big).join(spark.read.parquet(f"{big}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out").select("score", "predicted", "toxic").collect()
     pos, neg = [r.score for r in rows if r.toxic], [r.score for r in rows if not r.toxic]
     auc = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / len(pos) / len(neg)
-    assert auc > 0.9 and sum(r.predicted for r in rows if r.toxic) >= 0.85 * len(pos) and sum(r.predicted for r in rows if not r.toxic) <= 0.02 * len(neg)
+    assert auc > 0.9 and sum(r.predicted for r in rows if r.toxic) >= 0.9 * len(pos) and sum(r.predicted for r in rows if not r.toxic) <= 0.02 * len(neg)
 
 
 def test_fingerprints(spark, tables):
