@@ -9,31 +9,24 @@ from pyspark.sql import functions as F
 
 from hopflux.plans.work import save
 
-#: Links followed between two work tables.
-STRIDE = 8
-
 
 def paths(links: DataFrame, targets: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """Rows (target, step, vertex_idx) from each target (step 0) to its root; ``targets`` has a vertex_idx column, default all.
 
-    ``limit`` bounds the steps, for link tables that may hold cycles.
+    By doubling: with the links over 1, 2, 4, ... steps, what is known of a path's first steps gives as many more, so the rounds are the
+    logarithm of the longest path.  ``limit`` bounds the steps, for link tables that may hold cycles.
     """
-    link = links.select("vertex_idx", F.col("associated_idx").alias("to")).where("vertex_idx <> to")
-    front = (links if targets is None else targets).select(F.col("vertex_idx").alias("target"), F.lit(0).alias("step"), "vertex_idx")
-    done, step = [front], 0
-    while limit is None or step < limit:
-        # a row gathers the next links of its path in columns, so that each is followed once
-        ahead = front.select("target", F.col("vertex_idx").alias("h0"))
-        for i in range(STRIDE):
-            ahead = ahead.join(link.select(F.col("vertex_idx").alias(f"h{i}"), F.col("to").alias(f"h{i + 1}")), f"h{i}", "left")
-        ahead = save(ahead, "paths")
-        hops = F.explode(F.array(*(F.struct((F.lit(step) + i).alias("step"), F.col(f"h{i}").alias("vertex_idx")) for i in range(1, STRIDE + 1))))
-        done.append(ahead.select("target", hops.alias("x")).select("target", "x.*").where("vertex_idx is not null"))
-        step += STRIDE
-        front = ahead.where(F.col(f"h{STRIDE}").isNotNull()).select("target", F.lit(step).alias("step"), F.col(f"h{STRIDE}").alias("vertex_idx"))
-        if front.isEmpty():
+    jump = links.select(F.col("vertex_idx").alias("v"), F.col("associated_idx").alias("to")).where("v <> to")
+    known, span = [(links if targets is None else targets).select(F.col("vertex_idx").alias("target"), F.lit(0).alias("step"), "vertex_idx")], 1
+    while limit is None or span <= limit:
+        rows = reduce(DataFrame.union, known)
+        more = save(rows.join(jump, rows["vertex_idx"] == jump["v"]).select("target", (F.col("step") + span).alias("step"), F.col("to").alias("vertex_idx")), "paths")
+        if more.isEmpty():
             break
-    every = reduce(DataFrame.union, done)
+        known.append(more)
+        jump = save(jump.join(jump.select(F.col("v").alias("to"), F.col("to").alias("far")), "to").select("v", F.col("far").alias("to")), "jump")
+        span *= 2
+    every = reduce(DataFrame.union, known)
     return every if limit is None else every.where(F.col("step") <= limit)
 
 

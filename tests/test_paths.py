@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from hopflux import BFS, INF, BellmanFord, Dijkstra, HyperpathGenerating
 from hopflux.sources import GraphImporter, SiouxFalls, create_sf_network, edge_frame, generate_random_network, grid_network, read_edges, sioux_falls, standardize_graph_dataframe, transit_example
@@ -516,6 +517,19 @@ print("all right")
     assert "all right" in done.stdout, done.stderr[-2000:]
 
 
+def test_long_paths(spark):
+    """Ten thousand links in a row, by doubling; a table of links with a cycle ends at the limit."""
+    from hopflux.operators import paths
+
+    n = 10_000
+    links = spark.range(n).select(F.col("id").alias("vertex_idx"), F.greatest(F.col("id") - 1, F.lit(0)).alias("associated_idx"))
+    one = spark.createDataFrame([(n - 1,)], "vertex_idx long")
+    rows = paths.paths(links, one).collect()
+    assert sorted((r["step"], r["vertex_idx"]) for r in rows) == [(i, n - 1 - i) for i in range(n)]
+    ring = spark.createDataFrame([(0, 1), (1, 2), (2, 0)], "vertex_idx long, associated_idx long")
+    assert sorted((r["target"], r["step"]) for r in paths.paths(ring, limit=5).collect()) == [(v, s) for v in range(3) for s in range(6)]
+
+
 def test_stream_of_edges(spark, tmp_path):
     from hopflux.streaming import lightest_edges, snapshot
 
