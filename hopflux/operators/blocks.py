@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopflux.operators.edges import running_total
@@ -68,6 +68,30 @@ class Layout:
     def close(self) -> None:
         self.table.unpersist()
 
+    def write(self, path: str) -> None:
+        """Write the layout to a folder, a partition for each block, from which later sessions take it up again."""
+        spark = self.table.sparkSession
+        facts = [("start", i, int(x)) for i, x in enumerate(self.ranges.starts)] + [("key", i, int(x)) for i, x in enumerate(self.ranges.keys)]
+        facts += [("spread", v, k) for v, more in self.ranges.spread.items() for k in more] + [("blocks", 0, self.blocks)]
+        self.table.write.partitionBy("block").parquet(f"{path}/blocks")
+        self.vertices.write.parquet(f"{path}/vertices")
+        spark.createDataFrame(facts, "kind string, at long, value long").write.parquet(f"{path}/ranges")
+
+
+def open_layout(spark: SparkSession, path: str, keep: bool = True) -> Layout:
+    """A layout that :meth:`Layout.write` has written.  With ``keep`` its blocks are held in memory once read, else each round reads
+    the partitions of the blocks that work in it."""
+    facts: dict[str, list[tuple[int, int]]] = {}
+    for r in spark.read.parquet(f"{path}/ranges").orderBy("kind", "at", "value").collect():
+        facts.setdefault(r["kind"], []).append((r["at"], r["value"]))
+    ranges = Ranges(np.array([x for _, x in facts.get("start", [])], np.int64), np.array([x for _, x in facts["key"]], np.int32))
+    for v, k in facts.get("spread", []):
+        ranges.spread.setdefault(v, []).append(k)
+    count = facts["blocks"][0][1]
+    table = spark.read.parquet(f"{path}/blocks")
+    table = table.select("block", *(c for c in table.columns if c != "block"))
+    return Layout(table.repartition(min(count, _PARTS), "block").persist() if keep else table, spark.read.parquet(f"{path}/vertices"), ranges, count)
+
 
 class Block:
     """The arrays of one block."""

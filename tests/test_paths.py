@@ -2,6 +2,7 @@
 
 import heapq
 import random
+import re
 import time
 
 import numpy as np
@@ -476,6 +477,29 @@ def test_order_by_neighbours_of_odd_graphs(spark, monkeypatch):
         assert engine.run(3, return_array=True).tolist() == plain_bfs([(t, h) for t, h, _ in rows], 3, 61)[0]
 
 
+def test_layout_on_disk(spark, tmp_path):
+    """A written layout answers again; unless it is kept in memory, a round reads the partitions of its own blocks."""
+    from hopflux.operators import blocks, shortest_path
+
+    rows = [tuple(r) for r in grid_network(9, 9, spark=spark).collect()] + [(40, h, 1.5) for h in range(60)]
+    best = {}
+    for t, h, w in rows:
+        best[t, h] = min(w, best.get((t, h), w))
+    rows = [(t, h, w) for (t, h), w in best.items()]
+    layout = blocks.lay_out(spark.createDataFrame(rows, "tail long, head long, weight double"), len(rows), 50)
+    assert layout.ranges.spread
+    layout.write(str(tmp_path / "streets"))
+    layout.close()
+    want = plain_dijkstra(rows, 3, 81)
+    for keep in (True, False):
+        again = blocks.open_layout(spark, str(tmp_path / "streets"), keep)
+        got = {r["v"]: r["d"] for r in shortest_path.shortest_paths(again, [3], 81).collect()}
+        assert all(np.isclose(got[v], want[v]) for v in range(81))
+    one = again.table.where(F.col("block").isin([int(again.ranges.keys[0])]))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*block", plan)
+
+
 def test_windows(spark):
     """With a window labels are the same, and blocks do not follow what later turns out too long."""
     from hopflux.operators import blocks, shortest_path
