@@ -407,7 +407,7 @@ def test_generator_and_road_network(spark):
     assert a == b and len(a) == 50 and all(0 <= r["tail"] < 9 and 0 <= r["weight"] < 1 for r in a)
     signed = generate_random_network(n_edges=40, allow_negative_weights=True, negative_weight_ratio=0.25).collect()
     assert sum(r["weight"] < 0 for r in signed) == 10
-    for bad in (dict(negative_weight_ratio=2.0), dict(weight_range=(1.0, 0.5))):
+    for bad in (dict(negative_weight_ratio=2.0), dict(negative_weight_ratio=float("nan")), dict(weight_range=(1.0, 0.5))):
         with pytest.raises(ValueError):
             generate_random_network(**bad)
     assert np.isclose(create_sf_network().agg({"volume_ref": "sum"}).first()[0], 5.0, atol=1)
