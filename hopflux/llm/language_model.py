@@ -15,7 +15,8 @@ A text is read once from left to right.  A walk carries a state; at a word witho
 their weights until there is one.  Long texts are cut into stretches that are walked side by side: as no context is longer than
 the order, a walk that starts that many words early at the lowest state stands where the whole walk would.
 
-How it is spread out: documents are dealt to chunks of a fixed size by a hash of their id.  Each chunk counts its own
+How it is spread out: documents are dealt to chunks of a fixed size by a hash of their id and text.  Rows alike in both that are too
+many for one chunk are read as one text that counts as often, and each of them gets its scores.  Each chunk counts its own
 n-grams first, so a frequent word is one number per chunk, and sends its counts to ``fan`` ranges of hashes as compressed sorted
 arrays, whose number is so in proportion to the input.  What goes to one range is summed, at once for up to ``direct`` chunks; beyond
 that teams of ``fan`` chunks are summed and stand for their chunks one level higher, with ``fan`` times as many ranges.  Each chunk
@@ -29,6 +30,7 @@ thousandth at 1e12).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopflux.llm.text import column_bytes, hashes, mix, space_words
+from hopflux.llm.work import save
 
 #: Hashes of the end token and of what stands before the first word; both differ from any word's in practice.
 _END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -48,6 +51,8 @@ _LONGER = 50
 CONTEXTS = ((500.0, 1.0), (8.0, 1.0))
 #: Words of a stretch of a long text.
 STRETCH = 256
+#: Groups of equal rows that are broadcast at most, at about a hundred bytes.
+_BROADCAST = 100_000
 _BLOBS = "owner long, n int, bucket long, keys binary, counts binary"
 _SUMS = "owner long, n int, bucket long, total long, distinct long, counts binary"
 
@@ -90,6 +95,7 @@ class _Chunk:
 
     def __init__(self, table: pa.Table, order: int):
         self.ids, self.held = table.column("doc_id"), table.column("held_out").to_numpy()
+        self.copies = table.column("copies").to_numpy() if "copies" in table.column_names else np.ones(table.num_rows, np.int64)
         words, sizes = [], []
         for batch in table.to_batches():
             for text in column_bytes(batch.column(batch.schema.get_field_index("text"))):
@@ -112,7 +118,7 @@ class _Chunk:
 
     def counts(self, n: int) -> np.ndarray:
         """How often each of the distinct n-grams stands in the chunk's training texts."""
-        train = ~np.repeat(self.held, self.sizes)
+        train = np.repeat(~self.held * self.copies, self.sizes)
         return np.bincount(self.at[n], train, len(self.keys[n])).astype(np.uint64)
 
 
@@ -275,9 +281,10 @@ class Automaton:
         return logs
 
 
-def _walk(contexts: tuple[tuple[float, float], ...], discount: float):
+def _walk(contexts: tuple[tuple[float, float], ...], discount: float, marked: bool = False):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    names, kinds = names + ["mark"] * marked, kinds + [pa.string()] * marked
 
     def run(texts: pa.Table, sums: pa.Table) -> pa.Table:
         if not texts.num_rows:
@@ -295,6 +302,8 @@ def _walk(contexts: tuple[tuple[float, float], ...], discount: float):
         logs = Automaton(chunk, counts, total, distinct, contexts, discount).walk(chunk.starts, chunk.sizes)
         add = lambda x: np.add.reduceat(x, chunk.starts)
         out = [chunk.ids.combine_chunks(), chunk.held, chunk.sizes, add((c > 0).astype(np.int64)), np.full(len(chunk.sizes), total), add(base), add(logs)]
+        if marked:
+            out.append(pa.array([md5(t.encode()).hexdigest() if c > 1 else None for t, c in zip(texts.column("text").to_pylist(), chunk.copies)], pa.string()))
         return pa.Table.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
 
     return run
@@ -307,16 +316,38 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``contexts`` has (kappa, power) for contexts of one word and longer ones.  ``chunk_bytes`` is the text dealt to one chunk; a chunk's
     tokens must fit a Python worker.
 
-    Null or empty text: the end token alone.  Repeated rows each count and each get a row.  A null id is dealt and judged
+    Null or empty text: the end token alone.  Repeated rows each count and each get a row, however many they are.  A null id is dealt and judged
     as the empty text and its row has a null doc_id.  Without any training text all counts are 0 and scores stay finite.
     An empty table gives an empty result.  Only the named columns are read, so further columns may have any name.
     """
     held = is_held_out(F.col(id_col)) if held_out is None else held_out
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(held, F.lit(False)).alias("held_out"))
-    chunks = max(8, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // chunk_bytes))
-    deal = F.pmod(F.xxhash64("doc_id", F.lit("chunk"), F.md5(F.substring("text", 1, 256))), F.lit(chunks)).cast("long")
+    known_by = F.xxhash64("doc_id", F.lit("chunk"), "text")
+    alike = rows.groupBy(known_by.alias("known_by")).agg(F.count("*").alias("copies"), F.sum(F.octet_length("text") + 1).alias("bytes"))
+    size, most = alike.agg(F.sum("bytes"), F.max(F.when(F.col("copies") > 1, F.col("bytes")))).first()
+    chunks = max(8, -(-(size or 0) // chunk_bytes))
+    if (most or 0) * 8 <= chunk_bytes:
+        return _scored(rows, chunks, contexts, discount, fan, direct)
+    # at most eight such groups to a chunk's worth of text
+    groups = save(alike.where((F.col("copies") > 1) & (F.col("bytes") * 8 > chunk_bytes)).select("known_by"), "alike")
+    small = F.broadcast if groups.count() <= _BROADCAST else lambda table: table
+    rows = rows.withColumn("known_by", known_by)
+    many = rows.join(small(groups), "known_by", "left_semi").drop("known_by")
+    once = many.groupBy("doc_id", "text", "held_out").agg(F.count("*").alias("copies"))
+    single = rows.join(small(groups), "known_by", "left_anti").drop("known_by").withColumn("copies", F.lit(1).cast("long"))
+    scored = save(_scored(single.union(once), chunks, contexts, discount, fan, direct, marked=True), "scores")
+    own, names = scored.where("mark IS NULL").drop("mark"), scored.columns[:-1]
+    shared = scored.where("mark IS NOT NULL").withColumnRenamed("doc_id", "id").withColumnRenamed("held_out", "held")
+    each = many.select("doc_id", "held_out", F.md5("text").alias("text_mark"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("held_out") == F.col("held")) & (F.col("text_mark") == F.col("mark"))
+    return own.union(each.join(small(shared), same).select(*names))
+
+
+def _scored(rows: DataFrame, chunks: int, contexts: tuple[tuple[float, float], ...], discount: float, fan: int, direct: int, marked: bool = False) -> DataFrame:
+    """Scores of ``rows``; ``marked`` adds mark, the MD5 of the text of a row that stands for several and null for others."""
+    deal = F.pmod(F.xxhash64("doc_id", F.lit("chunk"), "text"), F.lit(chunks)).cast("long")
     dealt = rows.withColumn("chunk", deal).repartition(chunks, "chunk")
     blobs = dealt.groupBy("chunk").applyInArrow(_count(len(contexts) + 1, fan), _BLOBS)
     sums = corpus_sums(blobs, chunks, fan, direct)
-    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("chunk").cogroup(sums.groupBy("owner")).applyInArrow(_walk(tuple(contexts), discount), out)
+    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double" + ", mark string" * marked
+    return dealt.groupBy("chunk").cogroup(sums.groupBy("owner")).applyInArrow(_walk(tuple(contexts), discount, marked), out)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -439,6 +440,23 @@ def test_language_model_in_teams(spark):
         assert all(math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-9) and math.isclose(r["base_score"], base[r["doc_id"]][4], rel_tol=1e-9) for r in rows)
 
 
+def test_language_model_of_very_many_equal_rows(spark):
+    """Rows alike in id and text, or without ids, are read as one that counts as often, and each has its row."""
+    rng = random.Random(22)
+    docs = [(i, " ".join(f"w{int(rng.paretovariate(0.8)) % 90}" for _ in range(rng.choice([0, 3, 40])))) for i in range(60)]
+    docs += [(7, "w1 w2 w3 again")] * 400 + [(11, "w5 held out w6")] * 300 + [(None, "w2 w3 w9")] * 500 + [(None, "w3 alone")] + [(None, "")] * 1100 + [(None, None)] * 900
+    rows = language_model.score_texts(frame(spark, docs), chunk_bytes=4000).collect()
+    # the plain version knows texts by id: further ids for the same texts, learned from or held out like the first
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+    free = {h: iter([i for i in range(1000, 40_000) if held(i) == h]) for h in (False, True)}
+    apart = [(next(free[held(i)]), t or "") for i, t in docs]
+    scores, base = brute.automaton_scores(apart, language_model.CONTEXTS), brute.base_scores(apart)
+    seven = lambda *x: tuple(round(v, 7) if isinstance(v, float) else v for v in x)
+    want = Counter(seven(i, *base[j], scores[j]) for (i, _), (j, _) in zip(docs, apart, strict=True))
+    assert Counter(seven(*(r[c] for c in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"))) for r in rows) == want
+    assert held(7) and not held(11)
+
+
 def test_language_model_sends_blobs_in_proportion():
     import numpy as np
     import pyarrow as pa
