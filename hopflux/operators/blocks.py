@@ -24,11 +24,14 @@ from hopflux.plans.work import save
 #: Edges of a block, about: 12 MB of them, a small task.
 BLOCK_EDGES = 1 << 20
 #: Partitions of a layout at most; beyond it they hold several blocks each.
-_PARTS = 10_000
+PARTS = 10_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Arrays that every block has, and the types of values that edges may have.
 ARRAYS = {"ids": np.int64, "names": np.int64, "home": np.int32, "first": np.int64, "head": np.int32, "back_v": np.int64, "back_block": np.int32}
 VALUES = {"weight": np.float64, "trav_time": np.float64, "freq": np.float64, "edge_idx": np.int64}
+#: Distances of a block's vertices from landmarks, one landmark after the other (:mod:`hopflux.operators.landmarks`).
+MARKS = "marks"
+VALUES |= {MARKS: np.float64}
 
 
 @dataclass
@@ -90,7 +93,7 @@ def open_layout(spark: SparkSession, path: str, keep: bool = True) -> Layout:
     count = facts["blocks"][0][1]
     table = spark.read.parquet(f"{path}/blocks")
     table = table.select("block", *(c for c in table.columns if c != "block"))
-    return Layout(table.repartition(min(count, _PARTS), "block").persist() if keep else table, spark.read.parquet(f"{path}/vertices"), ranges, count)
+    return Layout(table.repartition(min(count, PARTS), "block").persist() if keep else table, spark.read.parquet(f"{path}/vertices"), ranges, count)
 
 
 class Block:
@@ -236,7 +239,7 @@ def lay_out(edges: DataFrame, n_edges: int, block_edges: int = BLOCK_EDGES, valu
     else:
         vertices = save(vertices, "vertices")
     count = len(starts) + 1 + sum(c for _, c in spread)
-    parts = min(count, _PARTS)
+    parts = min(count, PARTS)
     keys = _keys(spark, count, parts)
     ranges, at = Ranges(starts, keys[: len(starts) + 1]), len(starts) + 1
     for v, more in spread:

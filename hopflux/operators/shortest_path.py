@@ -8,6 +8,9 @@ A label is (distance, hops, predecessor) and smaller labels win in that order, s
 however the rounds run, and predecessors never form a cycle, even through edges of weight 0.  Many sources go in one fixpoint.
 
 With a window, blocks do not follow labels beyond a bound that rises by the window whenever no block has anything left below it.
+
+A label's key says how far away what it leads to is at least: its distance, and where the layout knows landmarks
+(:mod:`hopflux.operators.landmarks`) and targets are asked for, also what is certainly left to the nearest target.  Order, bounds and windows go by keys.
 """
 
 from __future__ import annotations
@@ -20,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopflux.operators.blocks import Block, Layout
+from hopflux.operators.blocks import MARKS, Block, Layout
 from hopflux.operators.rounds import ALARM, FACT, MEMORY, MESSAGE, Rounds, table
 from hopflux.plans.work import save, scope
 
 #: What a block remembers of a vertex that it has a label of; ``open``: changed and not followed yet.
-_LABEL = np.dtype([("i", "<i4"), ("own", "?"), ("open", "?"), ("name", "<i8"), ("d", "<f8"), ("hops", "<i8"), ("pred", "<i8")])
+LABEL = np.dtype([("i", "<i4"), ("own", "?"), ("open", "?"), ("name", "<i8"), ("d", "<f8"), ("hops", "<i8"), ("pred", "<i8")])
 _CANDIDATE = np.dtype([("v", "<i8"), ("d", "<f8"), ("hops", "<i8"), ("pred", "<i8")])
 
 
@@ -36,24 +39,27 @@ class NegativeCycle(ValueError):
 class _Labels:
     """Labels of one source in one block."""
 
-    def __init__(self, block: Block, track: bool):
+    def __init__(self, block: Block, track: bool, left: np.ndarray):
         n = block.size
-        self.block, self.track = block, track
+        self.block, self.track, self.left = block, track, left
         self.d, self.hops, self.pred = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.known, self.open = np.zeros(n, bool), np.zeros(n, bool)
 
     def recall(self, body: bytes) -> None:
-        old = np.frombuffer(body, _LABEL)
+        old = np.frombuffer(body, LABEL)
         i = old["i"]
         self.d[i], self.hops[i], self.pred[i], self.open[i], self.known[i] = old["d"], old["hops"], old["pred"], old["open"], True
 
     def remember(self) -> bytes:
         i = np.flatnonzero(self.known)
-        made = np.empty(len(i), _LABEL)
+        made = np.empty(len(i), LABEL)
         made["i"], made["own"], made["open"], made["name"] = i, i < self.block.own, self.open[i], self.block.names[i]
         made["d"], made["hops"], made["pred"] = self.d[i], self.hops[i], self.pred[i]
         return made.tobytes()
 
+    def key(self, some: np.ndarray) -> np.ndarray:
+        return self.d[some] + self.left[some]
+
     def take(self, v: np.ndarray, d: np.ndarray, hops: np.ndarray, pred: np.ndarray) -> np.ndarray:
         """Keep what is better than the labels so far, (d, hops, pred) in this order or d alone; which vertices changed."""
         better = d < self.d[v]
@@ -92,10 +98,11 @@ class _Labels:
         return bool((jump != n).any())
 
 
-def relax(ranges, count: int, track: bool, negative: bool, detect: bool, bound: float, wanted: list[int]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def relax(ranges, count: int, track: bool, negative: bool, detect: bool, bound: float, wanted: list[int], reach: np.ndarray | None = None) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """A block's part of a round.
 
-    Labels beyond ``bound`` are kept but not followed, nor those beyond the furthest of the places ``wanted`` once the block has labels of them all.
+    Labels with keys beyond ``bound`` are kept but not followed, nor those beyond the furthest of the places ``wanted`` once the block has labels of
+    them all.  ``reach`` has each landmark's distance to the nearest target.
     """
 
     def circle_or_done(labels: _Labels, b: Block, front: np.ndarray, changed: np.ndarray, goal, source: int) -> bool:
@@ -113,11 +120,13 @@ def relax(ranges, count: int, track: bool, negative: bool, detect: bool, bound:
                 rest = rest[labels.open[rest]]
                 if goal is not None:
                     most = min(most, labels.d[goal].max())
-                rest = rest[labels.d[rest] <= most]
+                key = labels.key(rest)
+                near = (key <= most) & (key < math.inf)
+                rest, key = rest[near], key[near]
                 if not len(rest):
                     return False
-                limit, later = max(limit, float(labels.d[rest].min()) + step), []
-                near = labels.d[rest] <= limit
+                limit, later = max(limit, float(key.min()) + step), []
+                near = key <= limit
                 front, later = rest[near], [rest[~near]]
             labels.open[front] = False
             v, d, hops, pred = labels.offers(front)
@@ -134,7 +143,7 @@ def relax(ranges, count: int, track: bool, negative: bool, detect: bool, bound:
                 if labels.turns(source):
                     return True
             if limit < math.inf:
-                near = labels.d[front] <= limit
+                near = labels.key(front) <= limit
                 later.append(front[~near])
                 front = front[near]
 
@@ -149,8 +158,9 @@ def relax(ranges, count: int, track: bool, negative: bool, detect: bool, bound:
         goal = b.local(np.array(wanted, np.int64)) if wanted else None
         goals = goal[(goal >= 0) & (goal < b.own)] if wanted else np.empty(0, np.int64)
         goal = goal if wanted and len(goals) == len(goal) else None
+        left = np.zeros(b.size) if reach is None else remaining(b, reach, count)
         for s in np.unique(sources).tolist():
-            labels = _Labels(b, track)
+            labels = _Labels(b, track, left)
             for i in np.flatnonzero((sources == s) & (kinds == MEMORY)):
                 labels.recall(bodies[int(i)].as_py())
             new = [np.frombuffer(bodies[int(i)].as_py(), _CANDIDATE) for i in np.flatnonzero((sources == s) & (kinds == MESSAGE))]
@@ -160,6 +170,7 @@ def relax(ranges, count: int, track: bool, negative: bool, detect: bool, bound:
             got = labels.take(at[keep], new["d"][keep], new["hops"][keep], new["pred"][keep])
             changed = np.zeros(b.size, bool)
             changed[got] = True
+            labels.open &= left < math.inf  # others lead to no target
             waiting = np.flatnonzero(labels.open)
             changed[waiting[waiting >= b.own]] = True  # candidates that were beyond the bound
             if circle_or_done(labels, b, waiting, changed, goal, s):
@@ -168,13 +179,13 @@ def relax(ranges, count: int, track: bool, negative: bool, detect: bool, bound:
             some = np.flatnonzero(changed)
             out += [(FACT, key, s, int(b.ids[g]), float(labels.d[g]), b"") for g in goals if labels.known[g]]
             far = some[some >= b.own]
-            far = far[~np.isin(far, copies)]
+            far = far[~np.isin(far, copies) & (left[far] < math.inf)]
             labels.open[b.own :] = False
-            labels.open[far[labels.d[far] > bound]] = True
-            far = far[labels.d[far] <= bound]
-            left = labels.d[labels.open]
-            if len(left):  # what waits for a higher bound
-                out.append((FACT, key, s, -1, float(left.min()), b""))
+            labels.open[far[labels.key(far) > bound]] = True
+            far = far[labels.key(far) <= bound]
+            labels.open &= left < math.inf
+            if labels.open.any():  # what waits for a higher bound
+                out.append((FACT, key, s, -1, float(labels.key(labels.open).min()), b""))
             out += [(MESSAGE, int(to), s, 0, 0.0, _candidates(labels, b.ids, far[b.home[far] == to])) for to in np.unique(b.home[far])]
             for hub in some[some < b.own][np.isin(b.ids[some[some < b.own]], list(ranges.spread))] if ranges.spread else ():
                 body = _candidates(labels, b.ids, np.array([hub]))
@@ -185,6 +196,23 @@ def relax(ranges, count: int, track: bool, negative: bool, detect: bool, bound:
     return run
 
 
+def remaining(b: Block, reach: np.ndarray, count: int) -> np.ndarray:
+    """How far it is from each of a block's vertices to the nearest target, at least; infinite where no target can be reached.
+
+    A landmark reaches a target no later by way of a vertex: left >= reach - distance of the vertex from the landmark.  What rounding may have added to
+    either, over a path of fewer than ``count`` edges, is taken off.
+    """
+    marks = b.marks.reshape(len(reach), b.size)
+    left = np.zeros(b.size)
+    for to, mark in zip(reach, marks, strict=True):
+        if to == math.inf:
+            left[mark < math.inf] = math.inf
+        else:
+            known = mark < math.inf
+            left[known] = np.maximum(left[known], to - mark[known] - np.finfo(float).eps * count * (to + mark[known]))
+    return left
+
+
 def _candidates(labels: _Labels, ids: np.ndarray, some: np.ndarray) -> bytes:
     made = np.empty(len(some), _CANDIDATE)
     made["v"], made["d"], made["hops"], made["pred"] = ids[some], labels.d[some], labels.hops[some], labels.pred[some]
@@ -194,13 +222,13 @@ def _candidates(labels: _Labels, ids: np.ndarray, some: np.ndarray) -> bytes:
 _RESULT = "source long, v long, d double, hops long, pred long"
 
 
-def _labels(memory: DataFrame) -> DataFrame:
+def labels_of(memory: DataFrame) -> DataFrame:
     """Labels of vertices in their own blocks."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for source, body in zip(b.column("source").to_pylist(), b.column("body")):
-                got = np.frombuffer(body.as_py(), _LABEL)
+                got = np.frombuffer(body.as_py(), LABEL)
                 got = got[got["own"]]
                 columns = [np.full(len(got), source), got["name"], got["d"], got["hops"], got["pred"]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["source", "v", "d", "hops", "pred"])
@@ -208,6 +236,23 @@ def _labels(memory: DataFrame) -> DataFrame:
     return memory.select("source", "body").mapInArrow(explode, _RESULT)
 
 
+def marks_of(layout: Layout, places: list[int]) -> dict[int, np.ndarray]:
+    """Distances of some places, few enough to be named, from each landmark."""
+    wanted = np.array(sorted(set(places)), np.int64)
+    homes = layout.ranges.of(wanted)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b = Block(pa.Table.from_batches([batch.slice(i, 1)]), batch.column("block")[i].as_py())
+                own = wanted[homes == b.key]
+                at = b.local(own)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(list(b.marks.reshape(-1, b.size)[:, at].T), pa.list_(pa.float64()))], ["place", "marks"])
+
+    found = layout.table.where(F.col("block").isin(np.unique(homes).tolist())).select("block", "ids", "home", MARKS).mapInArrow(look, "place long, marks array<double>")
+    return {r["place"]: np.array(r["marks"]) for r in found.collect()}
+
+
 def in_cycle(labels: DataFrame, count: int, rounds: int) -> bool:
     """Whether predecessors run in a cycle, by doubling pointers: then some vertex never gets to its root.
 
@@ -226,13 +271,14 @@ def in_cycle(labels: DataFrame, count: int, rounds: int) -> bool:
     return True
 
 
-def shortest_paths(layout: Layout, sources: Iterable[int], count: int, track: bool = False, targets: Iterable[int] | None = None, negative: bool = False, detect: bool = True, window: float | None = None, report: dict | None = None) -> DataFrame:
+def shortest_paths(layout: Layout, sources: Iterable[int], count: int, track: bool = False, targets: Iterable[int] | None = None, negative: bool = False, detect: bool = True, window: float | None = None, report: dict | None = None, raw: bool = False) -> DataFrame:
     """Labels (source, v, d, hops, pred) of all vertices that the sources reach.
 
     ``layout`` is that of merged edges (:func:`hopflux.operators.blocks.lay_out`) and ``count`` the number of vertices.  With
     ``targets`` and weights that are not negative, labels beyond the furthest target are not followed.  ``negative`` says
     that weights may be negative: with ``detect`` a reachable negative cycle raises :class:`NegativeCycle`, without it
     no path of ``count`` edges or more is followed.  ``report`` gets the number of rounds and of labels that they wrote.
+    ``raw`` gives what the blocks remember instead (block, source, body), for :func:`hopflux.operators.landmarks.recalled`.
     """
     spark, track = layout.table.sparkSession, track or negative
     distinct = sorted(set(sources))
@@ -250,14 +296,24 @@ def shortest_paths(layout: Layout, sources: Iterable[int], count: int, track: bo
     window = None if negative else window
     found: dict[tuple[int, int], float] = {}
     waiting: dict[tuple[int, int], float] = {}
-    edge, look = window if window else math.inf, 8
+    reach, rise, edge = None, 1.0, window or math.inf
+    if wanted and MARKS in layout.table.columns:
+        marks = marks_of(layout, [*wanted, *(p for _, p in starts)])
+        reach = np.min([marks[p] for p in wanted], axis=0)
+        if not window:
+            # first what lies hardly beyond the least that the way can take, then twice as much more each time
+            with np.errstate(invalid="ignore"):
+                least = max((float(np.nanmax([0.0, *np.where(marks[p] < math.inf, reach - marks[p], 0.0)])) for _, p in starts), default=0.0)
+            window, rise = (least / 16, 2.0) if 0 < least < math.inf else (None, 1.0)
+            edge = least + window if window else math.inf
+    look = 8
     try:
         with scope() as own:
             rounds = Rounds(layout, first)
             while rounds.active:
                 bound = max(found.values()) if wanted and len(found) == len(wanted) * len(starts) else math.inf
                 worked = set(rounds.active)
-                rounds.step(relax(layout.ranges, count, track, negative, detect, min(bound, edge), wanted))
+                rounds.step(relax(layout.ranges, count, track, negative, detect, min(bound, edge), wanted, reach))
                 if rounds.alarms:
                     raise NegativeCycle("Negative cycle detected in the graph")
                 waiting = {k: d for k, d in waiting.items() if k[0] not in worked}
@@ -270,15 +326,17 @@ def shortest_paths(layout: Layout, sources: Iterable[int], count: int, track: bo
                     bound = max(found.values()) if wanted and len(found) == len(wanted) * len(starts) else math.inf
                     left = {k: d for k, d in waiting.items() if d <= bound}
                     if left:
-                        edge = max(edge, min(left.values())) + window
+                        edge, window = max(edge, min(left.values())) + window, window * rise
                         rounds.active = sorted({k[0] for k, d in left.items() if d <= edge})
                 if negative and detect and rounds.number >= look and rounds.active:
                     look *= 2
-                    if in_cycle(_labels(rounds.memory()), count, rounds.number):
+                    if in_cycle(labels_of(rounds.memory()), count, rounds.number):
                         raise NegativeCycle("Negative cycle detected in the graph")
                 rounds.put_together()
         if report is not None:
             report |= {"rounds": rounds.number, "written": rounds.written}
-        return save(_labels(rounds.memory()).union(apart), "labels")
+        if raw:
+            return save(rounds.memory().select("block", "source", "body"), "memory")
+        return save(labels_of(rounds.memory()).union(apart), "labels")
     finally:
         own.free()

@@ -335,6 +335,15 @@ def stsp_targets_in_blocks(spark, sf_dir):
         return engine.run(ROOT, termination_nodes=TARGETS)
 
 
+@query(ORACLES["sssp_targets_links"])
+def sssp_targets_by_landmarks(spark, sf_dir):
+    """Searches that head for their targets."""
+    engine = Dijkstra(views.g_part(spark, sf_dir))
+    with _in_blocks(engine, engine.n_edges):
+        engine.add_landmarks(2)
+        return _targets_with_paths(engine)
+
+
 @query(ORACLES["sssp_dense_inf"])
 def sssp_by_neighbours(spark, sf_dir):
     """Blocks of neighbouring orders, in an order of the vertices that is found from the edges."""
