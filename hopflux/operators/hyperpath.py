@@ -25,6 +25,8 @@ from hopflux.plans.work import current, save, scope, within
 
 #: Relative improvement below which a time counts as unchanged, so that rounding cannot keep the loop going.
 SETTLED = 1e-15
+#: Relative difference up to which an option counts as good as the stop's time: what is equal may differ by rounding.
+EQUAL = 1e-12
 _TIME = np.dtype([("i", "<i4"), ("own", "?"), ("v", "<i8"), ("u", "<f8")])
 _NEWS = np.dtype([("v", "<i8"), ("u", "<f8")])
 _FLOW = np.dtype([("v", "<i8"), ("amount", "<f8"), ("edges", "<i8")])
@@ -156,12 +158,17 @@ def _choose(destination: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         b = stops.block
         for i in np.flatnonzero(inbox.column("kind").to_numpy() == MEMORY):
             stops.recall(inbox.column("body")[int(i)].as_py())
-        stop, edge, first, sizes, _, f, used = stops.folded(stops.leave())
-        place = np.arange(len(edge)) - np.repeat(first, sizes)
-        taken = place < np.repeat(used, sizes)
-        edge, tail = edge[taken], np.repeat(stop, sizes)[taken]
+        stop, edge, first, sizes, u, f, used = stops.folded(stops.leave())
+        place, tail = np.arange(len(edge)) - np.repeat(first, sizes), np.repeat(stop, sizes)
         state = np.zeros(b.size, _STOP)
-        state["f"][stop] = np.maximum(f, MIN_FREQ)
+        state["f"][stop] = f
+        best, at_head = np.repeat(u, sizes), stops.u[b.head[edge]]
+        # ties that rounding has put behind the stop's time; only towards stops that are nearer, so that they close no circle
+        taken, also = place < np.repeat(used, sizes), (at_head + b.trav_time[edge] <= best * (1 + EQUAL)) & (at_head < best)
+        also &= ~taken
+        np.add.at(state["f"], tail[also], b.freq[edge[also]])
+        state["f"][stop] = np.maximum(state["f"][stop], MIN_FREQ)
+        edge, tail = edge[taken | also], tail[taken | also]
         chosen = np.empty(len(edge), _CHOSEN)
         chosen["edge_idx"], chosen["tail"], chosen["head"] = b.edge_idx[edge], b.ids[tail], b.ids[b.head[edge]]
         chosen["freq"], chosen["f_tail"] = b.freq[edge], state["f"][tail]

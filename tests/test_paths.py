@@ -368,6 +368,17 @@ def test_hyperpath_arguments_and_unreached(spark):
             engine.run(*bad)
 
 
+def test_equal_options_that_rounding_sets_apart(spark):
+    """A line as good as waiting for the other one is taken, also where 1 / freq + time comes out a little smaller."""
+    freq, time = next((f / 100, float(t)) for f in (2, 4, 5, 10) for t in range(1, 50) if (1.0 + f / 100 * t) / (f / 100) < t + 100 // f)
+    other = time + round(1 / freq)
+    with HyperpathGenerating(graph((0, 1, time, freq), (0, 1, other, freq), columns=("tail", "head", "trav_time", "freq"))) as engine:
+        engine.run(0, 1, 1.0)
+        assert sorted(r["edge_idx"] for r in engine.chosen.collect()) == [0, 1]
+        assert [r["volume"] for r in engine.edges.orderBy("edge_idx").collect()] == [0.5, 0.5]
+        assert engine.u_i_vec.where("vertex_idx = 0").first()["u_i"] == pytest.approx(other)
+
+
 def test_work_tables_belong_to_their_scope(spark):
     from hopflux.plans.work import save, scope
 
