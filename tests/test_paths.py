@@ -605,6 +605,22 @@ print("all right")
     assert "all right" in done.stdout, done.stderr[-2000:]
 
 
+def test_blocks_forget_what_they_have_sent(spark):
+    """Vertices of other blocks are not remembered, of which a block of a graph without local ids has about as many as edges."""
+    from hopflux.operators.shortest_path import LABEL, shortest_paths
+
+    n = 400
+    edges = [(0, v, float(v % 7 + 1)) for v in range(1, n)] + [(v, (v * 37 + 11) % n, 2.0) for v in range(1, n)]
+    with Dijkstra(graph(*edges)) as engine:
+        engine.block_edges = 100
+        got = engine.run(0, path_tracking=True, return_array=True)
+        assert got.tolist() == plain_dijkstra(edges, 0, n)
+        raw = shortest_paths(engine._laid_out("weight"), [0], n, raw=True).collect()
+    labels = np.concatenate([np.frombuffer(r["body"], LABEL) for r in raw])
+    assert labels["own"].sum() == n
+    assert (~labels["own"]).sum() <= 8  # the copies of vertex 0 in blocks of its further edges
+
+
 def test_long_paths(spark):
     """Ten thousand links in a row, by doubling; a table of links with a cycle ends at the limit."""
     from hopflux.operators import paths
