@@ -87,11 +87,12 @@ def _level(level: int, used: int, alone: bool) -> Callable[[pa.Table, pa.Table],
             now += 1
             if not alone or far.any() or not len(head):
                 seen[head[far]] = True
-                for to in np.unique(b.home[head]):
-                    mine = b.home[head] == to
-                    made = np.empty(int(mine.sum()), _OFFER)
-                    made["v"], made["pred"], made["key"] = b.ids[head[mine]], b.names[at[parent[mine]]], keys[parent[mine]]
-                    out.append((MESSAGE, int(to), 0, 0, 0.0, made.tobytes()))
+                parents = np.empty(b.size, np.int64)
+                parents[head] = parent
+                for to, mine in b.by_home(head):
+                    made, of = np.empty(len(mine), _OFFER), parents[mine]
+                    made["v"], made["pred"], made["key"] = b.ids[mine], b.names[at[of]], keys[of]
+                    out.append((MESSAGE, to, 0, 0, 0.0, made.tobytes()))
                 break
             at, pred, keys = head, b.names[at[parent]], keys[parent]
         out += [(FACT, key, 0, now, float(filled), b""), (MEMORY, key, 0, 0, 0.0, np.packbits(seen).tobytes())]

@@ -107,8 +107,12 @@ def _news(b: Block, u: np.ndarray, changed: np.ndarray) -> Iterator[tuple[int, b
     own = np.sort(changed[changed < b.own])
     at = b.local(b.back_v)
     told = np.isin(at, own)
-    for to in np.unique(b.back_block[told]):
-        some = at[told & (b.back_block == to)]
+    readers, at = b.back_block[told], at[told]
+    order = np.argsort(readers, kind="stable")
+    readers, at = readers[order], at[order]
+    starts = np.flatnonzero(np.append(True, readers[1:] != readers[:-1])) if len(at) else np.empty(0, np.int64)
+    for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(at)]):
+        to, some = readers[low], at[low:high]
         made = np.empty(len(some), _NEWS)
         made["v"], made["u"] = b.ids[some], u[some]
         yield int(to), made.tobytes()
@@ -206,11 +210,10 @@ class _Flow:
         """What has come together for stops of other blocks."""
         b = self.block
         far = b.own + np.flatnonzero(edges[b.own :])
-        for to in np.unique(b.home[far]):
-            some = far[b.home[far] == to]
+        for to, some in b.by_home(far):
             made = np.empty(len(some), _FLOW)
             made["v"], made["amount"], made["edges"] = b.ids[some], amount[some], edges[some]
-            yield MESSAGE, int(to), 0, 0, 0.0, made.tobytes()
+            yield MESSAGE, to, 0, 0, 0.0, made.tobytes()
 
     def memory(self) -> tuple:
         left = int((self.state["reached"] & ~self.state["done"])[: self.block.own].sum())

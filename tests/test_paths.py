@@ -605,6 +605,18 @@ print("all right")
     assert "all right" in done.stdout, done.stderr[-2000:]
 
 
+def test_blocks_stay_small(spark):
+    """Blocks of the queries in several blocks do not grow with the graph."""
+    from hopflux.operators.blocks import BLOCK_EDGES
+    from hopflux.queries import _in_blocks
+
+    assert BLOCK_EDGES <= 1 << 18
+    with Dijkstra(README) as engine:
+        assert _in_blocks(engine, 10**9).block_edges == BLOCK_EDGES
+    with Dijkstra(README) as engine:
+        assert _in_blocks(engine, 600).block_edges == 100
+
+
 def test_blocks_forget_what_they_have_sent(spark):
     """Vertices of other blocks are not remembered, of which a block of a graph without local ids has about as many as edges."""
     from hopflux.operators.shortest_path import LABEL, shortest_paths
