@@ -633,6 +633,48 @@ def test_blocks_forget_what_they_have_sent(spark):
     assert (~labels["own"]).sum() <= 8  # the copies of vertex 0 in blocks of its further edges
 
 
+def test_rounds_follow_what_is_near(monkeypatch):
+    """A block whose edges lead to other blocks follows the nearest labels and leaves the others to the next round."""
+    from hopflux.operators import shortest_path as sp
+    from hopflux.operators.blocks import ARRAYS, VALUES, Ranges
+    from hopflux.operators.rounds import FACT, MEMORY, MESSAGE, table
+
+    monkeypatch.setattr(sp, "FEW", 10)
+    ids, n = np.arange(200), 100
+    made = {"ids": ids, "names": ids, "home": ids // n, "first": np.minimum(np.arange(201), n), "head": ids[n:], "back_v": [], "back_block": [], "weight": np.ones(n)}
+    row = pa.table({"block": pa.array([0], pa.int32()), **{k: pa.array([np.asarray(v, ARRAYS.get(k) or VALUES[k]).tobytes()]) for k, v in made.items()}})
+    first = np.array([(v, 99.0 - v, 1, 0) for v in range(n)], sp._CANDIDATE)
+    run = sp.relax(Ranges(np.array([n]), np.array([0, 1], np.int32)), 200, True, False, True, INFINITY, [])
+    inbox, sent, rounds = [(MESSAGE, 0, 0, 0, 0.0, first.tobytes())], [], 0
+    while inbox:
+        out = run(row, table(inbox)).to_pylist()
+        got = np.concatenate([np.frombuffer(r["body"], sp._CANDIDATE) for r in out if r["kind"] == MESSAGE])
+        assert len(got) <= 13  # ten, or an eighth of the block's edges, and one more
+        sent += got.tolist()
+        on = any(r["kind"] == FACT and r["v"] == sp.ON for r in out)
+        inbox, rounds = [tuple(r.values()) for r in out if r["kind"] == MEMORY and on], rounds + 1
+    assert sorted(sent) == [(v + n, 100.0 - v, 2, v) for v in range(n)]
+    assert 8 <= rounds <= 10
+
+
+def test_rounds_that_leave_something_to_the_next(spark, monkeypatch):
+    """Labels are the same however little a round follows, also those of a hub that is dealt to further blocks."""
+    from hopflux.operators import shortest_path
+
+    monkeypatch.setattr(shortest_path, "FEW", 10)
+    monkeypatch.setattr(shortest_path, "SHARE", 32)
+    rng = random.Random(5)
+    n, best = 120, {(0, h): 90.0 for h in range(1, 110)}
+    best |= {(rng.randrange(n), rng.randrange(n)): rng.uniform(1, 100) for _ in range(400)}
+    rows = [(t, h, w) for (t, h), w in best.items()]
+    want = plain_dijkstra(rows, 0, n)
+    with Dijkstra(graph(*rows)) as engine:
+        engine.block_edges = 90
+        assert engine.run(0, path_tracking=True, return_array=True).tolist() == want
+        assert engine._layout.ranges.spread
+        assert engine.run(0, termination_nodes=[7, 42], return_array=True).tolist() == [want[7], want[42]]
+
+
 def test_long_paths(spark):
     """Ten thousand links in a row, by doubling; a table of links with a cycle ends at the limit."""
     from hopflux.operators import paths
