@@ -5,12 +5,18 @@ long as it is no worse than what the stop has, and adds its frequency.  A block
 (:mod:`hopflux.operators.rounds`) it folds the stops anew whose heads got faster, until nothing inside it changes, and
 sends the times of those of its stops that other blocks have edges to.
 
+A time is passed on, to the block's own edges and to others, nearest stops first.  It is final once it is no later than the least time that is still to be
+passed on plus the stop's shortest line; times that are not yet final would be passed on again.  So of those a round passes on no more than are
+sent in an eighth of all messages that the block can send, and the rest waits for what others have found by the next round.  Blocks that
+have few readers pass on everything at once.
+
 Volumes: demand flows down the chosen edges by their share of the frequency.  First the chosen edges that carry anything are counted at
 their heads; then a stop is released once all of these have brought what they carry, so every stop passes its volume on once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,14 +26,17 @@ from pyspark.sql import functions as F
 
 from hopflux.constants import INF, MIN_FREQ
 from hopflux.operators.blocks import BLOCK_EDGES, Block, Layout, lay_out
-from hopflux.operators.rounds import ALARM, MEMORY, MESSAGE, RESULT, Rounds, table
+from hopflux.operators.rounds import ALARM, FACT, MEMORY, MESSAGE, RESULT, Rounds, table
 from hopflux.plans.work import current, save, scope, within
 
 #: Relative improvement below which a time counts as unchanged, so that rounding cannot keep the loop going.
 SETTLED = 1e-15
 #: Relative difference up to which an option counts as good as the stop's time: what is equal may differ by rounding.
 EQUAL = 1e-12
-_TIME = np.dtype([("i", "<i4"), ("own", "?"), ("v", "<i8"), ("u", "<f8")])
+#: Times that a round passes on although they may not be final: this share of what the block can send, and no less than ``FEW``.
+SHARE, FEW = 8, 1 << 14
+#: Facts of a round: whether the block goes on in the next one.
+DONE, ON = range(2)
 _NEWS = np.dtype([("v", "<i8"), ("u", "<f8")])
 _FLOW = np.dtype([("v", "<i8"), ("amount", "<f8"), ("edges", "<i8")])
 #: What a block remembers of a stop while volumes flow.
@@ -65,17 +74,17 @@ class _Stops:
     def __init__(self, row: pa.Table, key: int, destination: int):
         self.block = b = Block(row, key)
         self.u, self.known = np.full(b.size, np.inf), np.zeros(b.size, bool)
+        #: Stops of the block whose times have not been passed on.
+        self.open = np.zeros(b.size, bool)
         self.destination = destination
 
     def recall(self, body: bytes) -> None:
-        old = np.frombuffer(body, _TIME)
-        self.u[old["i"]], self.known[old["i"]] = old["u"], True
+        bits = -(-self.block.size // 8)
+        flags = np.unpackbits(np.frombuffer(body[: 2 * bits], np.uint8).reshape(2, bits), axis=1, count=self.block.size).astype(bool)
+        self.known, self.open, self.u = flags[0].copy(), flags[1].copy(), np.frombuffer(body[2 * bits :], np.float64).copy()
 
     def remember(self) -> bytes:
-        i = np.flatnonzero(self.known)
-        made = np.empty(len(i), _TIME)
-        made["i"], made["own"], made["v"], made["u"] = i, i < self.block.own, self.block.ids[i], self.u[i]
-        return made.tobytes()
+        return np.packbits(self.known).tobytes() + np.packbits(self.open).tobytes() + self.u.tobytes()
 
     def learn(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
         """Keep times that are better than those known; which stops got faster."""
@@ -102,12 +111,10 @@ class _Stops:
         return own[(np.diff(self.block.first)[: self.block.own] > 0) & (self.block.ids[: self.block.own] != self.destination)]
 
 
-def _news(b: Block, u: np.ndarray, changed: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Times for each block that has edges to stops that got faster."""
-    own = np.sort(changed[changed < b.own])
-    at = b.local(b.back_v)
-    told = np.isin(at, own)
-    readers, at = b.back_block[told], at[told]
+def _news(b: Block, u: np.ndarray, told: np.ndarray, back: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Times for each block that has edges to the stops that are ``told``; ``back`` are the numbers of the stops with readers."""
+    some = told[back]
+    readers, at = b.back_block[some], back[some]
     order = np.argsort(readers, kind="stable")
     readers, at = readers[order], at[order]
     starts = np.flatnonzero(np.append(True, readers[1:] != readers[:-1])) if len(at) else np.empty(0, np.int64)
@@ -118,7 +125,10 @@ def _news(b: Block, u: np.ndarray, changed: np.ndarray) -> Iterator[tuple[int, b
         yield int(to), made.tobytes()
 
 
-def _times(destination: int, count: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _times(destination: int, most: int, bound: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A block's part of a round, of at most ``most`` steps.  Times that other blocks have still to tell are no less than ``bound``."""
+    share, few = SHARE, FEW
+
     def run(row: pa.Table, inbox: pa.Table) -> pa.Table:
         if not inbox.num_rows:
             return table([])
@@ -130,14 +140,41 @@ def _times(destination: int, count: int) -> Callable[[pa.Table, pa.Table], pa.Ta
         news = np.concatenate([np.frombuffer(bodies[int(i)].as_py(), _NEWS) for i in np.flatnonzero(kinds == MESSAGE)] or [np.empty(0, _NEWS)])
         at = b.local(news["v"])
         front = stops.learn(at[at >= 0], news["u"][at >= 0])
+        stops.open[front[front < b.own]] = True
+        front = front[front >= b.own]
         # edges by head, to find whose options changed
         tail_of = np.repeat(np.arange(b.size), np.diff(b.first))
         by_head = np.argsort(b.head, kind="stable")
         into = np.concatenate([[0], np.cumsum(np.bincount(b.head, minlength=b.size))])
-        changed, steps = [front], 0
-        while len(front):
+        shortest = np.zeros(b.size)
+        lined = np.flatnonzero(np.diff(b.first))
+        shortest[lined] = np.minimum.reduceat(b.trav_time, b.first[lined]) if len(lined) else 0.0
+        shortest[b.ids == destination] = 0.0
+        back = b.local(b.back_v)
+        readers = np.bincount(back, minlength=b.size)
+        many = max(few, len(back) // share) if len(back) > few else math.inf
+        told, later, sent, passed, steps = np.zeros(b.size, bool), [np.flatnonzero(stops.open)], 0, 0, 0
+        while True:
+            if not len(front):
+                rest = np.unique(np.concatenate(later))
+                rest = rest[stops.open[rest]]
+                if not len(rest):
+                    break
+                # final as far as this block can tell, and an eighth at least
+                final = stops.u[rest] - shortest[rest]
+                order = np.argsort(final, kind="stable")
+                rest, final = rest[order], final[order]
+                take = max(int(np.searchsorted(final, stops.u[rest].min(), side="right")), -(-len(rest) // 8))
+                if many < math.inf:
+                    room = int(np.searchsorted(np.cumsum(readers[rest]), many - sent)) + 1 if sent < many else 0
+                    take = max(min(take, room), int(np.searchsorted(final, bound, side="right")))
+                    if not take:
+                        break
+                front, later = rest[:take], [rest[take:]]
+                stops.open[front], told[front] = False, True
+                sent, passed = sent + int(readers[front].sum()), passed + len(front)
             steps += 1
-            if steps > 2 * count + 1:
+            if steps > most:
                 return table([(ALARM, key, 0, 0, 0.0, b"")])
             sizes = into[front + 1] - into[front]
             ends = np.cumsum(sizes)
@@ -146,9 +183,14 @@ def _times(destination: int, count: int) -> Callable[[pa.Table, pa.Table], pa.Ta
             tails = tails[b.ids[tails] != destination]
             stop, _, _, _, u, _, _ = stops.folded(tails)
             front = stops.learn(stop, u)
-            changed.append(front)
-        out = [(MESSAGE, to, 0, 0, 0.0, body) for to, body in _news(b, stops.u, np.unique(np.concatenate(changed)))]
-        return table([*out, (MEMORY, key, 0, sum(map(len, changed)), 0.0, stops.remember())])
+            stops.open[front] = True
+            later.append(front)
+            front = front[:0]
+        out = [(MESSAGE, to, 0, 0, 0.0, body) for to, body in _news(b, stops.u, told, back)]
+        under_way = stops.u[stops.open | told & (readers > 0)]
+        if len(under_way):
+            out.append((FACT, key, 0, ON if stops.open.any() else DONE, float(under_way.min()), b""))
+        return table([*out, (MEMORY, key, 0, passed, 0.0, stops.remember())])
 
     return run
 
@@ -300,10 +342,13 @@ def assign(layout: Layout, destination: int, count: int, demand: list[tuple[int,
     try:
         with scope() as own:
             rounds = Rounds(layout, [(MESSAGE, home(destination), 0, 0, 0.0, np.array([(destination, 0.0)], _NEWS).tobytes())])
+            bound, most = 0.0, SHARE * (2 * count + 1)  # what one step passed on takes as many as shares
             while rounds.active:
-                rounds.step(_times(destination, count))
-                if rounds.alarms or rounds.number > 2 * count + 1:
-                    raise RuntimeError(f"times still change after {2 * count + 1} steps")
+                rounds.step(_times(destination, most, bound))
+                if rounds.alarms or rounds.number > most:
+                    raise RuntimeError(f"times still change after {most} steps")
+                rounds.active = sorted({f["block"] for f in rounds.facts if f["v"] == ON}.union(rounds.active))
+                bound = min((f["d"] for f in rounds.facts), default=math.inf)
                 rounds.put_together()
             rounds.step(_choose(destination), everyone=True)
             results = rounds.results()

@@ -345,6 +345,43 @@ def test_chain_of_stops(spark, monkeypatch):
     assert time.time() - start < 60
 
 
+def test_times_are_passed_on_when_final(spark, monkeypatch):
+    """Stops with many lines between blocks: times are passed on nearest first, so hardly any more than once, and rounds may leave some to the next."""
+    from hopflux.operators import hyperpath, rounds
+
+    monkeypatch.setattr(hyperpath, "FEW", 20, raising=False)
+    rng, n, made = random.Random(17), 400, []
+    rows = [(rng.randrange(n), rng.randrange(n), float(rng.randint(1, 50)), rng.choice([0.02, 0.05, 0.12])) for _ in range(8000)]
+    begin = rounds.Rounds.__init__
+    monkeypatch.setattr(rounds.Rounds, "__init__", lambda self, *a: (begin(self, *a), made.append(self))[0])
+    got = []
+    for block_edges in (10_000, 1_500):
+        with HyperpathGenerating(pd.DataFrame(rows, columns=["tail", "head", "trav_time", "freq"])) as engine:
+            engine.block_edges = block_edges
+            engine.run(5, 1, 1.0)
+            got.append((engine.u_i_vec.orderBy("vertex_idx").toPandas()["u_i"], engine.edges.orderBy("edge_idx").toPandas()["volume"]))
+    (one, one_volumes), (several, volumes) = got
+    assert np.allclose(one, several, rtol=1e-12) and np.allclose(one_volumes, volumes)
+    assert math.isclose(volumes[[t == 5 for t, *_ in rows]].sum(), 1.0)
+    for each in made:
+        assert each.written <= 3 * n
+
+
+def test_readers_are_listed_once(spark):
+    """Which blocks have edges to a vertex is told once for each block, however the rows of its edges come."""
+    from hopflux.operators.blocks import Block
+    from hopflux.operators.hyperpath import lay_out_lines
+
+    rows = [(v % 40, 0, 1.0, 1.0, v) for v in range(400)]
+    edges = spark.createDataFrame(rows, "tail long, head long, trav_time double, freq double, edge_idx long").repartition(8)
+    layout = lay_out_lines(edges, 400, 100)
+    found = [Block(pa.Table.from_pylist([r.asDict()]), r["block"]) for r in layout.table.collect()]
+    pairs = [(b.key, int(v), int(k)) for b in found for v, k in zip(b.back_v, b.back_block)]
+    assert len(found) > 1 and len(pairs) == len(set(pairs)) == len(found) - 1
+    assert sorted(int(e) for b in found for e in b.edge_idx) == list(range(400))
+    layout.close()
+
+
 def test_stops_that_choose_each_other(spark):
     """Lines without waiting or travel time between two stops: volumes still end."""
     rows = [(0, 1, 0.0, INFINITY), (1, 0, 0.0, INFINITY), (1, 2, 5e8, 0.1), (0, 2, 5e8, 0.1)]
