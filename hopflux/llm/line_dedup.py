@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hopflux.llm.text import column_bytes, in_parts, mix
+from hopflux.llm.text import column_bytes, giving_back, in_parts, mix
 from hopflux.llm.work import save
 
 #: Texts are winnowed together up to so many words.
@@ -126,6 +126,7 @@ def _fingerprints(gram: int, window: int):
         text = np.searchsorted(ends, at, side="right")
         return h, text, at - np.concatenate([[0], ends])[text]
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches):
             kid, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -196,6 +197,7 @@ def without(text: bytes, spans: list[tuple[int, int]], starts: np.ndarray | None
 def _slices(columns: list[str], text_col: str):
     """Rows of an earlier text and its matches with a later one of at most ``_most`` words: the stretches of words that these can reach."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, starts, ends = None, None, None
         for batch in in_parts(batches):
@@ -222,6 +224,7 @@ def _rewrite(columns: list[str], text_col: str, least: int):
     """Rows come grouped by document: stretches of earlier texts and matches with them (kind 0; flag: with the document itself), then its own (kind 1)."""
     spans_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, firsts = None, []
         for batch in in_parts(batches):

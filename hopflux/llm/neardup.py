@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopflux.llm.components import components
-from hopflux.llm.text import column_bytes, in_parts, shingles, space_words, text_hash
+from hopflux.llm.text import column_bytes, giving_back, in_parts, shingles, space_words, text_hash
 from hopflux.llm.work import save
 
 #: A linked pair shares fewer probes than asked for with at most this probability (9 of 24 are asked for at 0.85, 7 at 0.8).
@@ -49,6 +49,7 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("h1", pa
 
 
 def _signatures(k: int, size: int):
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches):
             h1, h2, n, sketch = [], [], [], []
@@ -126,6 +127,7 @@ def _links(percent: int, size: int):
         pairs = np.stack([np.array(first)[x], np.array(second)[y]], 1)
         return _forest(ids, pairs[pairs[:, 0] != pairs[:, 1]])
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows, links = None, [], []
         for batch in in_parts(batches):
@@ -167,6 +169,7 @@ def _sift(percent: int):
         may = (shared >= (fraction - error) * union - 1e-6) & (part[0][:, None] != part[1][None, :])
         return [(side[i][0], side[i][1]) for side, axis in zip(sides, (1, 0)) for i in np.flatnonzero(may.any(axis=axis))]
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows, out = None, [], []
         for batch in in_parts(batches):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopflux.llm.text import column_bytes
+from hopflux.llm.text import column_bytes, giving_back, in_parts
 
 _encoders: dict[tuple[str, bool], object] = {}
 
@@ -85,9 +85,10 @@ def piece_lengths(n: int, longest: int) -> list[int]:
 def _pieces(path: str, end_id: int, longest: int, with_ids: bool, plain_text: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("bucket", pa.int32())] + [("ids", pa.list_(pa.int32()))] * with_ids)
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, rows = encoder(path, plain_text), []
-        for batch in batches:
+        for batch in in_parts(batches):
             for doc, text in zip(batch.column(0).to_pylist(), column_bytes(batch.column(1)), strict=True):
                 ids = np.append(np.array(encode(text.decode()) if text else [], "<u4"), np.uint32(end_id)).astype("<u4")
                 start = 0

@@ -12,6 +12,7 @@ of a hash of their id.  Scoring reads every text whole, and the model is a few t
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopflux.llm.text import alnum_words, column_bytes, hashes
+from hopflux.llm.text import alnum_words, column_bytes, giving_back, hashes, in_parts
 
 #: Lengths in bytes of the stems that count as terms beside whole words, so that unseen forms of a known word are caught.
 STEMS = (3, 4, 5)
@@ -140,10 +141,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _scores(model: Model):
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.full(1 << model.bits, -1, np.int32)
         place[model.slots] = np.arange(len(model.slots))
-        for batch in batches:
+        for batch in in_parts(batches):
             owner, at = [], []
             for i, text in enumerate(column_bytes(batch.column(1))):
                 found = place[_slots(text, model.bits)]
@@ -169,11 +171,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def _judge(model: Model, threshold: float, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inner = _scores(model)
-        for batch in batches:
-            two = pa.RecordBatch.from_arrays([batch.column(text_at), batch.column(text_at)], ["doc_id", "text"])
-            got = next(inner(iter([two]))).column(1).to_numpy()
-            yield batch.filter(pa.array(got < threshold))
+        rows, texts = itertools.tee(in_parts(batches))
+        two = (pa.RecordBatch.from_arrays([b.column(text_at), b.column(text_at)], ["doc_id", "text"]) for b in texts)
+        for batch, got in zip(rows, _scores(model)(two)):
+            yield batch.filter(pa.array(got.column(1).to_numpy() < threshold))
 
     return run
 

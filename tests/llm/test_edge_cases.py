@@ -2,10 +2,12 @@
 
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +126,39 @@ def test_components_of_chains_and_hubs(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_workers_give_back_what_they_have_freed(monkeypatch):
+    import pyarrow as pa
+
+    from hopflux.llm import text
+
+    page = os.sysconf("SC_PAGE_SIZE")
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * page
+    last = []
+
+    @text.giving_back
+    def run(batches):
+        many = [bytes(3000) for _ in range(60_000)]
+        last.append(bytes(3000))  # keeps the end of the heap in use
+        yield len(many)
+
+    before = resident()
+    assert list(run(iter([]))) == [60_000]
+    assert resident() - before < 60_000_000, "180 MB were freed"
+
+    calls = []
+    monkeypatch.setattr(text, "give_back", lambda: calls.append(1))
+    texts = [f"word{i} " * 50 for i in range(3000)]
+    two = pa.RecordBatch.from_pydict({"doc_id": range(3000), "text": texts})
+    three = pa.RecordBatch.from_pydict({"doc_id": range(3000), "t": range(3000), "text": texts})
+    model = toxicity.train(np.array([0.0, 1.0] * 20), [np.array([i % 2], "<i4") for i in range(40)], 22, 4, 0.0, 10)
+    for step, batch in ((neardup._signatures(64, 5), three), (line_dedup._fingerprints(30, 40), three), (toxicity._scores(model), two), (toxicity._judge(model, 2.0, 1), two), (packing._pieces(tokenizer_path(), 1, 2048, True, False), two)):
+        calls.clear()
+        assert sum(b.num_rows for b in step(iter([batch]))) > 0
+        assert calls == [1]
+    judged = list(toxicity._judge(model, 2.0, 1)(iter([two])))
+    assert max(b.num_rows for b in judged) <= 1024 and [i for b in judged for i in b.column(0).to_pylist()] == list(range(3000))
+
+
 def test_piece_lengths():
     for n in [1, 2, 3, 100, 2047, 2048, 2049, 5000]:
         parts = packing.piece_lengths(n, 2048)
