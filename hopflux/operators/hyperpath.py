@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopflux.constants import INF, MIN_FREQ
+from hopflux.constants import INF, INF_FREQ, MIN_FREQ
 from hopflux.operators.blocks import BLOCK_EDGES, Block, Layout, lay_out
 from hopflux.operators.rounds import ALARM, FACT, MEMORY, MESSAGE, RESULT, Rounds, table
 from hopflux.plans.work import current, save, scope, within
@@ -209,9 +209,10 @@ def _choose(destination: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         state = np.zeros(b.size, _STOP)
         state["f"][stop] = f
         best, at_head = np.repeat(u, sizes), stops.u[b.head[edge]]
-        # ties that rounding has put behind the stop's time; only towards stops that are nearer, so that they close no circle
+        # ties that rounding has put behind the stop's time; only towards stops that are nearer, so that they close no circle, and none without
+        # waiting, which would not share what the stop carries but take it all
         taken, also = place < np.repeat(used, sizes), (at_head + b.trav_time[edge] <= best * (1 + EQUAL)) & (at_head < best)
-        also &= ~taken
+        also &= ~taken & (b.freq[edge] < INF_FREQ)
         np.add.at(state["f"], tail[also], b.freq[edge[also]])
         state["f"][stop] = np.maximum(state["f"][stop], MIN_FREQ)
         edge, tail = edge[taken | also], tail[taken | also]
