@@ -670,6 +670,47 @@ def test_blocks_forget_what_they_have_sent(spark):
     assert (~labels["own"]).sum() <= 8  # the copies of vertex 0 in blocks of its further edges
 
 
+def test_what_blocks_remember_stays_apart(spark, monkeypatch):
+    """However often it is put together, no file, and so no task that writes or reads one, has that of many blocks."""
+    from hopflux.operators import rounds
+    from hopflux.operators.shortest_path import shortest_paths
+
+    monkeypatch.setattr(rounds, "TABLES", 3)
+    together, most = rounds.Rounds.put_together, []
+    in_a_file = lambda df: df.groupBy(F.input_file_name()).agg(F.countDistinct("block").alias("c")).agg(F.max("c")).first()[0]
+
+    def watched(self):
+        before = self.tables
+        together(self)
+        if self.tables is not before:
+            most.append(in_a_file(self.tables[0]))
+
+    monkeypatch.setattr(rounds.Rounds, "put_together", watched)
+    n = 120
+    with Dijkstra(graph(*((v, v + 1, 1.0) for v in range(n - 1)))) as engine:
+        engine.block_edges = 10
+        raw = shortest_paths(engine._laid_out("weight"), [0], n, raw=True)
+        assert raw.count() == engine._layout.blocks > 10
+        assert in_a_file(raw) == 1
+    assert len(most) > 2 and set(most) == {1}
+
+
+@pytest.mark.parametrize("held, memory", [(8, True), (1, False)])
+def test_many_blocks_lie_on_disk(spark, monkeypatch, held, memory):
+    """Few blocks for each core are held in memory, more on disk, also those with landmarks; the answers are the same."""
+    from hopflux.operators import blocks
+
+    monkeypatch.setattr(blocks, "HELD", held, raising=False)
+    edges = [(v, v + 1, 1.0) for v in range(79)]
+    with Dijkstra(graph(*edges)) as engine:
+        engine.block_edges = 10
+        assert 4 < engine._laid_out("weight").blocks <= 32
+        assert engine._layout.table.storageLevel.useMemory == memory
+        engine.add_landmarks(1)
+        assert engine._layout.table.storageLevel.useMemory == memory and engine._layout.table.storageLevel.useDisk
+        assert engine.run(3, termination_nodes=[70, 2], return_array=True).tolist() == [67.0, math.inf]
+
+
 def test_rounds_follow_what_is_near(monkeypatch):
     """A block whose edges lead to other blocks follows the nearest labels and leaves the others to the next round."""
     from hopflux.operators import shortest_path as sp
