@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopflux.llm.text import alnum_words, column_bytes, giving_back, hashes, in_parts
+from hopflux.llm.text import alnum_words, column_bytes, give_back, giving_back, hashes, in_parts
 
 #: Lengths in bytes of the stems that count as terms beside whole words, so that unseen forms of a known word are caught.
 STEMS = (3, 4, 5)
@@ -122,6 +122,17 @@ def train(y: np.ndarray, docs: Sequence[np.ndarray], bits: int, rank: int, least
     return Model(bits, slots.astype(np.int64), float(theta[0][0]), theta[1], theta[2])
 
 
+def _in_place(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The slots of each document as they lie in what has been collected: the driver holds them once."""
+    found = []
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        ends = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(chunk.type) else np.int32)[chunk.offset : chunk.offset + len(chunk) + 1].tolist()
+        body = np.frombuffer(data or b"", np.uint8)
+        found += [body[low:high].view("<i4") for low, high in zip(ends, ends[1:])]
+    return found
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: Column | None = None, sample: int = 20_000, bits: int = 22, rank: int = 4, least_g: float = 12.0, rounds: int = 300, miss: float = 3.0) -> Model:
     """Fit on at most ``sample`` labelled documents that are not held out (see :func:`is_held_out`).
 
@@ -134,10 +145,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")  # at most ``sample`` pairs of numbers
     terms = rows.mapInArrow(_features(bits), "doc_id long, label double, terms binary")
-    got = terms.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("terms").alias("terms")).toArrow().sort_by("doc_id")
-    column = got.column("terms").combine_chunks()
-    terms = [np.frombuffer(column[i].as_buffer(), "<i4") for i in range(len(column))]
-    return train(got.column("label").to_numpy().astype(float), terms, bits, rank, least_g, rounds, miss=miss)
+    got = terms.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("terms").alias("terms")).toArrow()
+    order = np.argsort(got.column("doc_id").to_numpy())
+    terms = _in_place(got.column("terms"))
+    try:
+        return train(got.column("label").to_numpy().astype(float)[order], [terms[i] for i in order], bits, rank, least_g, rounds, miss=miss)
+    finally:
+        del got, terms
+        give_back()
 
 
 def _scores(model: Model):

@@ -639,3 +639,23 @@ def test_large_differences_end(spark, monkeypatch, retries):
 def test_edited_digest_by_hand(spark):
     got = fingerprints.fingerprint_edits(frame(spark, [(1, "abcdefgh"), (2, "X")])).orderBy("doc_id").collect()
     assert got[0]["edited_sha256"] == hashlib.sha256(b"abcdefX").hexdigest() and got[1]["edited_sha256"] == hashlib.sha256(b"X").hexdigest()
+
+
+def test_fitting_leaves_little_on_the_driver(spark, monkeypatch):
+    """The driver holds the collected terms once, where Arrow has put them, and gives back what fitting took."""
+    import pyarrow as pa
+
+    from hopflux.llm import toxicity
+
+    column = pa.chunked_array([[np.arange(3, dtype="<i4").tobytes(), b""], [np.arange(5, dtype="<i4").tobytes()]], pa.binary())
+    given = toxicity._in_place(column)
+    assert [len(x) for x in given] == [3, 0, 5]
+    assert np.shares_memory(given[0], np.frombuffer(column.chunk(0).buffers()[2], np.uint8))
+    back = []
+    monkeypatch.setattr(toxicity, "give_back", lambda: back.append(1), raising=False)
+    docs = spark.createDataFrame([(i, ("vile words " if i % 3 else "kind words ") * 3 + f"w{i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, float(i % 3 > 0)) for i in range(40)], "doc_id long, toxic double")
+    model = toxicity.fit(docs, labels, held_out=F.lit(False), least_g=1.0, rounds=20)
+    again = toxicity.fit(docs.repartition(3), labels.repartition(2), held_out=F.lit(False), least_g=1.0, rounds=20)
+    assert len(model.slots) and np.array_equal(model.slots, again.slots)
+    assert len(back) == 2
